@@ -1,0 +1 @@
+"""Intentionally empty: every dataflow in scope is a batch job, so there is no streaming operator."""
