@@ -82,7 +82,7 @@ def normalize_text(text: Column, block_marker: str | None = None) -> Column:
     out = F.regexp_replace(text, r"\n", " ")
     if block_marker:
         out = F.replace(out, F.lit(block_marker), F.lit("\n"))
-    out = F.regexp_replace(out, r"[^\S\n]+", " ")
+    out = F.regexp_replace(out, r"[\s\p{Z}&&[^\n]]+", " ")
     out = F.regexp_replace(out, r" ([.,;:!?])", "$1")
     out = F.regexp_replace(out, r" ?\n ?", "\n")
     out = F.regexp_replace(out, r"\n{3,}", "\n\n")
