@@ -11,6 +11,7 @@ from quillgraph.operators import reports as R
 from quillgraph.plans import inputs
 from quillgraph.plans import sql_parts as S
 from quillgraph.plans.registry import query
+from quillgraph.session import checkpointed
 from quillgraph.sources import io
 from quillgraph.sources.tables import table
 
@@ -20,7 +21,8 @@ RETRIEVERS = ["bm25", "fulltext"]
 def ranked(spark: SparkSession, d: str, kind: str = "bm25", k: int = 10) -> DataFrame:
     search = {"bm25": lexical.bm25_search, "fulltext": lexical.fulltext_search}[kind]
     rows = search(inputs.queries(spark, d), inputs.documents(spark, d), k)
-    return rows.withColumn("source_url", inputs.doc_url())
+    # k rows per query, read by annotation and metrics alike: searched once, then stored
+    return checkpointed(rows).withColumn("source_url", inputs.doc_url())
 
 
 def annotated(spark: SparkSession, d: str, kind: str = "bm25") -> tuple[DataFrame, DataFrame]:
