@@ -49,20 +49,26 @@ def terminals(edges: DataFrame) -> DataFrame:
     takes log2(n) rounds. Pairs that reached a terminal leave the working set.
     """
     edges = checkpointed(edges.select("src", "dst").distinct())
-    inner = edges.select(F.col("src").alias("dst")).distinct()
-    n_inner = inner.count()
-    hops = checkpointed(edges.join(inner, "dst", "left_semi").select("src", "dst"))
-    done = checkpointed(edges.join(inner, "dst", "left_anti").select("src", "dst"))
+    inner = edges.select(F.col("src").alias("dst"), F.lit(True).alias("inner")).distinct()
+    pairs = checkpointed(
+        edges.join(inner, "dst", "left").select(
+            "src", "dst", F.coalesce("inner", F.lit(False)).alias("open")
+        )
+    )
+    open_sources = pairs.where("open").select("src").distinct().count()
     covered = 1
-    while covered < n_inner and not hops.isEmpty():
-        second = hops.select(F.col("src").alias("dst"), F.col("dst").alias("end"))
-        final = done.select(F.col("src").alias("dst"), F.col("dst").alias("end"))
-        reached = hops.join(final, "dst").select("src", F.col("end").alias("dst"))
-        further = hops.join(second, "dst").select("src", F.col("end").alias("dst")).distinct()
-        new_done = done.unionByName(reached).distinct()
-        done, hops = checkpointed(new_done), checkpointed(further)
+    while open_sources and covered <= open_sources:
+        onward = pairs.select(
+            F.col("src").alias("dst"), F.col("dst").alias("end"), F.col("open").alias("still_open")
+        )
+        moved = pairs.where("open").join(onward, "dst").select(
+            "src", F.col("end").alias("dst"), F.col("still_open").alias("open")
+        )
+        pairs = checkpointed(pairs.where("not open").unionByName(moved).distinct())
         covered *= 2
-    return done.select(F.col("src").alias("node"), F.col("dst").alias("terminal"))
+        if pairs.where("open").isEmpty():
+            break
+    return pairs.where("not open").select(F.col("src").alias("node"), F.col("dst").alias("terminal"))
 
 
 def propagate_to_terminals(values: DataFrame, chain: DataFrame) -> DataFrame:
@@ -71,6 +77,7 @@ def propagate_to_terminals(values: DataFrame, chain: DataFrame) -> DataFrame:
     ``values(node, value)``; a terminal that has its own value is overwritten by a moved one
     (the largest when several arrive), non-terminals lose theirs.
     """
+    chain = checkpointed(chain.select("src", "dst"))
     ends = terminals(chain)
     moved = (
         values.join(ends, "node")

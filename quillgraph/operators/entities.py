@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions.text import variant_type
+from quillgraph.operators.numbering import numbered_within
 
 # Exclusive tribes and the word that stands for all of them.
 TRIBES = ["Snowdwellers", "Shademancers", "Clunkmasters"]
@@ -106,9 +107,10 @@ def expand_values(
 
 def boss_defaults(bosses: DataFrame, minibosses: DataFrame) -> DataFrame:
     """Rule rows (name, amount): minibosses first, then bosses that drop anything."""
-    amount = F.when(F.col("name").isin(NAMED_BOSSES), NAMED_BOSS_DROP).otherwise(OTHER_BOSS_DROP)
+    name = F.col("name").cast("string")
+    amount = F.when(name.isin(NAMED_BOSSES), NAMED_BOSS_DROP).otherwise(OTHER_BOSS_DROP)
     small = minibosses.select("name", F.lit(MINIBOSS_DROP).alias("amount"), F.lit(1).alias("turn"))
-    large = bosses.where(~F.col("name").isin(BOSSES_WITHOUT_DROP)).select(
+    large = bosses.where(~name.isin(BOSSES_WITHOUT_DROP)).select(
         "name", amount.alias("amount"), F.lit(2).alias("turn")
     )
     rows = small.unionByName(large)
@@ -144,10 +146,10 @@ def number_leaders(rows: DataFrame, min_cells: int = 5) -> DataFrame:
 
     ``rows(tribe, row_no, n_cells, ...)``.
     """
-    number = F.row_number().over(Window.partitionBy("tribe").orderBy("row_no"))
-    named = rows.withColumn(
-        "card_name", F.concat("tribe", F.lit(" Leader #"), number.cast("string"))
-    )
+    placed = numbered_within(rows, ["tribe"], ["row_no"], "_number")
+    named = placed.withColumn(
+        "card_name", F.concat("tribe", F.lit(" Leader #"), F.col("_number").cast("string"))
+    ).drop("_number")
     return named.where(F.col("n_cells") >= min_cells)
 
 

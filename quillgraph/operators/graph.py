@@ -138,9 +138,14 @@ def url_nodes(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def edge_rows(
-    pairs: DataFrame, src_label: str, rel: str, dst_label: str, props: Column | None = None
+    pairs: DataFrame,
+    src_label: str,
+    rel: str,
+    dst_label: str,
+    props: Column | None = None,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Edge rows of ``pairs(src, dst)``."""
+    """Edge rows of ``pairs(src, dst)``, with further columns kept when named."""
     return pairs.select(
         F.lit(src_label).alias("src_label"),
         F.col("src").cast("string").alias("src_key"),
@@ -148,6 +153,7 @@ def edge_rows(
         F.lit(dst_label).alias("dst_label"),
         F.col("dst").cast("string").alias("dst_key"),
         (no_props() if props is None else props).alias("props"),
+        *keep,
     )
 
 

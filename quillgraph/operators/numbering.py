@@ -32,3 +32,19 @@ def numbered(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
         .withColumn(name, (F.col("_in_part") + F.col("_offset")).cast("long"))
         .drop("_part", "_in_part", "_offset")
     )
+
+
+def numbered_within(
+    df: DataFrame, group: Sequence[str], order: Sequence[str], name: str
+) -> DataFrame:
+    """Add 1..n inside every group; a group may span many tasks.
+
+    A group's numbers are whole-table numbers minus those before its first row.
+    """
+    placed = checkpointed(numbered(df, [*group, *order], "_global"))
+    first = placed.groupBy(*group).agg(F.min("_global").alias("_first"))
+    return (
+        placed.join(first, list(group))
+        .withColumn(name, F.col("_global") - F.col("_first") + 1)
+        .drop("_global", "_first")
+    )

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions.text import word_runs
 
-_MAX_GRAM = 8
+_MAX_GRAM = 6
 
 
 def contains_pairs(
@@ -60,21 +60,26 @@ def _long_pairs(texts: DataFrame, needles: DataFrame) -> DataFrame:
 
 
 def _short_pairs(texts: DataFrame, needles: DataFrame) -> DataFrame:
-    sizes = needles.agg(F.min(F.length("needle")), F.max(F.length("needle"))).first()
-    if sizes[0] is None:
+    measured = needles.select(
+        F.least(F.length("needle"), F.lit(_MAX_GRAM)).alias("gram"), F.length("needle").alias("n")
+    )
+    grams = {r["gram"]: r["n"] for r in measured.groupBy("gram").agg(F.max("n").alias("n")).collect()}
+    if not grams:
         return texts.select("text_id").join(needles.select("needle_id"), F.lit(False))
-    gram = min(sizes[0], _MAX_GRAM)
-    rest = sizes[1] - gram
+    longest = max(grams.values())
     # a look-ahead yields the window that starts at every character in one linear pass
     windows = F.regexp_extract_all(
-        F.col("text"), F.lit(rf"(?s)(?=(.{{{gram}}}.{{0,{rest}}}))"), F.lit(1)
+        F.col("text"), F.lit(rf"(?s)(?=(.{{1,{longest}}}))"), F.lit(1)
     )
     starts = texts.select("text_id", F.explode_outer(windows).alias("at")).where(
         F.col("at").isNotNull()
     )
+    # at most _MAX_GRAM prefix lengths occur: needles below that length are their own key
+    keys = F.array(*[F.substring("at", 1, size) for size in sorted(grams)])
+    probes = starts.select("text_id", "at", F.explode(keys).alias("key"))
+    key = F.substring("needle", 1, _MAX_GRAM)
     return (
-        starts.withColumn("gram", F.substring("at", 1, gram))
-        .join(needles.withColumn("gram", F.substring("needle", 1, gram)), "gram")
+        probes.join(needles.select("needle_id", "needle", key.alias("key")), "key")
         .where(F.col("at").startswith(F.col("needle")))
         .select("text_id", "needle_id")
         .distinct()

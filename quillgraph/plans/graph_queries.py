@@ -41,14 +41,10 @@ def nodes_of(df: DataFrame, label: str, key: str, **props: str) -> DataFrame:
 
 @query(
     "node_upsert",
-    """WITH new AS (SELECT l_partkey AS key, arg_max(l_quantity, (l_orderkey, l_linenumber)) AS size,
-  arg_max(l_shipmode, (l_orderkey, l_linenumber)) AS kind FROM (SELECT *, CASE WHEN l_returnflag <> 'N'
-  THEN l_returnflag || l_linestatus END AS l_shipmode FROM lineitem) GROUP BY 1)
-SELECT coalesce(p_partkey, key) AS key, p_name AS name, CASE WHEN key IS NULL THEN p_size ELSE size END AS size,
-  CASE WHEN key IS NULL THEN p_type ELSE kind END AS kind FROM part FULL JOIN new ON p_partkey = key""".replace(
-        "arg_max(l_shipmode, (l_orderkey, l_linenumber)) AS kind",
-        "arg_max(coalesce(l_shipmode, ''), (l_orderkey, l_linenumber)) AS kind0, nullif(kind0, '') AS kind",
-    ),
+    """WITH new AS (SELECT l_partkey AS key, arg_max([l_quantity::VARCHAR, CASE WHEN l_returnflag <> 'N'
+  THEN l_returnflag || l_linestatus END], (l_orderkey, l_linenumber, l_extendedprice)) AS v FROM lineitem GROUP BY 1)
+SELECT coalesce(p_partkey, key) AS key, p_name AS name, CASE WHEN key IS NULL THEN p_size ELSE v[1]::DOUBLE END AS size,
+  CASE WHEN key IS NULL THEN p_type ELSE v[2] END AS kind FROM part FULL JOIN new ON p_partkey = key""",
 )
 def node_upsert(spark: SparkSession, d: str) -> DataFrame:
     """Last line item of a part overwrites its size and kind, nulls included."""
@@ -60,7 +56,7 @@ def node_upsert(spark: SparkSession, d: str) -> DataFrame:
     )
     given = table(spark, d, "lineitem").select(
         F.col("l_partkey").alias("key"),
-        F.struct("l_orderkey", "l_linenumber").alias("seq"),
+        F.struct("l_orderkey", "l_linenumber", "l_extendedprice").alias("seq"),
         F.col("l_quantity").alias("size"),
         F.when(F.col("l_returnflag") != "N", F.concat("l_returnflag", "l_linestatus")).alias("kind"),
     )
@@ -203,25 +199,19 @@ def edge_unless_any(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "edge_set_property",
     """SELECT o_custkey::VARCHAR AS src, l_partkey::VARCHAR AS dst,
-  arg_max(l_quantity, l_orderkey * 10 + l_linenumber) AS amount
+  arg_max(l_quantity, (l_orderkey * 10 + l_linenumber) * 100 + l_quantity::INT) AS amount
 FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL""",
 )
 def edge_set_property(spark: SparkSession, d: str) -> DataFrame:
-    rows = _bought(spark, d).withColumn("seq", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    seq = (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100 + F.col("l_quantity").cast("int")
+    rows = _bought(spark, d).withColumn("seq", seq)
     props = G.present_props(amount=F.col("l_quantity"))
-    edges = edges_of(rows, "o_custkey", "BOUGHT", "l_partkey", "Customer", "Part", props)
-    given = edges.withColumn("seq", F.lit(0)).limit(0).unionByName(
-        rows.select(
-            F.lit("Customer").alias("src_label"),
-            F.col("o_custkey").cast("string").alias("src_key"),
-            F.lit("BOUGHT").alias("rel"),
-            F.lit("Part").alias("dst_label"),
-            F.col("l_partkey").cast("string").alias("dst_key"),
-            props.alias("props"),
-            F.col("seq"),
-        )
+    pairs = rows.withColumn("src", F.col("o_custkey")).withColumn("dst", F.col("l_partkey"))
+    given = G.edge_rows(pairs, "Customer", "BOUGHT", "Part", props, ["seq"])
+    returned = edges_of(
+        rows.where("l_returnflag = 'R'"), "o_custkey", "BOUGHT", "l_partkey", "Customer", "Part"
     )
-    return G.link_setting(edges.limit(0), given).select(
+    return G.link_setting(G.link(returned), given).select(
         F.col("src_key").alias("src"),
         F.col("dst_key").alias("dst"),
         F.col("props")["amount"].cast("double").alias("amount"),
@@ -418,14 +408,14 @@ def rule_links(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "flag_links",
-    "SELECT r_name AS src, p_partkey AS dst FROM region, part WHERE r_name = 'ASIA' AND p_retailprice > 1000",
+    "SELECT r_name AS src, p_partkey AS dst FROM region, part WHERE r_name = 'ASIA' AND p_retailprice > 950",
 )
 def flag_links(spark: SparkSession, d: str) -> DataFrame:
     sources = table(spark, d, "region").where("r_name = 'ASIA'").select(
         F.col("r_name").alias("src"), F.lit("is_cursed").alias("flag")
     )
     targets = table(spark, d, "part").select(
-        F.col("p_partkey").alias("dst"), (F.col("p_retailprice") > 1000).alias("is_cursed")
+        F.col("p_partkey").alias("dst"), (F.col("p_retailprice") > 950).alias("is_cursed")
     )
     return G.flag_links(sources, targets, "is_cursed")
 
@@ -567,7 +557,7 @@ def shop_sells(spark: SparkSession, d: str) -> DataFrame:
     both = goods.unionByName(homes)
     price = F.col("props")["base_price"].cast("double")
     ordered = both.withColumn("seq", F.round(price * 100).cast("long") + 100_000_000)
-    return G.link_setting(both.limit(0), ordered).select(
+    return G.link_setting(G.link(homes), ordered).select(
         F.col("src_key").alias("src"), "dst_label", F.col("dst_key").alias("dst"),
         F.col("props")["base_price"].cast("double").alias("base_price"),
     )
