@@ -277,11 +277,24 @@ def cell_rows(root: Element) -> Iterator[dict]:
                 "heading_id": heading_id,
                 "heading_text": heading_text,
             }
+            headers: list[str] = []
             for row_no, row in enumerate(_own_rows(node)):
+                cells = row.kids("th", "td")
+                heads = [c.text() for c in cells if c.tag == "th"]
+                if row_no == 0:
+                    headers = [c.text() if c.tag == "th" else "" for c in cells]
+                of_row = {
+                    "row_no": row_no,
+                    "n_data": len(cells) - len(heads),
+                    "row_head": heads[0] if heads else None,
+                    "row_image": any(c.find("img") for c in cells),
+                }
                 data_no = -1
-                for col_no, cell in enumerate(row.kids("th", "td")):
+                for col_no, cell in enumerate(cells):
                     data_no += cell.tag == "td"
-                    yield shared | _cell(cell, row_no, col_no, data_no)
+                    header = headers[col_no] if col_no < len(headers) else None
+                    places = {"col_no": col_no, "data_no": data_no, "header": header}
+                    yield shared | of_row | places | _cell(cell)
 
 
 def _own_rows(table: Element) -> list[Element]:
@@ -291,7 +304,7 @@ def _own_rows(table: Element) -> list[Element]:
     return rows
 
 
-def _cell(cell: Element, row_no: int, col_no: int, data_no: int) -> dict:
+def _cell(cell: Element) -> dict:
     images = cell.find("img")
     gray = any(
         "color:gray" in e.attrs.get("style", "") or "color:grey" in e.attrs.get("style", "")
@@ -300,9 +313,6 @@ def _cell(cell: Element, row_no: int, col_no: int, data_no: int) -> dict:
     italic = cell.find("i")
     span = cell.attrs.get("rowspan", "")
     return {
-        "row_no": row_no,
-        "col_no": col_no,
-        "data_no": data_no if cell.tag == "td" else None,
         "is_header": cell.tag == "th",
         "text": cell.text(),
         "tight": cell.tight(),

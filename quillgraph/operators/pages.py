@@ -1,6 +1,6 @@
 """Pages table to text, chunks and typed table rows.
 
-Python reads one page at a time inside ``mapInPandas`` (no shuffle) and emits flat rows;
+Python reads one page at a time inside ``mapInArrow`` (no shuffle) and emits flat rows;
 windows, pivots and joins over those rows are DataFrame work. Windows here run per page
 or per table of a page, so their size is bounded by one page.
 """
@@ -10,10 +10,11 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from quillgraph.functions import html as H
 from quillgraph.functions.text import normalize_text, parse_int
@@ -21,7 +22,8 @@ from quillgraph.functions.text import normalize_text, parse_int
 _LINKS = "array<struct<href:string,title:string,classes:array<string>,text:string>>"
 _CELLS = (
     "table_no int, table_id string, table_class array<string>, heading_id string, "
-    "heading_text string, row_no int, col_no int, data_no int, is_header boolean, text string, "
+    "heading_text string, row_no int, n_data int, row_head string, row_image boolean, col_no int, "
+    "data_no int, header string, is_header boolean, text string, "
     f"tight string, rowspan int, image string, gray boolean, italic string, links {_LINKS}"
 )
 _BLOCKS = "seq int, kind string, heading_id string, text string"
@@ -35,24 +37,27 @@ def parse_pages(
     ``pages(<key>, html)``; ``columns`` is the DDL of the function's row.
     """
     schema = T.StructType([pages.schema[key], *T.StructType.fromDDL(columns).fields])
-    names = schema.fieldNames()
+    arrow = to_arrow_schema(schema)
+    names = schema.fieldNames()[1:]
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         log = logging.getLogger(__name__)
         for batch in batches:
-            found: list[tuple] = []
-            for page, markup in zip(batch[key], batch["html"], strict=True):
+            keys: list = []
+            found: list[dict] = []
+            for page, markup in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 try:
-                    made = [(page, *[r.get(n) for n in names[1:]]) for r in fn(markup)]
+                    made = list(fn(markup))
                 except Exception:
                     log.exception("page %s skipped", page)
                     continue
                 found += made
-            yield pd.DataFrame(found, columns=names).astype(
-                {n: "object" for n in names[1:]}, copy=False
-            )
+                keys += [page] * len(made)
+            columns = [keys, *([row.get(n) for row in found] for n in names)]
+            arrays = [pa.array(c, type=t) for c, t in zip(columns, arrow.types, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
-    return pages.where(F.col("html").isNotNull()).select(key, "html").mapInPandas(rows, schema)
+    return pages.where(F.col("html").isNotNull()).select(key, "html").mapInArrow(rows, schema)
 
 
 def strip_boilerplate(
@@ -114,8 +119,13 @@ def table_texts(pages: DataFrame, key: str = "page_id") -> DataFrame:
 
 
 def extract_cells(pages: DataFrame, css_class: str | None = None, key: str = "page_id") -> DataFrame:
-    """Cells of all tables; with a class, only its tables, renumbered from 0 per page."""
+    """Cells of all tables; with a class, only its tables, renumbered from 0 per page.
+
+    Each cell carries what its row and column say about it (row size, row head, column
+    header), so later steps filter and pivot instead of joining cells with themselves.
+    """
     cells = parse_pages(pages, lambda m: H.cell_rows(H.parse(m)), _CELLS, key)
+    cells = cells.withColumn("data_no", F.when(~F.col("is_header"), F.col("data_no")))
     if css_class is None:
         return cells
     chosen = cells.where(F.array_contains("table_class", css_class))
@@ -141,12 +151,8 @@ def data_rows(
     columns: list[Column] = [
         F.max(F.when(F.col("data_no") == n, F.col("tight"))).alias(f) for n, f in fields.items()
     ]
-    return (
-        cells.where("row_no > 0")
-        .groupBy(key, "table_no", "row_no")
-        .agg(*columns, F.count("data_no").alias("n_cells"))
-        .where(F.col("n_cells") >= min_cells)
-    )
+    long_enough = (F.col("row_no") > 0) & (F.col("n_data") >= min_cells)
+    return cells.where(long_enough).groupBy(key, "table_no", "row_no").agg(*columns)
 
 
 def categorize(cells: DataFrame, categories: DataFrame) -> DataFrame:
@@ -154,42 +160,37 @@ def categorize(cells: DataFrame, categories: DataFrame) -> DataFrame:
     return cells.join(categories, "table_no")
 
 
-def apply_layout(cells: DataFrame, layout: DataFrame, fields: Sequence[str], key: str = "page_id") -> DataFrame:
+def apply_layout(
+    cells: DataFrame, layout: DataFrame, fields: Sequence[str], key: str = "page_id"
+) -> DataFrame:
     """Rows of tables whose columns mean different things per table.
 
     ``layout(table_no, data_no, field, min_cells)`` names each column; short rows are skipped.
     """
-    counted = cells.where("row_no > 0 and data_no is not null").join(layout, ["table_no", "data_no"])
-    sizes = (
-        cells.where("row_no > 0")
-        .groupBy(key, "table_no", "row_no")
-        .agg(F.count("data_no").alias("n_cells"))
-    )
-    rows = (
-        counted.join(sizes, [key, "table_no", "row_no"])
-        .where(F.col("n_cells") >= F.col("min_cells"))
+    named = cells.where("row_no > 0").join(layout, ["table_no", "data_no"])
+    columns = [F.max(F.when(F.col("field") == f, F.col("tight"))).alias(f) for f in fields]
+    return (
+        named.where(F.col("n_data") >= F.col("min_cells"))
         .groupBy(key, "table_no", "row_no")
+        .agg(*columns)
     )
-    return rows.pivot("field", list(fields)).agg(F.first("tight"))
 
 
 def extract_by_header(
     cells: DataFrame, name_header: str, value_header: str, key: str = "page_id"
 ) -> DataFrame:
     """(page, table_no, name, value) from the columns with these headers; last row per name wins."""
-    heads = cells.where("row_no = 0 and is_header").groupBy(key, "table_no").agg(
-        F.min(F.when(F.trim("text") == name_header, F.col("col_no"))).alias("name_col"),
-        F.min(F.when(F.trim("text") == value_header, F.col("col_no"))).alias("value_col"),
-    )
-    complete = heads.where("name_col is not null and value_col is not null")
+
+    def under(header: str) -> Column:
+        return F.min_by(
+            F.when(F.trim("header") == header, F.col("tight")),
+            F.when(F.trim("header") == header, F.col("col_no")),
+        )
+
     rows = (
         cells.where("row_no > 0")
-        .join(complete, [key, "table_no"])
         .groupBy(key, "table_no", "row_no")
-        .agg(
-            F.max(F.when(F.col("col_no") == F.col("name_col"), F.col("tight"))).alias("name"),
-            F.max(F.when(F.col("col_no") == F.col("value_col"), F.col("tight"))).alias("value"),
-        )
+        .agg(under(name_header).alias("name"), under(value_header).alias("value"))
         .where("name is not null and value is not null")
     )
     return rows.groupBy(key, "table_no", "name").agg(F.max_by("value", "row_no").alias("value"))
@@ -222,18 +223,9 @@ def linked_url(links: Column, base_url: str) -> Column:
 def navbox_members(cells: DataFrame, table_id: str = "navbox", key: str = "page_id") -> DataFrame:
     """(page, category, member, member_no) of a category table."""
     box = cells.where((F.col("table_id") == table_id) & (F.col("row_no") > 0))
-    heads = (
-        box.where("is_header")
-        .groupBy(key, "table_no", "row_no")
-        .agg(F.min_by("text", "col_no").alias("head"))
-    )
-    category = F.regexp_replace(F.lower(F.trim("head")), " ", "_")
-    return (
-        cell_links(box.where("data_no = 0"))
-        .join(heads, [key, "table_no", "row_no"])
-        .select(
-            key, category.alias("category"), F.trim(F.col("link.text")).alias("member"), "link_no"
-        )
+    category = F.regexp_replace(F.lower(F.trim("row_head")), " ", "_")
+    return cell_links(box.where("data_no = 0 and row_head is not null")).select(
+        key, category.alias("category"), F.trim(F.col("link.text")).alias("member"), "link_no"
     )
 
 
@@ -280,52 +272,34 @@ def span_slots(cells: DataFrame, key: str = "page_id") -> DataFrame:
     remaining cells show an image are skipped.
     """
     row = [key, "table_no", "row_no"]
-    body = cells.where("row_no > 0 and data_no is not null")
-    heads = body.groupBy(*row).agg(
-        F.max(
-            F.when(
-                (F.col("data_no") == 0) & (F.col("rowspan") > 2) & F.col("image").isNull(),
-                F.col("tight"),
-            )
-        ).alias("zone")
-    )
-    offset = F.when(F.col("zone").isNotNull(), 1).otherwise(0)
-    placed = body.join(heads, row).withColumn("offset", offset)
-    number = F.when(
-        (F.col("data_no") == F.col("offset")) & F.col("rowspan").isNotNull(), parse_int(F.col("tight"))
-    )
-    numbers = placed.groupBy(*row).agg(F.max(number).alias("fight_number"))
-    rest = F.col("offset") + F.when(F.col("fight_number").isNotNull(), 1).otherwise(0)
-    kept = placed.join(numbers, row).where(F.col("data_no") >= rest)
-    named = kept.groupBy(*row).agg(
-        F.max(F.col("image").isNotNull()).alias("has_image"),
-        F.flatten(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("data_no", "links"))),
-                lambda c: F.filter(
-                    F.transform(c["links"], lambda a: a["text"]), lambda t: t != ""
-                ),
-            )
-        ).alias("names"),
+    in_order = F.array_sort(
+        F.collect_list(F.struct("data_no", "rowspan", "image", "tight", "links"))
     )
+    rows = cells.where("row_no > 0 and data_no is not null").groupBy(*row).agg(in_order.alias("c"))
+    first = F.get("c", 0)
+    is_zone = (first["rowspan"] > 2) & first["image"].isNull()
+    rows = rows.withColumn("own_zone", F.when(is_zone, first["tight"]))
+    after_zone = F.when(F.col("own_zone").isNotNull(), 1).otherwise(0)
+    second = F.get("c", after_zone)
+    number = F.when(second["rowspan"].isNotNull(), parse_int(second["tight"]))
+    rows = rows.withColumn("own_number", number)
+    taken = after_zone + F.when(F.col("own_number").isNotNull(), 1).otherwise(0)
+    rest = F.filter("c", lambda x, i: i >= taken)
+    texts = F.flatten(F.transform(rest, lambda x: F.transform(x["links"], lambda a: a["text"])))
     down = Window.partitionBy(key, "table_no").orderBy("row_no")
-    rows = heads.join(numbers, row).join(named, row, "left")
     return (
-        rows.withColumn("zone", F.last("zone", ignorenulls=True).over(down))
-        .withColumn("fight_number", F.last("fight_number", ignorenulls=True).over(down))
+        rows.withColumn("has_image", F.exists(rest, lambda x: x["image"].isNotNull()))
+        .withColumn("names", F.filter(texts, lambda t: t != ""))
+        .withColumn("zone", F.last("own_zone", ignorenulls=True).over(down))
+        .withColumn("fight_number", F.last("own_number", ignorenulls=True).over(down))
         .where("not has_image and size(names) > 0 and zone is not null and fight_number is not null")
-        .drop("has_image")
+        .select(*row, "zone", "fight_number", "names")
     )
 
 
 def name_slugs(cells: DataFrame, key: str = "page_id") -> DataFrame:
     """(page, name, slug) from links; the last link of a name wins, leading slashes go."""
-    image_rows = cells.where(F.col("image").isNotNull()).select(key, "table_no", "row_no").distinct()
-    links = cell_links(
-        cells.where("row_no > 0 and data_no is not null").join(
-            image_rows, [key, "table_no", "row_no"], "left_anti"
-        )
-    )
+    links = cell_links(cells.where("row_no > 0 and data_no is not null and not row_image"))
     at = F.struct("table_no", "row_no", "col_no", "link_no")
     return (
         links.where("link.text <> '' and link.href <> ''")
@@ -374,41 +348,44 @@ def infobox_rows(cells: DataFrame, key: str = "page_id") -> DataFrame:
 
     Stats pair the headers of the third row with the values of the fourth.
     """
-    box = cells.where("table_id = 'infobox'")
-    table = [key, "table_no"]
-    below = box.where("data_no = 0").select(
-        *table, (F.col("row_no") - 1).alias("row_no"), F.col("text").alias("below"),
-        F.col("gray").alias("below_gray"), F.col("italic").alias("below_italic"),
-    )
-    labels = box.where("is_header").groupBy(*table, "row_no").agg(
-        F.min_by("tight", "col_no").alias("label")
-    ).join(below, [*table, "row_no"], "left")
-    is_flavor = F.col("below_gray") & F.col("below_italic").isNotNull()
-    described = F.col("label") == "Card Description"
-    texts = labels.groupBy(*table).agg(
-        F.max(F.when(F.col("row_no") == 0, F.col("label"))).alias("card_name"),
-        F.max(F.when(F.col("label") == "Other Stats", F.nullif("below", F.lit("")))).alias(
-            "other_stats"
-        ),
-        F.max(F.when(described & ~is_flavor, F.nullif("below", F.lit("")))).alias("abilities"),
-        F.max(F.when(described & is_flavor, F.nullif("below_italic", F.lit("")))).alias("flavor"),
+    cell = F.struct(
+        "row_no", "col_no", "data_no", "is_header", "text", "tight", "gray", "italic", "image"
     )
-    heads = box.where("row_no = 2 and is_header").select(
-        *table, F.col("col_no").alias("n"), F.lower(F.trim("text")).alias("stat")
+    boxes = (
+        cells.where("table_id = 'infobox'")
+        .groupBy(key, "table_no")
+        .agg(F.array_sort(F.collect_list(cell)).alias("c"))
     )
-    values = box.where("row_no = 3 and data_no is not null").select(
-        *table, F.col("data_no").alias("n"), F.nullif(F.trim("text"), F.lit("")).alias("value")
-    )
-    stats = heads.join(values, [*table, "n"]).groupBy(*table).agg(
-        F.map_filter(
-            F.map_from_entries(F.collect_list(F.struct("stat", "value"))),
-            lambda _, v: v.isNotNull(),
-        ).alias("stats")
-    )
-    at = F.struct("row_no", "col_no")
-    images = box.where("image is not null").groupBy(*table).agg(F.min_by("image", at).alias("image"))
-    return (
-        texts.where("card_name is not null and card_name <> ''")
-        .join(stats, table, "left")
-        .join(images, table, "left")
+
+    def heads(row: int) -> Column:
+        return F.filter("c", lambda x: (x["row_no"] == row) & x["is_header"])
+
+    def below(label: str) -> Column:
+        """First data cell under the row headed by the label."""
+        named = F.filter("c", lambda x: x["is_header"] & (x["tight"] == label))
+        row = F.get(named, 0)["row_no"] + 1
+        return F.get(F.filter("c", lambda x: (x["row_no"] == row) & (x["data_no"] == 0)), 0)
+
+    def text(value: Column) -> Column:
+        return F.nullif(value, F.lit(""))
+
+    labels = F.transform(heads(2), lambda x: F.lower(F.trim(x["text"])))
+    values = F.transform(
+        F.filter("c", lambda x: (x["row_no"] == 3) & x["data_no"].isNotNull()),
+        lambda x: text(F.trim(x["text"])),
     )
+    n = F.least(F.size(labels), F.size(values))
+    stats = F.map_from_arrays(F.slice(labels, F.lit(1), n), F.slice(values, F.lit(1), n))
+    described = below("Card Description")
+    is_flavor = described["gray"] & described["italic"].isNotNull()
+    images = F.filter("c", lambda x: x["image"].isNotNull())
+    return boxes.select(
+        key,
+        "table_no",
+        F.get(heads(0), 0)["tight"].alias("card_name"),
+        F.map_filter(stats, lambda _, v: v.isNotNull()).alias("stats"),
+        text(below("Other Stats")["text"]).alias("other_stats"),
+        F.when(~is_flavor, text(described["text"])).alias("abilities"),
+        F.when(is_flavor, text(described["italic"])).alias("flavor"),
+        F.get(images, 0)["image"].alias("image"),
+    ).where("card_name is not null and card_name <> ''")

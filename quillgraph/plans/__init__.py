@@ -6,7 +6,13 @@ from importlib import import_module
 
 from quillgraph.plans.registry import QUERIES, SQL, Query
 
-_MODULES = ["retrieval_queries", "evaluation_queries", "graph_queries"]
+_MODULES = [
+    "retrieval_queries",
+    "evaluation_queries",
+    "graph_queries",
+    "text_queries",
+    "page_queries",
+]
 
 
 def _load() -> None:

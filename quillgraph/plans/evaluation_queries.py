@@ -213,14 +213,9 @@ def relevant_found(spark: SparkSession, d: str) -> DataFrame:
     return R.relevant_found(both(spark, d))
 
 
-_SHOWN = f"""array_to_string(list_filter(list_transform(regexp_split_to_array(lower(text), '\\s+'),
-  lambda w: regexp_replace(w, '^[?.,!]+|[?.,!]+$', '', 'g')),
-  lambda w: w <> '' AND w NOT IN ({S._STOP})), ' ')"""
-
-
 @query(
     "missed_queries",
-    f"""WITH {_BOTH} SELECT b.item_id AS query_id, b.text AS query, {_SHOWN} AS without_stop_words,
+    f"""WITH {_BOTH} SELECT b.item_id AS query_id, b.text AS query, {S.DISPLAY} AS without_stop_words,
   CASE WHEN pq.hit_at_10 > 0 THEN 'hit' ELSE '**MISS**' END AS bm25,
   CASE WHEN ftpq.hit_at_10 > 0 THEN 'hit' ELSE '**MISS**' END AS fulltext
 FROM benchmark b JOIN pq ON pq.query_id = b.item_id JOIN ftpq ON ftpq.query_id = b.item_id

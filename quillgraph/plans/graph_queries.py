@@ -735,7 +735,7 @@ def degree_all(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "tribe_enrichment",
     """SELECT c_name AS name, CASE WHEN s_name IS NOT NULL THEN CASE WHEN s_acctbal > 0 THEN 'All' END
-  WHEN c_nationkey % 2 = 0 THEN 'Snowdwellers' END AS tribe FROM customer
+  WHEN c_nationkey < 12 THEN 'Snowdwellers' END AS tribe FROM customer
 LEFT JOIN supplier ON s_suppkey = c_custkey""",
 )
 def tribe_enrichment(spark: SparkSession, d: str) -> DataFrame:
@@ -743,7 +743,7 @@ def tribe_enrichment(spark: SparkSession, d: str) -> DataFrame:
     customer, supplier = table(spark, d, "customer"), table(spark, d, "supplier")
     first = customer.select(
         F.col("c_name").alias("name"),
-        F.when(F.col("c_nationkey") % 2 == 0, "Snowdwellers").otherwise("Nobody").alias("tribe"),
+        F.when(F.col("c_nationkey") < 12, "Snowdwellers").otherwise("Nobody").alias("tribe"),
     )
     named = supplier.join(customer, F.col("s_suppkey") == F.col("c_custkey"))
     second = named.select(

@@ -130,3 +130,8 @@ def per_query(ranked: str = "bm", ann: str = "ann", name: str = "pq") -> str:
    ON x.query_id = b.item_id
   LEFT JOIN (SELECT DISTINCT query_id, true AS has FROM {ann}) h ON h.query_id = b.item_id
   GROUP BY b.item_id)"""
+
+
+DISPLAY = f"""array_to_string(list_filter(list_transform(regexp_split_to_array(lower(text), '\\s+'),
+  lambda w: regexp_replace(w, '^[?.,!]+|[?.,!]+$', '', 'g')),
+  lambda w: w <> '' AND w NOT IN ({_STOP})), ' ')"""
