@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
-from html.parser import HTMLParser
+from html import escape, unescape
 
 # Class, id or tag names whose elements are boilerplate.
 BOILERPLATE = [
@@ -25,6 +25,10 @@ _HEADINGS = {"h1": "# ", "h2": "## ", "h3": "### ", "h4": "#### "}
 _SILENT = {"script", "style", "template"}
 
 
+def _spaced(strings: Iterable[str]) -> str:
+    return " ".join(" ".join(strings).split())
+
+
 class Element:
     """Element with attributes and children (elements or strings)."""
 
@@ -62,54 +66,77 @@ class Element:
                 stack.extend(reversed(node.children))
 
     def text(self) -> str:
-        return re.sub(r"\s+", " ", " ".join(self.strings())).strip()
+        return _spaced(self.strings())
 
     def tight(self) -> str:
         return "".join(self.strings())
 
 
-class _Builder(HTMLParser):
-    def __init__(self, dropped: frozenset[str]) -> None:
-        super().__init__(convert_charrefs=True)
-        self.root = Element("", {})
-        self.open = [self.root]
-        self.dropped = dropped
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        element = Element(tag, {k: v or "" for k, v in attrs})
-        names = {tag, element.attrs.get("id", ""), *element.classes()}
-        if not names & self.dropped:
-            self.open[-1].children.append(element)
-        if tag not in _VOID:
-            self.open.append(element)
+_MARKUP = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)"""
+    r"""|<([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""",
+    re.DOTALL,
+)
+_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.IGNORECASE) for tag in ("script", "style")}
 
-    def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.handle_starttag(tag, attrs)
-        if tag not in _VOID:
-            self.open.pop()
 
-    def handle_endtag(self, tag: str) -> None:
-        for depth in range(len(self.open) - 1, 0, -1):
-            if self.open[depth].tag == tag:
-                del self.open[depth:]
-                return
-
-    def handle_data(self, data: str) -> None:
-        self.open[-1].children.append(data)
+def _attributes(text: str) -> dict[str, str]:
+    found = {}
+    for name, value in _ATTRIBUTE.findall(text):
+        if value[:1] in ("'", '"'):
+            value = value[1:-1]
+        found.setdefault(name.lower(), unescape(value) if "&" in value else value)
+    return found
 
 
 def parse(html: str, dropped: Iterable[str] = ()) -> Element:
-    """Tree of a page without the elements whose class, id or tag name is dropped."""
-    builder = _Builder(frozenset(dropped))
-    builder.feed(html)
-    builder.close()
-    return builder.root
+    """Tree of a page without the elements whose class, id or tag name is dropped.
+
+    End tags close the nearest open element of their name and everything inside it; end tags
+    without one are ignored; comments and declarations vanish; script and style are raw text.
+    """
+    unwanted = frozenset(dropped)
+    root = Element("", {})
+    path = [root]
+    at = 0
+    while found := _MARKUP.search(html, at):
+        if found.start() > at:
+            _add_text(path[-1], html[at : found.start()])
+        at = found.end()
+        closing, opening, attributes = found.groups()
+        if closing:
+            _close(path, closing.lower())
+        elif opening:
+            tag = opening.lower()
+            element = Element(tag, _attributes(attributes) if attributes else {})
+            names = {tag, element.attrs.get("id", ""), *element.classes()}
+            if not names & unwanted:
+                path[-1].children.append(element)
+            if tag in _RAW_END:
+                end = _RAW_END[tag].search(html, at)
+                element.children.append(html[at : end.start() if end else len(html)])
+                at = end.end() if end else len(html)
+            elif tag not in _VOID and not attributes.endswith("/"):
+                path.append(element)
+    if at < len(html):
+        _add_text(path[-1], html[at:])
+    return root
+
+
+def _add_text(element: Element, text: str) -> None:
+    element.children.append(unescape(text) if "&" in text else text)
+
+
+def _close(path: list[Element], tag: str) -> None:
+    for depth in range(len(path) - 1, 0, -1):
+        if path[depth].tag == tag:
+            del path[depth:]
+            return
 
 
 def tree_html(element: Element) -> str:
     """Markup of a tree again (comments are gone)."""
-    from html import escape
-
     if not element.tag:
         return "".join(
             escape(c, quote=False) if isinstance(c, str) else tree_html(c)
@@ -261,14 +288,17 @@ def header_chunks(root: Element, levels: tuple[str, ...]) -> Iterator[tuple]:
 # ------------------------------------------------------------------ rows of a page
 
 
-def cell_rows(root: Element) -> Iterator[dict]:
-    """One row per table cell with its table, its preceding heading and its links."""
+def cell_rows(root: Element, css_class: str | None = None) -> Iterator[dict]:
+    """One row per table cell with its table, its preceding heading and its links.
+
+    With a class, only its tables are read and numbered.
+    """
     heading_id, heading_text, table_no = None, None, -1
     for node in root.walk():
         if node.tag in _HEADINGS:
             named = [e.attrs["id"] for e in (node, *node.walk()) if e.attrs.get("id")]
             heading_id, heading_text = (named[0] if named else None), node.text()
-        elif node.tag == "table":
+        elif node.tag == "table" and (css_class is None or css_class in node.classes()):
             table_no += 1
             shared = {
                 "table_no": table_no,
@@ -280,21 +310,26 @@ def cell_rows(root: Element) -> Iterator[dict]:
             headers: list[str] = []
             for row_no, row in enumerate(_own_rows(node)):
                 cells = row.kids("th", "td")
-                heads = [c.text() for c in cells if c.tag == "th"]
+                fields = [_cell(c) for c in cells]
+                heads = [f["text"] for f in fields if f["is_header"]]
                 if row_no == 0:
-                    headers = [c.text() if c.tag == "th" else "" for c in cells]
+                    headers = [f["text"] if f["is_header"] else "" for f in fields]
                 of_row = {
                     "row_no": row_no,
                     "n_data": len(cells) - len(heads),
                     "row_head": heads[0] if heads else None,
-                    "row_image": any(c.find("img") for c in cells),
+                    "row_image": any(f["image"] is not None for f in fields),
                 }
                 data_no = -1
-                for col_no, cell in enumerate(cells):
-                    data_no += cell.tag == "td"
+                for col_no, field in enumerate(fields):
+                    data_no += not field["is_header"]
                     header = headers[col_no] if col_no < len(headers) else None
-                    places = {"col_no": col_no, "data_no": data_no, "header": header}
-                    yield shared | of_row | places | _cell(cell)
+                    places = {
+                        "col_no": col_no,
+                        "data_no": None if field["is_header"] else data_no,
+                        "header": header,
+                    }
+                    yield shared | of_row | places | field
 
 
 def _own_rows(table: Element) -> list[Element]:
@@ -305,32 +340,36 @@ def _own_rows(table: Element) -> list[Element]:
 
 
 def _cell(cell: Element) -> dict:
-    images = cell.find("img")
-    gray = any(
-        "color:gray" in e.attrs.get("style", "") or "color:grey" in e.attrs.get("style", "")
-        for e in cell.find("span")
-    )
-    italic = cell.find("i")
+    """Fields of one cell, read in a single walk over its elements."""
+    image, italic, gray, links = None, None, False, []
+    for e in cell.walk():
+        if e.tag == "a":
+            links.append(
+                {
+                    "href": e.attrs.get("href", ""),
+                    "title": e.attrs.get("title", ""),
+                    "classes": e.classes(),
+                    "text": e.tight(),
+                }
+            )
+        elif e.tag == "img" and image is None:
+            image = e.attrs.get("src") or e.attrs.get("alt") or ""
+        elif e.tag == "i" and italic is None:
+            italic = e.text()
+        elif e.tag == "span" and not gray:
+            style = e.attrs.get("style", "")
+            gray = "color:gray" in style or "color:grey" in style
+    strings = list(cell.strings())
     span = cell.attrs.get("rowspan", "")
     return {
         "is_header": cell.tag == "th",
-        "text": cell.text(),
-        "tight": cell.tight(),
+        "text": _spaced(strings),
+        "tight": "".join(strings),
         "rowspan": int(span) if span.isdigit() else None,
-        "image": (images[0].attrs.get("src") or images[0].attrs.get("alt") or "")
-        if images
-        else None,
+        "image": image,
         "gray": gray,
-        "italic": italic[0].text() if italic else None,
-        "links": [
-            {
-                "href": a.attrs.get("href", ""),
-                "title": a.attrs.get("title", ""),
-                "classes": a.classes(),
-                "text": a.tight(),
-            }
-            for a in cell.find("a")
-        ],
+        "italic": italic,
+        "links": links,
     }
 
 

@@ -1,8 +1,9 @@
 """Inverted index, BM25 and full-text ranking for whole query sets at once.
 
-Postings are narrowed to the terms the queries use before anything is shuffled, document
-frequencies come from a map-side combined count, and the score sum is combined map-side
-as well, so a term found in a third of all documents stays a partial aggregate.
+Postings are narrowed to the terms the queries use before anything is shuffled, and document
+frequencies come from a map-side combined count. Postings move once, to their document: a
+term found in a third of all documents spreads over all partitions, score sums stay local,
+and each partition sends only its k best rows per query to the final ranking.
 
 Token arrays are unnested with ``explode_outer`` plus a null filter: for a plain ``explode``
 the optimizer adds a "not empty" filter that repeats the whole tokenizer expression.
@@ -37,6 +38,7 @@ class LexicalIndex:
     terms: DataFrame
     corpus: DataFrame
     doc_ids: DataFrame
+    by_doc: bool = False  # postings already hash-partitioned by document
 
     def save(self, path: str) -> None:
         """Write the index once; postings are clustered by term so lookups skip row groups."""
@@ -109,9 +111,11 @@ def build_index(
         "doc_id", "doc_len", F.explode_outer("tokens").alias("term")
     ).where(F.col("term").isNotNull())
     if vocabulary is not None:
-        occurrences = occurrences.join(vocabulary, "term", "left_semi")
+        # few occurrences are left: partitioned by document once, both the count per term
+        # and the later score sum per (query, document) need no further shuffle
+        occurrences = occurrences.join(vocabulary, "term", "left_semi").repartition("doc_id")
     postings = occurrences.groupBy("term", "doc_id", "doc_len").agg(F.count("*").alias("tf"))
-    return LexicalIndex(postings, terms, corpus, tokens.select("doc_id"))
+    return LexicalIndex(postings, terms, corpus, tokens.select("doc_id"), vocabulary is not None)
 
 
 def okapi_weights(terms: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -156,8 +160,13 @@ def _score(
     avg_len = index.corpus.select("avg_len").scalar()
     pressure = k1 * (1 - b + b * F.col("doc_len") / avg_len)
     part = F.col("weight") * F.col("tf") * gain / (F.col("tf") + pressure)
+    postings = index.postings
+    if small and not index.by_doc:
+        # (query, document) sums outnumber postings by far, so the postings move instead
+        asked = F.broadcast(terms.select("term").distinct())
+        postings = postings.join(asked, "term", "left_semi").repartition("doc_id")
     return (
-        index.postings.join(_sized(weighted, small), "term")
+        postings.join(_sized(weighted, small), "term")
         .groupBy("query_id", "doc_id")
         .agg(F.round(F.sum(part), SCORE_DIGITS).alias("score"))
     )

@@ -118,19 +118,26 @@ def table_texts(pages: DataFrame, key: str = "page_id") -> DataFrame:
     return parse_pages(pages, rows, "table_no int, is_infobox boolean, text string", key)
 
 
-def extract_cells(pages: DataFrame, css_class: str | None = None, key: str = "page_id") -> DataFrame:
-    """Cells of all tables; with a class, only its tables, renumbered from 0 per page.
+def extract_cells(
+    pages: DataFrame,
+    css_class: str | None = None,
+    key: str = "page_id",
+    fields: Sequence[str] | None = None,
+) -> DataFrame:
+    """Cells of all tables; with a class, only its tables, numbered from 0 per page.
 
     Each cell carries what its row and column say about it (row size, row head, column
     header), so later steps filter and pivot instead of joining cells with themselves.
+    ``fields`` limits the columns that leave the Python task.
     """
-    cells = parse_pages(pages, lambda m: H.cell_rows(H.parse(m)), _CELLS, key)
-    cells = cells.withColumn("data_no", F.when(~F.col("is_header"), F.col("data_no")))
-    if css_class is None:
-        return cells
-    chosen = cells.where(F.array_contains("table_class", css_class))
-    renumber = F.dense_rank().over(Window.partitionBy(key).orderBy("table_no")) - 1
-    return chosen.withColumn("table_no", renumber)
+    all_fields = T.StructType.fromDDL(_CELLS).fields
+    kept = [f for f in all_fields if fields is None or f.name in fields]
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept)
+    return parse_pages(pages, lambda m: H.cell_rows(H.parse(m), css_class), columns, key)
+
+
+# Columns of a cell that the plain row operators read.
+ROW_FIELDS = ["table_no", "row_no", "n_data", "data_no", "is_header", "tight"]
 
 
 def page_blocks(pages: DataFrame, key: str = "page_id") -> DataFrame:

@@ -146,7 +146,7 @@ def order_pages(spark: SparkSession, d: str) -> DataFrame:
   l_returnflag || 'flag' AS flag FROM lineitem""",
 )
 def table_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    cells = P.extract_cells(order_pages(spark, d), "wikitable")
+    cells = P.extract_cells(order_pages(spark, d), "wikitable", fields=P.ROW_FIELDS)
     rows = P.data_rows(cells, {0: "line", 1: "part", 2: "qty", 3: "flag"}, 4)
     return rows.select("page_id", "line", "part", F.col("qty").cast("double").alias("qty"), "flag")
 
@@ -193,7 +193,7 @@ def table_layouts(spark: SparkSession, d: str) -> DataFrame:
         [(0, 1, "name", 4), (0, 2, "detail", 4), (1, 0, "name", 1)],
         "table_no int, data_no int, field string, min_cells int",
     )
-    cells = P.extract_cells(order_pages(spark, d), "wikitable")
+    cells = P.extract_cells(order_pages(spark, d), "wikitable", fields=P.ROW_FIELDS)
     return P.apply_layout(cells, layout, ["name", "detail"]).select("page_id", "name", "detail")
 
 
@@ -316,7 +316,8 @@ def part_pages(spark: SparkSession, d: str) -> DataFrame:
         F.col("p_type"), '</th><td><a href="/a">', F.col("p_name"), '</a> <a href="/b">',
         F.col("p_brand"), "</a></td></tr></table>",
     )
-    return table(spark, d, "part").select(F.col("p_partkey").alias("page_id"), html.alias("html"))
+    parts = spread(table(spark, d, "part"))
+    return parts.select(F.col("p_partkey").alias("page_id"), html.alias("html"))
 
 
 @query(
