@@ -36,6 +36,11 @@ def nodes_of(df: DataFrame, label: str, key: str, **props: str) -> DataFrame:
     )
 
 
+def _line_order() -> Column:
+    """Write order of line items: order, line, then quantity where lines repeat."""
+    return (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100 + F.col("l_quantity").cast("int")
+
+
 # ---------------------------------------------------------------- nodes
 
 
@@ -68,9 +73,9 @@ def node_upsert(spark: SparkSession, d: str) -> DataFrame:
     """WITH cells AS (
   SELECT p_partkey AS key, 'brand' AS k, p_brand AS v, -1 AS seq FROM part
   UNION ALL SELECT p_partkey, 'type', p_type, -1 FROM part
-  UNION ALL SELECT l_partkey, 'status', l_linestatus, l_orderkey * 10 + l_linenumber FROM lineitem
+  UNION ALL SELECT l_partkey, 'status', l_linestatus, (l_orderkey * 10 + l_linenumber) * 100 + l_quantity::INT FROM lineitem
   UNION ALL SELECT l_partkey, 'type', CASE WHEN l_returnflag = 'R' THEN 'returned' END,
-    l_orderkey * 10 + l_linenumber FROM lineitem),
+    (l_orderkey * 10 + l_linenumber) * 100 + l_quantity::INT FROM lineitem),
 last AS (SELECT key, k, arg_max(v, seq) AS v FROM cells WHERE v IS NOT NULL GROUP BY key, k)
 SELECT key, string_agg(k || '=' || v, ';' ORDER BY k) AS props FROM last GROUP BY key""",
 )
@@ -82,7 +87,7 @@ def property_merge(spark: SparkSession, d: str) -> DataFrame:
     returned = F.when(F.col("l_returnflag") == "R", "returned")
     given = table(spark, d, "lineitem").select(
         F.col("l_partkey").alias("key"),
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"),
+        _line_order().alias("seq"),
         G.present_props(status=F.col("l_linestatus"), type=returned).alias("props"),
     )
     return G.merge_properties(stored, given, ["key"]).select("key", prop_text().alias("props"))
@@ -203,8 +208,7 @@ def edge_unless_any(spark: SparkSession, d: str) -> DataFrame:
 FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL""",
 )
 def edge_set_property(spark: SparkSession, d: str) -> DataFrame:
-    seq = (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100 + F.col("l_quantity").cast("int")
-    rows = _bought(spark, d).withColumn("seq", seq)
+    rows = _bought(spark, d).withColumn("seq", _line_order())
     props = G.present_props(amount=F.col("l_quantity"))
     pairs = rows.withColumn("src", F.col("o_custkey")).withColumn("dst", F.col("l_partkey"))
     given = G.edge_rows(pairs, "Customer", "BOUGHT", "Part", props, ["seq"])
@@ -317,12 +321,18 @@ def partition_check(spark: SparkSession, d: str) -> DataFrame:
     return G.check_partition(membership, below, abstract)
 
 
+def line_key() -> Column:
+    """Line item identity; order and line number alone repeat in the tables."""
+    quantity = F.col("l_quantity").cast("int")
+    return F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", quantity)
+
+
 def order_phases(spark: SparkSession, d: str) -> DataFrame:
     """Line items of an order as infoboxes of one page, grouped by flag."""
     rows = table(spark, d, "lineitem").select(
         F.col("l_orderkey").alias("page"),
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("pos"),
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("card_name"),
+        line_key().alias("pos"),
+        line_key().alias("card_name"),
         F.col("l_returnflag").alias("base"),
         F.lit("bosses").alias("card_type"),
         F.when(F.col("l_quantity") > 10, F.col("l_linenumber")).alias("image_phase"),
@@ -330,7 +340,7 @@ def order_phases(spark: SparkSession, d: str) -> DataFrame:
     return N.assign_phases(rows, variants=["N"])
 
 
-_PHASES = """ph AS (SELECT l_orderkey AS page, l_orderkey || '-' || l_linenumber || '-' || l_partkey AS pos,
+_PHASES = """ph AS (SELECT l_orderkey AS page, l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || l_quantity::INT AS pos,
     l_returnflag AS base, CASE WHEN l_quantity > 10 THEN l_linenumber ELSE 1 END AS place FROM lineitem),
 phased AS (SELECT page, pos, base, CASE WHEN n > 1 AND base <> 'N' THEN r END AS phase,
     CASE WHEN n > 1 AND base <> 'N' THEN n END AS total FROM (SELECT *, count(*) OVER (PARTITION BY page, base) AS n,
@@ -365,7 +375,7 @@ def successor_link(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "terminal_propagate",
     f"""WITH {_PHASES}, v AS (SELECT pos AS node, max(l_extendedprice) AS value FROM phased
-  JOIN lineitem ON pos = l_orderkey || '-' || l_linenumber || '-' || l_partkey GROUP BY pos),
+  JOIN lineitem ON pos = l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || l_quantity::INT GROUP BY pos),
 chain AS (SELECT DISTINCT a.pos AS src, b.pos AS dst, a.page, a.base FROM phased a JOIN phased b
   ON a.page = b.page AND a.base = b.base AND b.phase = a.phase + 1),
 ends AS (SELECT page, base, arg_max(pos, phase) AS terminal FROM phased WHERE phase IS NOT NULL GROUP BY ALL),
@@ -377,7 +387,7 @@ UNION ALL SELECT node, value FROM moved""",
 def terminal_propagate(spark: SparkSession, d: str) -> DataFrame:
     """Line prices of phased items end on the last phase of their chain."""
     values = table(spark, d, "lineitem").groupBy(
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("node")
+        line_key().alias("node")
     ).agg(F.max("l_extendedprice").alias("value"))
     return closure.propagate_to_terminals(values, _phase_chain(spark, d))
 

@@ -422,8 +422,9 @@ def source_graph(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-_LANGS = """(SELECT string_agg(lang, ',' ORDER BY lang) FROM
-  (SELECT DISTINCT lang FROM documents x WHERE x.source = d.source))"""
+# documents nobody owns have an empty keyword list, not a missing one
+_LANGS = """coalesce((SELECT string_agg(lang, ',' ORDER BY lang) FROM
+  (SELECT DISTINCT lang FROM documents x WHERE x.source = d.source)), '')"""
 
 
 @query(

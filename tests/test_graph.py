@@ -191,3 +191,15 @@ def test_best_not_marked_when_all_tie(spark):
     rows = spark.createDataFrame([("m", "a", 0.5), ("m", "b", 0.5), ("n", "a", 0.7), ("n", "b", 0.2)], "metric string, experiment string, value double")
     got = {(r["metric"], r["experiment"]): r["cell"] for r in R.best_marked(rows).collect()}
     assert got == {("m", "a"): "0.500", ("m", "b"): "0.500", ("n", "a"): "**0.700**", ("n", "b"): "0.200"}
+
+
+def test_curated_rules_link_existing_nodes_only(spark):
+    from quillgraph.operators.rules import curated_rules
+
+    rules = curated_rules(spark)
+    ends = rules.selectExpr("src_label as label", "src_key as key").union(
+        rules.selectExpr("dst_label", "explode(targets)")
+    ).distinct()
+    edges = G.rule_links(rules, ends)
+    assert edges.count() == rules.selectExpr("sum(size(targets))").first()[0]
+    assert G.rule_links(rules, ends.where("key <> 'Health'")).where("dst_key = 'Health'").isEmpty()
