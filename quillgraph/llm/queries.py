@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from quillgraph.llm.line_dedup import dedup_lines
 from quillgraph.llm.mixing import mix_domains
+from quillgraph.llm.neighbours import embedding_groups
 from quillgraph.llm.packing import ids_digest, pack_documents
 from quillgraph.llm.quality_classifier import classify_quality
 from quillgraph.llm.quality_rules import apply_quality_rules
 from quillgraph.llm.simhash import simhash_groups
 from quillgraph.llm.storage import read_table
+from quillgraph.llm.warc import read_archives, write_archives
+from quillgraph.llm.wrappers import extract_main_text
 
 #: Shares of all tokens that the registered mixture aims at.
 TARGETS = {"clean": 0.9, "poor": 0.08, "toxic": 0.02}
@@ -82,13 +85,45 @@ def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_groups(read_table(spark, folder, "documents"))
 
 
+def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
+    records = read_archives(write_archives(read_table(spark, folder, "pages")))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP6_SQL = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
+         sha1(coalesce(html, '')) AS payload_digest
+  FROM pages
+),
+m AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS keeper FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND keeper <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND keeper <> page_id THEN keeper END AS refers_to
+FROM m
+"""
+
+
+def op8_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_groups(read_table(spark, folder, "embeddings"))
+
+
+def op10_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return extract_main_text(read_table(spark, folder, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_mixing": op2_mixing,
     "op3_quality_rules": op3_quality_rules,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_line_dedup": op5_line_dedup,
+    "op6_warc": op6_warc,
     "op7_simhash": op7_simhash,
+    "op8_embeddings": op8_embeddings,
+    "op10_main_text": op10_main_text,
 }
 
-SQL: dict[str, str] = {"op5_line_dedup": OP5_SQL}
+SQL: dict[str, str] = {"op5_line_dedup": OP5_SQL, "op6_warc": OP6_SQL}
