@@ -42,21 +42,24 @@ class WordClassifier:
     priors: list[float]
     ratios: dict[str, list[float]]
 
-    def posteriors(self, words: Column) -> Column:
-        """Map-free array of one probability per domain."""
+    def posteriors(self, docs: DataFrame, words: str) -> DataFrame:
+        """``docs`` with an array ``p`` of one probability per domain, from a column of words.
+
+        The sums over words are a column of their own, so they are made once per row.
+        """
         start = F.array(*(F.lit(p) for p in self.priors))
+        scores = start
         if self.ratios:
             table = F.from_json(F.lit(json.dumps(self.ratios)), "map<string,array<double>>")
-            known = F.array_intersect(words, F.map_keys(table))
             scores = F.aggregate(
-                known, start, lambda s, w: F.zip_with(s, F.element_at(table, w), lambda a, b: a + b)
+                F.array_intersect(F.col(words), F.map_keys(table)),
+                start,
+                lambda s, w: F.zip_with(s, F.element_at(table, w), lambda a, b: a + b),
             )
-        else:
-            scores = start
-        top = F.array_max(scores)
-        powers = F.transform(scores, lambda s: F.exp(s - top))
-        total = F.aggregate(powers, F.lit(0.0), lambda a, b: a + b)
-        return F.transform(powers, lambda p: p / total)
+        each = [F.get("__scores", F.lit(k)) for k in range(len(self.domains))]
+        powers = [F.exp(s - F.array_max("__scores")) for s in each]
+        total = reduce(lambda a, b: a + b, powers)
+        return docs.withColumn("__scores", scores).withColumn("p", F.array(*(x / total for x in powers)))
 
 
 def fit_classifier(
@@ -94,7 +97,7 @@ def fit_classifier(
     )
     overall = (F.col("df") + 1.0) / (n + 2.0)
     rates = [(F.col(f"d{k}") + 0.5) / (sizes[d] + 1.0) for k, d in enumerate(domains)]
-    ratios = [F.log(rate / overall) for rate in rates]
+    ratios = [_telling(F.log(rate / overall)) for rate in rates]
     told = reduce(
         lambda a, b: a + b,
         [F.lit(sizes[d] / n) * rate * ratio for d, rate, ratio in zip(domains, rates, ratios, strict=True)],
@@ -108,6 +111,14 @@ def _dot(posterior: Column, errors: list[float]) -> Column:
     return reduce(lambda a, b: a + b, [F.get(posterior, F.lit(k)) * F.lit(e) for k, e in enumerate(errors)])
 
 
+def _telling(ratio: Column) -> Column:
+    """The part of a log ratio beyond a factor of two.
+
+    Slight ratios follow the length of texts, not their domain, and would add up over words.
+    """
+    return F.signum(ratio) * F.greatest(F.lit(0.0), F.abs(ratio) - log(2.0))
+
+
 def _stepped(rate: Column, steps: list[list[float]]) -> Column:
     """The rate after some steps, each projected back to zero or more."""
     return reduce(lambda r, e: F.greatest(F.lit(0.0), r - _dot(F.col("p"), e)), steps, rate)
@@ -138,7 +149,7 @@ class Mixture:
 
     def repeated(self, docs: DataFrame) -> DataFrame:
         """The rows of ``docs`` as often as their copies say, with their columns unchanged."""
-        rows = docs.withColumn("p", self.model.posteriors(words_of(F.col("text"))))
+        rows = self.model.posteriors(docs.withColumn("__words", words_of(F.col("text"))), "__words")
         times = F.sequence(F.lit(1), F.col("copies").cast("int"))
         return (
             self.rated(rows).where("copies > 0").select(*docs.columns, F.explode(times).alias("__copy"))
@@ -219,8 +230,7 @@ def fit_mixture(
     model = fit_classifier(docs, labelled, domains, sample_limit, vocabulary)
     words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words_of(F.col("text")).alias("words"))
     tokens = F.size("words").cast("long").alias("n_tokens")
-    posteriors = model.posteriors(F.col("words")).alias("p")
-    members = stored(words.select("doc_id", tokens, posteriors), "members")
+    members = stored(model.posteriors(words, "words").select("doc_id", tokens, "p"), "members")
     return Mixture(model, *fit_rates(members, [targets[d] for d in domains], repeat), members)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.llm.line_dedup import dedup_lines
+from quillgraph.llm.lm_scoring import score_texts
 from quillgraph.llm.mixing import mix_domains
 from quillgraph.llm.neighbours import embedding_groups
 from quillgraph.llm.packing import ids_digest, pack_documents
@@ -110,6 +111,10 @@ def op8_embeddings(spark: SparkSession, folder: str) -> DataFrame:
     return embedding_groups(read_table(spark, folder, "embeddings"))
 
 
+def op9_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return score_texts(read_table(spark, folder, "documents"))
+
+
 def op10_main_text(spark: SparkSession, folder: str) -> DataFrame:
     return extract_main_text(read_table(spark, folder, "pages"))
 
@@ -123,6 +128,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_warc": op6_warc,
     "op7_simhash": op7_simhash,
     "op8_embeddings": op8_embeddings,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_main_text": op10_main_text,
 }
 
