@@ -3,7 +3,8 @@
 A text is the subword ids of its words, each word with a leading space, and an end id. Ids fall
 into classes: the most frequent ones are classes of their own, the others share bands of equal
 frequency. The model predicts the class of the next id by one attention head over a causal
-window, and the id within its class by its corpus frequency. Blocks of ``BLOCK`` positions are
+window, and the id within its class by its corpus frequency. Classes are predicted in two steps,
+their group and their place in it, so the cost of a position is that of two short rows. Blocks of ``BLOCK`` positions are
 scored once each, and see the block before them as well: overlapping windows of ``2 * BLOCK``.
 """
 
@@ -70,7 +71,7 @@ class Classes:
         return len(self.prior)
 
 
-def make_classes(counts: np.ndarray, single: int = 160, bands: int = 32) -> Classes:
+def make_classes(counts: np.ndarray, single: int = 992, bands: int = 32) -> Classes:
     """The ``single`` most frequent ids alone, the rest in bands of equal mass."""
     mass = counts + 0.1
     order = np.lexsort((np.arange(len(mass)), -mass))
@@ -86,26 +87,34 @@ def make_classes(counts: np.ndarray, single: int = 160, bands: int = 32) -> Clas
 
 
 class Attention:
-    """One head: query, key, value and direct tables by class, distance bias, output layer.
+    """One head: query, key, value and direct tables by class, distance bias, two output layers.
 
     Input classes are shifted by one place; class ``count`` starts a text, ``count + 1`` pads.
+    A class is predicted as a group of ``GROUP`` classes and a place in the group.
     """
 
-    NAMES = ("query", "key", "value", "direct", "near", "out", "bias")
+    NAMES = ("query", "key", "value", "direct", "near", "out", "bias", "member", "place")
+    GROUP = 32
 
     def __init__(self, classes: int, width: int = 16, params: np.ndarray | None = None, prior=None, seed: int = 3):
-        self.classes, self.width = classes, width
+        self.classes, self.width, self.groups = classes, width, -(-classes // self.GROUP)
         rows = classes + 2
         self.shapes = {n: (rows, width) for n in self.NAMES[:4]} | {
             "near": (2 * BLOCK,),
-            "out": (width, classes),
-            "bias": (classes,),
+            "out": (width, self.groups),
+            "bias": (self.groups,),
+            "member": (self.groups, width, self.GROUP),
+            "place": (self.groups, self.GROUP),
         }
         if params is None:
             rng = np.random.default_rng(seed)
             parts = [rng.standard_normal(self.shapes[n]) * 0.3 for n in self.NAMES[:4]]
-            parts += [np.zeros(2 * BLOCK), rng.standard_normal((width, classes)) * 0.1]
-            parts.append(np.zeros(classes) if prior is None else prior)
+            log_prior = np.full(self.groups * self.GROUP, -30.0)
+            log_prior[:classes] = -np.log(classes) if prior is None else prior
+            share = np.exp(log_prior).reshape(self.groups, self.GROUP)
+            parts += [np.zeros(2 * BLOCK), rng.standard_normal(self.shapes["out"]) * 0.1]
+            parts += [np.log(share.sum(axis=1)), rng.standard_normal(self.shapes["member"]) * 0.1]
+            parts.append(np.log(share / share.sum(axis=1, keepdims=True)))
             params = np.concatenate([p.ravel() for p in parts])
         self.params = params.astype(np.float32)
         self.p = self._views(self.params)
@@ -143,42 +152,67 @@ class Attention:
 
     def forward(self, keys: np.ndarray) -> tuple:
         p, inputs = self.p, keys[:, BLOCK:]
-        q, k, v = p["query"][inputs], p["key"][keys], p["value"][keys]
-        s = np.matmul(q, k.transpose(0, 2, 1)) * np.float32(self.width**-0.5)
+        q, k, v = p["query"].take(inputs, 0), p["key"].take(keys, 0), p["value"].take(keys, 0)
+        s = np.matmul(q, k.transpose(0, 2, 1))
+        s *= s.dtype.type(self.width**-0.5)
         s += p["near"][self.distance] + self.later
         s += np.where(keys == self.classes + 1, np.float32(-1e9), np.float32(0))[:, None, :]
-        s -= s.max(axis=2, keepdims=True)
-        np.exp(s, out=s)
-        s /= s.sum(axis=2, keepdims=True)
-        h = np.tanh(np.matmul(s, v) + p["direct"][inputs])
-        z = h.reshape(-1, self.width) @ p["out"] + p["bias"]
-        return q, k, v, s, h, z
+        np.exp(np.minimum(s, 60, out=s), out=s)
+        s /= s.sum(axis=2, keepdims=True) + np.float32(1e-30)
+        h = np.matmul(s, v)
+        h += p["direct"].take(inputs, 0)
+        np.tanh(h, out=h)
+        return q, k, v, s, h
+
+    def _by_group(self, targets: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """Positions by the group of their target."""
+        group = (targets // self.GROUP).astype(np.int16)
+        order = np.argsort(group, kind="stable")
+        ends = np.cumsum(np.bincount(group, minlength=self.groups))
+        return [(g, order[a:b]) for g, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)) if b > a]
+
+    @staticmethod
+    def _log_softmax(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Log probability of one column per row; ``z`` becomes the probabilities."""
+        rows = np.arange(len(z))
+        z -= z.max(axis=1, keepdims=True)
+        chosen = z[rows, at]
+        np.exp(z, out=z)
+        total = z.sum(axis=1)
+        z /= total[:, None]
+        return chosen - np.log(total)
 
     def log_probability(self, keys: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural log probability of every target class, in blocks."""
-        z = self.forward(keys)[-1]
-        top = z.max(axis=1)
-        chosen = z[np.arange(len(z)), targets.ravel()]
-        z -= top[:, None]
-        np.exp(z, out=z)
-        return (chosen - top - np.log(z.sum(axis=1))).reshape(targets.shape)
+        p, flat = self.p, targets.ravel()
+        h = self.forward(keys)[-1].reshape(-1, self.width)
+        out = self._log_softmax(h @ p["out"] + p["bias"], flat // self.GROUP)
+        for g, rows in self._by_group(flat):
+            out[rows] += self._log_softmax(h[rows] @ p["member"][g] + p["place"][g], flat[rows] % self.GROUP)
+        return out.reshape(targets.shape)
 
     def gradient(self, keys: np.ndarray, targets: np.ndarray, mask: np.ndarray) -> tuple[float, np.ndarray]:
-        q, k, v, a, h, z = self.forward(keys)
-        p, inputs, rows, scale = self.p, keys[:, BLOCK:], self.classes + 2, np.float32(self.width**-0.5)
-        z -= z.max(axis=1, keepdims=True)
-        np.exp(z, out=z)
-        z /= z.sum(axis=1, keepdims=True)
-        flat = np.arange(len(z))
-        n = max(int(mask.sum()), 1)
-        loss = -float(np.log(np.maximum(z[flat, targets.ravel()], 1e-30))[mask.ravel()].sum())
-        z[flat, targets.ravel()] -= 1
-        z *= mask.ravel()[:, None] / np.float32(n)
+        q, k, v, a, heads = self.forward(keys)
+        p, inputs, rows = self.p, keys[:, BLOCK:], self.classes + 2
+        h, flat, real = heads.reshape(-1, self.width), targets.ravel(), mask.ravel()
+        n, scale = max(int(real.sum()), 1), heads.dtype.type(self.width**-0.5)
+        weight = (real / n).astype(heads.dtype)[:, None]
         grad = np.zeros_like(self.params)
         g = self._views(grad)
-        g["out"][:] = h.reshape(-1, self.width).T @ z
-        g["bias"][:] = z.sum(axis=0)
-        d = (z @ p["out"].T).reshape(h.shape) * (1 - h * h)
+        z = h @ p["out"] + p["bias"]
+        logs = self._log_softmax(z, flat // self.GROUP)
+        z[np.arange(len(z)), flat // self.GROUP] -= 1
+        z *= weight
+        g["out"][:], g["bias"][:] = h.T @ z, z.sum(axis=0)
+        d = z @ p["out"].T
+        for group, at in self._by_group(flat):
+            z = h[at] @ p["member"][group] + p["place"][group]
+            logs[at] += self._log_softmax(z, flat[at] % self.GROUP)
+            z[np.arange(len(z)), flat[at] % self.GROUP] -= 1
+            z *= weight[at]
+            g["member"][group], g["place"][group] = h[at].T @ z, z.sum(axis=0)
+            d[at] += z @ p["member"][group].T
+        d = d.reshape(heads.shape) * (1 - heads * heads)
         da = np.matmul(d, v.transpose(0, 2, 1))
         ds = a * (da - (da * a).sum(axis=2, keepdims=True))
         g["near"][:] = np.bincount(self.distance.ravel(), ds.sum(axis=0).ravel(), 2 * BLOCK)
@@ -188,10 +222,11 @@ class Attention:
             ("value", keys, np.matmul(a.transpose(0, 2, 1), d)),
             ("direct", inputs, d),
         ):
-            value = value.reshape(-1, self.width)
-            for c in range(self.width):
-                g[name][:, c] = np.bincount(at.ravel(), value[:, c], rows)
-        return loss, grad
+            order = np.argsort(at.ravel(), kind="stable")
+            sorted_at = at.ravel()[order]
+            first = np.flatnonzero(np.r_[True, sorted_at[1:] != sorted_at[:-1]])
+            g[name][sorted_at[first]] = np.add.reduceat(value.reshape(-1, self.width)[order], first, axis=0)
+        return -float(logs[real].sum()), grad
 
 
 class Adam:

@@ -29,7 +29,7 @@ from quillgraph.llm.storage import discard, stored
 
 SPAN = 32
 #: Words of text handled at once, blocks of positions per forward pass and per gradient step.
-CHUNK, FORWARD, STEP = 200_000, 4096, 256
+CHUNK, FORWARD, STEP = 200_000, 1024, 128
 
 
 def _selected(docs: DataFrame, hold: int, held: int, id_col: str, text_col: str) -> DataFrame:
@@ -246,7 +246,7 @@ def score_texts(
     frequent: int = 1 << 17,
     stride: int = 16,
     rounds: int = 2,
-    rate: float = 0.01,
+    rate: float = 0.02,
     width: int = 16,
     id_col: str = "doc_id",
     text_col: str = "text",
