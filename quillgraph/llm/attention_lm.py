@@ -1,11 +1,16 @@
 """A small causal self-attention language model over subword ids, in numpy.
 
-A text is the subword ids of its words, each word with a leading space, and an end id. Ids fall
-into classes: the most frequent ones are classes of their own, the others share bands of equal
-frequency. The model predicts the class of the next id by one attention head over a causal
+A word is its subword ids with a leading space. The first ids of the words of a text form one
+stream, closed by an end id; the other ids of a word follow from that word alone, closed by a
+stop. Both streams are scored by the same kind of model with parameters of their own, so what
+lies inside a word is computed once per distinct word and not per occurrence.
+
+Ids fall into classes: the most frequent ones are classes of their own, the others share bands of
+equal frequency. The model predicts the class of the next id by one attention head over a causal
 window, and the id within its class by its corpus frequency. Classes are predicted in two steps,
-their group and their place in it, so the cost of a position is that of two short rows. Blocks of ``BLOCK`` positions are
-scored once each, and see the block before them as well: overlapping windows of ``2 * BLOCK``.
+their group and their place in it, so the cost of a position is that of two short rows. Blocks of
+``BLOCK`` positions are scored once each, and see the block before them as well: overlapping
+windows of ``2 * BLOCK``.
 """
 
 from __future__ import annotations
@@ -20,42 +25,16 @@ END = 50256
 VOCABULARY = END + 1
 
 
-class Subwords:
-    """Subword ids of words, remembered for words seen before (at most ``limit`` of them)."""
-
-    def __init__(self, vocabulary: str, limit: int = 200_000):
-        from quillgraph.llm.packing import tokenizer
-
-        self._encode, self._limit = tokenizer(vocabulary).ids, limit
-        self.clear()
-
-    def clear(self) -> None:
-        self._number: dict[bytes, int] = {}
-        self._flat, self._ends = array("I"), array("q", [0])
-
-    def ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in order, and how many belong to each word."""
-        number = self._number
-        if len(number) > self._limit:
-            self.clear()
-            number = self._number
-        places = np.empty(len(words), np.int64)
-        for k, word in enumerate(words):
-            at = number.get(word)
-            if at is None:
-                at = number[word] = len(number)
-                found = self._encode(" " + word.decode("utf-8", "replace"))
-                self._flat.extend(found.tolist())
-                self._ends.append(len(self._flat))
-            places[k] = at
-        ends = np.frombuffer(self._ends, np.int64)
-        flat = np.frombuffer(self._flat, np.uint32) if self._flat else np.zeros(0, np.uint32)
-        starts, sizes = ends[places], ends[places + 1] - ends[places]
-        total = int(sizes.sum())
-        before = np.cumsum(sizes) - sizes
-        out = flat[np.arange(total) + np.repeat(starts - before, sizes)].astype(np.int64)
-        del ends, flat
-        return out, sizes
+def split_words(encode, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First ids of the words, all other ids with a stop after each word, and their numbers."""
+    heads, inner, sizes = np.empty(len(words), np.int64), array("q"), np.empty(len(words), np.int64)
+    for k, word in enumerate(words):
+        ids = encode(" " + word.decode("utf-8", "replace")).tolist()
+        heads[k] = ids[0]
+        inner.extend(ids[1:])
+        inner.append(END)
+        sizes[k] = len(ids)
+    return heads, np.array(inner, np.int64), sizes
 
 
 @dataclass
@@ -118,6 +97,8 @@ class Attention:
             params = np.concatenate([p.ravel() for p in parts])
         self.params = params.astype(np.float32)
         self.p = self._views(self.params)
+        self.padding = np.zeros(rows, np.float32)
+        self.padding[-1] = -1e9
         later = np.arange(2 * BLOCK)[None, :] > np.arange(BLOCK)[:, None] + BLOCK
         self.distance = np.clip(np.arange(BLOCK)[:, None] + BLOCK - np.arange(2 * BLOCK)[None, :], 0, None)
         self.later = np.where(later, np.float32(-1e9), np.float32(0))
@@ -130,20 +111,25 @@ class Attention:
             at += size
         return out
 
-    def blocks(self, classes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Keys (two blocks of inputs), targets and mask of real targets, per block of a text."""
+    def blocks(
+        self, classes: np.ndarray, sizes: np.ndarray, starts: np.ndarray | None = None
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys (two blocks of inputs), targets and mask of real targets, per block of a text.
+
+        ``starts``: input class before the first target of each text.
+        """
         pad, start = self.classes + 1, self.classes
         count = -(-sizes // BLOCK)
         first = np.cumsum(count) - count
         total = int(count.sum())
         place = np.arange(len(classes)) + np.repeat(first * BLOCK - (np.cumsum(sizes) - sizes), sizes)
-        targets = np.zeros(total * BLOCK, np.int64)
+        targets = np.zeros(total * BLOCK, np.int32)
         targets[place] = classes
         mask = np.zeros(total * BLOCK, bool)
         mask[place] = True
-        inputs = np.full(total * BLOCK, pad, np.int64)
+        inputs = np.full(total * BLOCK, pad, np.int32)
         inputs[1:][mask[1:]] = targets[:-1][mask[1:]]
-        inputs[first[sizes > 0] * BLOCK] = start
+        inputs[first[sizes > 0] * BLOCK] = start if starts is None else starts[sizes > 0]
         inputs = inputs.reshape(-1, BLOCK)
         before = np.full_like(inputs, pad)
         before[1:] = inputs[:-1]
@@ -156,7 +142,7 @@ class Attention:
         s = np.matmul(q, k.transpose(0, 2, 1))
         s *= s.dtype.type(self.width**-0.5)
         s += p["near"][self.distance] + self.later
-        s += np.where(keys == self.classes + 1, np.float32(-1e9), np.float32(0))[:, None, :]
+        s += self.padding.take(keys)[:, None, :]
         np.exp(np.minimum(s, 60, out=s), out=s)
         s /= s.sum(axis=2, keepdims=True) + np.float32(1e-30)
         h = np.matmul(s, v)
@@ -182,20 +168,37 @@ class Attention:
         z /= total[:, None]
         return chosen - np.log(total)
 
+    @staticmethod
+    def _log_chosen(h: np.ndarray, weights: np.ndarray, bias: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Log probability of one column per row. ``h`` lies between -1 and 1, which bounds the sums."""
+        z = h @ weights
+        z += bias
+        if np.abs(weights).sum(axis=0).max() + bias.max() > 80:
+            z -= z.max(axis=1, keepdims=True)
+        chosen = z[np.arange(len(z)), at]
+        np.exp(z, out=z)
+        return chosen - np.log(z @ np.ones(z.shape[1], z.dtype))
+
     def log_probability(self, keys: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural log probability of every target class, in blocks."""
         p, flat = self.p, targets.ravel()
         h = self.forward(keys)[-1].reshape(-1, self.width)
-        out = self._log_softmax(h @ p["out"] + p["bias"], flat // self.GROUP)
+        out = self._log_chosen(h, p["out"], p["bias"], flat // self.GROUP)
         for g, rows in self._by_group(flat):
-            out[rows] += self._log_softmax(h[rows] @ p["member"][g] + p["place"][g], flat[rows] % self.GROUP)
+            out[rows] += self._log_chosen(h[rows], p["member"][g], p["place"][g], flat[rows] % self.GROUP)
         return out.reshape(targets.shape)
 
-    def gradient(self, keys: np.ndarray, targets: np.ndarray, mask: np.ndarray) -> tuple[float, np.ndarray]:
+    def scored(self, keys: np.ndarray, targets: np.ndarray, mask: np.ndarray, step: int = 1024) -> np.ndarray:
+        """Log probabilities of the real targets, in order."""
+        parts = [self.log_probability(keys[k : k + step], targets[k : k + step]) for k in range(0, len(keys), step)]
+        return np.concatenate(parts)[mask].astype(float) if parts else np.zeros(0)
+
+    def gradient(self, keys: np.ndarray, targets: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray]:
+        """Loss and its slope; ``weight`` counts each position (a mask, or numbers of copies)."""
         q, k, v, a, heads = self.forward(keys)
         p, inputs, rows = self.p, keys[:, BLOCK:], self.classes + 2
-        h, flat, real = heads.reshape(-1, self.width), targets.ravel(), mask.ravel()
-        n, scale = max(int(real.sum()), 1), heads.dtype.type(self.width**-0.5)
+        h, flat, real = heads.reshape(-1, self.width), targets.ravel(), weight.ravel()
+        n, scale = max(float(real.sum()), 1.0), heads.dtype.type(self.width**-0.5)
         weight = (real / n).astype(heads.dtype)[:, None]
         grad = np.zeros_like(self.params)
         g = self._views(grad)
@@ -226,7 +229,7 @@ class Attention:
             sorted_at = at.ravel()[order]
             first = np.flatnonzero(np.r_[True, sorted_at[1:] != sorted_at[:-1]])
             g[name][sorted_at[first]] = np.add.reduceat(value.reshape(-1, self.width)[order], first, axis=0)
-        return -float(logs[real].sum()), grad
+        return -float((logs * real).sum()), grad
 
 
 class Adam:

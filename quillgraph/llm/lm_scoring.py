@@ -24,12 +24,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.attention_lm import END, VOCABULARY, Adam, Attention, Classes, Subwords, make_classes
+from quillgraph.llm.attention_lm import BLOCK, END, VOCABULARY, Adam, Attention, Classes, make_classes, split_words
+from quillgraph.llm.packing import tokenizer
 from quillgraph.llm.storage import discard, stored
 
 SPAN = 32
-#: Words of text handled at once, blocks of positions per forward pass and per gradient step.
-CHUNK, FORWARD, STEP = 200_000, 1024, 128
+#: Words of text handled at once, distinct words remembered, blocks of positions per gradient step.
+CHUNK, REMEMBERED, STEP = 200_000, 400_000, 128
 
 
 def _selected(docs: DataFrame, hold: int, held: int, id_col: str, text_col: str) -> DataFrame:
@@ -81,60 +82,123 @@ def count_words(docs: DataFrame, stride: int) -> DataFrame:
     return docs.where("not held_out").select("doc_id", "text").mapInArrow(count, "word binary, n long")
 
 
-def subword_counts(counts: DataFrame, vocabulary: str) -> np.ndarray:
-    """Occurrences of every subword id in the training texts, end tokens included."""
+def subword_counts(counts: DataFrame, vocabulary: str) -> tuple[np.ndarray, np.ndarray]:
+    """Occurrences in the training texts of first ids (and ends), and of inner ids (and stops)."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(VOCABULARY)
-        encode = Subwords(vocabulary)
+        total = np.zeros((2, VOCABULARY))
+        encode = tokenizer(vocabulary).ids
         for batch in batches:
             words, n = batch.column(0).to_pylist(), batch.column(1).to_numpy()
-            ids, sizes = encode.ids([w for w in words if w])
-            weights = np.repeat(n[[k for k, w in enumerate(words) if w]], sizes)
-            total += np.bincount(ids, weights, VOCABULARY)
-            total[END] += sum(int(c) for w, c in zip(words, n, strict=True) if not w)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["id", "n"])
+            real = np.array([bool(w) for w in words], bool)
+            heads, inner, sizes = split_words(encode, [w for w in words if w])
+            total[0] += np.bincount(heads, n[real], VOCABULARY)
+            total[1] += np.bincount(inner, np.repeat(n[real], sizes), VOCABULARY)
+            total[0, END] += n[~real].sum()
+        at = np.flatnonzero(total.ravel())
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], names=["id", "n"])
 
     rows = counts.mapInArrow(split, "id long, n double").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(VOCABULARY)
+    out = np.zeros(2 * VOCABULARY)
     out[rows.column("id").to_numpy()] = rows.column("n").to_numpy()
-    return out
+    return out[:VOCABULARY], out[VOCABULARY:]
+
+
+class Scorer:
+    """Both models with their classes; remembers first ids and inner scores of words."""
+
+    def __init__(self, classes: tuple[Classes, Classes], width: int, params: np.ndarray | None, vocabulary: str):
+        self.classes = classes
+        parts = (None, None) if params is None else np.split(params, 2)
+        self.outer, self.inner = (
+            Attention(c.count, width, part, c.prior) for c, part in zip(classes, parts, strict=True)
+        )
+        self._encode = tokenizer(vocabulary).ids
+        self.clear()
+
+    def clear(self) -> None:
+        self._number: dict[bytes, int] = {b"": 0}
+        self._heads, self._scores = np.array([END]), np.zeros(1)
+
+    @property
+    def params(self) -> np.ndarray:
+        return np.concatenate([self.outer.params, self.inner.params])
+
+    def inner_blocks(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, tuple]:
+        """First ids, all inner ids with stops, and the blocks of the inner stream."""
+        heads, inner, sizes = split_words(self._encode, words)
+        starts = self.classes[0].of[heads].astype(np.int32)
+        blocks = self.inner.blocks(self.classes[1].of[inner], sizes, starts)
+        return heads, inner, (*blocks, sizes)
+
+    def words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """First id and inner log probability of every word; the empty word is the end of a text."""
+        if len(self._number) > REMEMBERED:
+            self.clear()
+        number = self._number
+        known = len(number)
+        places = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
+        if len(number) > known:
+            fresh = [w for w, _ in zip(reversed(number), range(len(number) - known), strict=False)][::-1]
+            heads, inner, (keys, targets, mask, sizes) = self.inner_blocks(fresh)
+            each = self.inner.scored(keys, targets, mask) + self.classes[1].within[inner]
+            self._heads = np.concatenate([self._heads, heads])
+            self._scores = np.concatenate([self._scores, np.add.reduceat(each, np.cumsum(sizes) - sizes)])
+        return self._heads[places], self._scores[places]
+
+    def texts(self, words: list[bytes], sizes: list[int]) -> np.ndarray:
+        """log10 probability of texts, each closed by an empty word."""
+        heads, inside = self.words(words)
+        keys, targets, mask = self.outer.blocks(self.classes[0].of[heads], np.asarray(sizes))
+        each = self.outer.scored(keys, targets, mask) + self.classes[0].within[heads] + inside
+        return np.add.reduceat(each, np.cumsum(sizes) - sizes) / np.log(10)
 
 
 def train(
-    spans: DataFrame, classes: Classes, vocabulary: str, rounds: int, rate: float, width: int
+    spans: DataFrame,
+    classes: tuple[Classes, Classes],
+    vocabulary: str,
+    rounds: int,
+    rate: float,
+    width: int,
 ) -> np.ndarray:
     """Parameters after ``rounds`` of local gradient steps and averaging, weighted by positions."""
-    params = Attention(classes.count, width, prior=classes.prior).params
+    params = Scorer(classes, width, None, vocabulary).params
+
+    def steps(model: Attention, adam: Adam, keys: np.ndarray, targets: np.ndarray, weight: np.ndarray) -> None:
+        order = np.random.default_rng(len(keys)).permutation(len(keys))
+        for k in range(0, len(order), STEP):
+            pick = order[k : k + STEP]
+            adam.step(model.params, model.gradient(keys[pick], targets[pick], weight[pick])[1])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Attention(classes.count, width, params.copy())
-        encode, adam, positions = Subwords(vocabulary), Adam(len(params), rate), 0
+        scorer = Scorer(classes, width, params, vocabulary)
+        outer, inner = (Adam(len(m.params), rate) for m in (scorer.outer, scorer.inner))
+        positions = 0
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            for at in range(0, len(texts), 1024):
+            for at in range(0, len(texts), 2048):
                 words, sizes = [], []
-                for text in texts[at : at + 1024]:
+                for text in texts[at : at + 2048]:
                     part = text.split()
                     words += part + [b""] * text.endswith(b"\n")
                     sizes.append(len(part) + text.endswith(b"\n"))
-                ids, per_word = _with_ends(encode, words)
-                if not len(ids):
-                    continue
-                bounds = np.concatenate([[0], np.cumsum(per_word)])[np.concatenate([[0], np.cumsum(sizes)])]
-                keys, targets, mask = model.blocks(classes.of[ids], np.diff(bounds))
-                order = np.random.default_rng(at).permutation(len(keys))
-                for k in range(0, len(order), STEP):
-                    pick = order[k : k + STEP]
-                    adam.step(model.params, model.gradient(keys[pick], targets[pick], mask[pick])[1])
-                positions += int(mask.sum())
+                distinct = Counter(w for w in words if w)
+                heads, _, (keys, targets, mask, per_word) = scorer.inner_blocks(list(distinct))
+                first = dict(zip(distinct, heads.tolist(), strict=True)) | {b"": END}
+                copies = np.repeat(np.fromiter(distinct.values(), float, len(distinct)), -(-per_word // BLOCK))
+                steps(scorer.inner, inner, keys, targets, mask * copies[:, None])
+                stream = scorer.classes[0].of[np.array([first[w] for w in words], np.int64)]
+                keys, targets, mask = scorer.outer.blocks(stream, np.asarray(sizes))
+                steps(scorer.outer, outer, keys, targets, mask)
+                positions += len(words)
         if positions:
+            learnt = scorer.params
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.arange(len(params))),
-                    pa.array(model.params.astype(float) * positions),
-                    pa.array(np.full(len(params), float(positions))),
+                    pa.array(np.arange(len(learnt))),
+                    pa.array(learnt.astype(float) * positions),
+                    pa.array(np.full(len(learnt), float(positions))),
                 ],
                 names=["place", "value", "weight"],
             )
@@ -151,17 +215,6 @@ def train(
     return params
 
 
-def _with_ends(encode: Subwords, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and ids per word, where the empty word is the end id."""
-    ids, sizes = encode.ids([w for w in words if w])
-    ends = np.array([not w for w in words], bool)
-    per_word = np.ones(len(words), np.int64)
-    per_word[~ends] = sizes
-    out = np.full(int(per_word.sum()), END, np.int64)
-    out[~np.repeat(ends, per_word)] = ids
-    return out, per_word
-
-
 SCORED = (
     "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, "
     "rare array<binary>, times array<int>"
@@ -169,13 +222,18 @@ SCORED = (
 
 
 def score_rows(
-    docs: DataFrame, known: dict[bytes, int], classes: Classes, params: np.ndarray, vocabulary: str, width: int
+    docs: DataFrame,
+    known: dict[bytes, int],
+    classes: tuple[Classes, Classes],
+    params: np.ndarray,
+    vocabulary: str,
+    width: int,
 ) -> DataFrame:
     """Per row the model's score, the base sums over frequent words, and the other words."""
     logs = {w: float(np.log10(c + 1)) for w, c in known.items()}
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, encode = Attention(classes.count, width, params), Subwords(vocabulary)
+        scorer = Scorer(classes, width, params, vocabulary)
         row = TaskContext.get().partitionId() << 33
 
         def measured(group: list[tuple]) -> pa.RecordBatch:
@@ -196,15 +254,7 @@ def score_rows(
                 row += 1
                 words += own
                 sizes.append(len(own))
-            ids, per_word = _with_ends(encode, words)
-            bounds = np.concatenate([[0], np.cumsum(per_word)])[np.concatenate([[0], np.cumsum(sizes)])]
-            keys, targets, mask = model.blocks(classes.of[ids], np.diff(bounds))
-            parts = [
-                model.log_probability(keys[k : k + FORWARD], targets[k : k + FORWARD])
-                for k in range(0, len(keys), FORWARD)
-            ]
-            each = np.concatenate(parts)[mask].astype(float) + classes.within[ids]
-            scores = np.add.reduceat(each, bounds[:-1]) / np.log(10)
+            scores = scorer.texts(words, sizes)
             r, d, h, n, f, b, rare, times = zip(*rows, strict=True)
             return pa.RecordBatch.from_arrays(
                 [
@@ -244,7 +294,7 @@ def score_texts(
     hold: int = 7,
     held: int = 2,
     frequent: int = 1 << 17,
-    stride: int = 16,
+    stride: int = 24,
     rounds: int = 2,
     rate: float = 0.02,
     width: int = 16,
@@ -260,7 +310,7 @@ def score_texts(
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     top = counts.orderBy(F.desc("c"), "word").limit(frequent).toArrow()
     known = dict(zip(top.column("word").to_pylist(), top.column("c").to_pylist(), strict=True))
-    classes = make_classes(subword_counts(counts, vocabulary))
+    classes = tuple(make_classes(c) for c in subword_counts(counts, vocabulary))
     params = train(gathered.where("n = 0").select("word"), classes, vocabulary, rounds, rate, width)
     scored = stored(score_rows(rows, known, classes, params, vocabulary, width), "scored")
     discard(gathered)
