@@ -8,7 +8,7 @@ posterior times tokens times rate, meet the targets.
 The classifier is fitted on a bounded sample of labelled documents (``sample_limit``) and a
 bounded vocabulary (``vocabulary``); posteriors, totals and every gradient step cover all rows.
 
-Defined cases: a null or empty text has no tokens and the prior as its posterior; without
+Defined cases: a null or empty text has no tokens and the posterior of a text without telling words; without
 labelled documents every posterior is even; a target of a domain without tokens is left out and
 the others are scaled up; repeated rows count as often as they occur; an empty table gives no
 rows; columns of the input named like a result column are replaced.
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from quillgraph.llm.storage import stored
 
 _SPACE = "[ \\t-\\r]+"
+_BOUND = 10.0
 
 
 def words_of(text: Column) -> Column:
@@ -36,30 +37,60 @@ def words_of(text: Column) -> Column:
 
 @dataclass
 class WordClassifier:
-    """Log priors per domain, and per telling word the log ratios of its presence."""
+    """Log ratios of the presence of telling words, and how their sums become posteriors.
+
+    The sums per domain, bounded by ``_BOUND``, enter a linear model with one intercept and one
+    row of weights per domain, so a text without telling words gets the posterior that such
+    texts had among the labelled ones.
+    """
 
     domains: list[str]
-    priors: list[float]
     ratios: dict[str, list[float]]
+    intercepts: list[float]
+    weights: list[list[float]]
+
+    def sums(self, words: Column) -> Column:
+        start = F.array(*(F.lit(0.0) for _ in self.domains))
+        if not self.ratios:
+            return start
+        table = F.from_json(F.lit(json.dumps(self.ratios)), "map<string,array<double>>")
+        return F.aggregate(
+            F.array_intersect(words, F.map_keys(table)),
+            start,
+            lambda s, w: F.zip_with(s, F.element_at(table, w), lambda a, b: a + b),
+        )
 
     def posteriors(self, docs: DataFrame, words: str) -> DataFrame:
         """``docs`` with an array ``p`` of one probability per domain, from a column of words.
 
         The sums over words are a column of their own, so they are made once per row.
         """
-        start = F.array(*(F.lit(p) for p in self.priors))
-        scores = start
-        if self.ratios:
-            table = F.from_json(F.lit(json.dumps(self.ratios)), "map<string,array<double>>")
-            scores = F.aggregate(
-                F.array_intersect(F.col(words), F.map_keys(table)),
-                start,
-                lambda s, w: F.zip_with(s, F.element_at(table, w), lambda a, b: a + b),
-            )
-        each = [F.get("__scores", F.lit(k)) for k in range(len(self.domains))]
-        powers = [F.exp(s - F.array_max("__scores")) for s in each]
+        each = [F.get("__sums", F.lit(k)) for k in range(len(self.domains))]
+        bounded = [s / (1 + F.abs(s) / _BOUND) for s in each]
+        scores = [
+            reduce(lambda a, b: a + b, [F.lit(i), *(F.lit(w) * s for w, s in zip(row, bounded, strict=True))])
+            for i, row in zip(self.intercepts, self.weights, strict=True)
+        ]
+        top = F.array_max("__scores")
+        powers = [F.exp(F.get("__scores", F.lit(k)) - top) for k in range(len(self.domains))]
         total = reduce(lambda a, b: a + b, powers)
-        return docs.withColumn("__scores", scores).withColumn("p", F.array(*(x / total for x in powers)))
+        summed = docs.withColumn("__sums", self.sums(F.col(words))).withColumn("__scores", F.array(*scores))
+        return summed.withColumn("p", F.array(*(x / total for x in powers)))
+
+
+def _fit_linear(x: np.ndarray, y: np.ndarray, count: int, steps: int = 400) -> tuple[list, list]:
+    """Intercepts and weights of a softmax model of a bounded sample, by plain gradient steps."""
+    x = np.column_stack([np.ones(len(x)), x / _BOUND])
+    target = np.eye(count)[y]
+    w, speed = np.zeros((x.shape[1], count)), 0.0
+    for _ in range(steps):
+        z = x @ w
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        slope = x.T @ (p - target) / len(x) + 1e-4 * w
+        speed = 0.9 * speed + slope
+        w -= 0.5 * speed
+    return w[0].tolist(), (w[1:].T / _BOUND).tolist()
 
 
 def fit_classifier(
@@ -83,9 +114,9 @@ def fit_classifier(
     found = stored(taught.select("domain", F.array_distinct(words_of(F.col("text"))).alias("words")), "taught")
     sizes = dict.fromkeys(domains, 0) | {r[0]: r[1] for r in found.groupBy("domain").count().collect()}
     n = sum(sizes.values())
-    priors = [log((sizes[d] + 1) / (n + len(domains))) if n else 0.0 for d in domains]
     if not n:
-        return WordClassifier(domains, priors, {})
+        even = [0.0] * len(domains)
+        return WordClassifier(domains, {}, even, [even for _ in domains])
     counts = (
         found.select("domain", F.explode("words").alias("word"))
         .groupBy("word")
@@ -104,7 +135,12 @@ def fit_classifier(
     )
     best = counts.select("word", told.alias("told"), F.array(*ratios).alias("ratios"))
     rows = best.orderBy(F.desc("told"), "word").limit(vocabulary).collect()
-    return WordClassifier(domains, priors, {r["word"]: list(r["ratios"]) for r in rows})
+    model = WordClassifier(domains, {r["word"]: list(r["ratios"]) for r in rows}, [], [])
+    sample = found.select("domain", model.sums(F.col("words")).alias("sums")).collect()
+    x = np.array([r["sums"] for r in sample])
+    y = np.array([domains.index(r["domain"]) for r in sample])
+    model.intercepts, model.weights = _fit_linear(x / (1 + np.abs(x) / _BOUND), y, len(domains))
+    return model
 
 
 def _dot(posterior: Column, errors: list[float]) -> Column:

@@ -221,8 +221,18 @@ def host_of(url: str | None) -> str:
         return ""
 
 
-def _kind(item) -> str:
-    return item if isinstance(item, str) else "+" + next((x for x in _plain(item[1])), "")
+def _kinds(items: list) -> list[tuple]:
+    """What positions are aligned by: the item and all labels around it."""
+    around, path, out = [], 0, []
+    for item in items:
+        if isinstance(item, str) and item.startswith("</"):
+            path = around.pop() if around else 0
+        label = item if isinstance(item, str) else "+" + next(iter(_plain(item[1])), "")
+        out.append((path, label))
+        if isinstance(item, str) and item.startswith("<") and not item.startswith("</"):
+            around.append(path)
+            path = hash((path, item))
+    return out
 
 
 def _plain(items) -> Iterator[str]:
@@ -254,7 +264,7 @@ def _grouped(items: list, bodies: set) -> list:
 
 def align(left: list, right: list) -> Iterator[tuple[int | None, int | None]]:
     """Pairs of positions; one side is None where the other has no partner."""
-    matcher = SequenceMatcher(None, [_kind(x) for x in left], [_kind(x) for x in right], autojunk=False)
+    matcher = SequenceMatcher(None, _kinds(left), _kinds(right), autojunk=False)
     a = b = 0
     for x, y, size in matcher.get_matching_blocks():
         yield from ((k, None) for k in range(a, x))
@@ -422,9 +432,11 @@ def infer_wrappers(shapes: DataFrame, salts: int = 16) -> DataFrame:
         ]
         whole = wrappers[0]
         for other in wrappers[1:]:
-            flags = {_kind(x): o for x, o in other}
-            whole = merge(whole, [x for x, _ in other])
-            whole = [(x, o or flags.get(_kind(x), False)) for x, o in whole]
+            items = [x for x, _ in other]
+            optional = {k for k, (_, o) in zip(_kinds(items), other, strict=True) if o}
+            whole = merge(whole, items)
+            kinds = _kinds([x for x, _ in whole])
+            whole = [(x, o or k in optional) for (x, o), k in zip(whole, kinds, strict=True)]
         group["wrapper"] = json.dumps(whole, separators=(",", ":"))
         return group[["host", "wrapper"]].head(1)
 
