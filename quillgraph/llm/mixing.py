@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.storage import stored
+from quillgraph.llm.storage import discard, stored
 
 _SPACE = "[ \\t-\\r]+"
 _BOUND = 10.0
@@ -63,8 +63,16 @@ class WordClassifier:
     def posteriors(self, docs: DataFrame, words: str) -> DataFrame:
         """``docs`` with an array ``p`` of one probability per domain, from a column of words.
 
-        The sums over words are a column of their own, so they are made once per row.
+        Sums, scores and probabilities are each used several times by what follows. The sums
+        and the probabilities are written out, so no plan repeats the work on the words.
         """
+        kept = [c for c in docs.columns if c != words]
+        summed = stored(docs.select(*kept, self.sums(F.col(words)).alias("__sums")), "sums")
+        known = stored(self._from_sums(summed).select(*kept, "p"), "posteriors")
+        discard(summed)
+        return known
+
+    def _from_sums(self, docs: DataFrame) -> DataFrame:
         each = [F.get("__sums", F.lit(k)) for k in range(len(self.domains))]
         bounded = [s / (1 + F.abs(s) / _BOUND) for s in each]
         scores = [
@@ -74,8 +82,7 @@ class WordClassifier:
         top = F.array_max("__scores")
         powers = [F.exp(F.get("__scores", F.lit(k)) - top) for k in range(len(self.domains))]
         total = reduce(lambda a, b: a + b, powers)
-        summed = docs.withColumn("__sums", self.sums(F.col(words))).withColumn("__scores", F.array(*scores))
-        return summed.withColumn("p", F.array(*(x / total for x in powers)))
+        return docs.withColumn("__scores", F.array(*scores)).withColumn("p", F.array(*(x / total for x in powers)))
 
 
 def _fit_linear(x: np.ndarray, y: np.ndarray, count: int, steps: int = 400) -> tuple[list, list]:
@@ -190,10 +197,11 @@ class Mixture:
             F.col("doc_id").cast("long").alias("doc_id"),
             words_of(F.col("text")).alias("__words"),
         )
-        known = stored(self.model.posteriors(rows, "__words").select("__row", "doc_id", "p"), "posteriors")
+        known = self.model.posteriors(rows, "__words")
         times = F.sequence(F.lit(1), F.col("copies").cast("int"))
-        kept = self.rated(known).where("copies > 0")
-        return kept.select("__row", F.explode(times).alias("__copy")).select("__row.*")
+        rated = stored(self.rated(known).select("__row", "copies"), "copies")
+        discard(known)
+        return rated.where("copies > 0").select("__row", F.explode(times).alias("__copy")).select("__row.*")
 
 
 def _telling(ratio: Column) -> Column:
@@ -248,35 +256,31 @@ def fit_rates(
     rounds: int = 30,
     tolerance: float = 1e-4,
     every: int = 10,
+    damping: float = 0.1,
 ) -> tuple[list[list[float]], list[float], list[float]]:
     """Steps, totals reached and targets of projected gradient least squares.
 
-    The gradient of a document's rate is its posterior times the misses of the domain totals.
-    A round is one sum over all rows: the totals and the posteriors' moments of documents whose
-    rate is not held at zero. The misses are scaled by those moments, so a few rounds do; where
-    a round comes out no better, the next is scaled by each domain's own mass, a step that
-    always shrinks the misses. Rates are written out every ``every`` rounds to keep plans short.
+    The squared misses of the domain totals are weighted by the inverse of the posteriors'
+    moments, damped by the domains' masses (``damping``). That weight bounds the curvature by
+    one, so unit steps shrink the objective in every round, whatever the posteriors are. A
+    round is one sum over all rows; rates are written out every ``every`` rounds to keep plans
+    short.
     With ``repeat`` the total stays as it is. Without, the domain of the largest weight stays
     whole and no target is larger than its domain, so scarce domains are not repeated.
     """
     count = len(weights)
     pairs = [(i, j) for i in range(count) for j in range(i, count)]
 
-    def measure(rows: DataFrame, rate: Column) -> tuple[np.ndarray, np.ndarray]:
-        part = [F.col("n_tokens") * F.get("p", F.lit(k)) for k in range(count)]
-        free = (rate > 0).cast("double")
-        found = rows.agg(
-            *(F.sum(part[k] * rate) for k in range(count)),
-            *(F.sum(part[i] * F.get("p", F.lit(j)) * free) for i, j in pairs),
-        ).first()
-        values = np.array([float(x or 0.0) for x in found])
-        moments = np.zeros((count, count))
-        for (i, j), v in zip(pairs, values[count:], strict=True):
-            moments[i, j] = moments[j, i] = v
-        return values[:count], moments
-
-    totals, moments = measure(members, F.lit(1.0))
-    mass, everything = totals, float(totals.sum())
+    def sums(rows: DataFrame, columns: list[Column]) -> np.ndarray:
+        return np.array([float(x or 0.0) for x in rows.agg(*map(F.sum, columns)).first()])
+
+    part = [F.col("n_tokens") * F.get("p", F.lit(k)) for k in range(count)]
+    first = sums(members, [*part, *(part[i] * F.get("p", F.lit(j)) for i, j in pairs)])
+    totals = mass = first[:count]
+    moments = np.zeros((count, count))
+    for (i, j), v in zip(pairs, first[count:], strict=True):
+        moments[i, j] = moments[j, i] = v
+    everything = float(mass.sum())
     wanted = np.where(mass > 1e-9 * everything, weights, 0.0)
     if everything <= 0 or wanted.sum() <= 0:
         return [], list(mass), list(mass)
@@ -286,18 +290,12 @@ def fit_rates(
     current = members.withColumn("rate", F.lit(1.0))
     steps: list[list[float]] = []
     pending: list[list[float]] = []
-    miss, safe = float(np.abs(totals - targets).max()), False
-    while miss > tolerance * total and len(steps) < rounds:
-        if safe:
-            scaled = (totals - targets) / np.maximum(mass, 1e-9 * everything)
-        else:
-            ridge = 1e-6 * everything * np.eye(count)
-            scaled = np.linalg.solve(moments + ridge, totals - targets)
-        pending.append([float(x) for x in scaled])
+    weight = np.linalg.inv(moments + damping * np.diag(np.maximum(mass, 1e-6 * everything)))
+    while np.abs(totals - targets).max() > tolerance * total and len(steps) < rounds:
+        pending.append([float(x) for x in weight @ (totals - targets)])
         steps.append(pending[-1])
-        totals, moments = measure(current, _stepped(F.col("rate"), pending))
-        before, miss = miss, float(np.abs(totals - targets).max())
-        safe = miss >= 0.9 * before
+        rate = _stepped(F.col("rate"), pending)
+        totals = sums(current, [p * rate for p in part])
         if len(steps) % every == 0:
             current, pending = stored(current.withColumn("rate", _stepped(F.col("rate"), pending)), "rates"), []
     return steps, list(totals), list(targets)
@@ -315,7 +313,7 @@ def fit_mixture(
     model = fit_classifier(docs, labelled, domains, sample_limit, vocabulary)
     words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words_of(F.col("text")).alias("words"))
     tokens = F.size("words").cast("long").alias("n_tokens")
-    members = stored(model.posteriors(words, "words").select("doc_id", tokens, "p"), "members")
+    members = model.posteriors(words.select("doc_id", "words", tokens), "words")
     return Mixture(model, *fit_rates(members, [targets[d] for d in domains], repeat), members)
 
 
