@@ -204,51 +204,6 @@ class Mixture:
         return rated.where("copies > 0").select("__row", F.explode(times).alias("__copy")).select("__row.*")
 
 
-def _telling(ratio: Column) -> Column:
-    """The part of a log ratio beyond a factor of two.
-
-    Slight ratios follow the length of texts, not their domain, and would add up over words.
-    """
-    return F.signum(ratio) * F.greatest(F.lit(0.0), F.abs(ratio) - log(2.0))
-
-
-def _stepped(rate: Column, steps: list[list[float]]) -> Column:
-    """The rate after some steps, each projected back to zero or more."""
-    return reduce(lambda r, e: F.greatest(F.lit(0.0), r - _dot(F.col("p"), e)), steps, rate)
-
-
-@dataclass
-class Mixture:
-    """A fitted mixture: how rates follow from a text, and how near the totals came."""
-
-    model: WordClassifier
-    steps: list[list[float]]
-    totals: list[float]
-    targets: list[float]
-    members: DataFrame
-
-    def rated(self, members: DataFrame) -> DataFrame:
-        """Rows with ``doc_id`` and ``p`` get their rate and their number of copies.
-
-        The number is the rate rounded up or down by a draw from the digest of the id.
-        """
-        rows = members.withColumn("rate", F.lit(1.0))
-        for at in range(0, len(self.steps), 10):
-            rows = rows.withColumn("rate", _stepped(F.col("rate"), self.steps[at : at + 10]))
-        key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-        draw = F.conv(F.substring(key, 1, 8), 16, 10).cast("double") / float(1 << 32)
-        whole = F.floor("rate")
-        return rows.withColumn("copies", whole + (draw < F.col("rate") - whole).cast("long"))
-
-    def repeated(self, docs: DataFrame) -> DataFrame:
-        """The rows of ``docs`` as often as their copies say, with their columns unchanged."""
-        rows = self.model.posteriors(docs.withColumn("__words", words_of(F.col("text"))), "__words")
-        times = F.sequence(F.lit(1), F.col("copies").cast("int"))
-        return (
-            self.rated(rows).where("copies > 0").select(*docs.columns, F.explode(times).alias("__copy"))
-        ).drop("__copy")
-
-
 def fit_rates(
     members: DataFrame,
     weights: list[float],
