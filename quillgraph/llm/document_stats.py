@@ -139,4 +139,12 @@ def labelled_sample(stats: DataFrame, labels: DataFrame, label: str, limit: int)
         .agg(F.max(label).alias("__label"))
     )
     once = stats.join(known, "doc_id").dropDuplicates(["doc_id"])
-    return once.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(limit)
+    # A count per head of the digests finds where the sample ends, so no more than the sample
+    # and one head's rows are sorted, whatever the number of partitions.
+    digest = F.md5(F.col("doc_id").cast("string"))
+    head = F.substring(digest, 1, 4)
+    heads = once.groupBy(head.alias("head")).count().toArrow().sort_by("head").to_pydict()
+    within = np.cumsum(heads["count"]) >= limit
+    if within.any():
+        once = once.where(head <= heads["head"][int(within.argmax())])
+    return once.orderBy(digest, "doc_id").limit(limit)
