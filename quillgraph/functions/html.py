@@ -20,7 +20,8 @@ BOILERPLATE = [
 # Fixed value: stands for a wanted line break while pretty-print newlines become spaces.
 MARK = "\u2029"
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-_INLINE = set("a span b i strong em small code".split())
+# Tags whose text runs on within a line, and the mark of each heading tag.
+_INLINE = ["a", "span", "b", "i", "strong", "em", "small", "code"]
 _HEADINGS = {"h1": "# ", "h2": "## ", "h3": "### ", "h4": "#### "}
 _SILENT = {"script", "style", "template"}
 
@@ -136,22 +137,27 @@ def _close(path: list[Element], tag: str) -> None:
 
 
 def tree_html(element: Element) -> str:
-    """Markup of a tree again (comments are gone)."""
-    if not element.tag:
-        return "".join(
-            escape(c, quote=False) if isinstance(c, str) else tree_html(c)
-            for c in element.children
-        )
-    attrs = "".join(f' {k}="{escape(v)}"' for k, v in element.attrs.items())
-    if element.tag in _VOID:
-        return f"<{element.tag}{attrs}/>"
-    inner = "".join(
-        (c if element.tag in _SILENT else escape(c, quote=False))
-        if isinstance(c, str)
-        else tree_html(c)
-        for c in element.children
-    )
-    return f"<{element.tag}{attrs}>{inner}</{element.tag}>"
+    """Markup of a tree again (comments are gone), for trees of any depth."""
+    out: list[str] = []
+    todo: list[Element | str] = [element]
+    while todo:
+        node = todo.pop()
+        if isinstance(node, str):
+            out.append(node)
+            continue
+        attrs = "".join(f' {k}="{escape(v)}"' for k, v in node.attrs.items())
+        if node.tag in _VOID:
+            out.append(f"<{node.tag}{attrs}/>")
+            continue
+        if node.tag:
+            out.append(f"<{node.tag}{attrs}>")
+            todo.append(f"</{node.tag}>")
+        raw = node.tag in _SILENT
+        todo += [
+            escape(c, quote=False) if isinstance(c, str) and not raw else c
+            for c in reversed(node.children)
+        ]
+    return "".join(out)
 
 
 # ------------------------------------------------------------------ tables as text
@@ -183,24 +189,21 @@ def infobox_lines(table: Element) -> list[str]:
 
 
 def data_table_lines(table: Element) -> list[str]:
-    """Non-empty cells joined by a bar per row, a blank line after a header row."""
-    lines: list[str] = []
-    for number, row in enumerate(table.find("tr")):
-        texts = [t for t in (c.text() for c in row.find("th", "td")) if t]
-        if texts:
-            lines.append(" | ".join(texts))
-        if number == 0 and row.find("th"):
-            lines.append("")
-    return lines
+    """One line per row that says anything; an empty line sets a leading header row apart."""
+    rows = [row.find("th", "td") for row in table.find("tr")]
+    said = [" | ".join(filter(None, map(Element.text, cells))) for cells in rows]
+    if rows and any(cell.tag == "th" for cell in rows[0]):
+        return [*filter(None, said[:1]), "", *filter(None, said[1:])]
+    return [*filter(None, said)]
 
 
 def _is_infobox(element: Element) -> bool:
-    return element.tag == "table" and element.attrs.get("id") == "infobox"
+    return (element.tag, element.attrs.get("id")) == ("table", "infobox")
 
 
 def table_text(table: Element, separator: str = "\n") -> str:
-    lines = infobox_lines(table) if _is_infobox(table) else data_table_lines(table)
-    return separator.join(lines)
+    read = infobox_lines if _is_infobox(table) else data_table_lines
+    return separator.join(read(table))
 
 
 # ------------------------------------------------------------------ page text
@@ -217,42 +220,40 @@ def marked_text(root: Element) -> str:
     def lead(node: Element) -> str:
         return "".join(as_table(b) for b in boxes) if node is first_h2 else ""
 
-    def flat(node: Element) -> list[str]:
-        out: list[str] = []
-        for child in node.children:
-            if isinstance(child, str):
-                out.append(child)
-            elif child.tag == "table":
-                if first_h2 is None or not _is_infobox(child):
-                    out.append(as_table(child))
-            elif child.tag not in _SILENT and child.tag != "img":
-                out += [lead(child), *flat(child)]
-        return out
+    def shown(table: Element) -> str:
+        return "" if first_h2 is not None and _is_infobox(table) else as_table(table)
 
     def joined(node: Element) -> str:
-        return " ".join(s.strip() for s in flat(node) if s.strip())
-
-    def block(node: Element) -> str:
         out: list[str] = []
-        for child in node.children:
+        todo = [*reversed(node.children)]
+        while todo:
+            child = todo.pop()
             if isinstance(child, str):
-                out.append(child)
-                continue
-            tag = child.tag
-            if tag == "table":
-                if first_h2 is None or not _is_infobox(child):
-                    out.append(as_table(child))
-            elif tag in _INLINE:
-                out.append(f" {joined(child)} ")
-            elif tag in _HEADINGS:
-                out.append(lead(child) + MARK * 2 + _HEADINGS[tag] + joined(child) + MARK * 2)
-            elif tag in ("p", "li", "br"):
-                out += [block(child), MARK]
-            elif tag not in _SILENT and tag != "img":
-                out.append(block(child))
-        return "".join(out)
-
-    return block(root)
+                out.append(child.strip())
+            elif child.tag == "table":
+                out.append(shown(child).strip())
+            elif child.tag not in _SILENT and child.tag != "img":
+                out.append(lead(child).strip())
+                todo += reversed(child.children)
+        return " ".join(filter(None, out))
+
+    out: list[str] = []
+    todo = [*reversed(root.children)]
+    while todo:
+        child = todo.pop()
+        if isinstance(child, str):
+            out.append(child)
+        elif child.tag == "table":
+            out.append(shown(child))
+        elif child.tag in _INLINE:
+            out.append(f" {joined(child)} ")
+        elif child.tag in _HEADINGS:
+            out.append(lead(child) + MARK * 2 + _HEADINGS[child.tag] + joined(child) + MARK * 2)
+        elif child.tag not in _SILENT and child.tag != "img":
+            if child.tag in ("p", "li", "br"):
+                todo.append(MARK)
+            todo += reversed(child.children)
+    return "".join(out)
 
 
 def header_chunks(root: Element, levels: tuple[str, ...]) -> Iterator[tuple]:

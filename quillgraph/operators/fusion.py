@@ -19,10 +19,9 @@ Retriever = Callable[[DataFrame, int], DataFrame]
 
 
 def text_identity(text: Column, source_file: Column) -> Column:
-    """Identity by the first 50 characters and the file; rows without text hash whole."""
-    head = F.concat(F.substring(text, 1, 50), F.lit("_"), F.coalesce(source_file, F.lit("")))
-    by_hash = F.xxhash64(text, source_file).cast("string")
-    return F.when(F.coalesce(text, F.lit("")) == "", by_hash).otherwise(head)
+    """Identity by the digest of the whole text and by the file; null counts as empty."""
+    empty = F.lit("")
+    return F.concat_ws("_", F.md5(F.coalesce(text, empty)), F.coalesce(source_file, empty))
 
 
 def _stack(components: Sequence[tuple[str, DataFrame]], weights: Sequence[float]) -> DataFrame:
@@ -140,10 +139,11 @@ def fuse_with_fallback(
 def normalize_candidates(candidates: DataFrame, k: int = 10) -> DataFrame:
     """External rows made rankable: score 1.0 by default, k per query in given order.
 
-    The placeholder row that says nothing was found (``result_index`` null) is removed.
+    Rows flagged ``no_results``, where there is such a column, say that nothing was found and
+    are removed; rows without a ``result_index`` come after the others.
     """
-    rows = candidates.where(F.col("result_index").isNotNull()).withColumn(
-        "score", F.coalesce(F.col("score").cast("double"), F.lit(1.0))
-    )
-    order = Window.partitionBy("query_id").orderBy("result_index", "doc_id")
+    if "no_results" in candidates.columns:
+        candidates = candidates.where(~F.coalesce("no_results", F.lit(False)))
+    rows = candidates.withColumn("score", F.coalesce(F.col("score").cast("double"), F.lit(1.0)))
+    order = Window.partitionBy("query_id").orderBy(F.asc_nulls_last("result_index"), "doc_id")
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -172,9 +172,14 @@ def _score(
     )
 
 
-def _pad(ranked: DataFrame, queries: DataFrame, doc_ids: DataFrame, k: int) -> DataFrame:
+def _pad(
+    ranked: DataFrame, matched: DataFrame, queries: DataFrame, doc_ids: DataFrame, k: int
+) -> DataFrame:
     """Fill every query up to k rows with unmatched documents in id order, score zero.
 
+    No document in ``matched(query_id, doc_id)`` is a filler, also where its score is below
+    zero and the ranking was cut before it.
+
     A query short of k matches can need at most the first 2k ids, so only those leave the
     corpus scan.
     """
@@ -184,7 +189,11 @@ def _pad(ranked: DataFrame, queries: DataFrame, doc_ids: DataFrame, k: int) -> D
     asked = queries.where(F.col("query").isNotNull() & (F.col("query") != "")).select("query_id")
     filler = (
         asked.select("query_id", F.explode(first).alias("doc_id"))
-        .join(ranked.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
+        .join(
+            matched.where(F.array_contains(first, F.col("doc_id"))).select("query_id", "doc_id"),
+            ["query_id", "doc_id"],
+            "left_anti",
+        )
         .withColumn("score", F.lit(0.0))
     )
     return top_k(ranked.drop("rank").unionByName(filler), k)
@@ -205,11 +214,10 @@ def bm25(
     """
     terms = query_terms(queries, word_analyzer(remove_stop_words))
     weights = okapi_weights(index.terms, index.corpus)
-    ranked = top_k(
-        _score(terms, index, weights, k1, b, k1 + 1, _fits_broadcast(queries)), k
-    )
+    matched = _score(terms, index, weights, k1, b, k1 + 1, _fits_broadcast(queries))
+    ranked = top_k(matched, k)
     if fill_zero:
-        ranked = _pad(ranked, queries, index.doc_ids, k)
+        ranked = _pad(ranked, matched, queries, index.doc_ids, k)
     return ranked.select("query_id", "rank", "doc_id", "score")
 
 

@@ -32,9 +32,10 @@ _BLOCKS = "seq int, kind string, heading_id string, text string"
 def parse_pages(
     pages: DataFrame, fn: Callable[[str], Iterable[dict]], columns: str, key: str = "page_id"
 ) -> DataFrame:
-    """Rows a page function yields, with the page key; a failing page is logged and skipped.
+    """Rows a page function yields, with the page key.
 
-    ``pages(<key>, html)``; ``columns`` is the DDL of the function's row.
+    ``pages(<key>, html)``; ``columns`` is the DDL of the function's row. A page on which the
+    function fails has no rows here; :func:`page_errors` is the table of those pages.
     """
     schema = T.StructType([pages.schema[key], *T.StructType.fromDDL(columns).fields])
     arrow = to_arrow_schema(schema)
@@ -49,7 +50,7 @@ def parse_pages(
                 try:
                     made = list(fn(markup))
                 except Exception:
-                    log.exception("page %s skipped", page)
+                    log.exception("page %s failed", page)
                     continue
                 found += made
                 keys += [page] * len(made)
@@ -60,6 +61,21 @@ def parse_pages(
     return pages.where(F.col("html").isNotNull()).select(key, "html").mapInArrow(rows, schema)
 
 
+def page_errors(
+    pages: DataFrame, fn: Callable[[str], Iterable[dict]], key: str = "page_id"
+) -> DataFrame:
+    """(page, error): the pages without rows in :func:`parse_pages`, because the function failed."""
+
+    def tried(markup: str) -> Iterator[dict]:
+        try:
+            for _ in fn(markup):
+                pass
+        except Exception as problem:
+            yield {"error": f"{type(problem).__name__}: {problem}"}
+
+    return parse_pages(pages, tried, "error string", key)
+
+
 def strip_boilerplate(
     pages: DataFrame, selectors: Sequence[str] = tuple(H.BOILERPLATE), key: str = "page_id"
 ) -> DataFrame:

@@ -17,13 +17,10 @@ from quillgraph.functions.text import word_runs
 _MAX_GRAM = 6
 
 
-def contains_pairs(
-    texts: DataFrame, needles: DataFrame, ignore_case: bool = False, short: bool | None = None
-) -> DataFrame:
+def contains_pairs(texts: DataFrame, needles: DataFrame, ignore_case: bool = False) -> DataFrame:
     """Distinct (text_id, needle_id) where ``texts.text`` holds ``needles.needle``.
 
     ``texts(text_id, text)``, ``needles(needle_id, needle)``; blank needles match nothing.
-    ``short`` states that all needles are short (True) or long (False) when known.
     """
     if ignore_case:
         texts = texts.withColumn("text", F.lower("text"))
@@ -32,14 +29,8 @@ def contains_pairs(
     runs = word_runs(F.col("needle"))
     needles = needles.where(F.col("needle") != "").withColumn("runs", runs)
     is_long = F.size("runs") >= 3
-    parts = []
-    if short is not True:
-        parts.append(_long_pairs(texts, needles.where(is_long)))
-    if short is not False:
-        parts.append(_short_pairs(texts, needles.where(~is_long)))
-    if len(parts) == 1:
-        return parts[0]
-    return parts[0].unionByName(parts[1])
+    long, short = needles.where(is_long), needles.where(~is_long)
+    return _long_pairs(texts, long).unionByName(_short_pairs(texts, short))
 
 
 def _long_pairs(texts: DataFrame, needles: DataFrame) -> DataFrame:

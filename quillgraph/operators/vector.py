@@ -25,8 +25,12 @@ PROVIDERS = {
 
 
 def provider_vectors(df: DataFrame, column: str, dimension: int) -> DataFrame:
-    """Rows holding a vector of exactly the provider's dimension, under the name ``vector``."""
-    return df.where(F.size(column) == dimension).withColumnRenamed(column, "vector")
+    """Rows holding a vector, under the name ``vector``; one of another dimension fails the job."""
+    found = F.size(column).cast("string")
+    misfit = F.raise_error(F.concat(F.lit(f"vector of dimension {dimension} wanted, found "), found))
+    checked = F.when(F.size(column) == dimension, F.col(column)).otherwise(misfit)
+    held = df.where(F.col(column).isNotNull())
+    return held.withColumn(column, checked).withColumnRenamed(column, "vector")
 
 
 def _unit(matrix: np.ndarray) -> np.ndarray:

@@ -231,14 +231,14 @@ def rrf_three_way(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "rrf_text_identity",
     f"""WITH {S.bm25(k=20)}, {S.fulltext(k=20)},
-u AS (SELECT query_id, rank, substr(text, 1, 50) || '_' || source AS identity FROM
+u AS (SELECT query_id, rank, md5(text) || '_' || source AS identity FROM
   (SELECT * FROM bm UNION ALL SELECT * FROM ft) JOIN documents USING (doc_id)),
 s AS (SELECT query_id, identity, round(sum(1.0 / (60 + rank)), 9) AS score FROM u GROUP BY ALL)
 SELECT query_id, rank, identity, score FROM (SELECT *, row_number() OVER
   (PARTITION BY query_id ORDER BY score DESC, identity) AS rank FROM s) WHERE rank <= 10""",
 )
 def rrf_text_identity(spark: SparkSession, d: str) -> DataFrame:
-    """Fusion on text-prefix identity: copies from one source count as one document."""
+    """Fusion on the identity of whole texts: copies from one source count as one document."""
     identity = fusion.text_identity(F.col("text"), F.col("source")).alias("identity")
     names = table(spark, d, "documents").select("doc_id", identity)
     asked = inputs.queries(spark, d)

@@ -34,7 +34,7 @@ def test_infobox_is_moved_before_the_first_section(spark):
     assert text == "Intro\n\nTribe: Snow\nH: 2\nfree\n\n## S\n\nx"
 
 
-def test_chunks_follow_headings_and_bad_pages_are_skipped(spark):
+def test_chunks_follow_headings_and_bad_pages_are_listed(spark):
     html = "<p>pre</p><h1>A</h1><p>one</p><h2>B</h2>two<h3>C</h3>three<h2>D</h2>four"
     rows = P.chunk_by_header(page(spark, html)).orderBy("chunk_no").collect()
     assert [(r["h1"], r["h2"], r["h3"], r["text"]) for r in rows] == [
@@ -48,6 +48,18 @@ def test_chunks_follow_headings_and_bad_pages_are_skipped(spark):
 
     two = spark.createDataFrame([(1, "bad"), (2, "fine")], "page_id int, html string")
     assert [tuple(r) for r in P.parse_pages(two, picky, "n int").collect()] == [(2, 4)]
+    assert [tuple(r) for r in P.page_errors(two, picky).collect()] == [(1, "ValueError: broken")]
+
+
+def test_deep_pages_are_kept(spark):
+    deep = spark.createDataFrame(
+        [(1, "<p>a" * 5000), (2, "<div><b>" * 3000 + "x")], "page_id int, html string"
+    )
+    texts = {r["page_id"]: r["text"] for r in P.page_text(deep).collect()}
+    assert texts[1].count("a") == 5000 and texts[2].strip() == "x"
+    kept = {r["page_id"]: r["html"] for r in P.strip_boilerplate(deep).collect()}
+    assert kept[1] == "<p>a" * 5000 + "</p>" * 5000 and kept[2].endswith("</div>")
+    assert {r["page_id"] for r in P.chunk_by_header(deep, split=False).collect()} == {1, 2}
 
 
 def test_red_links_and_spans(spark):

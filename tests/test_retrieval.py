@@ -133,10 +133,33 @@ def test_vector_topk_both_paths(spark, budget):
 def test_vector_dimension_is_enforced(spark):
     docs = spark.createDataFrame([(1, [1.0, 0.0, 0.0]), (2, [1.0])], "doc_id int, vector array<float>")
     q = spark.createDataFrame([(1, [1.0, 0.0, 0.0])], "query_id int, vector array<float>")
-    rows = vector.vector_topk(q, docs, 1, 3).collect()
+    with pytest.raises(Exception, match="dimension 3 wanted, found 1"):
+        vector.vector_topk(q, docs, 1, 3).collect()
+    fitting = docs.where("doc_id = 1").unionByName(docs.selectExpr("3 doc_id", "cast(null as array<float>) vector"))
+    rows = vector.vector_topk(q, fitting, 1, 3).collect()
     assert [(r["doc_id"], r["score"]) for r in rows] == [(1, 1.0)]
 
 
+def test_identity_looks_at_whole_texts(spark):
+    head = "x" * 60
+    rows = spark.createDataFrame(
+        [(1, head + "a", "s"), (2, head + "b", "s"), (3, head + "a", "s"), (4, head + "a", "t"), (5, None, "s")],
+        "doc_id int, text string, source string",
+    )
+    identity = fusion.text_identity(F.col("text"), F.col("source")).alias("i")
+    found = {r["doc_id"]: r["i"] for r in rows.select("doc_id", identity).collect()}
+    assert found[1] == found[3] and len(set(found.values())) == 4 and None not in found.values()
+
+
+def test_padding_keeps_matches_below_zero(spark):
+    docs = spark.createDataFrame([(i, "common") for i in range(6)] + [(9, "other")], "doc_id int, text string")
+    query = spark.createDataFrame([(0, "common")], "query_id int, query string")
+    rows = lexical.bm25_search(query, docs, 2, fill_zero=True).collect()
+    plain = lexical.bm25_search(query, docs, 7).collect()
+    scores = {r["doc_id"]: r["score"] for r in plain}
+    assert scores and all(r["score"] == scores.get(r["doc_id"], 0.0) for r in rows)
+
+
 def test_approximate_recall(spark):
     _, doc_rows = vectors(spark, 200, 8, 3, "doc_id")
     _, query_rows = vectors(spark, 5, 8, 3, "query_id")
@@ -164,11 +187,12 @@ def test_contains_pairs_against_brute_force(spark):
 
 def test_candidates_are_normalized(spark):
     rows = spark.createDataFrame(
-        [(1, "a", 0, None), (1, "b", 1, 0.5), (1, "c", 2, None), (2, None, None, None)],
+        [(1, "a", 0, None), (1, "b", 1, 0.5), (1, "c", 2, None), (2, None, None, None), (3, "d", None, None)],
         "query_id int, doc_id string, result_index int, score double",
     )
+    rows = rows.withColumn("no_results", F.col("query_id") == 2)
     got = [tuple(r) for r in fusion.normalize_candidates(rows, 2).select("query_id", "doc_id", "score", "rank").collect()]
-    assert got == [(1, "a", 1.0, 1), (1, "b", 0.5, 2)]
+    assert sorted(got) == [(1, "a", 1.0, 1), (1, "b", 0.5, 2), (3, "d", 1.0, 1)]
 
 
 def test_run_marks_failed_queries(spark):
