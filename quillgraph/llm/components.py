@@ -32,6 +32,16 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
     return found.where("x > m").select(F.col("x").alias("u"), F.col("m").alias("v")).distinct()
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node hangs on one node at most, and only on nodes that hang on none."""
+    ends = edges.select(F.inline(F.array(
+        F.struct(F.col("u").alias("node"), F.lit(1).alias("hangs")),
+        F.struct(F.col("v").alias("node"), F.lit(0).alias("hangs")),
+    )))
+    ties = ends.groupBy("node").agg(F.sum("hangs").alias("up"), F.count("*").alias("all"))
+    return ties.where("up > 1 or up = 1 and all > 1").isEmpty()
+
+
 def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     """(node, root) for every node that has an edge; the root is the smallest node reachable.
 
@@ -39,14 +49,8 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     """
     a, b = F.col(left), F.col(right)
     pairs = edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    current, mark = stored(pairs, "edges"), None
-    while True:
-        total = current.agg(
-            F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.countDistinct("u")
-        ).first()
-        if not total[0] or mark == total[:2] and total[0] == total[2]:
-            break
-        mark = total[:2]
+    current = stored(pairs, "edges")
+    while not _stars(current):
         following = stored(_star(_star(current, False), True), "edges")
         discard(current)
         current = following
