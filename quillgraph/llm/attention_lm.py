@@ -15,7 +15,6 @@ windows of ``2 * BLOCK``.
 
 from __future__ import annotations
 
-from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,16 +24,44 @@ END = 50256
 VOCABULARY = END + 1
 
 
-def split_words(encode, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First ids of the words, all other ids with a stop after each word, and their numbers."""
-    heads, inner, sizes = np.empty(len(words), np.int64), array("q"), np.empty(len(words), np.int64)
-    for k, word in enumerate(words):
-        ids = encode(" " + word.decode("utf-8", "replace")).tolist()
-        heads[k] = ids[0]
-        inner.extend(ids[1:])
-        inner.append(END)
-        sizes[k] = len(ids)
-    return heads, np.array(inner, np.int64), sizes
+def split_words(tokens, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First ids of the words, all other ids with a stop after each word, and their numbers.
+
+    ``tokens`` has ``ids(text)`` and the flags ``spaced``. Words without white space of any kind
+    are encoded many at a time: no id reaches over a space, so each word begins where one does.
+    """
+    parts, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+    def encode(texts: list[str]) -> None:
+        ids = tokens.ids("".join(texts)).astype(np.int64)
+        first = np.flatnonzero(tokens.spaced[ids]) if len(texts) > 1 else np.zeros(1, np.int64)
+        if len(first) == len(texts):
+            parts.append(ids)
+            sizes.append(np.diff(first, append=len(ids)))
+        else:
+            for text in texts:
+                encode([text])
+
+    run: list[str] = []
+    for word in words:
+        text = word.decode("utf-8", "replace")
+        if text.isprintable() and "<|" not in text and len(text) < 256:
+            run.append(" " + text)
+            if len(run) < 4096:
+                continue
+            text = None
+        if run:
+            encode(run)
+            run = []
+        if text is not None:
+            encode([" " + text])
+    if run:
+        encode(run)
+    ids, size = np.concatenate(parts), np.concatenate(sizes)
+    ends = np.cumsum(size)
+    inner = np.append(ids[1:], END)
+    inner[ends - 1] = END
+    return ids[ends - size], inner[: len(ids)], size
 
 
 @dataclass

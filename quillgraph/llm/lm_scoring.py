@@ -87,11 +87,11 @@ def subword_counts(counts: DataFrame, vocabulary: str) -> tuple[np.ndarray, np.n
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, VOCABULARY))
-        encode = tokenizer(vocabulary).ids
+        tokens = tokenizer(vocabulary)
         for batch in batches:
             words, n = batch.column(0).to_pylist(), batch.column(1).to_numpy()
             real = np.array([bool(w) for w in words], bool)
-            heads, inner, sizes = split_words(encode, [w for w in words if w])
+            heads, inner, sizes = split_words(tokens, [w for w in words if w])
             total[0] += np.bincount(heads, n[real], VOCABULARY)
             total[1] += np.bincount(inner, np.repeat(n[real], sizes), VOCABULARY)
             total[0, END] += n[~real].sum()
@@ -113,7 +113,7 @@ class Scorer:
         self.outer, self.inner = (
             Attention(c.count, width, part, c.prior) for c, part in zip(classes, parts, strict=True)
         )
-        self._encode = tokenizer(vocabulary).ids
+        self._tokens = tokenizer(vocabulary)
         self.clear()
 
     def clear(self) -> None:
@@ -126,7 +126,7 @@ class Scorer:
 
     def inner_blocks(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, tuple]:
         """First ids, all inner ids with stops, and the blocks of the inner stream."""
-        heads, inner, sizes = split_words(self._encode, words)
+        heads, inner, sizes = split_words(self._tokens, words)
         starts = self.classes[0].of[heads].astype(np.int32)
         blocks = self.inner.blocks(self.classes[1].of[inner], sizes, starts)
         return heads, inner, (*blocks, sizes)
@@ -136,14 +136,14 @@ class Scorer:
         if len(self._number) > REMEMBERED:
             self.clear()
         number = self._number
-        known = len(number)
-        places = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
-        if len(number) > known:
-            fresh = [w for w, _ in zip(reversed(number), range(len(number) - known), strict=False)][::-1]
+        fresh = [w for w in dict.fromkeys(words) if w not in number]
+        if fresh:
+            number.update(zip(fresh, range(len(number), len(number) + len(fresh)), strict=True))
             heads, inner, (keys, targets, mask, sizes) = self.inner_blocks(fresh)
             each = self.inner.scored(keys, targets, mask) + self.classes[1].within[inner]
             self._heads = np.concatenate([self._heads, heads])
             self._scores = np.concatenate([self._scores, np.add.reduceat(each, np.cumsum(sizes) - sizes)])
+        places = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
         return self._heads[places], self._scores[places]
 
     def texts(self, words: list[bytes], sizes: list[int]) -> np.ndarray:

@@ -56,6 +56,9 @@ class Tokenizer:
             "byte_bpe", pat_str=pattern, mergeable_ranks=table, special_tokens={END_OF_TEXT: len(table)}
         )
         self._vocabulary, self._plain = vocabulary, None
+        #: Whether an id begins with a space.
+        self.spaced = np.zeros(len(table) + 1, bool)
+        self.spaced[[i for token, i in table.items() if token[:1] == b" "]] = True
 
     def exact(self, text: str) -> np.ndarray:
         if self._plain is None:
