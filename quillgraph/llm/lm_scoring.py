@@ -6,7 +6,8 @@ counts may be of any size. Subword frequencies follow from the word counts. The
 starts from one set of parameters and is trained where the texts are: each task takes gradient
 steps on its share of the training spans, the parameters are averaged over all tasks, and this
 is repeated ``rounds`` times. Training spans are one in ``stride`` runs of ``SPAN`` words of
-every training document, a fixed share that grows with the corpus. All texts are scored whole.
+every training document, a fixed share that grows with the corpus. All texts are scored whole; the
+model's probability of the inside of a word is joined with the counts of the frequent words.
 
 Defined cases: a null or empty text is the end token alone; a null id is never held out; without
 training documents all counts are zero and the model has even classes; repeated rows are scored
@@ -104,11 +105,45 @@ def subword_counts(counts: DataFrame, vocabulary: str) -> tuple[np.ndarray, np.n
     return out[:VOCABULARY], out[VOCABULARY:]
 
 
+class WordMemory:
+    """Counts of the frequent words, which sharpen what the model says of the inside of a word.
+
+    After a first id with ``all`` training occurrences, of which words of the list have
+    ``all - rest``, an inside of probability p and count c gets
+    (c + (kinds + rest) * p) / (all + kinds), ``kinds`` being the listed words with that first id.
+    These sum to one over all insides, as p does.
+    """
+
+    def __init__(self, known: dict[bytes, int], firsts: np.ndarray, vocabulary: str):
+        words = [w for w in known if w]
+        heads = split_words(tokenizer(vocabulary), words)[0]
+        counts = np.fromiter((known[w] for w in words), float, len(words))
+        kinds = np.bincount(heads, minlength=VOCABULARY)
+        rest = np.maximum(firsts - np.bincount(heads, counts, VOCABULARY), 0)
+        seen = firsts + kinds > 0
+        self.known = known
+        with np.errstate(divide="ignore"):
+            self.free = np.where(seen, np.log(kinds + rest), 0.0)
+        self.whole = np.where(seen, np.log(np.maximum(firsts + kinds, 1)), 0.0)
+
+    def sharpened(self, words: list[bytes], heads: np.ndarray, inside: np.ndarray) -> np.ndarray:
+        counts = np.fromiter((self.known.get(w, 0) for w in words), float, len(words))
+        with np.errstate(divide="ignore"):
+            return np.logaddexp(np.log(counts), self.free[heads] + inside) - self.whole[heads]
+
+
 class Scorer:
     """Both models with their classes; remembers first ids and inner scores of words."""
 
-    def __init__(self, classes: tuple[Classes, Classes], width: int, params: np.ndarray | None, vocabulary: str):
-        self.classes = classes
+    def __init__(
+        self,
+        classes: tuple[Classes, Classes],
+        width: int,
+        params: np.ndarray | None,
+        vocabulary: str,
+        memory: WordMemory | None = None,
+    ):
+        self.classes, self._memory = classes, memory
         parts = (None, None) if params is None else np.split(params, 2)
         self.outer, self.inner = (
             Attention(c.count, width, part, c.prior) for c, part in zip(classes, parts, strict=True)
@@ -142,7 +177,10 @@ class Scorer:
             heads, inner, (keys, targets, mask, sizes) = self.inner_blocks(fresh)
             each = self.inner.scored(keys, targets, mask) + self.classes[1].within[inner]
             self._heads = np.concatenate([self._heads, heads])
-            self._scores = np.concatenate([self._scores, np.add.reduceat(each, np.cumsum(sizes) - sizes)])
+            inside = np.add.reduceat(each, np.cumsum(sizes) - sizes)
+            if self._memory:
+                inside = self._memory.sharpened(fresh, heads, inside)
+            self._scores = np.concatenate([self._scores, inside])
         places = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
         return self._heads[places], self._scores[places]
 
@@ -223,17 +261,17 @@ SCORED = (
 
 def score_rows(
     docs: DataFrame,
-    known: dict[bytes, int],
+    memory: WordMemory,
     classes: tuple[Classes, Classes],
     params: np.ndarray,
     vocabulary: str,
     width: int,
 ) -> DataFrame:
     """Per row the model's score, the base sums over frequent words, and the other words."""
-    logs = {w: float(np.log10(c + 1)) for w, c in known.items()}
+    logs = {w: float(np.log10(c + 1)) for w, c in memory.known.items()}
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(classes, width, params, vocabulary)
+        scorer = Scorer(classes, width, params, vocabulary, memory)
         row = TaskContext.get().partitionId() << 33
 
         def measured(group: list[tuple]) -> pa.RecordBatch:
@@ -310,9 +348,11 @@ def score_texts(
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     top = counts.orderBy(F.desc("c"), "word").limit(frequent).toArrow()
     known = dict(zip(top.column("word").to_pylist(), top.column("c").to_pylist(), strict=True))
-    classes = tuple(make_classes(c) for c in subword_counts(counts, vocabulary))
+    subwords = subword_counts(counts, vocabulary)
+    memory = WordMemory(known, subwords[0], vocabulary)
+    classes = tuple(make_classes(c) for c in subwords)
     params = train(gathered.where("n = 0").select("word"), classes, vocabulary, rounds, rate, width)
-    scored = stored(score_rows(rows, known, classes, params, vocabulary, width), "scored")
+    scored = stored(score_rows(rows, memory, classes, params, vocabulary, width), "scored")
     discard(gathered)
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select(
         "row", F.col("w.rare").alias("word"), F.col("w.times").alias("times")

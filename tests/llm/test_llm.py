@@ -13,7 +13,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quillgraph.llm import attention_lm, line_dedup, mixing, packing, quality_rules, simhash, warc, wrappers
+from quillgraph.llm import attention_lm, line_dedup, lm_scoring, mixing, packing, quality_rules, simhash, warc, wrappers
 from quillgraph.llm.document_stats import text_counts
 from quillgraph.llm.lm_scoring import score_texts
 from quillgraph.llm.neighbours import embedding_groups
@@ -302,6 +302,34 @@ def test_attention_gradient_and_windows():
     assert np.allclose(whole.sum(axis=0), 1)
 
 
+def test_words_split_alike_alone_and_together():
+    tokens = packing.tokenizer("byte_bpe_50k")
+    words = "plain don't 's café \xa0a b\xa0 \u3000 a<|endoftext|>b x1,y2 \x85 日本語".split(" ")
+    words = [w.encode() for w in words] + [b"\xff\xfe", b"z" * 3000] + [b"w%d" % k for k in range(5000)]
+    heads, inner, sizes = attention_lm.split_words(tokens, words)
+    want = [tokens.ids(" " + w.decode("utf-8", "replace")).tolist() for w in words]
+    assert heads.tolist() == [ids[0] for ids in want] and sizes.tolist() == [len(ids) for ids in want]
+    assert inner.tolist() == [i for ids in want for i in [*ids[1:], attention_lm.END]]
+    assert [len(part) for part in attention_lm.split_words(tokens, [])] == [0, 0, 0]
+
+
+def test_word_memory_keeps_probabilities_whole():
+    tokens = packing.tokenizer("byte_bpe_50k")
+    words = [b"unbelievable", b"unbearable", b"unbroken"]
+    heads = attention_lm.split_words(tokens, words)[0]
+    firsts = np.zeros(attention_lm.VOCABULARY)
+    np.add.at(firsts, heads, [7, 5, 4])
+    memory = lm_scoring.WordMemory(dict(zip(words[:2], (7, 5), strict=True)), firsts, "byte_bpe_50k")
+    inside = np.log([0.2, 0.3, 0.4])
+    got = np.exp(memory.sharpened(words, heads, inside))
+    for head in set(heads.tolist()):
+        same = heads == head
+        mass, left = got[same].sum(), 1 - np.exp(inside[same]).sum()
+        listed = [c for c, h in zip((7, 5), heads[:2], strict=True) if h == head]
+        rest = len(listed) + firsts[head] - sum(listed)
+        assert abs(mass + rest * left / (firsts[head] + len(listed)) - 1) < 1e-9
+
+
 def test_scores_match_brute_force_base(spark, awkward, empty):
     docs = read_table(spark, SMALL, "documents").select("doc_id", "text").unionByName(awkward.select("doc_id", "text"))
     rows = [(r[0], r[1]) for r in docs.collect()]
