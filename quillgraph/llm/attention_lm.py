@@ -246,16 +246,17 @@ class Attention:
         da = np.matmul(d, v.transpose(0, 2, 1))
         ds = a * (da - (da * a).sum(axis=2, keepdims=True))
         g["near"][:] = np.bincount(self.distance.ravel(), ds.sum(axis=0).ravel(), 2 * BLOCK)
-        for name, at, value in (
-            ("query", inputs, np.matmul(ds, k) * scale),
-            ("key", keys, np.matmul(ds.transpose(0, 2, 1), q) * scale),
-            ("value", keys, np.matmul(a.transpose(0, 2, 1), d)),
-            ("direct", inputs, d),
+        for names, at, values in (
+            (("query", "direct"), inputs, (np.matmul(ds, k) * scale, d)),
+            (("key", "value"), keys, (np.matmul(ds.transpose(0, 2, 1), q) * scale, np.matmul(a.transpose(0, 2, 1), d))),
         ):
-            order = np.argsort(at.ravel(), kind="stable")
-            sorted_at = at.ravel()[order]
+            flat_at = at.ravel().astype(np.int16 if rows < 1 << 15 else np.int64)
+            order = np.argsort(flat_at, kind="stable")
+            sorted_at = flat_at[order]
             first = np.flatnonzero(np.r_[True, sorted_at[1:] != sorted_at[:-1]])
-            g[name][sorted_at[first]] = np.add.reduceat(value.reshape(-1, self.width)[order], first, axis=0)
+            for name, value in zip(names, values, strict=True):
+                sums = np.add.reduceat(value.reshape(-1, self.width).take(order, 0), first, axis=0)
+                g[name][sorted_at[first]] = sums
         return -float((logs * real).sum()), grad
 
 

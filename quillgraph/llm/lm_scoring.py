@@ -5,9 +5,10 @@ Word counts cover all training documents. The frequent words, a list of fixed le
 counts may be of any size. Subword frequencies follow from the word counts. The attention model
 starts from one set of parameters and is trained where the texts are: each task takes gradient
 steps on its share of the training spans, the parameters are averaged over all tasks, and this
-is repeated ``rounds`` times. Training spans are one in ``stride`` runs of ``SPAN`` words of
-every training document, a fixed share that grows with the corpus. All texts are scored whole; the
-model's probability of the inside of a word is joined with the counts of the frequent words.
+is repeated ``rounds`` times. Every training document is cut into runs of ``SPAN`` words; each run
+is used in one of the rounds, so all words of all training documents shape the model. All texts
+are scored whole; the model's probability of the inside of a word is joined with the counts of the
+frequent words.
 
 Defined cases: a null or empty text is the end token alone; a null id is never held out; without
 training documents all counts are zero and the model has even classes; repeated rows are scored
@@ -18,6 +19,8 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import partial
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +30,12 @@ from pyspark.sql import functions as F
 
 from quillgraph.llm.attention_lm import BLOCK, END, VOCABULARY, Adam, Attention, Classes, make_classes, split_words
 from quillgraph.llm.packing import tokenizer
-from quillgraph.llm.storage import discard, stored
+from quillgraph.llm.storage import stored
 
 SPAN = 32
-#: Words of text handled at once, distinct words remembered, blocks of positions per gradient step.
-CHUNK, REMEMBERED, STEP = 200_000, 400_000, 128
+#: Words of text handled at once, distinct words remembered, blocks of positions per gradient step,
+#: spans whose distinct words are learnt from together.
+CHUNK, REMEMBERED, STEP, TOGETHER = 200_000, 400_000, 1024, 8192
 
 
 def _selected(docs: DataFrame, hold: int, held: int, id_col: str, text_col: str) -> DataFrame:
@@ -48,39 +52,38 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def count_words(docs: DataFrame, stride: int) -> DataFrame:
-    """word and n per task (the empty word is the end token), and spans of training text (n = 0)."""
+def spans_of(doc: int | None, text: str | None, turn: int, rounds: int) -> Iterator[list[bytes]]:
+    """The runs of ``SPAN`` words of a text that round ``turn`` of ``rounds`` uses, the last with the end token.
+
+    Together the rounds use every run once; short texts are dealt to the rounds by their ids.
+    """
+    words = [*words_of(text), b""]
+    for k in range((turn - (doc or 0)) % rounds * SPAN, len(words), rounds * SPAN):
+        yield words[k : k + SPAN]
+
+
+def count_words(docs: DataFrame) -> DataFrame:
+    """word and n per task; the empty word is the end token."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
-        spans: list[bytes] = []
 
         def flush() -> pa.RecordBatch:
             batch = pa.RecordBatch.from_arrays(
-                [
-                    pa.array([*seen, *spans], pa.binary()),
-                    pa.array([*seen.values(), *[0] * len(spans)], pa.int64()),
-                ],
-                names=["word", "n"],
+                [pa.array([*seen], pa.binary()), pa.array([*seen.values()], pa.int64())], names=["word", "n"]
             )
             seen.clear()
-            spans.clear()
             return batch
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words = words_of(text.as_py())
-                seen.update(words)
+            for text in batch.column(0):
+                seen.update(words_of(text.as_py()))
                 seen[b""] += 1
-                first = (doc or 0) % stride
-                for at in range(first * SPAN, len(words), stride * SPAN):
-                    last = b"\n" if at + SPAN >= len(words) else b""
-                    spans.append(b" ".join(words[at : at + SPAN]) + last)
                 if len(seen) > 300_000:
                     yield flush()
         yield flush()
 
-    return docs.where("not held_out").select("doc_id", "text").mapInArrow(count, "word binary, n long")
+    return docs.where("not held_out").select("text").mapInArrow(count, "word binary, n long")
 
 
 def subword_counts(counts: DataFrame, vocabulary: str) -> tuple[np.ndarray, np.ndarray]:
@@ -193,14 +196,18 @@ class Scorer:
 
 
 def train(
-    spans: DataFrame,
+    docs: DataFrame,
     classes: tuple[Classes, Classes],
     vocabulary: str,
     rounds: int,
     rate: float,
     width: int,
 ) -> np.ndarray:
-    """Parameters after ``rounds`` of local gradient steps and averaging, weighted by positions."""
+    """Parameters after ``rounds`` of local gradient steps and averaging, weighted by positions.
+
+    The rounds share all spans of the training documents between them.
+    """
+    taught = docs.where("not held_out").select("doc_id", "text")
     params = Scorer(classes, width, None, vocabulary).params
 
     def steps(model: Attention, adam: Adam, keys: np.ndarray, targets: np.ndarray, weight: np.ndarray) -> None:
@@ -209,27 +216,28 @@ def train(
             pick = order[k : k + STEP]
             adam.step(model.params, model.gradient(keys[pick], targets[pick], weight[pick])[1])
 
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def learn(batches: Iterator[pa.RecordBatch], turn: int) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(classes, width, params, vocabulary)
         outer, inner = (Adam(len(m.params), rate) for m in (scorer.outer, scorer.inner))
         positions = 0
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for at in range(0, len(texts), 2048):
-                words, sizes = [], []
-                for text in texts[at : at + 2048]:
-                    part = text.split()
-                    words += part + [b""] * text.endswith(b"\n")
-                    sizes.append(len(part) + text.endswith(b"\n"))
-                distinct = Counter(w for w in words if w)
-                heads, _, (keys, targets, mask, per_word) = scorer.inner_blocks(list(distinct))
-                first = dict(zip(distinct, heads.tolist(), strict=True)) | {b"": END}
-                copies = np.repeat(np.fromiter(distinct.values(), float, len(distinct)), -(-per_word // BLOCK))
-                steps(scorer.inner, inner, keys, targets, mask * copies[:, None])
-                stream = scorer.classes[0].of[np.array([first[w] for w in words], np.int64)]
-                keys, targets, mask = scorer.outer.blocks(stream, np.asarray(sizes))
-                steps(scorer.outer, outer, keys, targets, mask)
-                positions += len(words)
+        spans = (
+            span
+            for batch in batches
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)
+            for span in spans_of(doc, text.as_py(), turn, rounds)
+        )
+        while group := list(islice(spans, TOGETHER)):
+            words, sizes = list(chain.from_iterable(group)), list(map(len, group))
+            distinct = Counter(words)
+            distinct.pop(b"", None)
+            heads, _, (keys, targets, mask, per_word) = scorer.inner_blocks(list(distinct))
+            first = dict(zip(distinct, heads.tolist(), strict=True)) | {b"": END}
+            copies = np.repeat(np.fromiter(distinct.values(), float, len(distinct)), -(-per_word // BLOCK))
+            steps(scorer.inner, inner, keys, targets, mask * copies[:, None])
+            stream = scorer.classes[0].of[np.array([first[w] for w in words], np.int64)]
+            keys, targets, mask = scorer.outer.blocks(stream, np.asarray(sizes))
+            steps(scorer.outer, outer, keys, targets, mask)
+            positions += len(words)
         if positions:
             learnt = scorer.params
             yield pa.RecordBatch.from_arrays(
@@ -241,9 +249,9 @@ def train(
                 names=["place", "value", "weight"],
             )
 
-    for _ in range(rounds):
+    for turn in range(rounds):
         learnt = (
-            spans.mapInArrow(learn, "place long, value double, weight double")
+            taught.mapInArrow(partial(learn, turn=turn), "place long, value double, weight double")
             .groupBy("place")
             .agg((F.sum("value") / F.sum("weight")).alias("value"))
             .toArrow()
@@ -332,7 +340,6 @@ def score_texts(
     hold: int = 7,
     held: int = 2,
     frequent: int = 1 << 17,
-    stride: int = 24,
     rounds: int = 2,
     rate: float = 0.02,
     width: int = 16,
@@ -341,19 +348,15 @@ def score_texts(
 ) -> DataFrame:
     """Base and model log10 probability of every text."""
     rows = _selected(docs, hold, held, id_col, text_col)
-    gathered = stored(count_words(rows, stride), "words")
-    counts = stored(
-        gathered.where("n > 0").groupBy("word").agg(F.sum("n").alias("c")), "word-counts"
-    )
+    counts = stored(count_words(rows).groupBy("word").agg(F.sum("n").alias("c")), "word-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     top = counts.orderBy(F.desc("c"), "word").limit(frequent).toArrow()
     known = dict(zip(top.column("word").to_pylist(), top.column("c").to_pylist(), strict=True))
     subwords = subword_counts(counts, vocabulary)
     memory = WordMemory(known, subwords[0], vocabulary)
     classes = tuple(make_classes(c) for c in subwords)
-    params = train(gathered.where("n = 0").select("word"), classes, vocabulary, rounds, rate, width)
+    params = train(rows, classes, vocabulary, rounds, rate, width)
     scored = stored(score_rows(rows, memory, classes, params, vocabulary, width), "scored")
-    discard(gathered)
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select(
         "row", F.col("w.rare").alias("word"), F.col("w.times").alias("times")
     )

@@ -330,6 +330,19 @@ def test_word_memory_keeps_probabilities_whole():
         assert abs(mass + rest * left / (firsts[head] + len(listed)) - 1) < 1e-9
 
 
+def test_every_training_word_shapes_the_model(spark):
+    for doc, n in ((None, 3), (23, 5), (-1, 200), (24, 32), (7, 0)):
+        text = " ".join(f"w{k}" for k in range(n))
+        spans = [s for turn in range(2) for s in lm_scoring.spans_of(doc, text, turn, 2)]
+        assert sorted(w for s in spans for w in s) == sorted([*lm_scoring.words_of(text), b""])
+    rows = spark.createDataFrame([(23, False, "a few words")], "doc_id long, held_out boolean, text string")
+    classes = tuple(attention_lm.make_classes(np.zeros(attention_lm.VOCABULARY)) for _ in range(2))
+    start = lm_scoring.Scorer(classes, 16, None, "byte_bpe_50k").params
+    half = len(start) // 2
+    learnt = lm_scoring.train(rows, classes, "byte_bpe_50k", 2, 0.02, 16)
+    assert (learnt[:half] != start[:half]).any() and (learnt[half:] != start[half:]).any()
+
+
 def test_scores_match_brute_force_base(spark, awkward, empty):
     docs = read_table(spark, SMALL, "documents").select("doc_id", "text").unionByName(awkward.select("doc_id", "text"))
     rows = [(r[0], r[1]) for r in docs.collect()]
