@@ -7,8 +7,8 @@ starts from one set of parameters and is trained where the texts are: each task
 steps on its share of the training spans, the parameters are averaged over all tasks, and this
 is repeated ``rounds`` times. Every training document is cut into runs of ``SPAN`` words; each run
 is used in one of the rounds, so all words of all training documents shape the model. All texts
-are scored whole; the model's probability of the inside of a word is joined with the counts of the
-frequent words.
+are scored whole; the model's probability of the inside of a word is joined with the counts of all
+words, those of the frequent ones in the tasks and those of the others in the join.
 
 Defined cases: a null or empty text is the end token alone; a null id is never held out; without
 training documents all counts are zero and the model has even classes; repeated rows are scored
@@ -25,7 +25,7 @@ from itertools import chain, islice
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm.attention_lm import BLOCK, END, VOCABULARY, Adam, Attention, Classes, make_classes, split_words
@@ -86,11 +86,13 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.where("not held_out").select("text").mapInArrow(count, "word binary, n long")
 
 
-def subword_counts(counts: DataFrame, vocabulary: str) -> tuple[np.ndarray, np.ndarray]:
-    """Occurrences in the training texts of first ids (and ends), and of inner ids (and stops)."""
+def subword_counts(counts: DataFrame, vocabulary: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Occurrences in the training texts of first ids (and ends), and of inner ids (and stops),
+    and distinct words by first id.
+    """
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, VOCABULARY))
+        total = np.zeros((3, VOCABULARY))
         tokens = tokenizer(vocabulary)
         for batch in batches:
             words, n = batch.column(0).to_pylist(), batch.column(1).to_numpy()
@@ -98,31 +100,35 @@ def subword_counts(counts: DataFrame, vocabulary: str) -> tuple[np.ndarray, np.n
             heads, inner, sizes = split_words(tokens, [w for w in words if w])
             total[0] += np.bincount(heads, n[real], VOCABULARY)
             total[1] += np.bincount(inner, np.repeat(n[real], sizes), VOCABULARY)
+            total[2] += np.bincount(heads, minlength=VOCABULARY)
             total[0, END] += n[~real].sum()
         at = np.flatnonzero(total.ravel())
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], names=["id", "n"])
 
     rows = counts.mapInArrow(split, "id long, n double").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(2 * VOCABULARY)
+    out = np.zeros(3 * VOCABULARY)
     out[rows.column("id").to_numpy()] = rows.column("n").to_numpy()
-    return out[:VOCABULARY], out[VOCABULARY:]
+    return tuple(out.reshape(3, VOCABULARY))
 
 
 class WordMemory:
-    """Counts of the frequent words, which sharpen what the model says of the inside of a word.
+    """Counts of words, which sharpen what the model says of the inside of a word.
 
-    After a first id with ``all`` training occurrences, of which words of the list have
+    After a first id with ``all`` training occurrences, of which the counted words have
     ``all - rest``, an inside of probability p and count c gets
-    (c + (kinds + rest) * p) / (all + kinds), ``kinds`` being the listed words with that first id.
-    These sum to one over all insides, as p does.
+    (c + (kinds + rest) * p) / (all + kinds), ``kinds`` being the counted words with that first id.
+    These sum to one over all insides, as p does. ``known`` has the counts at hand; if ``kinds`` is
+    given, all words are counted, and what is not in ``known`` has its count elsewhere.
     """
 
-    def __init__(self, known: dict[bytes, int], firsts: np.ndarray, vocabulary: str):
-        words = [w for w in known if w]
-        heads = split_words(tokenizer(vocabulary), words)[0]
-        counts = np.fromiter((known[w] for w in words), float, len(words))
-        kinds = np.bincount(heads, minlength=VOCABULARY)
-        rest = np.maximum(firsts - np.bincount(heads, counts, VOCABULARY), 0)
+    def __init__(self, known: dict[bytes, int], firsts: np.ndarray, vocabulary: str, kinds: np.ndarray | None = None):
+        rest = 0.0
+        if kinds is None:
+            words = [w for w in known if w]
+            heads = split_words(tokenizer(vocabulary), words)[0]
+            counts = np.fromiter((known[w] for w in words), float, len(words))
+            kinds = np.bincount(heads, minlength=VOCABULARY)
+            rest = np.maximum(firsts - np.bincount(heads, counts, VOCABULARY), 0)
         seen = firsts + kinds > 0
         self.known = known
         with np.errstate(divide="ignore"):
@@ -134,6 +140,11 @@ class WordMemory:
         with np.errstate(divide="ignore"):
             return np.logaddexp(np.log(counts), self.free[heads] + inside) - self.whole[heads]
 
+    @staticmethod
+    def gain(count: Column, wide: Column) -> Column:
+        """What a count that was not at hand adds to :meth:`sharpened`; ``wide`` is free + inside."""
+        return F.log(count + F.exp(wide)) - wide
+
 
 class Scorer:
     """Both models with their classes; remembers first ids and inner scores of words."""
@@ -156,7 +167,7 @@ class Scorer:
 
     def clear(self) -> None:
         self._number: dict[bytes, int] = {b"": 0}
-        self._heads, self._scores = np.array([END]), np.zeros(1)
+        self._heads, self._scores, self._wide = np.array([END]), np.zeros(1), np.zeros(1)
 
     @property
     def params(self) -> np.ndarray:
@@ -182,11 +193,16 @@ class Scorer:
             self._heads = np.concatenate([self._heads, heads])
             inside = np.add.reduceat(each, np.cumsum(sizes) - sizes)
             if self._memory:
+                self._wide = np.concatenate([self._wide, self._memory.free[heads] + inside])
                 inside = self._memory.sharpened(fresh, heads, inside)
             self._scores = np.concatenate([self._scores, inside])
         places = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
         return self._heads[places], self._scores[places]
 
+    def wide(self, words: list[bytes]) -> list[float | None]:
+        """``free + inside`` of the memory for words of the last texts; the end has no inside."""
+        return [float(self._wide[self._number[w]]) if w else None for w in words]
+
     def texts(self, words: list[bytes], sizes: list[int]) -> np.ndarray:
         """log10 probability of texts, each closed by an empty word."""
         heads, inside = self.words(words)
@@ -263,7 +279,7 @@ def train(
 
 SCORED = (
     "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, "
-    "rare array<binary>, times array<int>"
+    "rare array<binary>, times array<int>, wide array<double>"
 )
 
 
@@ -275,7 +291,7 @@ def score_rows(
     vocabulary: str,
     width: int,
 ) -> DataFrame:
-    """Per row the model's score, the base sums over frequent words, and the other words."""
+    """Per row both sums with the counts of the frequent words, and the other words for the join."""
     logs = {w: float(np.log10(c + 1)) for w, c in memory.known.items()}
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,6 +329,7 @@ def score_rows(
                     pa.array(scores),
                     pa.array(rare, pa.list_(pa.binary())),
                     pa.array(times, pa.list_(pa.int32())),
+                    pa.array([scorer.wide(own) for own in rare], pa.list_(pa.float64())),
                 ],
                 names=[part.split()[0] for part in SCORED.split(", ")],
             )
@@ -353,12 +370,12 @@ def score_texts(
     top = counts.orderBy(F.desc("c"), "word").limit(frequent).toArrow()
     known = dict(zip(top.column("word").to_pylist(), top.column("c").to_pylist(), strict=True))
     subwords = subword_counts(counts, vocabulary)
-    memory = WordMemory(known, subwords[0], vocabulary)
-    classes = tuple(make_classes(c) for c in subwords)
+    memory = WordMemory(known, subwords[0], vocabulary, subwords[2])
+    classes = tuple(make_classes(c) for c in subwords[:2])
     params = train(rows, classes, vocabulary, rounds, rate, width)
     scored = stored(score_rows(rows, memory, classes, params, vocabulary, width), "scored")
-    rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select(
-        "row", F.col("w.rare").alias("word"), F.col("w.times").alias("times")
+    rare = scored.select("row", F.explode(F.arrays_zip("rare", "times", "wide")).alias("w")).select(
+        "row", F.col("w.rare").alias("word"), F.col("w.times").alias("times"), F.col("w.wide").alias("wide")
     )
     met = (
         rare.join(counts, "word")
@@ -366,9 +383,10 @@ def score_texts(
         .agg(
             F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("rare_base"),
             F.sum("times").alias("rare_known"),
+            F.sum(F.col("times") * memory.gain(F.col("c"), F.col("wide")) / float(np.log(10))).alias("rare_gain"),
         )
     )
-    joined = scored.drop("rare", "times").join(met, "row", "left")
+    joined = scored.drop("rare", "times", "wide").join(met, "row", "left")
     return joined.select(
         "doc_id",
         "held_out",
@@ -380,5 +398,5 @@ def score_texts(
             + F.coalesce("rare_base", F.lit(0.0))
             - F.col("n_tokens") * F.log10(F.lit(float(total + distinct + 1)))
         ).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("rare_gain", F.lit(0.0))).alias("score"),
     )

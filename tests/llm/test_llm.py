@@ -361,6 +361,16 @@ def test_scores_match_brute_force_base(spark, awkward, empty):
     assert score_texts(empty).count() == 0
 
 
+def test_scores_do_not_depend_on_the_length_of_the_word_list(spark, awkward):
+    docs = read_table(spark, SMALL, "documents").select("doc_id", "text").unionByName(awkward.select("doc_id", "text"))
+    short, long = (
+        sorted((str(r["doc_id"]), round(r["score"], 3)) for r in score_texts(docs.coalesce(1), frequent=n).collect())
+        for n in (5, 1 << 17)
+    )
+    assert [r[0] for r in short] == [r[0] for r in long]
+    assert np.allclose([r[1] for r in short], [r[1] for r in long], rtol=1e-5)
+
+
 def test_main_text_of_pages(spark):
     chrome = "<nav><ul><li>m<li>n</ul></nav><div class='ad'>buy</div><div id=cookie-notice>ok?</div>"
     foot = "<section class=comments><p>me too</section><aside>side</aside><form>f</form><footer>&copy; x</footer>"
