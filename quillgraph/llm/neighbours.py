@@ -3,12 +3,17 @@
 Equal vectors become one node. A first neighbour graph links vectors that lie side by side in
 the orders of several random projections; rounds of neighbours-of-neighbours joins then improve
 it: the neighbours and reverse neighbours of a node meet in one block, all of them are compared,
-and only pairs that would enter a list leave the block. Recall is audited against brute force on
-a fixed set of query vectors; while it is below the target, lists grow and rounds go on.
+and only pairs that would enter a list leave the block.
 
 A list whose worst entry is still above the threshold is saturated: more links may exist than it
-can hold. All nodes that threshold links reach are therefore compared in square blocks, and only
-counts leave a block. No list or group of unknown size meets in one task.
+can hold. Links to other components are therefore searched again among the nodes of saturated
+lists, with lists that hold no node of the own component, until no components merge. All nodes
+of a component are then compared in square blocks, and only counts leave a block. No list or
+group of unknown size meets in one task.
+
+Recall is audited against brute force on a fixed set of query vectors: a link is found if its two
+nodes are in one component. While it is below the target, lists grow and rounds go on; lists that
+could hold every node and still miss the target fail the job.
 
 Cosines are computed in double precision everywhere. Defined cases: a vector that is null, zero,
 of another length than most, or holds a null or non-finite component links with nothing and is
@@ -90,7 +95,10 @@ def _grouped_batches(
 
 
 def _projected(nodes: DataFrame, tables: int, width: int, keep: int, seed: int) -> DataFrame:
-    """Edges between vectors that are at most ``width`` places apart in the order of a projection."""
+    """Edges between vectors that are at most ``width`` places apart in the order of a projection.
+
+    Nodes of one ``root`` are not linked; of a run of them only the ends keep their places.
+    """
 
     def sort_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes = None
@@ -104,8 +112,8 @@ def _projected(nodes: DataFrame, tables: int, width: int, keep: int, seed: int)
                 signs = (unit @ planes[t] > 0).astype(np.int64)
                 order = signs @ (np.int64(1) << np.arange(61, -1, -1, dtype=np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(order), t, np.int32)), pa.array(order), batch.column(0), batch.column(1)],
-                    names=["t", "place", "node", "raw"],
+                    [pa.array(np.full(len(order), t, np.int32)), pa.array(order), *batch.columns],
+                    names=["t", "place", "node", "raw", "root"],
                 )
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,14 +122,17 @@ def _projected(nodes: DataFrame, tables: int, width: int, keep: int, seed: int)
             if not batch.num_rows:
                 continue
             unit, node = _matrix(batch.column(3)), batch.column(2).to_numpy()
-            table = batch.column(0).to_numpy()
+            table, root = batch.column(0).to_numpy(), batch.column(4).to_numpy()
             if rest is not None:
                 unit, node = np.vstack([rest[0], unit]), np.concatenate([rest[1], node])
-                table = np.concatenate([rest[2], table])
+                table, root = np.concatenate([rest[2], table]), np.concatenate([rest[3], root])
+            change = (root[1:] != root[:-1]) | (table[1:] != table[:-1])
+            ends = np.r_[True, change] | np.r_[change, True]
+            unit, node, table, root = unit[ends], node[ends], table[ends], root[ends]
             us, vs, sims = [], [], []
             for shift in range(1, min(width, len(node) - 1) + 1):
                 sim = np.einsum("ij,ij->i", unit[:-shift], unit[shift:])
-                same = table[:-shift] == table[shift:]
+                same = (table[:-shift] == table[shift:]) & (root[:-shift] != root[shift:])
                 us.append(node[:-shift][same])
                 vs.append(node[shift:][same])
                 sims.append(sim[same])
@@ -132,9 +143,11 @@ def _projected(nodes: DataFrame, tables: int, width: int, keep: int, seed: int)
                 first = np.r_[True, u[1:] != u[:-1]]
                 rank = np.arange(len(u)) - np.flatnonzero(first)[np.cumsum(first) - 1]
                 yield _edge_batch(u[rank < keep], v[rank < keep], sim[rank < keep])
-            rest = unit[-width:], node[-width:], table[-width:]
+            rest = unit[-width:], node[-width:], table[-width:], root[-width:]
 
-    keyed = nodes.select("node", "raw").mapInArrow(sort_keys, "t int, place long, node long, raw binary")
+    keyed = nodes.select("node", "raw", "root").mapInArrow(
+        sort_keys, "t int, place long, node long, raw binary, root long"
+    )
     ordered = keyed.repartitionByRange("t", "place", "node").sortWithinPartitions("t", "place", "node")
     return ordered.mapInArrow(link, EDGES)
 
@@ -145,22 +158,28 @@ def _best(edges: DataFrame, size: int) -> DataFrame:
     return edges.withColumn("rank", rank).where(F.col("rank") <= size).drop("rank")
 
 
-def _round(nodes: DataFrame, graph: DataFrame, size: int) -> DataFrame:
-    """One neighbours-of-neighbours join; edges that were not there before are fresh."""
+def _round(nodes: DataFrame, graph: DataFrame, size: int, inner: DataFrame | None = None) -> DataFrame:
+    """One neighbours-of-neighbours join; edges that were not there before are fresh.
+
+    Nodes of one ``root`` do not enter each other's lists; ``inner`` has edges between them, over
+    which neighbours are passed on.
+    """
     back = graph.select(F.col("v").alias("u"), F.col("u").alias("v"), "fresh")
     spread = F.row_number().over(Window.partitionBy("u").orderBy(F.xxhash64("v", "u"), "v"))
     back = back.withColumn("rank", spread).where(F.col("rank") <= size).drop("rank")
     around = graph.select("u", "v", "fresh").unionByName(back)
+    if inner is not None:
+        around = around.unionByName(inner.select("u", "v", F.lit(False).alias("fresh")))
     around = around.groupBy("u", "v").agg(F.max("fresh").alias("fresh"))
     worst = graph.groupBy("u").agg(F.count("*").alias("n"), F.min("sim").alias("low"))
     bars = worst.select(F.col("u").alias("node"), F.when(F.col("n") >= size, F.col("low")).otherwise(-2.0).alias("bar"))
-    known = nodes.select("node", "raw").join(bars, "node")
-    rows = around.join(known, F.col("v") == F.col("node")).select("u", "v", "fresh", "bar", "raw")
+    known = nodes.select("node", "raw", "root").join(bars, "node", "left").fillna(-2.0, ["bar"])
+    rows = around.join(known, F.col("v") == F.col("node")).select("u", "v", "fresh", "bar", "raw", "root")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _grouped_batches(batches, "u"):
             unit = _matrix(table.column("raw").combine_chunks())
-            u, v, fresh, bar = (table.column(c).to_numpy() for c in ("u", "v", "fresh", "bar"))
+            u, v, fresh, bar, root = (table.column(c).to_numpy() for c in ("u", "v", "fresh", "bar", "root"))
             edges = np.flatnonzero(np.r_[True, u[1:] != u[:-1], True])
             us, vs, sims = [], [], []
             for a, b in zip(edges[:-1], edges[1:], strict=True):
@@ -168,7 +187,7 @@ def _round(nodes: DataFrame, graph: DataFrame, size: int) -> DataFrame:
                     continue
                 sim = unit[a:b] @ unit[a:b].T
                 ask = (fresh[a:b, None] | fresh[None, a:b]) & (sim > bar[a:b, None])
-                np.fill_diagonal(ask, False)
+                ask &= root[a:b, None] != root[None, a:b]
                 i, j = np.nonzero(ask)
                 us.append(v[a + i])
                 vs.append(v[a + j])
@@ -186,11 +205,11 @@ def _round(nodes: DataFrame, graph: DataFrame, size: int) -> DataFrame:
     return _best(merged, size).select("u", "v", "sim", (F.col("old") == 0).alias("fresh"))
 
 
-def audit(nodes: DataFrame, graph: DataFrame, threshold: float, queries: int) -> float:
-    """Share of the links of a fixed set of nodes that the graph holds, or holds a path to.
+def audit(nodes: DataFrame, roots: DataFrame, threshold: float, queries: int) -> float:
+    """Share of the links of a fixed set of nodes whose two nodes are in one component.
 
     The query nodes are those with the smallest digests of their numbers; they are compared with
-    every row in blocks. A node with a full list of links counts as found up to its list.
+    every row in blocks. ``roots``: node and root of all nodes with a link.
     """
     asked = nodes.orderBy(F.xxhash64("node"), "node").limit(queries).select("node", "raw").toArrow()
     if not asked.num_rows:
@@ -208,14 +227,9 @@ def audit(nodes: DataFrame, graph: DataFrame, threshold: float, queries: int) ->
             yield _edge_batch(ids[i], node[j], sim[i, j])
 
     true = nodes.select("node", "raw").mapInArrow(exact, EDGES).select("u", "v")
-    own = graph.where(F.col("sim") >= threshold).select("u", "v")
-    both = own.unionByName(own.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
-    sizes = graph.groupBy("u").agg(F.count("*").alias("k"), F.min("sim").alias("low"))
-    full = sizes.where(F.col("low") >= threshold).select("u", F.lit(True).alias("full"))
-    held = true.join(both.withColumn("held", F.lit(1)), ["u", "v"], "left").join(full, "u", "left")
-    found, total = held.agg(
-        F.sum(F.when(F.col("held").isNotNull() | F.col("full"), 1).otherwise(0)), F.count("*")
-    ).first()
+    ends = [roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "uv"]
+    placed = true.join(ends[0], "u", "left").join(ends[1], "v", "left")
+    found, total = placed.agg(F.count_if(F.col("root_u") == F.col("root_v")), F.count("*")).first()
     return found / total if total else 1.0
 
 
@@ -271,7 +285,34 @@ def count_links(members: DataFrame, threshold: float, block: int = 512) -> DataF
     return counted.groupBy("node").agg(F.sum("links").alias("links"))
 
 
-def neighbour_graph(
+def _descend(
+    nodes: DataFrame,
+    graph: DataFrame,
+    size: int,
+    rounds: int,
+    settled: float,
+    report: Callable[[str], None],
+    inner: DataFrame | None = None,
+) -> DataFrame:
+    """The graph after rounds of joins, until few entries are new."""
+    count = nodes.count()
+    for turn in range(rounds):
+        following = stored(_round(nodes, graph, size, inner), "graph")
+        discard(graph)
+        graph = following
+        changed = graph.where("fresh").count()
+        report(f"lists of {size}, round {turn}: {changed} of {count * size} entries are new")
+        if changed <= settled * count * size:
+            break
+    return graph
+
+
+def _first_graph(nodes: DataFrame, size: int, tables: int, width: int, seed: int) -> DataFrame:
+    found = _projected(nodes, tables, width, size, seed).groupBy("u", "v").agg(F.max("sim").alias("sim"))
+    return stored(_best(found, size).withColumn("fresh", F.lit(True)), "graph")
+
+
+def linked_components(
     nodes: DataFrame,
     threshold: float,
     size: int = 10,
@@ -281,31 +322,40 @@ def neighbour_graph(
     settled: float = 0.01,
     queries: int = 256,
     recall: float = 0.99,
-    growths: int = 2,
     seed: int = 17,
     report: Callable[[str], None] = lambda line: None,
 ) -> DataFrame:
-    """u, v and their cosine for the nearest neighbours found."""
-    first = _best(_projected(nodes, tables, width, size, seed).groupBy("u", "v").agg(F.max("sim").alias("sim")), size)
-    graph = stored(first.withColumn("fresh", F.lit(True)), "graph")
+    """node and root of all nodes with a link; the root is the smallest node that links reach."""
+    single = nodes.select("node", "raw", F.col("node").alias("root"))
+    graph = _first_graph(single, size, tables, width, seed)
     count = nodes.count()
-    for growth in range(growths + 1):
-        for turn in range(rounds):
-            following = stored(_round(nodes, graph, size), "graph")
-            discard(graph)
-            graph = following
-            changed = graph.where("fresh").count()
-            report(f"lists of {size}, round {turn}: {changed} of {count * size} entries are new")
-            if changed <= settled * count * size:
+    while True:
+        graph = _descend(single, graph, size, rounds, settled, report)
+        near = graph.where(F.col("sim") >= threshold).select("u", "v")
+        roots = stored(components(near, "u", "v"), "roots")
+        lows = graph.groupBy("u").agg(F.min("sim").alias("low")).where(F.col("low") >= threshold)
+        full = stored(lows.select(F.col("u").alias("node")), "saturated")
+        links = near
+        while True:
+            open_ = stored(nodes.select("node", "raw").join(full, "node").join(roots, "node"), "open")
+            if open_.select("root").distinct().limit(2).count() < 2:
                 break
-        reached = audit(nodes, graph, threshold, queries)
+            across = _first_graph(open_, size, tables, width, seed)
+            across = _descend(open_, across, size, rounds, settled, report, near)
+            merging = across.where(F.col("sim") >= threshold).select("u", "v")
+            if merging.isEmpty():
+                break
+            report(f"lists of {size}: components merge")
+            links = links.unionByName(merging)
+            roots = stored(components(links, "u", "v"), "roots")
+        reached = audit(nodes, roots, threshold, queries)
         report(f"lists of {size}: audited recall {reached:.4f}")
-        if reached >= recall or growth == growths:
-            break
+        if reached >= recall:
+            return roots
+        if size >= count:
+            raise RuntimeError(f"audited recall {reached:.4f} is below {recall} with lists of {size} for {count} nodes")
         size *= 2
-        graph = graph.withColumn("fresh", F.lit(True))
-        graph = stored(graph, "graph")
-    return graph.select("u", "v", "sim")
+        graph = stored(graph.withColumn("fresh", F.lit(True)), "graph")
 
 
 def embedding_groups(
@@ -321,9 +371,7 @@ def embedding_groups(
         F.min("vec_id").alias("least"), F.count("*").alias("n")
     )
     nodes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    graph = neighbour_graph(nodes, threshold, **settings)
-    near = graph.where(F.col("sim") >= threshold)
-    roots = stored(components(near, "u", "v"), "roots")
+    roots = linked_components(nodes, threshold, **settings)
     linked = nodes.join(roots, "node").select("root", "node", "n", "raw", "least")
     counts = count_links(linked.drop("least"), threshold)
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))

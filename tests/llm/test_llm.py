@@ -280,6 +280,22 @@ def test_embedding_groups_match_brute_force(spark):
     assert embedding_groups(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_embedding_groups_join_tight_parts_of_a_group(spark):
+    rng = np.random.default_rng(4)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    axes = np.linalg.qr(rng.standard_normal((64, 64)))[0]
+    parts = [axes[0], 0.97 * axes[0] + 0.243 * axes[1], axes[2]]
+    vectors = np.vstack([unit(c + 0.1 * unit(rng.standard_normal((40, 64)))) for c in parts] + [unit(rng.standard_normal((80, 64)))])
+    vectors = vectors.astype(np.float32)
+    unit_rows = unit(vectors.astype(float))
+    near = (unit_rows @ unit_rows.T >= 0.95) & ~np.eye(len(vectors), dtype=bool)
+    assert near[:40, 40:80].mean() > 0.5 and not near[:80, 80:].any()
+    frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: r for r in embedding_groups(frame).collect()}
+    assert [got[k]["n_links"] for k in range(200)] == near.sum(axis=1).tolist()
+    assert [got[k]["component_id"] for k in range(120)] == [0] * 80 + [80] * 40
+
+
 def test_attention_gradient_and_windows():
     rng = np.random.default_rng(0)
     model = attention_lm.Attention(70, 4)
