@@ -162,9 +162,14 @@ def _telling(ratio: Column) -> Column:
     return F.signum(ratio) * F.greatest(F.lit(0.0), F.abs(ratio) - log(2.0))
 
 
-def _stepped(rate: Column, steps: list[list[float]]) -> Column:
-    """The rate after some steps, each projected back to zero or more."""
-    return reduce(lambda r, e: F.greatest(F.lit(0.0), r - _dot(F.col("p"), e)), steps, rate)
+def _stepped(rate: Column, steps: list[list[float]], repeat: bool) -> Column:
+    """The rate after some steps, each projected back to zero or more, and to one at most without ``repeat``."""
+
+    def step(r: Column, e: list[float]) -> Column:
+        free = F.greatest(F.lit(0.0), r - _dot(F.col("p"), e))
+        return free if repeat else F.least(F.lit(1.0), free)
+
+    return reduce(step, steps, rate)
 
 
 @dataclass
@@ -176,6 +181,7 @@ class Mixture:
     totals: list[float]
     targets: list[float]
     members: DataFrame
+    repeat: bool = True
 
     def rated(self, members: DataFrame) -> DataFrame:
         """Rows with ``doc_id`` and ``p`` get their rate and their number of copies.
@@ -184,7 +190,7 @@ class Mixture:
         """
         rows = members.withColumn("rate", F.lit(1.0))
         for at in range(0, len(self.steps), 10):
-            rows = rows.withColumn("rate", _stepped(F.col("rate"), self.steps[at : at + 10]))
+            rows = rows.withColumn("rate", _stepped(F.col("rate"), self.steps[at : at + 10], self.repeat))
         key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
         draw = F.conv(F.substring(key, 1, 8), 16, 10).cast("double") / float(1 << 32)
         whole = F.floor("rate")
@@ -221,7 +227,7 @@ def fit_rates(
     round is one sum over all rows; rates are written out every ``every`` rounds to keep plans
     short.
     With ``repeat`` the total stays as it is. Without, the domain of the largest weight stays
-    whole and no target is larger than its domain, so scarce domains are not repeated.
+    whole, no target is larger than its domain and no rate is above one, so no document is repeated.
     """
     count = len(weights)
     pairs = [(i, j) for i in range(count) for j in range(i, count)]
@@ -249,10 +255,10 @@ def fit_rates(
     while np.abs(totals - targets).max() > tolerance * total and len(steps) < rounds:
         pending.append([float(x) for x in weight @ (totals - targets)])
         steps.append(pending[-1])
-        rate = _stepped(F.col("rate"), pending)
+        rate = _stepped(F.col("rate"), pending, repeat)
         totals = sums(current, [p * rate for p in part])
         if len(steps) % every == 0:
-            current, pending = stored(current.withColumn("rate", _stepped(F.col("rate"), pending)), "rates"), []
+            current, pending = stored(current.withColumn("rate", _stepped(F.col("rate"), pending, repeat)), "rates"), []
     return steps, list(totals), list(targets)
 
 
@@ -269,7 +275,7 @@ def fit_mixture(
     words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words_of(F.col("text")).alias("words"))
     tokens = F.size("words").cast("long").alias("n_tokens")
     members = model.posteriors(words.select("doc_id", "words", tokens), "words")
-    return Mixture(model, *fit_rates(members, [targets[d] for d in domains], repeat), members)
+    return Mixture(model, *fit_rates(members, [targets[d] for d in domains], repeat), members, repeat)
 
 
 def mix_domains(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], **settings) -> DataFrame:

@@ -259,6 +259,17 @@ def test_archives_round_trip(spark):
     assert warc.read_archives(warc.write_archives(frame.limit(0))).count() == 0
 
 
+def test_mixing_without_repeats_writes_no_document_twice(spark):
+    rows = [(k, 100, [0.97, 0.03] if k % 25 else [0.3, 0.7]) for k in range(500)]
+    members = spark.createDataFrame(rows, "doc_id long, n_tokens long, p array<double>").coalesce(1)
+    steps, totals, targets = mixing.fit_rates(members, [0.95, 0.05], repeat=False, rounds=3)
+    fitted = mixing.Mixture(None, steps, totals, targets, members, repeat=False)
+    got = fitted.rated(members).collect()
+    assert max(r["rate"] for r in got) <= 1 and max(r["copies"] for r in got) == 1
+    free = mixing.Mixture(None, steps, totals, targets, members, repeat=True)
+    assert max(r["rate"] for r in free.rated(members).collect()) > 1
+
+
 def test_embedding_groups_match_brute_force(spark):
     rng = np.random.default_rng(5)
     base = rng.standard_normal((40, 16))
