@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.llm.line_dedup import dedup_lines
 from quillgraph.llm.lm_scoring import score_texts
+from quillgraph.llm.merkle import verified_manifest
 from quillgraph.llm.mixing import mix_domains
 from quillgraph.llm.neighbours import embedding_groups
 from quillgraph.llm.packing import ids_digest, pack_documents
@@ -119,6 +120,10 @@ def op10_main_text(spark: SparkSession, folder: str) -> DataFrame:
     return extract_main_text(read_table(spark, folder, "pages"))
 
 
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return verified_manifest(read_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_mixing": op2_mixing,
@@ -130,6 +135,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embeddings": op8_embeddings,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_main_text": op10_main_text,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 SQL: dict[str, str] = {"op5_line_dedup": OP5_SQL, "op6_warc": OP6_SQL}
