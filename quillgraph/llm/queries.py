@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgraph.llm.centroids import centroid_clusters
 from quillgraph.llm.line_dedup import dedup_lines
 from quillgraph.llm.lm_scoring import score_texts
+from quillgraph.llm.maxscore import top_documents
 from quillgraph.llm.merkle import verified_manifest
 from quillgraph.llm.mixing import mix_domains
 from quillgraph.llm.neighbours import embedding_groups
@@ -124,6 +126,14 @@ def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return verified_manifest(read_table(spark, folder, "documents"))
 
 
+def op12_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    return centroid_clusters(read_table(spark, folder, "embeddings"))
+
+
+def op13_maxscore(spark: SparkSession, folder: str) -> DataFrame:
+    return top_documents(read_table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_mixing": op2_mixing,
@@ -136,6 +146,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lm_scoring": op9_lm_scoring,
     "op10_main_text": op10_main_text,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_centroids": op12_centroids,
+    "op13_maxscore": op13_maxscore,
 }
 
 SQL: dict[str, str] = {"op5_line_dedup": OP5_SQL, "op6_warc": OP6_SQL}
