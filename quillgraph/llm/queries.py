@@ -14,6 +14,7 @@ from quillgraph.llm.maxscore import top_documents
 from quillgraph.llm.merkle import verified_manifest
 from quillgraph.llm.mixing import mix_domains
 from quillgraph.llm.neighbours import embedding_groups
+from quillgraph.llm.oracle_sql import OP11_SQL, OP12_SQL, OP13_SQL
 from quillgraph.llm.packing import ids_digest, pack_documents
 from quillgraph.llm.quality_classifier import classify_quality
 from quillgraph.llm.quality_rules import apply_quality_rules
@@ -150,4 +151,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_maxscore": op13_maxscore,
 }
 
-SQL: dict[str, str] = {"op5_line_dedup": OP5_SQL, "op6_warc": OP6_SQL}
+SQL: dict[str, str] = {
+    "op5_line_dedup": OP5_SQL,
+    "op6_warc": OP6_SQL,
+    "op11_merkle_manifest": OP11_SQL,
+    "op12_centroids": OP12_SQL,
+    "op13_maxscore": OP13_SQL,
+}
