@@ -15,6 +15,8 @@ from quillgraph.operators.ranking import SCORE_DIGITS, top_k
 # Query vectors up to this size travel to every task; larger sets are blocked and shuffled.
 BROADCAST_QUERY_BYTES = 64 * 1024 * 1024
 DOCS_PER_BLOCK = 100_000
+# Queries and documents whose scores exist at once: 32 MB.
+TILE_QUERIES, TILE_DOCS = 512, 8192
 
 # Vector column and dimension of each embedding provider.
 PROVIDERS = {
@@ -38,49 +40,56 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
     return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
 
 
-def _matrix(column: pa.Array, dimension: int) -> np.ndarray:
+def unit_matrix(column: pa.Array, dimension: int) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return _unit(flat.reshape(-1, dimension))
 
 
-def _signatures(unit: np.ndarray, planes: np.ndarray) -> np.ndarray:
-    """One integer per (row, table): the side of every plane the vector lies on."""
-    bits = np.einsum("nd,tpd->ntp", unit, planes) > 0
-    return bits @ (1 << np.arange(planes.shape[1]))
-
-
-def _best(
-    query_ids: pa.Array,
-    queries: np.ndarray,
-    doc_ids: pa.Array,
-    docs: np.ndarray,
-    k: int,
-    allowed: np.ndarray | None = None,
+def best_pairs(
+    query_ids: pa.Array, queries: np.ndarray, doc_ids: pa.Array, docs: np.ndarray, k: int
 ) -> pa.RecordBatch:
-    """The k best rows of one block for every query, ids deciding ties."""
-    scores = np.round(queries @ docs.T, SCORE_DIGITS)
-    if allowed is not None:
-        scores = np.where(allowed, scores, -np.inf)
+    """The k best rows of one block for every query, ids deciding ties.
+
+    Scores exist for one tile of queries and documents at a time; k rows per query are carried
+    from tile to tile, so memory does not grow with either side.
+    """
     order_ids = doc_ids.to_numpy(zero_copy_only=False)
-    rows, cols = [], []
-    for q in range(len(scores)):
-        line = scores[q]
-        if len(line) > k:
-            cut = np.partition(line, len(line) - k)[len(line) - k]
-            near = np.nonzero((line >= cut) & np.isfinite(line))[0]
-            near = near[np.lexsort((order_ids[near], -line[near]))[:k]]
-        else:
-            near = np.nonzero(np.isfinite(line))[0]
-        rows.append(np.full(len(near), q))
-        cols.append(near)
-    row = np.concatenate(rows) if rows else np.array([], dtype=int)
-    col = np.concatenate(cols) if cols else np.array([], dtype=int)
+    rows, cols, values = [], [], []
+    for first in range(0, len(queries), TILE_QUERIES):
+        asked = queries[first : first + TILE_QUERIES]
+        best_at = np.zeros((len(asked), 0), np.int64)
+        best = np.zeros((len(asked), 0))
+        for start in range(0, len(docs), TILE_DOCS):
+            tile = np.round(asked @ docs[start : start + TILE_DOCS].T, SCORE_DIGITS)
+            tile[~np.isfinite(tile)] = -np.inf
+            at = np.broadcast_to(np.arange(start, start + tile.shape[1]), tile.shape)
+            tile, at = np.concatenate([best, tile], axis=1), np.concatenate([best_at, at], axis=1)
+            best, best_at = _cut(tile, at, order_ids, k)
+        rows.append(np.repeat(np.arange(first, first + len(asked)), best.shape[1]))
+        cols.append(best_at.ravel())
+        values.append(best.ravel())
+    row, col, score = (np.concatenate([np.zeros(0, t), *x]) for t, x in ((np.int64, rows), (np.int64, cols), (float, values)))
+    good = np.isfinite(score)
     return pa.RecordBatch.from_arrays(
-        [query_ids.take(pa.array(row)), doc_ids.take(pa.array(col)), pa.array(scores[row, col])],
+        [query_ids.take(pa.array(row[good])), doc_ids.take(pa.array(col[good])), pa.array(score[good])],
         names=["query_id", "doc_id", "score"],
     )
 
 
+def _cut(scores: np.ndarray, at: np.ndarray, order_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best columns of every line, by score and then by id."""
+    if scores.shape[1] <= k:
+        return scores, at
+    bars = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+    line, col = np.nonzero(scores >= bars[:, None])
+    order = np.lexsort((order_ids[at[line, col]], -scores[line, col], line))
+    line, col = line[order], col[order]
+    place = np.arange(len(line)) - np.searchsorted(line, np.arange(len(scores)))[line]
+    line, col = line[place < k], col[place < k]
+    shape = (len(scores), k)
+    return scores[line, col].reshape(shape), at[line, col].reshape(shape)
+
+
 def _schema(queries: DataFrame, docs: DataFrame) -> T.StructType:
     return T.StructType(
         [
@@ -96,52 +105,36 @@ def vector_topk(
     docs: DataFrame,
     k: int = 10,
     dimension: int = 384,
-    tables: int = 0,
-    planes: int = 8,
     broadcast_bytes: int = BROADCAST_QUERY_BYTES,
 ) -> DataFrame:
     """Cosine top-k: ``queries(query_id, vector)`` against ``docs(doc_id, vector)``.
 
     Documents are never shuffled while the query block fits its size bound: every task
     keeps k rows per query and Arrow batch, and only those meet in the final ranking.
-    ``tables > 0`` makes the search approximate: only documents that share a random-plane
-    signature with the query in at least one table are scored.
+    The approximate search is :mod:`quillgraph.operators.ivf`.
     """
     queries = provider_vectors(queries, "vector", dimension).select("query_id", "vector")
     docs = provider_vectors(docs, "vector", dimension).select("doc_id", "vector")
-    sides = (
-        np.random.default_rng(7).standard_normal((tables, planes, dimension)) if tables else None
-    )
     n_queries = queries.count()
     if n_queries * dimension * 8 <= broadcast_bytes:
-        near = _scan(queries, docs, k, dimension, sides)
+        near = _scan(queries, docs, k, dimension)
     else:
-        near = _blocked(queries, docs, k, dimension, sides, n_queries, broadcast_bytes)
+        near = _blocked(queries, docs, k, dimension, n_queries, broadcast_bytes)
     return top_k(near, k).select("query_id", "rank", "doc_id", "score")
 
 
-def _allowed(queries: np.ndarray, docs: np.ndarray, sides: np.ndarray | None) -> np.ndarray | None:
-    if sides is None:
-        return None
-    asked, stored = _signatures(queries, sides), _signatures(docs, sides)
-    return (asked[:, None, :] == stored[None, :, :]).any(axis=2)
-
-
-def _scan(
-    queries: DataFrame, docs: DataFrame, k: int, dimension: int, sides: np.ndarray | None
-) -> DataFrame:
+def _scan(queries: DataFrame, docs: DataFrame, k: int, dimension: int) -> DataFrame:
     block = queries.toArrow().combine_chunks()
     ids = block.column("query_id").combine_chunks()
     vectors = block.column("vector").combine_chunks()
-    shared = queries.sparkSession.sparkContext.broadcast((ids, _matrix(vectors, dimension)))
+    shared = queries.sparkSession.sparkContext.broadcast((ids, unit_matrix(vectors, dimension)))
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, query_matrix = shared.value
         for batch in batches:
             if batch.num_rows and len(query_ids):
-                found = _matrix(batch.column("vector"), dimension)
-                mask = _allowed(query_matrix, found, sides)
-                yield _best(query_ids, query_matrix, batch.column("doc_id"), found, k, mask)
+                found = unit_matrix(batch.column("vector"), dimension)
+                yield best_pairs(query_ids, query_matrix, batch.column("doc_id"), found, k)
 
     return docs.mapInArrow(best, _schema(queries, docs))
 
@@ -151,7 +144,6 @@ def _blocked(
     docs: DataFrame,
     k: int,
     dimension: int,
-    sides: np.ndarray | None,
     n_queries: int,
     block_bytes: int,
 ) -> DataFrame:
@@ -178,15 +170,14 @@ def _blocked(
         if not doc_rows.num_rows or not query_rows.num_rows:
             empty = [query_rows["query_id"].type, doc_rows["doc_id"].type, pa.float64()]
             return pa.schema(list(zip(names, empty, strict=True))).empty_table()
-        found = _matrix(doc_rows["vector"].combine_chunks(), dimension)
-        asked = _matrix(query_rows["vector"].combine_chunks(), dimension)
-        batch = _best(
+        found = unit_matrix(doc_rows["vector"].combine_chunks(), dimension)
+        asked = unit_matrix(query_rows["vector"].combine_chunks(), dimension)
+        batch = best_pairs(
             query_rows["query_id"].combine_chunks(),
             asked,
             doc_rows["doc_id"].combine_chunks(),
             found,
             k,
-            _allowed(asked, found, sides),
         )
         return pa.Table.from_batches([batch])
 

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.functions.text import STOP_WORDS, tokenize
-from quillgraph.operators import enrichment, fusion, lexical, runs, vector
+from quillgraph.operators import enrichment, fusion, ivf, lexical, runs, vector
 from quillgraph.plans import inputs
 from quillgraph.plans import sql_parts as S
 from quillgraph.plans.registry import query
+from quillgraph.session import shared_path, written
 from quillgraph.sources.tables import table
 
 RANKED = "SELECT query_id, rank, doc_id, score FROM "
@@ -129,11 +130,43 @@ def vector_topk_by_query(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("vector_topk_approximate")
+def hundredth_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """The stored vectors whose id is divisible by 100, as queries."""
+    rows = table(spark, d, "embeddings").where("vec_id % 100 = 0")
+    return rows.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+def fitted_ivf(spark: SparkSession, d: str) -> tuple[ivf.IvfIndex, DataFrame, int]:
+    """The index, the exact neighbours of the fixed query set, and the cells to probe for 0.95 of them."""
+    index = ivf.build_ivf(inputs.vectors(spark, d), shared_path(spark, "ivf"), inputs.DIMENSION)
+    asked = hundredth_vectors(spark, d)
+    exact = written(vector.vector_topk(asked, inputs.vectors(spark, d), 10, inputs.DIMENSION), "exact")
+    return index, exact, index.probes_for(asked, exact)
+
+
+@query(
+    "vector_topk_approximate",
+    f"WITH {_LABEL_VECTORS}, {S.ivf('cent')} {RANKED} ivf",
+)
 def vector_topk_approximate(spark: SparkSession, d: str) -> DataFrame:
-    return vector.vector_topk(
-        label_vectors(spark, d), inputs.vectors(spark, d), 10, inputs.DIMENSION, 12, 3
-    )
+    """Inverted-file search; the number of cells comes from measured recall."""
+    index, _, probes = fitted_ivf(spark, d)
+    return index.search(label_vectors(spark, d), 10, probes)
+
+
+@query(
+    "vector_recall",
+    f"""WITH hundredth AS (SELECT vec_id AS query_id, list_transform(embedding, lambda x: x::DOUBLE) AS v
+  FROM embeddings WHERE vec_id % 100 = 0), {S.ivf('hundredth')},
+sizes AS (SELECT k, count(*) AS n FROM homes GROUP BY k),
+work AS (SELECT query_id, sum(coalesce(n, 0))::BIGINT AS n_multiplied FROM places LEFT JOIN sizes USING (k) GROUP BY query_id)
+SELECT e.query_id, round(count(ivf.doc_id) / count(*), 6) AS recall, any_value(n_multiplied) AS n_multiplied
+FROM fit_exact e LEFT JOIN ivf USING (query_id, doc_id) JOIN work ON work.query_id = e.query_id GROUP BY e.query_id""",
+)
+def vector_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Recall of the index against brute force, and the rows multiplied per query."""
+    index, exact, probes = fitted_ivf(spark, d)
+    return ivf.recall(index, hundredth_vectors(spark, d), exact, 10, probes)
 
 
 @query(

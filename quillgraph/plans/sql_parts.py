@@ -135,3 +135,54 @@ def per_query(ranked: str = "bm", ann: str = "ann", name: str = "pq") -> str:
 DISPLAY = f"""array_to_string(list_filter(list_transform(regexp_split_to_array(lower(text), '\\s+'),
   lambda w: regexp_replace(w, '^[?.,!]+|[?.,!]+$', '', 'g')),
   lambda w: w <> '' AND w NOT IN ({_STOP})), ' ')"""
+
+
+def ivf(queries: str, k: int = 10, rounds: int = 5, name: str = "ivf") -> str:
+    """CTEs of the inverted-file index over ``embeddings`` ending in ``<name>(query_id, rank, doc_id, score)``.
+
+    ``queries``: name of a CTE ``(query_id, v)``. The number of probed cells holds 0.95 of the exact
+    ten neighbours of the vectors whose id is divisible by 100.
+    """
+    near = """(SELECT r.{0}, r.ints, c.k, list_sum(list_transform(range(1, len(r.ints) + 1),
+      lambda j: (r.ints[j] - c.ints[j]) * (r.ints[j] - c.ints[j]))) AS far FROM {1} r CROSS JOIN c{2} c)"""
+    chain = ",".join(
+        f"""
+a{n} AS MATERIALIZED (SELECT doc_id, ints, k FROM {near.format("doc_id", "sampled", n)}
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY far, k) = 1),
+m{n} AS (SELECT k, list(m ORDER BY j) AS ints FROM
+  (SELECT k, j, floor(sum(x) / count(*)) AS m FROM
+    (SELECT k, unnest(ints) AS x, unnest(range(1, len(ints) + 1)) AS j FROM a{n}) GROUP BY k, j) GROUP BY k),
+c{n + 1} AS MATERIALIZED (SELECT c.k, coalesce(m.ints, c.ints) AS ints FROM c{n} c LEFT JOIN m{n} m USING (k))"""
+        for n in range(rounds)
+    )
+    exact = COSINE.format(a="q.v", b="u.v")
+
+    def whole(v: str) -> str:
+        norm = f"sqrt(list_sum(list_transform({v}, lambda y: y * y)))"
+        return f"list_transform({v}, lambda x: floor(x / {norm} * 32768))"
+
+    return f"""
+u0 AS MATERIALIZED (SELECT vec_id AS doc_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+u AS MATERIALIZED (SELECT doc_id, v, {whole("v")} AS ints FROM u0),
+sampled AS MATERIALIZED (SELECT doc_id, ints FROM u
+  WHERE ('0x' || substr(sha256(doc_id::VARCHAR), 1, 8))::BIGINT % greatest(1, ceil((SELECT count(*) FROM u) / 65536)::BIGINT) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256(doc_id::VARCHAR), ints) - 1 AS k, ints FROM sampled
+  QUALIFY k < greatest(1, least(4096, floor(sqrt((SELECT count(*) FROM u)))))),
+{chain},
+homes AS MATERIALIZED (SELECT doc_id, k FROM {near.format("doc_id", "u", rounds)}
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY far, k) = 1),
+asked AS MATERIALIZED (SELECT query_id, v, {whole("v")} AS ints FROM {queries}),
+fit AS MATERIALIZED (SELECT doc_id AS query_id, v, ints FROM u WHERE doc_id % 100 = 0),
+fit_exact AS MATERIALIZED (SELECT query_id, doc_id FROM (SELECT q.query_id, u.doc_id, {exact} AS score FROM fit q CROSS JOIN u)
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 10),
+fit_places AS (SELECT query_id, k, row_number() OVER (PARTITION BY query_id ORDER BY far, k) AS place
+  FROM {near.format("query_id", "fit", rounds)}),
+held AS (SELECT place, count(*) AS n FROM fit_exact JOIN homes USING (doc_id) JOIN fit_places USING (query_id, k) GROUP BY place),
+probed AS (SELECT min(place) AS probes FROM
+  (SELECT place, sum(n) OVER (ORDER BY place) AS seen, sum(n) OVER () AS total FROM held) WHERE seen >= 0.95 * total),
+places AS MATERIALIZED (SELECT query_id, k FROM
+  (SELECT query_id, k, row_number() OVER (PARTITION BY query_id ORDER BY far, k) AS place
+   FROM {near.format("query_id", "asked", rounds)}) WHERE place <= (SELECT probes FROM probed)),
+{name} AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, doc_id, score
+  FROM (SELECT q.query_id, u.doc_id, {exact} AS score FROM asked q JOIN places p USING (query_id) JOIN homes h ON h.k = p.k
+    JOIN u ON u.doc_id = h.doc_id) QUALIFY rank <= {k})"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +27,27 @@ def build_session(app: str = "quillgraph", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path in the cluster's ``spark.checkpoint.dir``.
+
+    Only a session that runs in a single local JVM and names no folder gets a temporary one.
+    """
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """Write a table to the shared folder and read it again; later plans start from its files."""
+    path = shared_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage through the reliable checkpoint folder.
 

@@ -1,10 +1,11 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillgraph.operators import enrichment, fusion, lexical, runs, vector
+from quillgraph.operators import enrichment, fusion, ivf, lexical, runs, vector
 from quillgraph.operators.substring import contains_pairs
 
 
@@ -160,13 +161,47 @@ def test_padding_keeps_matches_below_zero(spark):
     assert scores and all(r["score"] == scores.get(r["doc_id"], 0.0) for r in rows)
 
 
-def test_approximate_recall(spark):
-    _, doc_rows = vectors(spark, 200, 8, 3, "doc_id")
-    _, query_rows = vectors(spark, 5, 8, 3, "query_id")
-    exact = vector.vector_topk(query_rows, doc_rows, 5, 8)
-    near = vector.vector_topk(query_rows, doc_rows, 5, 8, tables=16, planes=2)
-    recalls = [r["recall"] for r in vector.recall_against(near, exact).collect()]
-    assert min(recalls) > 0.8
+def test_tiles_and_ties_give_the_plain_ranking(monkeypatch):
+    monkeypatch.setattr(vector, "TILE_QUERIES", 3)
+    monkeypatch.setattr(vector, "TILE_DOCS", 4)
+    rng = np.random.default_rng(1)
+    docs = rng.integers(-2, 3, (30, 3)).astype(float)
+    docs[7] = np.nan
+    queries, ids = docs[10:18], rng.permutation(30)
+    got = vector.best_pairs(pa.array(range(8)), queries, pa.array(ids), docs, 6).to_pylist()
+    want = []
+    for q, asked in enumerate(queries):
+        line = sorted((-float(asked @ d), int(i)) for i, d in zip(ids, docs) if np.isfinite(d).all())
+        want += [{"query_id": q, "doc_id": i, "score": -s} for s, i in line[:6]]
+    assert got == want
+    assert vector.best_pairs(pa.array([], pa.int64()), queries[:0], pa.array(ids), docs, 6).num_rows == 0
+
+
+def test_inverted_file_index(spark, scratch, monkeypatch):
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((12, 8)) * 3
+    stored = centres[rng.integers(0, 12, 400)] + rng.standard_normal((400, 8))
+    stored[:130] = stored[0]  # a third of all rows in one place
+    docs = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(stored)] + [(900, None)], "doc_id int, vector array<double>")
+    asked = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(stored[::20] + 0.1)], "query_id int, vector array<double>")
+    monkeypatch.setattr(ivf, "BLOCK_ROWS", 50)
+    index = ivf.build_ivf(docs.repartition(3), scratch, 8)
+    assert index.sizes.sum() == 400 and len(index.centroids) == 20
+    assert index.rows.count() == 400
+    exact = vector.vector_topk(asked, docs, 5, 8).cache()
+    everywhere = index.search(asked, 5, 20)
+    assert sorted(map(tuple, everywhere.collect())) == sorted(map(tuple, exact.collect()))
+    probes = index.probes_for(asked, exact)
+    rows = ivf.recall(index, asked, exact, 5, probes).collect()
+    assert sum(r["recall"] for r in rows) / len(rows) >= 0.9 and len(rows) == 20
+    assert probes < 20 and sum(r["n_multiplied"] for r in rows) < 400 * 20
+    again = ivf.IvfIndex.load(spark, scratch)
+    assert (again.centroids == index.centroids).all() and (again.sizes == index.sizes).all()
+    other = ivf.build_ivf(docs.repartition(5), scratch + "/other", 8)
+    assert (other.centroids == index.centroids).all()
+    nothing = ivf.build_ivf(docs.limit(0), scratch + "/empty", 8)
+    assert nothing.search(asked, 5, 3).count() == 0
+    assert index.search(asked.limit(0), 5, 3).count() == 0
 
 
 def test_contains_pairs_against_brute_force(spark):
