@@ -35,7 +35,8 @@ _TOKEN_BREAK = r'[\s\p{Z},:;!?()"\[\]{}]+'
 _LETTERS_ONLY = r"^\p{L}+$"
 _TRIMMED_WORD = r"^[^\p{L}\p{N}]*+(\p{L}+?)(?:'s|'re|'ve|'ll|'d|'m|n't)?[^\p{L}\p{N}]*+$"
 _INDEX_TOKEN = r"[\p{L}\p{M}\p{N}_]+(?:['’.][\p{L}\p{M}\p{N}_]+)*"
-_WORD_RUN = r"[\p{L}\p{M}\p{N}_]+"
+#: A text of word characters only.
+WHOLE_WORD = r"^[\p{L}\p{M}\p{N}_]+$"
 
 
 def tokenize(text: Column, stop_words: Sequence[str] = ()) -> Column:
@@ -57,11 +58,6 @@ def index_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(_INDEX_TOKEN), F.lit(0))
 
 
-def word_runs(text: Column) -> Column:
-    """Maximal runs of word characters, in order."""
-    return F.regexp_extract_all(text, F.lit(_WORD_RUN), F.lit(0))
-
-
 def display_without_stop_words(text: Column, stop_words: Sequence[str] = STOP_WORDS) -> Column:
     """Whitespace words stripped of ``?.,!`` minus stop words; a dash when nothing is left."""
     words = F.transform(

@@ -15,8 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.functions.text import keyword_forms, word_runs
-from quillgraph.operators.substring import contains_pairs
+from quillgraph.functions.text import WHOLE_WORD, keyword_forms
+from quillgraph.operators.substring import contains_pairs, matched_pairs
 
 END_POINTS = ["src_label", "src_key", "rel", "dst_label", "dst_key"]
 
@@ -259,13 +259,17 @@ def mention_links(texts: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def keyword_links(texts: DataFrame, keywords: DataFrame) -> DataFrame:
-    """Mentions plus inflected forms of one-word keywords, as an equi join on whole words."""
-    words = texts.select(
-        "src", F.explode_outer(F.array_distinct(word_runs(F.lower("text")))).alias("word")
-    ).where(F.col("word").isNotNull())
-    forms = keywords.select("dst", F.explode(keyword_forms(F.col("dst"))).alias("word")).distinct()
-    inflected = words.join(forms, "word").select("src", "dst")
-    return mention_links(texts, keywords).unionByName(inflected).distinct()
+    """Mentions (any case) plus inflected forms of one-word keywords as whole words: (src, dst).
+
+    Both kinds of needles are looked for in the same pass over the texts.
+    """
+    names = keywords.select(F.col("dst").alias("needle_id"))
+    mentions = names.select("needle_id", F.lower("needle_id").alias("needle"), F.lit(False).alias("whole"))
+    forms = names.select("needle_id", F.explode(keyword_forms(F.col("needle_id"))).alias("needle"))
+    forms = forms.where(F.col("needle").rlike(WHOLE_WORD)).withColumn("whole", F.lit(True))
+    lowered = texts.select(F.col("src").alias("text_id"), F.lower("text").alias("text"))
+    found = matched_pairs(lowered, mentions.unionByName(forms))
+    return found.select(F.col("text_id").alias("src"), F.col("needle_id").alias("dst"))
 
 
 def stat_edges(cards: DataFrame, columns: dict[str, str]) -> DataFrame:

@@ -1,77 +1,112 @@
-"""Exact substring join without comparing every needle with every text.
+"""Exact substring join: every text is read once, where it lies, by an automaton of the needles.
 
-Long needles (three or more word runs) are found through one whole inner word: a needle
-can only occur where that word occurs as a whole word of the text. Short needles may start
-or end inside a word, so they are found through their first characters at every position
-of the text. Both are equi joins, so Spark may broadcast the needles when they are small
-and shuffles otherwise; every candidate is then verified against the needle itself.
+Needles are collected in chunks of at most about :data:`CHUNK_BYTES`, whatever their number; each
+chunk is one pass over the texts, which are never shuffled and never split into characters. Of a
+very long needle only the beginning is in the automaton; its candidates are verified in whole.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quillgraph.operators.automaton import Automaton
+
+#: Bytes of the needles of one pass, and of one needle inside the automaton.
+CHUNK_BYTES, NEEDLE_BYTES = 1 << 18, 1 << 12
+#: Bytes of text that a task matches at once.
+TEXT_BYTES = 1 << 22
+
+
+class Matcher:
+    """Automata of one chunk: needles anywhere in a text, and needles as whole words."""
+
+    def __init__(self, needles: list[bytes], whole: list[bool]):
+        self.needles = needles
+        self.parts = []
+        for flag in (False, True):
+            numbers = np.array([k for k, w in enumerate(whole) if w == flag], np.int64)
+            if len(numbers):
+                self.parts.append((flag, numbers, Automaton([needles[k] if flag else needles[k][:NEEDLE_BYTES] for k in numbers])))
+
+    def pairs(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        found = [np.zeros((2, 0), np.int64)]
+        for flag, numbers, automaton in self.parts:
+            text, needle = automaton.pairs(texts, flag)
+            needle = numbers[needle]
+            good = [flag or len(self.needles[n]) <= NEEDLE_BYTES or self.needles[n] in texts[t] for t, n in zip(text, needle)]
+            found.append(np.stack([text, needle])[:, np.array(good, bool)])
+        text, needle = np.concatenate(found, axis=1)
+        return text, needle
+
+
+def _portions(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+    """Runs of texts of bounded size, with the row they begin at."""
+    texts = column.cast(pa.binary()).to_pylist()
+    start = size = 0
+    for at, text in enumerate(texts):
+        if at > start and size + len(text) > TEXT_BYTES:
+            yield start, texts[start:at]
+            start, size = at, 0
+        size += len(text)
+    if texts:
+        yield start, texts[start:]
+
+
+def matched_pairs(texts: DataFrame, needles: DataFrame) -> DataFrame:
+    """Distinct (text_id, needle_id): ``texts(text_id, text)`` that hold ``needles(needle_id, needle, whole)``.
+
+    A needle with ``whole`` (of word characters only) must be a maximal run of letters, marks,
+    numbers and underscores. Nulls and empty needles match nothing.
+    """
+    spark = texts.sparkSession
+    texts = texts.where("text is not null").select("text_id", "text")
+    needles = needles.where("needle is not null and needle <> ''").select("needle_id", "needle", "whole").distinct()
+    schema = T.StructType([texts.schema["text_id"], needles.schema["needle_id"]])
+    size = needles.agg(F.sum(F.octet_length("needle"))).first()[0]
+    if not size:
+        return spark.createDataFrame([], schema)
+    chunks = -(-size // CHUNK_BYTES)
+    numbered = needles.withColumn("chunk", F.pmod(F.xxhash64("needle"), F.lit(chunks)))
+    found = None
+    for chunk in range(chunks):
+        one = _chunk_pairs(texts, numbered.where(F.col("chunk") == chunk).drop("chunk"), schema)
+        found = one if found is None else found.unionByName(one)
+    return found.distinct()
+
+
+def _chunk_pairs(texts: DataFrame, needles: DataFrame, schema: T.StructType) -> DataFrame:
+    held = needles.toArrow().combine_chunks()
+    ids = held["needle_id"].combine_chunks()
+    shared = texts.sparkSession.sparkContext.broadcast(
+        (ids, held["needle"].cast(pa.binary()).to_pylist(), held["whole"].to_pylist())
+    )
 
-from quillgraph.functions.text import word_runs
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, words, whole = shared.value
+        matcher = Matcher(words, whole)
+        for batch in batches:
+            for start, portion in _portions(batch.column("text")):
+                text, needle = matcher.pairs(portion)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("text_id").take(pa.array(start + text)), ids.take(pa.array(needle))],
+                    names=["text_id", "needle_id"],
+                )
 
-_MAX_GRAM = 6
+    return texts.mapInArrow(match, schema)
 
 
 def contains_pairs(texts: DataFrame, needles: DataFrame, ignore_case: bool = False) -> DataFrame:
-    """Distinct (text_id, needle_id) where ``texts.text`` holds ``needles.needle``.
+    """Distinct (text_id, needle_id) where ``texts.text`` holds ``needles.needle`` anywhere.
 
     ``texts(text_id, text)``, ``needles(needle_id, needle)``; blank needles match nothing.
     """
     if ignore_case:
         texts = texts.withColumn("text", F.lower("text"))
         needles = needles.withColumn("needle", F.lower("needle"))
-    texts = texts.where(F.col("text").isNotNull())
-    runs = word_runs(F.col("needle"))
-    needles = needles.where(F.col("needle") != "").withColumn("runs", runs)
-    is_long = F.size("runs") >= 3
-    long, short = needles.where(is_long), needles.where(~is_long)
-    return _long_pairs(texts, long).unionByName(_short_pairs(texts, short))
-
-
-def _long_pairs(texts: DataFrame, needles: DataFrame) -> DataFrame:
-    inner = F.slice("runs", 2, F.size("runs") - 2)
-    by_length = F.array_sort(
-        F.transform(inner, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))
-    )
-    anchored = needles.select("needle_id", "needle", by_length[0]["w"].alias("word"))
-    words = texts.select(
-        "text_id", F.explode_outer(F.array_distinct(word_runs(F.col("text")))).alias("word")
-    ).where(F.col("word").isNotNull())
-    candidates = words.join(anchored, "word").select("text_id", "needle_id", "needle")
-    return (
-        texts.join(candidates, "text_id")
-        .where(F.col("text").contains(F.col("needle")))
-        .select("text_id", "needle_id")
-    )
-
-
-def _short_pairs(texts: DataFrame, needles: DataFrame) -> DataFrame:
-    measured = needles.select(
-        F.least(F.length("needle"), F.lit(_MAX_GRAM)).alias("gram"), F.length("needle").alias("n")
-    )
-    grams = {r["gram"]: r["n"] for r in measured.groupBy("gram").agg(F.max("n").alias("n")).collect()}
-    if not grams:
-        return texts.select("text_id").join(needles.select("needle_id"), F.lit(False))
-    longest = max(grams.values())
-    # a look-ahead yields the window that starts at every character in one linear pass
-    windows = F.regexp_extract_all(
-        F.col("text"), F.lit(rf"(?s)(?=(.{{1,{longest}}}))"), F.lit(1)
-    )
-    starts = texts.select("text_id", F.explode_outer(windows).alias("at")).where(
-        F.col("at").isNotNull()
-    )
-    # at most _MAX_GRAM prefix lengths occur: needles below that length are their own key
-    keys = F.array(*[F.substring("at", 1, size) for size in sorted(grams)])
-    probes = starts.select("text_id", "at", F.explode(keys).alias("key"))
-    key = F.substring("needle", 1, _MAX_GRAM)
-    return (
-        probes.join(needles.select("needle_id", "needle", key.alias("key")), "key")
-        .where(F.col("at").startswith(F.col("needle")))
-        .select("text_id", "needle_id")
-        .distinct()
-    )
+    return matched_pairs(texts, needles.withColumn("whole", F.lit(False)))

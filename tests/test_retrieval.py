@@ -1,11 +1,14 @@
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 from pyspark.sql import functions as F
 
-from quillgraph.operators import enrichment, fusion, ivf, lexical, runs, vector
+from quillgraph.operators import automaton, enrichment, fusion, ivf, lexical, runs, substring, vector
 from quillgraph.operators.substring import contains_pairs
 
 
@@ -220,6 +223,47 @@ def test_contains_pairs_against_brute_force(spark):
         assert got == want
 
 
+def test_automaton_against_plain_search(monkeypatch):
+    rng = random.Random(7)
+    for alphabet in ("ab", "abé_ 漢-.") * 20:
+        monkeypatch.setattr(automaton, "_LANE", rng.choice([3, 7, 2048]))
+        needles, texts = (
+            ["".join(rng.choices(alphabet, k=rng.randint(low, high))) for _ in range(rng.randint(1, 12))]
+            for low, high in ((1, 6), (0, 60))
+        )
+        found = automaton.Automaton([n.encode() for n in needles])
+        encoded = [t.encode() for t in texts]
+        want = {(i, j) for i, t in enumerate(texts) for j, n in enumerate(needles) if n in t}
+        assert set(zip(*map(np.ndarray.tolist, found.pairs(encoded)))) == want
+        word = r"[\p{L}\p{M}\p{N}_]"
+        want = {
+            (i, j)
+            for i, t in enumerate(texts)
+            for j, n in enumerate(needles)
+            if regex.search(f"(?<!{word}){regex.escape(n)}(?!{word})", t)
+        }
+        assert set(zip(*map(np.ndarray.tolist, found.pairs(encoded, True)))) == want
+
+
+def test_needles_in_many_chunks(spark, monkeypatch):
+    monkeypatch.setattr(substring, "CHUNK_BYTES", 40)
+    monkeypatch.setattr(substring, "NEEDLE_BYTES", 8)
+    monkeypatch.setattr(substring, "TEXT_BYTES", 50)
+    texts = ["the redder bell rings", "a cat, sat on the mat today", None, "redder bells", "", "ends in ring"] * 3
+    needles = ["redder bell rings", "redder bell rinks", "cat, sat on the mat", "", None, "ring", "e"] + [f"needle {k}" for k in range(9)]
+    t = spark.createDataFrame(list(enumerate(texts)), "text_id int, text string")
+    rows = [(j, n, j % 2 == 1) for j, n in enumerate(needles)] + [(5, "ring", True), (3, "red", True)]
+    got = {tuple(r) for r in substring.matched_pairs(t, spark.createDataFrame(rows, "needle_id int, needle string, whole boolean")).collect()}
+    want = {
+        (i, j)
+        for i, x in enumerate(texts)
+        for j, n, whole in rows
+        if x and n and (regex.search(rf"\b{regex.escape(n)}\b", x) if whole else n in x)
+    }
+    assert got == want
+    assert substring.matched_pairs(t, spark.createDataFrame([], "needle_id int, needle string, whole boolean")).count() == 0
+
+
 def test_candidates_are_normalized(spark):
     rows = spark.createDataFrame(
         [(1, "a", 0, None), (1, "b", 1, 0.5), (1, "c", 2, None), (2, None, None, None), (3, "d", None, None)],
