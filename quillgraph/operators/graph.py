@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from quillgraph.functions.text import WHOLE_WORD, keyword_forms
 from quillgraph.operators.substring import contains_pairs, matched_pairs
 
+# Tasks that the targets of one flag spread over; its few sources are repeated so often.
+FLAG_SALTS = 32
 END_POINTS = ["src_label", "src_key", "rel", "dst_label", "dst_key"]
 
 
@@ -235,14 +237,20 @@ def rule_links(rules: DataFrame, nodes: DataFrame) -> DataFrame:
     return link(rows, nodes)
 
 
-def flag_links(sources: DataFrame, targets: DataFrame, flag: str) -> DataFrame:
-    """Each source linked to every target carrying the flag: (src, dst).
+def flag_links(sources: DataFrame, targets: DataFrame, flags: Sequence[str]) -> DataFrame:
+    """Each source linked to every target that carries the flag it reaches for: (src, dst).
 
-    ``sources(src, flag)`` names the flag it reaches for, ``targets(dst, <flag>)``; an equi
-    join on the flag, so only flagged targets move.
+    ``sources(src, flag)``, ``targets(dst, <flag>, ...)`` with a boolean column per flag. Every
+    target offers its own flags, so the match is an equi join; a flag that many targets carry is
+    split between tasks by a salt that each of its sources is repeated for.
     """
-    flagged = targets.where(F.col(flag)).select("dst", F.lit(flag).alias("flag"))
-    return sources.join(flagged, "flag").select("src", "dst")
+    carried = F.array_compact(F.array(*(F.when(F.col(f), F.lit(f)) for f in flags)))
+    offered = targets.select("dst", F.explode(carried).alias("flag")).withColumn(
+        "salt", F.pmod(F.xxhash64("dst"), F.lit(FLAG_SALTS)).cast("int")
+    )
+    salts = F.explode(F.sequence(F.lit(0), F.lit(FLAG_SALTS - 1))).alias("salt")
+    reaching = sources.where(F.col("flag").isin(list(flags))).select("src", "flag", salts)
+    return reaching.join(offered, ["flag", "salt"]).select("src", "dst")
 
 
 def mention_links(texts: DataFrame, names: DataFrame) -> DataFrame:

@@ -1,9 +1,10 @@
 """Inverted index, BM25 and full-text ranking for whole query sets at once.
 
-Postings are narrowed to the terms the queries use before anything is shuffled, and document
-frequencies come from a map-side combined count. Postings move once, to their document: a
-term found in a third of all documents spreads over all partitions, score sums stay local,
-and each partition sends only its k best rows per query to the final ranking.
+The texts are tokenized once, where they lie, into posting blocks (:mod:`quillgraph.operators.blocks`)
+that are written and can be kept. Document frequencies are sums over blocks. A search reads the
+blocks, keeps the postings of asked terms by a broadcast join, scores blocks inside their tasks and
+sends k rows per query and task to the final ranking: neither texts nor postings are shuffled.
+Query sets of any size are searched in passes of bounded size.
 
 Token arrays are unnested with ``explode_outer`` plus a null filter: for a plain ``explode``
 the optimizer adds a "not empty" filter that repeats the whole tokenizer expression.
@@ -11,56 +12,62 @@ the optimizer adds a "not empty" filter that repeats the whole tokenizer express
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quillgraph.functions.text import STOP_WORDS, index_tokens, tokenize
-from quillgraph.operators.ranking import SCORE_DIGITS, top_k
-from quillgraph.session import checkpointed
+from quillgraph.operators.blocks import HEADER, Asked, BlockSearch, block_schema, make_blocks, whole_blocks
+from quillgraph.operators.ranking import top_k
+from quillgraph.session import shared_path
 
 # BM25 constants of the two rankings.
 OKAPI_K1, OKAPI_B, OKAPI_FLOOR = 1.5, 0.75, 0.25
 FULLTEXT_K1, FULLTEXT_B = 1.2, 0.75
 
-
-# Query sets up to this many characters are joined as a broadcast; larger ones are shuffled.
-BROADCAST_QUERY_CHARS = 16_000_000
+# Characters of the queries of one pass, and rows that a task may hold for them.
+PASS_CHARS, PASS_ROWS = 4_000_000, 4_000_000
 
 
 @dataclass(frozen=True)
 class LexicalIndex:
-    """postings(term, doc_id, doc_len, tf), terms(term, df), corpus(n_docs, avg_len), doc_ids(doc_id)."""
+    """Posting blocks, ``terms(term, df)`` and ``corpus(n_docs, avg_len)``, kept as files."""
 
-    postings: DataFrame
+    blocks: DataFrame
     terms: DataFrame
     corpus: DataFrame
-    doc_ids: DataFrame
-    by_doc: bool = False  # postings already hash-partitioned by document
+
+    @property
+    def postings(self) -> DataFrame:
+        """``term, doc_id, doc_len, tf``."""
+        head = F.element_at("postings", 1)
+        rows = self.blocks.select(head["docs"].alias("ids"), head["lens"].alias("all_lens"), F.inline("postings"))
+
+        def entry(pair: Column) -> Column:
+            at = pair["places"]
+            return F.struct(
+                F.get("ids", at).alias("doc_id"), F.get("all_lens", at).alias("doc_len"), pair["tfs"].cast("long").alias("tf")
+            )
+
+        return rows.where(F.col("term") != HEADER).select("term", F.inline(F.transform(F.arrays_zip("places", "tfs"), entry)))
+
+    @property
+    def doc_ids(self) -> DataFrame:
+        return self.blocks.select(F.explode(F.element_at("postings", 1)["docs"]).alias("doc_id"))
 
     def save(self, path: str) -> None:
-        """Write the index once; postings are clustered by term so lookups skip row groups."""
-        (
-            self.postings.repartitionByRange("term", "doc_id")
-            .sortWithinPartitions("term", "doc_id")
-            .write.mode("overwrite")
-            .parquet(f"{path}/postings")
-        )
-        self.terms.write.mode("overwrite").parquet(f"{path}/terms")
-        self.corpus.write.mode("overwrite").parquet(f"{path}/corpus")
-        self.doc_ids.write.mode("overwrite").parquet(f"{path}/doc_ids")
+        for name in ("blocks", "terms", "corpus"):
+            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> LexicalIndex:
-        read = spark.read.parquet
-        return LexicalIndex(
-            read(f"{path}/postings"),
-            read(f"{path}/terms"),
-            read(f"{path}/corpus"),
-            read(f"{path}/doc_ids"),
-        )
+        return LexicalIndex(*(spark.read.parquet(f"{path}/{name}") for name in ("blocks", "terms", "corpus")))
 
 
 def word_analyzer(remove_stop_words: bool = True) -> Callable[[Column], Column]:
@@ -79,43 +86,30 @@ def query_terms(queries: DataFrame, analyzer: Callable[[Column], Column]) -> Dat
     )
 
 
+def document_frequencies(docs: DataFrame, analyzer: Callable[[Column], Column] = index_tokens) -> DataFrame:
+    """``term, df`` without an index: one tokenizer pass, counts combined before the shuffle."""
+    terms = F.explode_outer(F.array_distinct(analyzer(F.col("text")))).alias("term")
+    held = docs.where("text is not null and doc_id is not null").select(terms)
+    return held.where("term is not null").groupBy("term").agg(F.count("*").alias("df"))
+
+
 def build_index(
-    docs: DataFrame,
-    analyzer: Callable[[Column], Column] = index_tokens,
-    vocabulary: DataFrame | None = None,
+    docs: DataFrame, analyzer: Callable[[Column], Column] = index_tokens, path: str | None = None
 ) -> LexicalIndex:
-    """Index of ``docs(doc_id, text)``; documents without text are left out.
+    """Index of ``docs(doc_id, text)``; documents without text or id are left out.
 
-    ``vocabulary(term)`` narrows the postings (never the document frequencies) to the
-    terms that will be looked up.
+    Written to ``path``, by default a new one in the shared folder.
     """
-    # the length is a column of its own before unnesting, so rows never carry the array along
-    tokens = (
-        docs.where(F.col("text").isNotNull())
-        .select("doc_id", analyzer(F.col("text")).alias("tokens"))
-        .select("doc_id", F.size("tokens").alias("doc_len"), "tokens")
-    )
-    # One tokenizer pass gives frequencies and corpus totals: the row without a term stands
-    # for the whole corpus. The vocabulary-sized result is materialized for its three readers.
-    with_total = F.concat(F.array_distinct("tokens"), F.array(F.lit(None).cast("string")))
-    counted = checkpointed(
-        tokens.select("doc_len", F.explode_outer(with_total).alias("term"))
-        .groupBy("term")
-        .agg(F.count("*").alias("df"), F.sum("doc_len").alias("total_len"))
-    )
-    corpus = counted.where(F.col("term").isNull()).select(
-        F.col("df").alias("n_docs"), (F.col("total_len") / F.col("df")).alias("avg_len")
-    )
-    terms = counted.where(F.col("term").isNotNull()).select("term", "df")
-    occurrences = tokens.select(
-        "doc_id", "doc_len", F.explode_outer("tokens").alias("term")
-    ).where(F.col("term").isNotNull())
-    if vocabulary is not None:
-        # few occurrences are left: partitioned by document once, both the count per term
-        # and the later score sum per (query, document) need no further shuffle
-        occurrences = occurrences.join(vocabulary, "term", "left_semi").repartition("doc_id")
-    postings = occurrences.groupBy("term", "doc_id", "doc_len").agg(F.count("*").alias("tf"))
-    return LexicalIndex(postings, terms, corpus, tokens.select("doc_id"), vocabulary is not None)
+    spark = docs.sparkSession
+    path = path or shared_path(spark, "index")
+    tokens = docs.where("text is not null and doc_id is not null").select("doc_id", analyzer(F.col("text")).alias("tokens"))
+    tokens.mapInArrow(make_blocks, block_schema(docs.schema["doc_id"].dataType)).write.parquet(f"{path}/blocks")
+    blocks = spark.read.parquet(f"{path}/blocks")
+    entries = blocks.select(F.inline("postings")).where(F.col("term") != HEADER)
+    entries.groupBy("term").agg(F.sum(F.size("places")).alias("df")).write.parquet(f"{path}/terms")
+    n_docs = F.coalesce(F.sum("n_docs"), F.lit(0)).alias("n_docs")
+    blocks.agg(n_docs, (F.sum("total_len") / F.sum("n_docs")).alias("avg_len")).write.parquet(f"{path}/corpus")
+    return LexicalIndex.load(spark, path)
 
 
 def okapi_weights(terms: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -136,64 +130,97 @@ def fulltext_weights(terms: DataFrame, corpus: DataFrame) -> DataFrame:
     return terms.select("term", idf.alias("idf"))
 
 
-def _fits_broadcast(queries: DataFrame) -> bool:
-    chars = queries.agg(F.coalesce(F.sum(F.length("query")), F.lit(0))).first()[0]
-    return chars <= BROADCAST_QUERY_CHARS
+def _weighted(terms: DataFrame, weights: DataFrame) -> DataFrame:
+    """``query_id, term, weight`` of the asked terms that some document holds."""
+    return terms.join(weights, "term").select("query_id", "term", (F.col("times") * F.col("idf")).alias("weight"))
 
 
-def _sized(df: DataFrame, small: bool) -> DataFrame:
-    return F.broadcast(df) if small else df
+def _scored(
+    index: LexicalIndex, weighted: DataFrame, k: int, k1: float, b: float, gain: float, only: Sequence | None = None
+) -> DataFrame:
+    """The k best documents of each task for the queries of one pass: ``query_id, doc_id, score``.
 
+    ``only``: ids that alone may be found.
+    """
+    spark = weighted.sparkSession
+    blocks = index.blocks
+    doc_id = blocks.schema["postings"].dataType.elementType["docs"].dataType.elementType
+    schema = T.StructType([weighted.schema["query_id"], T.StructField("doc_id", doc_id), T.StructField("score", T.DoubleType())])
+    held = weighted.toArrow().combine_chunks()
+    if not held.num_rows:
+        return spark.createDataFrame([], schema)
+    query, term = (held[name].combine_chunks().dictionary_encode() for name in ("query_id", "term"))
+    asked = Asked(
+        term.indices.to_numpy(), query.indices.to_numpy(), held["weight"].to_numpy(), len(term.dictionary), len(query.dictionary)
+    )
+    avg_len = index.corpus.first()["avg_len"]
+    names = pa.table(
+        {
+            "term": pa.concat_arrays([pa.array([HEADER], term.dictionary.type), term.dictionary]),
+            "code": pa.array(range(-1, len(term.dictionary)), pa.int32()),
+        }
+    )
+    allowed = None if only is None else np.array(only)
+    shared = spark.sparkContext.broadcast((asked, query.dictionary, allowed))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, query_ids, allowed = shared.value
+        task = BlockSearch(asked, k, k1, b, gain, avg_len, allowed)
+        for rows in whole_blocks(batches):
+            task.table(rows)
+        number, docs, score = task.found()
+        yield pa.RecordBatch.from_arrays(
+            [query_ids.take(pa.array(number)), pa.array(docs.tolist(), to_arrow_type(doc_id)), pa.array(score)],
+            names=["query_id", "doc_id", "score"],
+        )
 
-def _score(
-    terms: DataFrame,
+    # The asked terms of one pass are bounded; a broadcast join leaves the rows of a block side by side.
+    postings = blocks.withColumn("block", F.monotonically_increasing_id()).select("block", F.inline("postings"))
+    found = postings.join(F.broadcast(spark.createDataFrame(names)), "term").select(
+        "block", "code", "most_tf", "least_len", "places", "docs", "lens", "tfs"
+    )
+    return found.mapInArrow(search, schema)
+
+
+def _ranked(
     index: LexicalIndex,
-    weights: DataFrame,
+    queries: DataFrame,
+    weigh: Callable[[DataFrame], DataFrame],
+    k: int,
     k1: float,
     b: float,
     gain: float,
-    small: bool,
+    only: Sequence | None = None,
 ) -> DataFrame:
-    weighted = weights.join(_sized(terms, small), "term").select(
-        "query_id", "term", (F.col("times") * F.col("idf")).alias("weight")
-    )
-    avg_len = index.corpus.select("avg_len").scalar()
-    pressure = k1 * (1 - b + b * F.col("doc_len") / avg_len)
-    part = F.col("weight") * F.col("tf") * gain / (F.col("tf") + pressure)
-    postings = index.postings
-    if small and not index.by_doc:
-        # (query, document) sums outnumber postings by far, so the postings move instead
-        asked = F.broadcast(terms.select("term").distinct())
-        postings = postings.join(asked, "term", "left_semi").repartition("doc_id")
-    return (
-        postings.join(_sized(weighted, small), "term")
-        .groupBy("query_id", "doc_id")
-        .agg(F.round(F.sum(part), SCORE_DIGITS).alias("score"))
-    )
+    """``query_id, rank, doc_id, score`` of all queries, in as many passes as their size asks for."""
+    size = queries.agg(F.coalesce(F.sum(F.length("query")), F.lit(0)).alias("chars"), F.count("*").alias("n")).first()
+    passes = max(1, -(-size["chars"] // PASS_CHARS), -(-size["n"] * k // PASS_ROWS))
+    found = None
+    for number in range(passes):
+        part = queries if passes == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == number)
+        near = _scored(index, weigh(part), k, k1, b, gain, only)
+        found = near if found is None else found.unionByName(near)
+    return top_k(found, k).select("query_id", "rank", "doc_id", "score")
 
 
-def _pad(
-    ranked: DataFrame, matched: DataFrame, queries: DataFrame, doc_ids: DataFrame, k: int
-) -> DataFrame:
-    """Fill every query up to k rows with unmatched documents in id order, score zero.
+def _first_ids(index: LexicalIndex, count: int) -> list:
+    return [r["doc_id"] for r in index.doc_ids.orderBy("doc_id").limit(count).collect()]
 
-    No document in ``matched(query_id, doc_id)`` is a filler, also where its score is below
-    zero and the ranking was cut before it.
 
-    A query short of k matches can need at most the first 2k ids, so only those leave the
-    corpus scan.
+def _pad(ranked: DataFrame, matched: DataFrame, queries: DataFrame, first: list, k: int) -> DataFrame:
+    """Fill every query up to k rows with unmatched documents in id order, score zero.
+
+    ``first``: the 2k smallest ids, all that a query short of k matches can need; ``matched``: its
+    matches among them. None of those is a filler, also where its score is below zero and the
+    ranking was cut before it.
     """
-    first = (
-        doc_ids.orderBy("doc_id").limit(2 * k).agg(F.array_sort(F.collect_list("doc_id"))).scalar()
-    )
     asked = queries.where(F.col("query").isNotNull() & (F.col("query") != "")).select("query_id")
+    kind = ranked.schema["doc_id"].dataType
+    ids = ranked.sparkSession.createDataFrame([(first,)], T.StructType([T.StructField("ids", T.ArrayType(kind))]))
     filler = (
-        asked.select("query_id", F.explode(first).alias("doc_id"))
-        .join(
-            matched.where(F.array_contains(first, F.col("doc_id"))).select("query_id", "doc_id"),
-            ["query_id", "doc_id"],
-            "left_anti",
-        )
+        asked.join(F.broadcast(ids))
+        .select("query_id", F.explode("ids").alias("doc_id"))
+        .join(matched.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
         .withColumn("score", F.lit(0.0))
     )
     return top_k(ranked.drop("rank").unionByName(filler), k)
@@ -212,12 +239,16 @@ def bm25(
 
     With ``fill_zero`` documents without any query term still take the free places.
     """
-    terms = query_terms(queries, word_analyzer(remove_stop_words))
     weights = okapi_weights(index.terms, index.corpus)
-    matched = _score(terms, index, weights, k1, b, k1 + 1, _fits_broadcast(queries))
-    ranked = top_k(matched, k)
+
+    def weigh(part: DataFrame) -> DataFrame:
+        return _weighted(query_terms(part, word_analyzer(remove_stop_words)), weights)
+
+    ranked = _ranked(index, queries, weigh, k, k1, b, k1 + 1)
     if fill_zero:
-        ranked = _pad(ranked, matched, queries, index.doc_ids, k)
+        first = _first_ids(index, 2 * k)
+        matched = _ranked(index, queries, weigh, 2 * k, k1, b, k1 + 1, first)
+        ranked = _pad(ranked, matched, queries, first, k)
     return ranked.select("query_id", "rank", "doc_id", "score")
 
 
@@ -225,17 +256,12 @@ def fulltext(
     queries: DataFrame, index: LexicalIndex, k: int = 10, remove_stop_words: bool = True
 ) -> DataFrame:
     """Any-term full-text top-k; only documents that match are returned."""
-    terms = query_terms(queries, word_analyzer(remove_stop_words))
     weights = fulltext_weights(index.terms, index.corpus)
-    ranked = top_k(
-        _score(terms, index, weights, FULLTEXT_K1, FULLTEXT_B, 1.0, _fits_broadcast(queries)), k
-    )
-    return ranked.select("query_id", "rank", "doc_id", "score")
 
+    def weigh(part: DataFrame) -> DataFrame:
+        return _weighted(query_terms(part, word_analyzer(remove_stop_words)), weights)
 
-def _asked_vocabulary(queries: DataFrame, remove_stop_words: bool) -> DataFrame:
-    terms = query_terms(queries, word_analyzer(remove_stop_words)).select("term").distinct()
-    return _sized(terms, _fits_broadcast(queries))
+    return _ranked(index, queries, weigh, k, FULLTEXT_K1, FULLTEXT_B, 1.0)
 
 
 def bm25_search(
@@ -246,9 +272,8 @@ def bm25_search(
     remove_stop_words_docs: bool = True,
     fill_zero: bool = False,
 ) -> DataFrame:
-    """BM25 straight from a document table, keeping postings of asked terms only."""
-    vocabulary = _asked_vocabulary(queries, remove_stop_words_query)
-    index = build_index(docs, word_analyzer(remove_stop_words_docs), vocabulary)
+    """BM25 straight from a document table, through an index in the shared folder."""
+    index = build_index(docs, word_analyzer(remove_stop_words_docs))
     return bm25(queries, index, k, remove_stop_words_query, fill_zero)
 
 
@@ -256,9 +281,7 @@ def fulltext_search(
     queries: DataFrame, docs: DataFrame, k: int = 10, remove_stop_words_query: bool = True
 ) -> DataFrame:
     """Full-text search straight from a document table (stop words stay in the documents)."""
-    vocabulary = _asked_vocabulary(queries, remove_stop_words_query)
-    index = build_index(docs, index_tokens, vocabulary)
-    return fulltext(queries, index, k, remove_stop_words_query)
+    return fulltext(queries, build_index(docs, index_tokens), k, remove_stop_words_query)
 
 
 def stop_word_flags(

@@ -251,13 +251,12 @@ def validation_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "open_codes",
-    r"""WITH c AS (SELECT DISTINCT trim(regexp_extract(text, '^[^.\n]*')) AS code FROM conversations)
+    r"""WITH c AS (SELECT DISTINCT trim(unnest(regexp_split_to_array(text, '[.\n]'))) AS code FROM conversations)
 SELECT code, row_number() OVER (ORDER BY code) AS number FROM c WHERE code <> ''""",
 )
 def open_codes(spark: SparkSession, d: str) -> DataFrame:
-    notes = table(spark, d, "conversations").select(
-        F.regexp_extract("text", r"^[^.\n]*", 0).alias("code")
-    )
+    """Every sentence and line of every turn as a code."""
+    notes = table(spark, d, "conversations").select(F.explode(F.split("text", r"[.\n]")).alias("code"))
     return E.open_codes(notes)
 
 

@@ -292,7 +292,7 @@ def closure_members(spark: SparkSession, d: str) -> DataFrame:
     "partition_check",
     """WITH m AS (SELECT n_name AS type, o_orderkey AS member FROM orders JOIN customer ON o_custkey = c_custkey
   JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT n_name, l_orderkey FROM lineitem
-  JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey WHERE l_linenumber = 1
+  JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey
   UNION ALL SELECT r_name, o_orderkey FROM orders JOIN region ON r_name = 'ASIA' WHERE o_orderpriority LIKE '1%'),
 geo AS (SELECT n_name AS child, r_name AS parent FROM nation JOIN region ON n_regionkey = r_regionkey)
 SELECT 'direct member' AS breach, type, member FROM m WHERE type IN (SELECT r_name FROM region)
@@ -307,7 +307,7 @@ def partition_check(spark: SparkSession, d: str) -> DataFrame:
         .select(F.col("n_name").alias("type"), F.col("o_orderkey").alias("member"))
     )
     sellers = (
-        t["lineitem"].where("l_linenumber = 1")
+        t["lineitem"]
         .join(t["supplier"], F.col("l_suppkey") == F.col("s_suppkey"))
         .join(t["nation"], F.col("s_nationkey") == F.col("n_nationkey"))
         .select(F.col("n_name").alias("type"), F.col("l_orderkey").alias("member"))
@@ -418,16 +418,19 @@ def rule_links(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "flag_links",
-    "SELECT r_name AS src, p_partkey AS dst FROM region, part WHERE r_name = 'ASIA' AND p_retailprice > 950",
+    """SELECT r_name AS src, p_partkey AS dst FROM region JOIN part ON
+  CASE WHEN r_regionkey % 2 = 0 THEN p_retailprice > 950 ELSE p_size > 25 END""",
 )
 def flag_links(spark: SparkSession, d: str) -> DataFrame:
-    sources = table(spark, d, "region").where("r_name = 'ASIA'").select(
-        F.col("r_name").alias("src"), F.lit("is_cursed").alias("flag")
-    )
+    """Regions with an even key reach for dear parts, the others for large ones."""
+    wanted = F.when(F.col("r_regionkey") % 2 == 0, "is_dear").otherwise("is_large")
+    sources = table(spark, d, "region").select(F.col("r_name").alias("src"), wanted.alias("flag"))
     targets = table(spark, d, "part").select(
-        F.col("p_partkey").alias("dst"), (F.col("p_retailprice") > 950).alias("is_cursed")
+        F.col("p_partkey").alias("dst"),
+        (F.col("p_retailprice") > 950).alias("is_dear"),
+        (F.col("p_size") > 25).alias("is_large"),
     )
-    return G.flag_links(sources, targets, "is_cursed")
+    return G.flag_links(sources, targets, ["is_dear", "is_large"])
 
 
 def _words(spark: SparkSession, d: str) -> DataFrame:

@@ -33,7 +33,7 @@ def tokenize_terms(spark: SparkSession, d: str) -> DataFrame:
 SELECT term, count(*) AS df FROM t GROUP BY term""",
 )
 def index_df(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.build_index(inputs.documents(spark, d)).terms
+    return lexical.document_frequencies(inputs.documents(spark, d))
 
 
 @query(

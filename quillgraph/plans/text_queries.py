@@ -64,12 +64,16 @@ def page_meta(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "element_text",
-    r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<nav>.*?</nav>'), '<[^>]*>', ' ', 'g'),
-  '\s+', ' ', 'g')) AS text FROM pages""",
+    r"""WITH e AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<(?:nav|h1|li|p)>.*?</(?:nav|h1|li|p)>')) AS element,
+  generate_subscripts(regexp_extract_all(html, '(?s)<(?:nav|h1|li|p)>.*?</(?:nav|h1|li|p)>'), 1) AS position FROM pages)
+SELECT page_id, position::INT AS position, trim(regexp_replace(regexp_replace(element, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS text
+FROM e""",
 )
 def element_text(spark: SparkSession, d: str) -> DataFrame:
-    nav = F.regexp_extract("html", r"(?s)<nav>.*?</nav>", 0)
-    return table(spark, d, "pages").select("page_id", X.strip_tags(nav).alias("text"))
+    """Every navigation bar, heading, list item and paragraph of every page, in page order."""
+    elements = F.regexp_extract_all("html", F.lit(r"(?s)<(?:nav|h1|li|p)>.*?</(?:nav|h1|li|p)>"), F.lit(0))
+    rows = table(spark, d, "pages").select("page_id", F.posexplode(elements).alias("at", "element"))
+    return rows.select("page_id", (F.col("at") + 1).alias("position"), X.strip_tags(F.col("element")).alias("text"))
 
 
 @query(
@@ -112,13 +116,17 @@ def stat_ranges(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "typed_values",
-    r"""SELECT doc_id, try_cast(CASE WHEN regexp_full_match(trim(w), '\d+') THEN trim(w) END AS INT) AS number,
-  nullif(trim(w), '') AS raw FROM (SELECT doc_id, regexp_extract(text, '\S*\d\S*') AS w FROM documents)""",
+    r"""WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\s')) AS w,
+  generate_subscripts(regexp_split_to_array(text, '\s'), 1) AS position FROM documents)
+SELECT doc_id, position::INT AS position, try_cast(CASE WHEN regexp_full_match(w, '\d+') THEN w END AS INT) AS number,
+  nullif(w, '') AS raw FROM w""",
 )
 def typed_values(spark: SparkSession, d: str) -> DataFrame:
-    word = F.regexp_extract("text", r"\S*\d\S*", 0)
-    parsed = inputs.documents(spark, d).select("doc_id", X.typed_value(word).alias("v"))
-    return parsed.select("doc_id", F.col("v.number").alias("number"), F.col("v.raw").alias("raw"))
+    """Every word of every text; blank ones are null."""
+    words = F.split("text", r"\s")
+    rows = inputs.documents(spark, d).select("doc_id", F.posexplode(words).alias("at", "word"))
+    value = X.typed_value(F.col("word"))
+    return rows.select("doc_id", (F.col("at") + 1).alias("position"), value["number"].alias("number"), value["raw"].alias("raw"))
 
 
 @query(

@@ -203,3 +203,10 @@ def test_curated_rules_link_existing_nodes_only(spark):
     edges = G.rule_links(rules, ends)
     assert edges.count() == rules.selectExpr("sum(size(targets))").first()[0]
     assert G.rule_links(rules, ends.where("key <> 'Health'")).where("dst_key = 'Health'").isEmpty()
+
+
+def test_flag_links_of_several_flags(spark):
+    sources = spark.createDataFrame([("a", "red"), ("b", "big"), ("c", "none"), ("d", None)], "src string, flag string")
+    targets = spark.createDataFrame([(1, True, False), (2, True, True), (3, None, True)], "dst int, red boolean, big boolean")
+    got = G.flag_links(sources, targets, ["red", "big"])
+    assert sorted(map(tuple, got.collect())) == [("a", 1), ("a", 2), ("b", 2), ("b", 3)]

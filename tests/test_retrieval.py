@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -8,7 +10,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-from quillgraph.operators import automaton, enrichment, fusion, ivf, lexical, runs, substring, vector
+from quillgraph.operators import automaton, blocks, enrichment, fusion, ivf, lexical, runs, substring, vector
 from quillgraph.operators.substring import contains_pairs
 
 
@@ -92,13 +94,57 @@ def test_saved_index_ranks_the_same(spark, scratch):
     assert lexical.bm25(q, stored, 5).collect() == live.collect()
 
 
-def test_shuffled_query_terms_rank_the_same(spark, monkeypatch):
+def test_passes_rank_the_same(spark, monkeypatch):
     docs, q = corpus(spark), asked(spark, "heavy damage leader", "fast")
     small = sorted(lexical.bm25_search(q, docs, 5).collect())
-    monkeypatch.setattr(lexical, "BROADCAST_QUERY_CHARS", 0)
+    monkeypatch.setattr(lexical, "PASS_CHARS", 8)
     assert sorted(lexical.bm25_search(q, docs, 5).collect()) == small
 
 
+def test_block_search_against_plain_scores(spark, scratch, monkeypatch):
+    """Small blocks, pruned by their bounds, against every score; awkward documents included."""
+    monkeypatch.setattr(blocks, "BLOCK_DOCS", 7)
+    monkeypatch.setattr(blocks, "TILE_QUERIES", 3)
+    rng = random.Random(3)
+    words = [f"q{chr(97 + k)}" for k in range(15)]
+    texts = [" ".join(rng.choices(words, weights=range(1, 16), k=rng.randint(0, 30))) for _ in range(120)] + [None, "", "1 2 3"]
+    queries = [" ".join(rng.choices(words, k=rng.randint(1, 4))) for _ in range(11)] + ["", None, "unheard of"]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(None, "qa qb")], "doc_id long, text string").repartition(4)
+    index = lexical.build_index(docs, lexical.word_analyzer(), f"{scratch}/ix")
+    n, tokens = 122, {k: (t or "").split() for k, t in enumerate(texts) if t is not None}
+    tokens[122] = []
+    frequency = Counter(w for t in tokens.values() for w in set(t))
+    length = sum(map(len, tokens.values())) / n
+    assert {r["term"]: r["df"] for r in index.terms.collect()} == frequency
+    assert {r["term"]: r["df"] for r in lexical.document_frequencies(docs, lexical.word_analyzer()).collect()} == frequency
+    got = lexical.fulltext(spark.createDataFrame(list(enumerate(queries)), "query_id int, query string"), index, 4, False).collect()
+    want = []
+    for q, text in enumerate(queries):
+        scored = []
+        for doc, held in tokens.items():
+            parts = [
+                math.log(1 + (n - frequency[w] + 0.5) / (frequency[w] + 0.5)) * held.count(w)
+                / (held.count(w) + 1.2 * (0.25 + 0.75 * len(held) / length))
+                for w in (text or "").split() if w in held
+            ]
+            if parts:
+                scored.append((-round(sum(parts), 6), doc))
+        want += [(q, rank, doc, -score) for rank, (score, doc) in enumerate(sorted(scored)[:4], 1)]
+    assert sorted(map(tuple, got)) == sorted(want)
+    empty = lexical.build_index(docs.limit(0), lexical.word_analyzer(), f"{scratch}/none")
+    assert lexical.bm25(spark.createDataFrame([(1, "qa")], "query_id int, query string"), empty).count() == 0
+
+
+def test_blocks_below_the_threshold_are_not_scored():
+    asked = blocks.Asked(np.array([0]), np.array([0]), np.array([1.0]), 1, 1)
+    search = blocks.BlockSearch(asked, 1, 1.2, 0.75, 1.0, 10.0)
+    rows = {"block": [1, 1, 2, 2, 3], "code": [-1, 0, -1, 0, -1], "most_tf": [0, 5, 0, 1, 0], "least_len": [0, 10, 0, 10, 0]}
+    rows |= {"places": [[], [0], [], [0, 1], []], "docs": [[7], [], [8, 9], [], [4]], "lens": [[10], [], [10, 10], [], [3]], "tfs": [[], [5], [], [1, 1], []]}
+    search.table(pa.table(rows))
+    assert (search.pairs, search.scored) == (2, 1)
+    assert [a.tolist() for a in search.found()[:2]] == [[0], [7]]
+
+
 def test_stop_word_flag_precedence():
     assert lexical.stop_word_flags("bm25") == (True, True)
     assert lexical.stop_word_flags("fulltext") == (True, False)
