@@ -1,11 +1,36 @@
-"""Reachability over edge tables by repeated joins with checkpoints (no recursion limits)."""
+"""Reachability over edge tables by rounds of joins whose results are appended to files.
+
+A round reads what earlier rounds wrote and writes its new pairs only; no pair is written twice.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quillgraph.operators.skew import hot_join
+from quillgraph.session import shared_path, written
+
+
+class Rounds:
+    """Rows of one shape, appended round by round under a new path of the shared folder."""
+
+    def __init__(self, first: DataFrame, label: str):
+        self.spark, self.path, self.last = first.sparkSession, shared_path(first.sparkSession, label), -1
+        self.shape = first.schema
+        self.append(first)
+
+    def append(self, rows: DataFrame) -> DataFrame:
+        """Write the rows of the next round and read them back."""
+        self.last += 1
+        rows.write.parquet(f"{self.path}/round={self.last}")
+        return self.spark.read.schema(self.shape).parquet(f"{self.path}/round={self.last}")
 
-from quillgraph.session import checkpointed
+    def all(self) -> DataFrame:
+        """The rows of all rounds so far."""
+        shape = T.StructType([*self.shape.fields, T.StructField("round", T.IntegerType())])
+        return self.spark.read.schema(shape).parquet(self.path).drop("round")
 
 
 def ancestors(edges: DataFrame, include_self: bool = False) -> DataFrame:
@@ -14,61 +39,69 @@ def ancestors(edges: DataFrame, include_self: bool = False) -> DataFrame:
     Every round extends only the pairs found in the round before, so a hierarchy of depth
     d needs d rounds and cycles end when nothing new appears.
     """
-    step = checkpointed(edges.select("child", "parent").distinct())
-    frontier = step.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"))
-    known = frontier
+    step = written(edges.select("child", "parent").distinct(), "edges")
+    known = Rounds(step.select(F.col("child").alias("node"), F.col("parent").alias("ancestor")), "ancestors")
+    frontier = known.all()
     while True:
         reached = (
             frontier.join(step, frontier["ancestor"] == step["child"])
             .select("node", F.col("parent").alias("ancestor"))
             .distinct()
-            .join(known, ["node", "ancestor"], "left_anti")
+            .join(known.all(), ["node", "ancestor"], "left_anti")
         )
-        frontier = checkpointed(reached)
+        frontier = known.append(reached)
         if frontier.isEmpty():
             break
-        known = checkpointed(known.unionByName(frontier))
+    found = known.all()
     if include_self:
         nodes = step.select(F.col("child").alias("node")).union(step.select("parent")).distinct()
-        known = known.unionByName(nodes.select("node", F.col("node").alias("ancestor"))).distinct()
-    return known
+        found = found.unionByName(nodes.select("node", F.col("node").alias("ancestor"))).distinct()
+    return found
 
 
 def members_of(edges: DataFrame, membership: DataFrame) -> DataFrame:
-    """Members of every type including those of its descendants: (type, member)."""
+    """Members of every type including those of its descendants: (type, member).
+
+    A type may hold most members: they meet the few ancestors of their type in many tasks.
+    """
     up = ancestors(edges).select(F.col("node").alias("type"), "ancestor")
     own = membership.select("type", "member")
-    inherited = own.join(up, "type").select(F.col("ancestor").alias("type"), "member")
+    inherited = hot_join(own, up, ["type"], "member").select(F.col("ancestor").alias("type"), "member")
     return own.unionByName(inherited).distinct()
 
 
 def terminals(edges: DataFrame) -> DataFrame:
     """(node, terminal) for every non-terminal node over ``edges(src, dst)``.
 
-    Path doubling: after round i a pair stands for up to 2^i steps, so a chain of length n
-    takes log2(n) rounds. Pairs that reached a terminal leave the working set.
+    Path doubling: after round i an open pair stands for up to 2^i steps, so a chain of length n
+    takes log2(n) rounds. Pairs that reached a terminal are written once and stay; only open
+    pairs go on.
     """
-    edges = checkpointed(edges.select("src", "dst").distinct())
+    return _ends(written(edges.select("src", "dst").distinct(), "chain")).distinct()
+
+
+def _ends(edges: DataFrame) -> DataFrame:
+    """(node, terminal) of a written chain; a pair reached by ways of different length repeats."""
     inner = edges.select(F.col("src").alias("dst"), F.lit(True).alias("inner")).distinct()
-    pairs = checkpointed(
-        edges.join(inner, "dst", "left").select(
-            "src", "dst", F.coalesce("inner", F.lit(False)).alias("open")
-        )
+    marked = written(
+        edges.join(inner, "dst", "left").select("src", "dst", F.coalesce("inner", F.lit(False)).alias("open")), "chain"
     )
-    open_sources = pairs.where("open").select("src").distinct().count()
-    covered = 1
-    while open_sources and covered <= open_sources:
-        onward = pairs.select(
-            F.col("src").alias("dst"), F.col("dst").alias("end"), F.col("open").alias("still_open")
-        )
-        moved = pairs.where("open").join(onward, "dst").select(
-            "src", F.col("end").alias("dst"), F.col("still_open").alias("open")
+    closed = Rounds(marked.where("not open").select("src", "dst"), "terminals")
+    open_ = marked.where("open").select("src", "dst")
+    left, covered = open_.select("src").distinct().count(), 1
+    # A walk without a terminal after as many steps as there are open nodes goes round for ever.
+    while left and covered <= left:
+        ended = closed.all().withColumn("open", F.lit(False))
+        onward = ended.unionByName(open_.withColumn("open", F.lit(True))).select(
+            F.col("src").alias("dst"), F.col("dst").alias("end"), "open"
         )
-        pairs = checkpointed(pairs.where("not open").unionByName(moved).distinct())
+        moved = written(open_.join(onward, "dst").select("src", F.col("end").alias("dst"), "open").distinct(), "moved")
+        closed.append(moved.where("not open").select("src", "dst"))
+        open_ = moved.where("open").select("src", "dst")
         covered *= 2
-        if pairs.where("open").isEmpty():
+        if open_.isEmpty():
             break
-    return pairs.where("not open").select(F.col("src").alias("node"), F.col("dst").alias("terminal"))
+    return closed.all().select(F.col("src").alias("node"), F.col("dst").alias("terminal"))
 
 
 def propagate_to_terminals(values: DataFrame, chain: DataFrame) -> DataFrame:
@@ -77,13 +110,14 @@ def propagate_to_terminals(values: DataFrame, chain: DataFrame) -> DataFrame:
     ``values(node, value)``; a terminal that has its own value is overwritten by a moved one
     (the largest when several arrive), non-terminals lose theirs.
     """
-    chain = checkpointed(chain.select("src", "dst"))
-    ends = terminals(chain)
+    chain = written(chain.select("src", "dst").distinct(), "chain")
+    ends = _ends(chain)
     moved = (
         values.join(ends, "node")
         .groupBy(F.col("terminal").alias("node"))
         .agg(F.max("value").alias("value"))
     )
+    # Every node that is not terminal has an edge out of it.
     inner = chain.select(F.col("src").alias("node")).distinct()
     kept = values.join(inner, "node", "left_anti").join(moved, "node", "left_anti")
     return kept.select("node", "value").unionByName(moved)

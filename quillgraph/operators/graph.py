@@ -16,10 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.functions.text import WHOLE_WORD, keyword_forms
+from quillgraph.operators.skew import hot_join
 from quillgraph.operators.substring import contains_pairs, matched_pairs
 
-# Tasks that the targets of one flag spread over; its few sources are repeated so often.
-FLAG_SALTS = 32
 END_POINTS = ["src_label", "src_key", "rel", "dst_label", "dst_key"]
 
 
@@ -241,16 +240,12 @@ def flag_links(sources: DataFrame, targets: DataFrame, flags: Sequence[str]) ->
     """Each source linked to every target that carries the flag it reaches for: (src, dst).
 
     ``sources(src, flag)``, ``targets(dst, <flag>, ...)`` with a boolean column per flag. Every
-    target offers its own flags, so the match is an equi join; a flag that many targets carry is
-    split between tasks by a salt that each of its sources is repeated for.
+    target offers its own flags, so the match is an equi join, spread also where most targets
+    carry one flag.
     """
     carried = F.array_compact(F.array(*(F.when(F.col(f), F.lit(f)) for f in flags)))
-    offered = targets.select("dst", F.explode(carried).alias("flag")).withColumn(
-        "salt", F.pmod(F.xxhash64("dst"), F.lit(FLAG_SALTS)).cast("int")
-    )
-    salts = F.explode(F.sequence(F.lit(0), F.lit(FLAG_SALTS - 1))).alias("salt")
-    reaching = sources.where(F.col("flag").isin(list(flags))).select("src", "flag", salts)
-    return reaching.join(offered, ["flag", "salt"]).select("src", "dst")
+    offered = targets.select("dst", F.explode(carried).alias("flag"))
+    return hot_join(offered, sources.select("src", "flag"), ["flag"], "dst").select("src", "dst")
 
 
 def mention_links(texts: DataFrame, names: DataFrame) -> DataFrame:
@@ -344,10 +339,11 @@ def link_fallback(docs: DataFrame, entities: DataFrame, linked: DataFrame) -> Da
 def summary_links(entities: DataFrame, pages: DataFrame, docs: DataFrame) -> DataFrame:
     """Every entity of a kind to the document of its summary page: (src, dst).
 
-    ``entities(src, kind)``, ``pages(kind, source_file)``; two equi joins.
+    ``entities(src, kind)``, ``pages(kind, source_file)``; two equi joins, the second spread over
+    tasks because there are few kinds.
     """
-    targets = pages.join(docs.select("doc_id", "source_file"), "source_file")
-    return entities.join(targets, "kind").select("src", F.col("doc_id").alias("dst")).distinct()
+    targets = pages.join(docs.select("doc_id", "source_file"), "source_file").select("kind", F.col("doc_id").alias("dst"))
+    return hot_join(entities.select("src", "kind"), targets, ["kind"], "src").select("src", "dst").distinct()
 
 
 # ---------------------------------------------------------------- inspection
