@@ -79,6 +79,7 @@ _MARKUP = re.compile(
     re.DOTALL,
 )
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_INTEGER = re.compile(r"[+-]?[0-9]+")
 _RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.IGNORECASE) for tag in ("script", "style")}
 
 
@@ -197,13 +198,11 @@ def data_table_lines(table: Element) -> list[str]:
     return [*filter(None, said)]
 
 
-def _is_infobox(element: Element) -> bool:
-    return (element.tag, element.attrs.get("id")) == ("table", "infobox")
-
-
-def table_text(table: Element, separator: str = "\n") -> str:
-    read = infobox_lines if _is_infobox(table) else data_table_lines
-    return separator.join(read(table))
+def tables(root: Element) -> Iterator[tuple[Element, bool, list[str]]]:
+    """Every table in document order, whether it is the infobox, and its lines."""
+    for table in root.find("table"):
+        boxed = table.attrs.get("id") == "infobox"
+        yield table, boxed, infobox_lines(table) if boxed else data_table_lines(table)
 
 
 # ------------------------------------------------------------------ page text
@@ -211,17 +210,17 @@ def table_text(table: Element, separator: str = "\n") -> str:
 
 def marked_text(root: Element) -> str:
     """Page text with a mark for every line break; whitespace is normalized by the caller."""
-    boxes = [e for e in root.walk() if _is_infobox(e)]
+    said = {table: (boxed, MARK + MARK.join(lines) + MARK * 2) for table, boxed, lines in tables(root)}
+    boxes = [text for boxed, text in said.values() if boxed]
+    # Infoboxes move to the first section heading, if there is one.
     first_h2 = next((e for e in root.walk() if e.tag == "h2"), None) if boxes else None
 
-    def as_table(node: Element) -> str:
-        return MARK + table_text(node, MARK) + MARK + MARK
-
     def lead(node: Element) -> str:
-        return "".join(as_table(b) for b in boxes) if node is first_h2 else ""
+        return "".join(boxes) if node is first_h2 else ""
 
     def shown(table: Element) -> str:
-        return "" if first_h2 is not None and _is_infobox(table) else as_table(table)
+        boxed, text = said[table]
+        return "" if boxed and first_h2 is not None else text
 
     def joined(node: Element) -> str:
         out: list[str] = []
@@ -289,8 +288,8 @@ def header_chunks(root: Element, levels: tuple[str, ...]) -> Iterator[tuple]:
 # ------------------------------------------------------------------ rows of a page
 
 
-def cell_rows(root: Element, css_class: str | None = None) -> Iterator[dict]:
-    """One row per table cell with its table, its preceding heading and its links.
+def table_rows(root: Element, css_class: str | None = None) -> Iterator[dict]:
+    """One record per table row with its table, its preceding heading and its cells.
 
     With a class, only its tables are read and numbered.
     """
@@ -310,27 +309,77 @@ def cell_rows(root: Element, css_class: str | None = None) -> Iterator[dict]:
             }
             headers: list[str] = []
             for row_no, row in enumerate(_own_rows(node)):
-                cells = row.kids("th", "td")
-                fields = [_cell(c) for c in cells]
-                heads = [f["text"] for f in fields if f["is_header"]]
+                cells = [_cell(c) for c in row.kids("th", "td")]
+                heads = [c["text"] for c in cells if c["is_header"]]
                 if row_no == 0:
-                    headers = [f["text"] if f["is_header"] else "" for f in fields]
-                of_row = {
+                    headers = [c["text"] if c["is_header"] else "" for c in cells]
+                data_no = -1
+                for col_no, cell in enumerate(cells):
+                    data_no += not cell["is_header"]
+                    cell["col_no"] = col_no
+                    cell["data_no"] = None if cell["is_header"] else data_no
+                    cell["header"] = headers[col_no] if col_no < len(headers) else None
+                yield shared | {
                     "row_no": row_no,
                     "n_data": len(cells) - len(heads),
                     "row_head": heads[0] if heads else None,
-                    "row_image": any(f["image"] is not None for f in fields),
+                    "row_image": any(c["image"] is not None for c in cells),
+                    "cells": cells,
                 }
-                data_no = -1
-                for col_no, field in enumerate(fields):
-                    data_no += not field["is_header"]
-                    header = headers[col_no] if col_no < len(headers) else None
-                    places = {
-                        "col_no": col_no,
-                        "data_no": None if field["is_header"] else data_no,
-                        "header": header,
-                    }
-                    yield shared | of_row | places | field
+
+
+def cell_rows(root: Element, css_class: str | None = None) -> Iterator[dict]:
+    """The cells of :func:`table_rows`, one at a time."""
+    for row in table_rows(root, css_class):
+        cells = row.pop("cells")
+        yield from (row | cell for cell in cells)
+
+
+def header_pairs(root: Element, css_class: str | None, name_header: str, value_header: str) -> Iterator[dict]:
+    """Per table, the values under one header by the names under another; the last row of a name wins."""
+    found: dict[tuple[int, str], str] = {}
+    for row in table_rows(root, css_class):
+        if row["row_no"]:
+            by_header: dict[str, str] = {}
+            for cell in row["cells"]:
+                by_header.setdefault((cell["header"] or "").strip(" "), cell["tight"])
+            name, value = by_header.get(name_header), by_header.get(value_header)
+            if name is not None and value is not None:
+                found[row["table_no"], name] = value
+    for (table_no, name), value in found.items():
+        yield {"table_no": table_no, "name": name, "value": value}
+
+
+def slot_rows(root: Element, css_class: str | None = None) -> Iterator[dict]:
+    """Rows of tables with spanning cells, with the zone and number that hold for them.
+
+    A spanning first cell without image names the zone when it spans more than two rows; the
+    next spanning numeric cell numbers the slot; both hold for later rows. Rows whose remaining
+    cells show an image or name nothing are skipped.
+    """
+    zone = number = table_no = None
+    for row in table_rows(root, css_class):
+        if row["table_no"] != table_no:
+            zone, number, table_no = None, None, row["table_no"]
+        cells = [c for c in row["cells"] if not c["is_header"]]
+        if not row["row_no"] or not cells:
+            continue
+        if (cells[0]["rowspan"] or 0) > 2 and cells[0]["image"] is None:
+            zone = cells.pop(0)["tight"]
+        said = _integer(cells[0]["tight"]) if cells and cells[0]["rowspan"] is not None else None
+        if said is not None:
+            number = said
+            cells.pop(0)
+        names = [link["text"] for cell in cells for link in cell["links"] if link["text"]]
+        pictured = any(cell["image"] is not None for cell in cells)
+        if names and not pictured and zone is not None and number is not None:
+            yield {"table_no": table_no, "row_no": row["row_no"], "zone": zone, "fight_number": number, "names": names}
+
+
+def _integer(text: str) -> int | None:
+    """A signed integer of 32 bits."""
+    value = int(text) if _INTEGER.fullmatch(text.strip(" ")) else 1 << 31
+    return value if -(1 << 31) <= value < 1 << 31 else None
 
 
 def _own_rows(table: Element) -> list[Element]:

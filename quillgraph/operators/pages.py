@@ -17,7 +17,8 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from quillgraph.functions import html as H
-from quillgraph.functions.text import normalize_text, parse_int
+from quillgraph.functions.text import normalize_text
+from quillgraph.operators.skew import hot_join
 
 _LINKS = "array<struct<href:string,title:string,classes:array<string>,text:string>>"
 _CELLS = (
@@ -26,6 +27,9 @@ _CELLS = (
     "data_no int, header string, is_header boolean, text string, "
     f"tight string, rowspan int, image string, gray boolean, italic string, links {_LINKS}"
 )
+_ROW = (
+    "table_no", "table_id", "table_class", "heading_id", "heading_text", "row_no", "n_data", "row_head", "row_image"
+)
 _BLOCKS = "seq int, kind string, heading_id string, text string"
 
 
@@ -127,9 +131,8 @@ def table_texts(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """(page, table_no, is_infobox, text) of every table."""
 
     def rows(markup: str) -> Iterator[dict]:
-        for number, table in enumerate(H.parse(markup).find("table")):
-            box = table.attrs.get("id") == "infobox"
-            yield {"table_no": number, "is_infobox": box, "text": H.table_text(table)}
+        for number, (_, boxed, lines) in enumerate(H.tables(H.parse(markup))):
+            yield {"table_no": number, "is_infobox": boxed, "text": "\n".join(lines)}
 
     return parse_pages(pages, rows, "table_no int, is_infobox boolean, text string", key)
 
@@ -152,8 +155,25 @@ def extract_cells(
     return parse_pages(pages, lambda m: H.cell_rows(H.parse(m), css_class), columns, key)
 
 
-# Columns of a cell that the plain row operators read.
-ROW_FIELDS = ["table_no", "row_no", "n_data", "data_no", "is_header", "tight"]
+def extract_rows(
+    pages: DataFrame,
+    css_class: str | None = None,
+    key: str = "page_id",
+    cell_fields: Sequence[str] = ("is_header", "text", "tight"),
+) -> DataFrame:
+    """One record per table row, its cells side by side in ``cells``, as the page function meets them.
+
+    Row operators select from the record, so nothing is shuffled after the pages are read.
+    """
+    columns = {f.name: f.dataType.simpleString() for f in T.StructType.fromDDL(_CELLS).fields}
+    cell = ",".join(f"{name}:{columns[name]}" for name in cell_fields)
+    kept = ", ".join(f"{name} {columns[name]}" for name in _ROW)
+    return parse_pages(pages, lambda m: H.table_rows(H.parse(m), css_class), f"{kept}, cells array<struct<{cell}>>", key)
+
+
+def data_cells() -> Column:
+    """The data cells of a row record, in order."""
+    return F.filter("cells", lambda c: ~c["is_header"])
 
 
 def page_blocks(pages: DataFrame, key: str = "page_id") -> DataFrame:
@@ -165,67 +185,63 @@ def page_blocks(pages: DataFrame, key: str = "page_id") -> DataFrame:
 
 
 def data_rows(
-    cells: DataFrame, fields: dict[int, str], min_cells: int = 1, key: str = "page_id"
+    rows: DataFrame, fields: dict[int, str], min_cells: int = 1, key: str = "page_id"
 ) -> DataFrame:
-    """One row per table row: data cells by position under the given field names.
+    """Row records as columns: data cells by position under the given field names.
 
     The first row of a table is its header; rows with fewer data cells are skipped.
     """
-    columns: list[Column] = [
-        F.max(F.when(F.col("data_no") == n, F.col("tight"))).alias(f) for n, f in fields.items()
-    ]
+    columns = [F.get(data_cells(), n)["tight"].alias(f) for n, f in fields.items()]
     long_enough = (F.col("row_no") > 0) & (F.col("n_data") >= min_cells)
-    return cells.where(long_enough).groupBy(key, "table_no", "row_no").agg(*columns)
+    return rows.where(long_enough).select(key, "table_no", "row_no", *columns)
 
 
-def categorize(cells: DataFrame, categories: DataFrame) -> DataFrame:
-    """Tables to categories by ordinal: ``categories(table_no, category)``; others are dropped."""
-    return cells.join(categories, "table_no")
+def categorize(rows: DataFrame, categories: DataFrame, key: str = "page_id") -> DataFrame:
+    """Tables to categories by ordinal: ``categories(table_no, category)``; others are dropped.
+
+    Most rows may lie in the first table of their page, so they are dealt by page too.
+    """
+    return hot_join(rows, categories, ["table_no"], key)
 
 
 def apply_layout(
-    cells: DataFrame, layout: DataFrame, fields: Sequence[str], key: str = "page_id"
+    rows: DataFrame, layout: DataFrame, fields: Sequence[str], key: str = "page_id"
 ) -> DataFrame:
     """Rows of tables whose columns mean different things per table.
 
     ``layout(table_no, data_no, field, min_cells)`` names each column; short rows are skipped.
     """
-    named = cells.where("row_no > 0").join(layout, ["table_no", "data_no"])
-    columns = [F.max(F.when(F.col("field") == f, F.col("tight"))).alias(f) for f in fields]
-    return (
-        named.where(F.col("n_data") >= F.col("min_cells"))
-        .groupBy(key, "table_no", "row_no")
-        .agg(*columns)
-    )
+    place = F.struct("field", F.struct("data_no", "min_cells"))
+    layouts = layout.groupBy("table_no").agg(F.map_from_entries(F.collect_list(place)).alias("places"))
+    named = hot_join(rows.where("row_no > 0"), layouts, ["table_no"], key)
+
+    def present(at: Column) -> Column:
+        return (F.col("n_data") >= at["min_cells"]) & (F.col("n_data") > at["data_no"])
+
+    columns = [
+        F.when(present(F.col("places")[f]), F.get(data_cells(), F.col("places")[f]["data_no"])["tight"]).alias(f)
+        for f in fields
+    ]
+    return named.where(F.exists(F.map_values("places"), present)).select(key, "table_no", "row_no", *columns)
 
 
 def extract_by_header(
-    cells: DataFrame, name_header: str, value_header: str, key: str = "page_id"
+    pages: DataFrame, name_header: str, value_header: str, css_class: str | None = None, key: str = "page_id"
 ) -> DataFrame:
     """(page, table_no, name, value) from the columns with these headers; last row per name wins."""
-
-    def under(header: str) -> Column:
-        return F.min_by(
-            F.when(F.trim("header") == header, F.col("tight")),
-            F.when(F.trim("header") == header, F.col("col_no")),
-        )
-
-    rows = (
-        cells.where("row_no > 0")
-        .groupBy(key, "table_no", "row_no")
-        .agg(under(name_header).alias("name"), under(value_header).alias("value"))
-        .where("name is not null and value is not null")
+    return parse_pages(
+        pages,
+        lambda m: H.header_pairs(H.parse(m), css_class, name_header, value_header),
+        "table_no int, name string, value string",
+        key,
     )
-    return rows.groupBy(key, "table_no", "name").agg(F.max_by("value", "row_no").alias("value"))
 
 
-def require_headers(cells: DataFrame, headers: Sequence[str]) -> None:
+def require_headers(rows: DataFrame, headers: Sequence[str]) -> None:
     """Raise when no table carries all the headers."""
-    heads = cells.where("row_no = 0 and is_header").groupBy("table_no").agg(
-        F.collect_set(F.trim("text")).alias("heads")
-    )
+    heads = F.transform(F.filter("cells", lambda c: c["is_header"]), lambda c: F.trim(c["text"]))
     wanted = F.array(*[F.lit(h) for h in headers])
-    if heads.where(F.size(F.array_except(wanted, F.col("heads"))) == 0).isEmpty():
+    if rows.where("row_no = 0").where(F.size(F.array_except(wanted, heads)) == 0).isEmpty():
         raise ValueError(f"no table with the columns {list(headers)}")
 
 
@@ -287,37 +303,13 @@ def linked_titles(links: DataFrame, excluded: str = "/Keywords") -> DataFrame:
     )
 
 
-def span_slots(cells: DataFrame, key: str = "page_id") -> DataFrame:
-    """(page, table_no, row_no, zone, fight_number, names) of a table with spanning cells.
+def span_slots(pages: DataFrame, css_class: str | None = None, key: str = "page_id") -> DataFrame:
+    """(page, table_no, row_no, zone, fight_number, names) of tables with spanning cells.
 
-    A spanning first cell without image names the zone when it spans more than two rows; the
-    next spanning numeric cell numbers the slot; both hold for later rows. Rows whose
-    remaining cells show an image are skipped.
+    Zone and number are carried down inside the page function; see :func:`H.slot_rows`.
     """
-    row = [key, "table_no", "row_no"]
-    in_order = F.array_sort(
-        F.collect_list(F.struct("data_no", "rowspan", "image", "tight", "links"))
-    )
-    rows = cells.where("row_no > 0 and data_no is not null").groupBy(*row).agg(in_order.alias("c"))
-    first = F.get("c", 0)
-    is_zone = (first["rowspan"] > 2) & first["image"].isNull()
-    rows = rows.withColumn("own_zone", F.when(is_zone, first["tight"]))
-    after_zone = F.when(F.col("own_zone").isNotNull(), 1).otherwise(0)
-    second = F.get("c", after_zone)
-    number = F.when(second["rowspan"].isNotNull(), parse_int(second["tight"]))
-    rows = rows.withColumn("own_number", number)
-    taken = after_zone + F.when(F.col("own_number").isNotNull(), 1).otherwise(0)
-    rest = F.filter("c", lambda x, i: i >= taken)
-    texts = F.flatten(F.transform(rest, lambda x: F.transform(x["links"], lambda a: a["text"])))
-    down = Window.partitionBy(key, "table_no").orderBy("row_no")
-    return (
-        rows.withColumn("has_image", F.exists(rest, lambda x: x["image"].isNotNull()))
-        .withColumn("names", F.filter(texts, lambda t: t != ""))
-        .withColumn("zone", F.last("own_zone", ignorenulls=True).over(down))
-        .withColumn("fight_number", F.last("own_number", ignorenulls=True).over(down))
-        .where("not has_image and size(names) > 0 and zone is not null and fight_number is not null")
-        .select(*row, "zone", "fight_number", "names")
-    )
+    columns = "table_no int, row_no int, zone string, fight_number int, names array<string>"
+    return parse_pages(pages, lambda m: H.slot_rows(H.parse(m), css_class), columns, key)
 
 
 def name_slugs(cells: DataFrame, key: str = "page_id") -> DataFrame:

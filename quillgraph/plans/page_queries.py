@@ -146,8 +146,7 @@ def order_pages(spark: SparkSession, d: str) -> DataFrame:
   l_returnflag || 'flag' AS flag FROM lineitem""",
 )
 def table_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    cells = P.extract_cells(order_pages(spark, d), "wikitable", fields=P.ROW_FIELDS)
-    rows = P.data_rows(cells, {0: "line", 1: "part", 2: "qty", 3: "flag"}, 4)
+    rows = P.data_rows(P.extract_rows(order_pages(spark, d), "wikitable"), {0: "line", 1: "part", 2: "qty", 3: "flag"}, 4)
     return rows.select("page_id", "line", "part", F.col("qty").cast("double").alias("qty"), "flag")
 
 
@@ -157,16 +156,12 @@ def table_roundtrip(spark: SparkSession, d: str) -> DataFrame:
   'https://wiki.example.org/Part_' || l_partkey END AS url FROM lineitem""",
 )
 def cell_urls(spark: SparkSession, d: str) -> DataFrame:
-    cells = P.extract_cells(order_pages(spark, d), "sortable")
-    url = P.linked_url(F.col("links"), "https://wiki.example.org")
-    return (
-        cells.where("row_no > 0")
-        .groupBy("page_id", "row_no")
-        .agg(
-            F.max(F.when(F.col("data_no") == 0, F.col("tight"))).alias("line"),
-            F.max(F.when(F.col("data_no") == 1, url)).alias("url"),
-        )
-        .drop("row_no")
+    rows = P.extract_rows(order_pages(spark, d), "sortable", cell_fields=["is_header", "tight", "links"])
+    links = F.get(P.data_cells(), 1)["links"]
+    return rows.where("row_no > 0").select(
+        "page_id",
+        F.get(P.data_cells(), 0)["tight"].alias("line"),
+        P.linked_url(links, "https://wiki.example.org").alias("url"),
     )
 
 
@@ -177,8 +172,8 @@ UNION ALL SELECT DISTINCT l_orderkey, 'other', 1 FROM lineitem""",
 )
 def table_categories(spark: SparkSession, d: str) -> DataFrame:
     categories = spark.createDataFrame([(0, "lines"), (1, "other")], "table_no int, category string")
-    cells = P.extract_cells(order_pages(spark, d), "wikitable").where("row_no > 0")
-    rows = P.categorize(cells, categories).select("page_id", "category", "row_no").distinct()
+    rows = P.extract_rows(order_pages(spark, d), "wikitable").where("row_no > 0 and size(cells) > 0")
+    rows = P.categorize(rows, categories)
     return rows.groupBy("page_id", "category").agg(F.count("*").alias("n"))
 
 
@@ -193,8 +188,8 @@ def table_layouts(spark: SparkSession, d: str) -> DataFrame:
         [(0, 1, "name", 4), (0, 2, "detail", 4), (1, 0, "name", 1)],
         "table_no int, data_no int, field string, min_cells int",
     )
-    cells = P.extract_cells(order_pages(spark, d), "wikitable", fields=P.ROW_FIELDS)
-    return P.apply_layout(cells, layout, ["name", "detail"]).select("page_id", "name", "detail")
+    rows = P.extract_rows(order_pages(spark, d), "wikitable")
+    return P.apply_layout(rows, layout, ["name", "detail"]).select("page_id", "name", "detail")
 
 
 @query(
@@ -203,8 +198,8 @@ def table_layouts(spark: SparkSession, d: str) -> DataFrame:
   (l_linenumber, l_partkey, l_extendedprice)) AS value FROM lineitem GROUP BY ALL""",
 )
 def header_lookup(spark: SparkSession, d: str) -> DataFrame:
-    cells = P.extract_cells(order_pages(spark, d), "wikitable")
-    return P.extract_by_header(cells, "Card Name", "Flag").select("page_id", "name", "value")
+    pairs = P.extract_by_header(order_pages(spark, d), "Card Name", "Flag", "wikitable")
+    return pairs.select("page_id", "name", "value")
 
 
 @query(
@@ -293,7 +288,7 @@ def span_slots(spark: SparkSession, d: str) -> DataFrame:
     grouped = spread_by(lines, "l_orderkey").groupBy(F.col("l_orderkey").alias("page_id")).agg(ordered.alias("lines"))
     body = F.array_join(F.transform("lines", slot), "")
     html = _concat('<table class="wikitable"><tr><th>Zone</th><th>Nr</th><th>Fights</th></tr>', body, "</table>")
-    slots = P.span_slots(P.extract_cells(grouped.select("page_id", html.alias("html")), "wikitable"))
+    slots = P.span_slots(grouped.select("page_id", html.alias("html")), "wikitable")
     return slots.select("page_id", "zone", "fight_number", F.array_join("names", ",").alias("names"))
 
 

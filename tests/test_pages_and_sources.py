@@ -70,7 +70,7 @@ def test_red_links_and_spans(spark):
         "<tr><td><a class='new' href='/No'>No</a><a href='/Two'>Two</a></td></tr></table>"
     )
     cells = P.extract_cells(page(spark, html), "wikitable")
-    slots = {(r["zone"], r["fight_number"], tuple(r["names"])) for r in P.span_slots(cells).collect()}
+    slots = {(r["zone"], r["fight_number"], tuple(r["names"])) for r in P.span_slots(page(spark, html), "wikitable").collect()}
     assert slots == {("Zone A", 1, ("Egg",)), ("Zone A", 2, ("No", "Two"))}
     urls = {r["tight"]: r["u"] for r in cells.select("tight", P.linked_url(F.col("links"), "https://w").alias("u")).collect()}
     assert urls["Egg"] == "https://w/Egg_Fight" and urls["NoTwo"] is None
@@ -80,12 +80,30 @@ def test_red_links_and_spans(spark):
 
 def test_header_lookup_needs_its_columns(spark):
     html = "<table class='wikitable sortable'><tr><th>Image</th><th>Card Name</th><th>Tribe-exclusive?</th></tr><tr><td></td><td>Foo</td><td>All</td></tr><tr><td>short</td></tr></table>"
-    cells = P.extract_cells(page(spark, html), "wikitable")
-    rows = P.extract_by_header(cells, "Card Name", "Tribe-exclusive?").collect()
+    pages = page(spark, html)
+    rows = P.extract_by_header(pages, "Card Name", "Tribe-exclusive?", "wikitable").collect()
     assert [(r["name"], r["value"]) for r in rows] == [("Foo", "All")]
-    P.require_headers(cells, ["Card Name"])
+    records = P.extract_rows(pages, "wikitable")
+    P.require_headers(records, ["Card Name"])
     with pytest.raises(ValueError, match="no table"):
-        P.require_headers(cells, ["Missing"])
+        P.require_headers(records, ["Missing"])
+
+
+def test_row_records_need_no_exchange(spark):
+    table = "<table><tr><th>A</th></tr><tr><td>1</td><th>h</th><td>2</td></tr><tr></tr><tr><td>3</td></tr></table>"
+    pages = page(spark, table + table.replace("1", "9"))
+    records = P.extract_rows(pages)
+    rows = P.data_rows(records, {0: "a", 1: "b"}, 1)
+    assert sorted(tuple(r)[1:] for r in rows.collect()) == [(0, 1, "1", "2"), (0, 3, "3", None), (1, 1, "9", "2"), (1, 3, "3", None)]
+    layout = spark.createDataFrame(
+        [(0, 0, "x", 2), (1, 1, "x", 1), (1, 0, "y", 1)], "table_no int, data_no int, field string, min_cells int"
+    )
+    laid = P.apply_layout(records, layout, ["x", "y"])
+    assert sorted(tuple(r)[1:] for r in laid.collect()) == [(0, 1, "1", None), (1, 1, "2", "9"), (1, 3, None, "3")]
+    later = P.extract_by_header(page(spark, "<table><tr><th>N</th><th>V</th></tr><tr><td>a</td><td>1</td></tr><tr><td>a</td><td>2</td></tr></table>"), "N", "V")
+    assert [tuple(r)[1:] for r in later.collect()] == [(0, "a", "2")]
+    for made in (rows, later, P.span_slots(pages)):
+        assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
 
 
 def test_sections_take_the_paragraph_before_the_next_heading(spark):
