@@ -207,17 +207,34 @@ def pending_plan(plan: DataFrame, experiments: DataFrame, keys: Sequence[str]) -
     return plan.join(done, matching, "left_anti")
 
 
-def experiment_view(results: DataFrame, experiments: DataFrame) -> DataFrame:
-    """Result rows with the view their experiment is shown in and the execution status."""
+def experiment_view(
+    results: DataFrame, experiments: DataFrame, executions: DataFrame | None = None
+) -> DataFrame:
+    """Result rows with the view their experiment is shown in and the execution status.
+
+    ``executions(experiment, query_id, status, error)`` of generated graph queries; only rows of
+    the structured view have a status, success where nothing was recorded.
+    """
     view = (
         F.when(F.col("experiment_type") == "generation", "generation")
         .when(F.col("retriever_type") == "text2cypher", "structured")
         .otherwise("retrieval")
     )
     shown = experiments.select("experiment", view.alias("view"))
-    return results.join(shown, "experiment", "left").withColumn(
+    out = results.join(shown, "experiment", "left").withColumn(
         "view", F.coalesce("view", F.lit("retrieval"))
     )
+    if executions is None:
+        return out
+    keys = ["experiment", "query_id"]
+    said = executions.select(*keys, F.col("status").alias("_status"), F.col("error").alias("_error"))
+    structured = F.col("view") == "structured"
+    return (
+        out.join(said, keys, "left")
+        .withColumn("execution_status", F.when(structured, F.coalesce("_status", F.lit("success"))))
+        .withColumn("execution_error", F.when(structured, F.col("_error")))
+        .drop("_status", "_error")
+    )
 
 
 def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -6,14 +6,17 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillgraph.functions.text import page_file_name
 
 # Columns consumed by a result row and columns never shown as context.
 CONSUMED = [
     "score", "search_type", "rag_context", "generated_cypher", "result_index", "source_url",
-    "doc_source_url", "retrieved_text", "query_id",
+    "doc_source_url", "no_results", "error",
 ]
+# Columns that place a row in its ranking; they stay columns.
+PLACE = ["query_id", "rank", "doc_id"]
 NOT_CONTEXT = ["score", "search_type", "generated_cypher", "result_index", "rag_context"]
 LEADER_FILE = "Leaders.html"
 
@@ -109,22 +112,35 @@ def with_context(
     )
 
 
+def _spelled(df: DataFrame, name: str) -> Column:
+    """A value as text; lists, structs and maps as JSON."""
+    nested = isinstance(df.schema[name].dataType, (T.ArrayType, T.StructType, T.MapType))
+    return F.to_json(name) if nested else F.col(name).cast("string")
+
+
 def to_result_rows(df: DataFrame) -> DataFrame:
-    """(score, search_type, retrieved_text, source_url, fields): leftovers go into the map."""
+    """(score, search_type, retrieved_text, source_url, fields): leftovers go into the map.
+
+    A missing or null score is 0, a missing search type or text the empty string.
+    """
     df = drop_vectors(df)
     have = set(df.columns)
+
+    def given(name: str, kind: str, default: object) -> Column:
+        value = F.col(name).cast(kind) if name in have else F.lit(None).cast(kind)
+        return F.coalesce(value, F.lit(default))
+
     urls = [F.nullif(F.col(c), F.lit("")) for c in ("source_url", "doc_source_url") if c in have]
-    rest = [c for c in df.columns if c not in CONSUMED]
-    pairs = [x for c in rest for x in (F.lit(c), F.col(c).cast("string"))]
-    fields = F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull())
-    keys = [c for c in ("query_id", "rank") if c in have]
+    rest = [c for c in df.columns if c not in (*CONSUMED, *PLACE)]
+    pairs = [x for c in rest for x in (F.lit(c), _spelled(df, c))]
+    fields = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
     return df.select(
-        *keys,
-        F.col("score").cast("double").alias("score"),
-        "search_type",
-        F.col("rag_context").alias("retrieved_text"),
+        *[c for c in PLACE if c in have],
+        given("score", "double", 0.0).alias("score"),
+        given("search_type", "string", "").alias("search_type"),
+        given("rag_context", "string", "").alias("retrieved_text"),
         (F.coalesce(*urls) if urls else F.lit(None).cast("string")).alias("source_url"),
-        fields.alias("fields"),
+        F.map_filter(fields, lambda _, v: v.isNotNull()).alias("fields"),
     )
 
 

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.functions.text import index_tokens
 from quillgraph.operators import enrichment, fusion, lexical, vector
-from quillgraph.operators.rows import not_blank
+from quillgraph.operators.rows import not_blank, to_result_rows
 
 # Retriever kinds.
 KINDS = [
@@ -20,7 +21,10 @@ KINDS = [
 
 @dataclass
 class Corpus:
-    """Tables a run may need; only those its kind uses have to be given."""
+    """Tables a run may need; only those its kind uses have to be given.
+
+    ``docs(doc_id, text[, source_url])``; ``candidate_status(query_id, succeeded[, query, error])``.
+    """
 
     docs: DataFrame
     vectors: DataFrame | None = None
@@ -31,6 +35,15 @@ class Corpus:
     candidate_status: DataFrame | None = None
     stop_words_query: bool | None = None
     stop_words_docs: bool | None = None
+    indexes: dict[str, lexical.LexicalIndex] = field(default_factory=dict)
+
+    def index(self, kind: str, remove_stop_words: bool) -> lexical.LexicalIndex:
+        """The index of an analyzer; built once, read by every retriever of this corpus."""
+        name = f"{kind}-{remove_stop_words}"
+        if name not in self.indexes:
+            analyzer = lexical.word_analyzer(remove_stop_words) if kind == "words" else index_tokens
+            self.indexes[name] = lexical.build_index(self.docs, analyzer)
+        return self.indexes[name]
 
 
 def retriever(kind: str, corpus: Corpus) -> Callable[[DataFrame, int], DataFrame]:
@@ -40,11 +53,11 @@ def retriever(kind: str, corpus: Corpus) -> Callable[[DataFrame, int], DataFrame
 
     def by_bm25(queries: DataFrame, k: int) -> DataFrame:
         flags = lexical.stop_word_flags("bm25", corpus.stop_words_query, corpus.stop_words_docs)
-        return lexical.bm25_search(queries, corpus.docs, k, *flags)
+        return lexical.bm25(queries, corpus.index("words", flags[1]), k, flags[0])
 
     def by_fulltext(queries: DataFrame, k: int) -> DataFrame:
         flags = lexical.stop_word_flags("fulltext", corpus.stop_words_query)
-        return lexical.fulltext_search(queries, corpus.docs, k, flags[0])
+        return lexical.fulltext(queries, corpus.index("tokens", False), k, flags[0])
 
     def by_vector(queries: DataFrame, k: int) -> DataFrame:
         asked = corpus.query_vectors.join(queries.select("query_id"), "query_id", "left_semi")
@@ -77,28 +90,61 @@ def retriever(kind: str, corpus: Corpus) -> Callable[[DataFrame, int], DataFrame
 
 
 def run(kind: str, queries: DataFrame, corpus: Corpus, k: int = 10) -> DataFrame:
-    """(query_id, query, status, error, retrieved_chunks) for every non-blank query."""
+    """(query_id, query, status, error, execution, retrieved_chunks) for every non-blank query."""
     asked = not_blank(queries)
-    return collect_results(asked, retriever(kind, corpus)(asked, k), kind, corpus.candidate_status)
+    ranked = retriever(kind, corpus)(asked, k)
+    return collect_results(asked, ranked, kind, corpus.candidate_status, corpus.docs)
+
+
+def result_chunks(ranked: DataFrame, search_type: str, docs: DataFrame | None = None) -> DataFrame:
+    """Ranking rows with text, address and all their other columns in ``fields``.
+
+    Texts and addresses come from ``docs`` where the ranking has none; only k rows per query
+    meet the documents.
+    """
+    rows = ranked
+    if docs is not None and "doc_id" in rows.columns:
+        wanted = {"rag_context": "text", "source_url": "source_url"}
+        held = [F.col(c).alias(name) for name, c in wanted.items() if c in docs.columns and name not in rows.columns]
+        rows = rows.join(docs.select("doc_id", *held), "doc_id", "left") if held else rows
+    if "search_type" not in rows.columns:
+        rows = rows.withColumn("search_type", F.lit(search_type))
+    return to_result_rows(rows)
 
 
 def collect_results(
-    queries: DataFrame, ranked: DataFrame, search_type: str, status: DataFrame | None = None
+    queries: DataFrame,
+    ranked: DataFrame,
+    search_type: str,
+    status: DataFrame | None = None,
+    docs: DataFrame | None = None,
 ) -> DataFrame:
     """Nested form of a ranking; a query whose candidate source failed is a row of its own."""
-    tag = F.col("search_type") if "search_type" in ranked.columns else F.lit(search_type)
-    chunk = F.struct("rank", "doc_id", "score", tag.alias("search_type"))
-    nested = ranked.groupBy("query_id").agg(F.array_sort(F.collect_list(chunk)).alias("chunks"))
+    rows = result_chunks(ranked, search_type, docs)
+    chunk = F.struct("rank", *[c for c in rows.columns if c not in ("query_id", "rank")])
+    # A map has no order; ranks are distinct within a query, so they alone sort the chunks.
+    by_rank = F.collect_list(F.struct("rank", chunk.alias("chunk")))
+    in_order = F.array_sort(by_rank, lambda a, b: a["rank"] - b["rank"])
+    nested = rows.groupBy("query_id").agg(F.transform(in_order, lambda c: c["chunk"]).alias("chunks"))
     out = queries.select("query_id", "query").join(nested, "query_id", "left")
+    structured = status is not None and search_type.startswith("text2cypher")
+    asked = said = F.lit(None).cast("string")
     failed = F.lit(False)
-    if status is not None and search_type == "text2cypher":
-        out = out.join(status, "query_id", "left")
+    if structured:
+        out = out.join(status.withColumnsRenamed({"query": "_asked", "error": "_said"}), "query_id", "left")
         failed = ~F.coalesce("succeeded", F.lit(False))
+        asked = F.col("_asked") if "_asked" in out.columns else asked
+        said = F.col("_said") if "_said" in out.columns else said
+    error = F.when(failed, F.coalesce(said, F.lit("candidate source failed")))
+    # A hybrid goes on with its other component where the candidates failed.
+    lost = failed & F.lit(search_type == "text2cypher")
+    state = F.when(failed, "failed").otherwise("success")
     empty = F.array().cast(nested.schema["chunks"].dataType)
     return out.select(
         "query_id",
         "query",
-        F.when(failed, "failed").otherwise("success").alias("status"),
-        F.when(failed, "candidate source failed").alias("error"),
-        F.when(failed, empty).otherwise(F.coalesce("chunks", empty)).alias("retrieved_chunks"),
+        F.when(lost, "failed").otherwise("success").alias("status"),
+        F.when(lost, error).alias("error"),
+        F.struct(asked.alias("query"), state.alias("status"), error.alias("error")).alias("execution"),
+        F.when(lost, empty).otherwise(F.coalesce("chunks", empty)).alias("retrieved_chunks"),
     )

@@ -401,8 +401,14 @@ def experiment_labels(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "experiment_views",
-    """SELECT l_orderkey, l_linenumber, CASE o_orderstatus WHEN 'F' THEN 'generation' WHEN 'O' THEN 'structured'
-  ELSE 'retrieval' END AS view FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey""",
+    """WITH e AS (SELECT l_orderkey, l_linenumber, max(l_discount > 0.05) AS late FROM lineitem
+  WHERE l_returnflag = 'R' GROUP BY ALL)
+SELECT l.l_orderkey, l.l_linenumber, CASE o_orderstatus WHEN 'F' THEN 'generation' WHEN 'O' THEN 'structured'
+  ELSE 'retrieval' END AS view,
+  CASE WHEN o_orderstatus = 'O' THEN CASE WHEN late THEN 'failed' ELSE 'success' END END AS execution_status,
+  CASE WHEN o_orderstatus = 'O' AND late THEN 'timeout' END AS execution_error
+FROM lineitem l LEFT JOIN orders ON o_orderkey = l.l_orderkey
+LEFT JOIN e ON e.l_orderkey = l.l_orderkey AND e.l_linenumber = l.l_linenumber""",
 )
 def experiment_views(spark: SparkSession, d: str) -> DataFrame:
     configs = table(spark, d, "orders").select(
@@ -410,9 +416,23 @@ def experiment_views(spark: SparkSession, d: str) -> DataFrame:
         F.when(F.col("o_orderstatus") == "F", "generation").otherwise("retrieval").alias("experiment_type"),
         F.when(F.col("o_orderstatus") == "O", "text2cypher").otherwise("bm25").alias("retriever_type"),
     )
-    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("experiment"), "l_linenumber")
-    return R.experiment_view(rows, configs).select(
-        F.col("experiment").alias("l_orderkey"), "l_linenumber", "view"
+    lines = table(spark, d, "lineitem")
+    rows = lines.select(F.col("l_orderkey").alias("experiment"), F.col("l_linenumber").alias("query_id"))
+    late = F.max(F.col("l_discount") > 0.05).alias("late")
+    executions = (
+        lines.where("l_returnflag = 'R'")
+        .groupBy(F.col("l_orderkey").alias("experiment"), F.col("l_linenumber").alias("query_id"))
+        .agg(late)
+        .select(
+            "experiment",
+            "query_id",
+            F.when(F.col("late"), "failed").otherwise("success").alias("status"),
+            F.when(F.col("late"), "timeout").alias("error"),
+        )
+    )
+    return R.experiment_view(rows, configs, executions).select(
+        F.col("experiment").alias("l_orderkey"), F.col("query_id").alias("l_linenumber"),
+        "view", "execution_status", "execution_error",
     )
 
 

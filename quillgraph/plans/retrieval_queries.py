@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.functions.text import STOP_WORDS, tokenize
@@ -11,6 +11,7 @@ from quillgraph.plans import inputs
 from quillgraph.plans import sql_parts as S
 from quillgraph.plans.registry import query
 from quillgraph.session import shared_path, written
+from quillgraph.sources import io
 from quillgraph.sources.tables import table
 
 RANKED = "SELECT query_id, rank, doc_id, score FROM "
@@ -318,17 +319,63 @@ def candidate_rows(spark: SparkSession, d: str) -> DataFrame:
     return fusion.normalize_candidates(rows, 3).select(*FUSED_COLUMNS)
 
 
+_CHUNKS = """concat_ws('|', rank::VARCHAR, {0}.doc_id::VARCHAR, printf('%.6f', {0}.score), '{1}', md5(d.text),
+  'https://docs.example.org/' || {0}.doc_id)"""
+
+
 @query(
     "retrieval_run",
-    f"""WITH {S.bm25(k=5)}
-SELECT b.item_id AS query_id, 'success' AS status, coalesce(string_agg(doc_id::VARCHAR, ',' ORDER BY rank), '') AS docs
-FROM benchmark b LEFT JOIN bm ON bm.query_id = b.item_id WHERE b.text <> '' GROUP BY b.item_id""",
+    f"""WITH {S.bm25(k=5)},
+c AS (SELECT query_id, string_agg({_CHUNKS.format("bm", "bm25")}, ',' ORDER BY rank) AS chunks
+  FROM bm JOIN documents d ON d.doc_id = bm.doc_id GROUP BY query_id)
+SELECT b.item_id AS query_id, 'success' AS status, coalesce(chunks, '') AS chunks
+FROM benchmark b LEFT JOIN c ON c.query_id = b.item_id WHERE b.text <> ''""",
 )
 def retrieval_run(spark: SparkSession, d: str) -> DataFrame:
-    corpus = runs.Corpus(inputs.documents(spark, d))
-    results = runs.run("bm25", inputs.queries(spark, d), corpus, 5)
-    docs = F.transform("retrieved_chunks", lambda c: c["doc_id"].cast("string"))
-    return results.select("query_id", "status", F.array_join(docs, ",").alias("docs"))
+    """Nested rows of a run with place, score, text and address of every hit."""
+    results = runs.run("bm25", inputs.queries(spark, d), _corpus(spark, d), 5)
+
+    def spelled(c: Column) -> Column:
+        score = F.format_string("%.6f", c["score"])
+        return F.concat_ws(
+            "|", c["rank"].cast("string"), c["doc_id"].cast("string"), score, c["search_type"],
+            F.md5(c["retrieved_text"]), c["source_url"],
+        )
+
+    chunks = F.array_join(F.transform("retrieved_chunks", spelled), ",")
+    return results.select("query_id", "status", chunks.alias("chunks"))
+
+
+def _corpus(spark: SparkSession, d: str, edges: DataFrame | None = None) -> runs.Corpus:
+    docs = inputs.documents(spark, d).withColumn("source_url", inputs.doc_url())
+    return runs.Corpus(docs, edges=edges)
+
+
+@query(
+    "results_sink",
+    f"""WITH {S.fulltext(k=5)}, {S.bm25(k=5)}
+SELECT 'bm25' AS retriever, query_id, rank, bm.doc_id, score, md5(text) AS digest, source AS card
+FROM bm JOIN documents d ON d.doc_id = bm.doc_id
+UNION ALL SELECT 'fulltext', query_id, rank, ft.doc_id, score, md5(text), source
+FROM ft JOIN documents d ON d.doc_id = ft.doc_id""",
+)
+def results_sink(spark: SparkSession, d: str) -> DataFrame:
+    """Two graph-enriched runs, one of them written twice, read back from the sink."""
+    corpus = _corpus(spark, d, source_graph(spark, d))
+    path = shared_path(spark, "results")
+    graph = {"bm25": lambda q: enrichment.enrich_hits(runs.retriever("bm25", corpus)(q, 5), corpus.edges)}
+    asked = inputs.queries(spark, d)
+    for name in ("bm25", "fulltext", "bm25"):
+        if name in graph:
+            rows = runs.result_chunks(graph[name](asked), name, corpus.docs)
+        else:
+            rows = io.unnest_results(runs.run("fulltext_then_cypher", asked, corpus, 5))
+        keys = {"run": F.lit("1"), "retriever": F.lit(name), "experiment_id": F.lit("001")}
+        io.write_results(rows.withColumns(keys), path)
+    return io.read_results(spark, path, run="1").select(
+        "retriever", "query_id", "rank", "doc_id", "score",
+        F.md5("retrieved_text").alias("digest"), F.col("fields")["card"].alias("card"),
+    )
 
 
 @query(

@@ -100,9 +100,13 @@ RESULT_KEYS = ["run", "retriever", "experiment_id"]
 
 
 def write_results(ranked: DataFrame, path: str, component: bool = False) -> None:
-    """Long ranking rows partitioned by run, retriever and experiment (and component)."""
+    """Long ranking rows partitioned by run, retriever and experiment (and component).
+
+    An experiment that is written again replaces its rows; all others stay.
+    """
     keys = [*RESULT_KEYS, "component"] if component else RESULT_KEYS
-    ranked.write.mode("append").partitionBy(*keys).parquet(path)
+    writer = ranked.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(*keys).parquet(path)
 
 
 def read_results(

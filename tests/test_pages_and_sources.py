@@ -150,6 +150,11 @@ def test_results_round_trip_and_discovery(spark, scratch):
     )
     io.write_results(rows, f"{scratch}/res")
     assert io.read_results(spark, f"{scratch}/res", retriever="bm25").count() == 1
+    again = rows.where("retriever = 'bm25'").unionByName(rows.where("retriever = 'bm25'").withColumn("rank", F.lit(2)))
+    io.write_results(again, f"{scratch}/res")
+    assert io.read_results(spark, f"{scratch}/res").select("retriever").distinct().count() == 2
+    assert sorted(r["rank"] for r in io.read_results(spark, f"{scratch}/res", retriever="bm25").collect()) == [1, 2]
+    assert io.read_results(spark, f"{scratch}/res", retriever="vector").count() == 1
     configs = rows.select("run", "retriever", "experiment_id")
     assert io.discover(configs, rows.where("retriever = 'vector'")).first()["retriever"] == "vector"
 
@@ -183,6 +188,8 @@ def test_result_row_shapes(spark):
         "text string, source_url string, doc_source_url string, score double, extra string, hf_embedding array<double>",
     )
     assert "hf_embedding" not in drop_vectors(raw).columns
+    bare = to_result_rows(spark.createDataFrame([(1, True, "late", [1, 2])], "query_id int, no_results boolean, error string, found array<int>")).first()
+    assert tuple(bare)[:5] == (1, 0.0, "", "", None) and bare["fields"] == {"found": "[1,2]"}
     row = to_result_rows(with_context(raw, "hybrid_rrf", "text")).first()
     assert row["source_url"] == "https://w/B" and row["retrieved_text"] == "t"
     assert row["fields"] == {"text": "t", "extra": "x"} and row["search_type"] == "hybrid_rrf"

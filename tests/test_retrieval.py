@@ -328,6 +328,11 @@ def test_run_marks_failed_queries(spark):
     assert rows[0]["status"] == "success" and len(rows[0]["retrieved_chunks"]) == 1
     assert rows[1]["status"] == "failed" and rows[1]["error"] and not rows[1]["retrieved_chunks"]
     assert 2 not in rows
+    assert rows[0]["execution"]["status"] == "success" and rows[1]["execution"]["status"] == "failed"
+    told = status.withColumn("query", F.lit("MATCH")).withColumn("error", F.lit("no such label"))
+    c.candidate_status = told
+    row = next(r for r in runs.run("text2cypher", asked(spark, "x", "y"), c, 3).collect() if r["query_id"] == 1)
+    assert row["error"] == "no such label" and tuple(row["execution"]) == ("MATCH", "failed", "no such label")
     with pytest.raises(ValueError, match="unknown"):
         runs.retriever("nope", c)
 
@@ -341,6 +346,21 @@ def test_every_hybrid_kind_runs(spark, kind):
     c = runs.Corpus(corpus(spark), vec, qv, 2, None, candidates, status)
     rows = runs.run(kind, asked(spark, "damage", "leader"), c, 3).collect()
     assert all(r["retrieved_chunks"] for r in rows) and len(rows) == 2
+    chunk = rows[0]["retrieved_chunks"][0]
+    assert chunk["retrieved_text"] and chunk["search_type"] and [c["rank"] for c in rows[0]["retrieved_chunks"]] == sorted(c["rank"] for c in rows[0]["retrieved_chunks"])
+
+
+def test_graph_runs_keep_their_neighbours(spark):
+    edges = spark.createDataFrame(
+        [("Card", "Foxee", "HAS_DOCUMENT", "Document", str(k), {}) for k in (0, 1)] + [("Card", "Foxee", "HAS_KEYWORD", "Keyword", "fast", {})],
+        "src_label string, src_key string, rel string, dst_label string, dst_key string, props map<string,string>",
+    )
+    c = runs.Corpus(corpus(spark).withColumn("source_url", F.lit("https://w/x")), edges=edges)
+    row = runs.run("fulltext_then_cypher", asked(spark, "leader"), c, 3).first()
+    chunk = row["retrieved_chunks"][0]
+    assert chunk["fields"]["card"] == "Foxee" and chunk["fields"]["keywords"] == '["fast"]'
+    assert chunk["source_url"] == "https://w/x" and "leader" in chunk["retrieved_text"]
+    assert list(c.indexes) == ["tokens-False"]
 
 
 def test_enrichment_does_not_multiply_rows(spark):
