@@ -192,10 +192,18 @@ def link_unless_any(existing: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def link_setting(existing: DataFrame, edges: DataFrame) -> DataFrame:
-    """Edge upsert that sets its properties; the last ``seq`` wins over stored ones."""
+    """Edge upsert that sets single properties; all others of a stored edge stay.
+
+    Of several values for one property the last ``seq`` wins, then the larger value; given ones
+    win over stored ones.
+    """
     stored = existing.select(*END_POINTS, "props", F.lit(-1).cast("long").alias("seq"))
     given = edges.select(*END_POINTS, "props", F.col("seq").cast("long").alias("seq"))
-    return stored.unionByName(given).groupBy(*END_POINTS).agg(F.max_by("props", "seq").alias("props"))
+    entries = stored.unionByName(given).select(*END_POINTS, "seq", F.explode_outer("props").alias("name", "value"))
+    latest = entries.groupBy(*END_POINTS, "name").agg(F.max_by("value", F.struct("seq", "value")).alias("value"))
+    # One entry per property name; an edge without any has a null name alone.
+    pairs = F.filter(F.collect_list(F.struct("name", "value")), lambda e: e["name"].isNotNull())
+    return latest.groupBy(*END_POINTS).agg(F.map_from_entries(pairs).alias("props"))
 
 
 def link_counts(matched: DataFrame, linked: DataFrame, existing: DataFrame) -> DataFrame:
@@ -224,14 +232,15 @@ def successor_pairs(cards: DataFrame) -> DataFrame:
 
 
 def rule_links(rules: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Curated links: ``rules(src_label, src_key, rel, dst_label, targets array)``."""
+    """Curated links: ``rules(src_label, src_key, rel, dst_label, targets array[, props map])``."""
+    props = F.col("props") if "props" in rules.columns else no_props()
     rows = rules.select(
         "src_label",
         "src_key",
         "rel",
         "dst_label",
         F.explode("targets").alias("dst_key"),
-        no_props().alias("props"),
+        props.alias("props"),
     )
     return link(rows, nodes)
 
@@ -349,12 +358,42 @@ def summary_links(entities: DataFrame, pages: DataFrame, docs: DataFrame) -> Dat
 # ---------------------------------------------------------------- inspection
 
 
-def schema_properties(nodes: DataFrame) -> DataFrame:
-    """(label, property) with the number of nodes that have it."""
+# Kinds of values as bits: the kinds seen under a property join to one by bitwise or.
+_BOOLEAN, _LONG, _DOUBLE, _STRING = 1, 2, 4, 8
+
+
+def _kind_bit(value: Column) -> Column:
+    return (
+        F.when(value.isin("true", "false"), _BOOLEAN)
+        .when(value.rlike(r"^[+-]?\d{1,18}$"), _LONG)
+        .when(value.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d{1,3})?$"), _DOUBLE)
+        .otherwise(_STRING)
+    )
+
+
+def _kind_name(bits: Column) -> Column:
+    """The smallest type that holds all kinds seen: whole numbers are doubles, all else is text."""
     return (
-        nodes.select("label", F.explode(F.map_keys("props")).alias("property"))
-        .groupBy("label", "property")
-        .agg(F.count("*").alias("n"))
+        F.when(bits == _BOOLEAN, "Boolean")
+        .when(bits == _LONG, "Long")
+        .when(bits.isin(_DOUBLE, _LONG | _DOUBLE), "Double")
+        .otherwise("String")
+    )
+
+
+def schema_properties(nodes: DataFrame) -> DataFrame:
+    """(label, property, n, type, mandatory): nodes that have it, the type of all its values, and
+    whether every node of the label has it.
+
+    Types join by an aggregate that combines before the shuffle.
+    """
+    totals = nodes.groupBy("label").agg(F.count("*").alias("total"))
+    values = nodes.select("label", F.explode("props").alias("property", "value"))
+    seen = values.groupBy("label", "property").agg(
+        F.count("*").alias("n"), F.bit_or(_kind_bit(F.col("value"))).alias("bits")
+    )
+    return seen.join(totals, "label").select(
+        "label", "property", "n", _kind_name(F.col("bits")).alias("type"), (F.col("n") == F.col("total")).alias("mandatory")
     )
 
 
@@ -366,7 +405,7 @@ def schema_patterns(edges: DataFrame) -> DataFrame:
 def schema_text(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One line per label and per pattern, as given to a query writer."""
     labels = schema_properties(nodes).groupBy("label").agg(
-        F.array_join(F.array_sort(F.collect_list("property")), ", ").alias("props")
+        F.array_join(F.array_sort(F.collect_list(F.concat("property", F.lit(": "), "type"))), ", ").alias("props")
     )
     lines = labels.select(
         F.lit(1).alias("part"), F.concat("label", F.lit(" {"), "props", F.lit("}")).alias("line")

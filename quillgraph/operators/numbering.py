@@ -1,36 +1,39 @@
-"""Consecutive numbers over a whole table without sending it through one task."""
+"""Consecutive numbers over a whole table without sending it through one task.
+
+Rows are range-partitioned once and written with their place in the partition; numbers are made
+on reading from small tables of what lies in earlier partitions.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgraph.session import checkpointed
-
+from quillgraph.session import written
 
-def numbered(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
-    """Add 1..n in the given order (the order columns must identify a row).
 
-    The table is range-partitioned once and numbered inside each partition; the partition
-    offsets come from a table with one row per partition.
-    """
-    ranged = checkpointed(df.repartitionByRange(*order)).withColumn(
-        "_part", F.spark_partition_id()
-    )
-    placed = ranged.withColumn(
-        "_in_part", F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+def _placed(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Rows in order, with the number of their partition and a place that grows inside it."""
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    return written(
+        ranged.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_place")), "ranged"
     )
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+
+
+def numbered(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """Add 1..n in the given order (the order columns must identify a row)."""
+    placed = _placed(df, order)
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
-    )
+    parts = placed.groupBy("_part").agg(F.min("_place").alias("_first"), F.count("*").alias("_n"))
+    shifts = parts.select("_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    # One row per partition.
     return (
-        placed.join(F.broadcast(offsets), "_part")
-        .withColumn(name, (F.col("_in_part") + F.col("_offset")).cast("long"))
-        .drop("_part", "_in_part", "_offset")
+        placed.join(F.broadcast(shifts), "_part")
+        .withColumn(name, F.col("_place") + F.col("_shift"))
+        .drop("_part", "_place", "_shift")
     )
 
 
@@ -39,12 +42,17 @@ def numbered_within(
 ) -> DataFrame:
     """Add 1..n inside every group; a group may span many tasks.
 
-    A group's numbers are whole-table numbers minus those before its first row.
+    A row's number is its place since its group began in the partition, plus the rows of the
+    group in earlier partitions. That table has a row per partition and per group that begins in
+    it; Spark broadcasts it where it is small.
     """
-    placed = checkpointed(numbered(df, [*group, *order], "_global"))
-    first = placed.groupBy(*group).agg(F.min("_global").alias("_first"))
-    return (
-        placed.join(first, list(group))
-        .withColumn(name, F.col("_global") - F.col("_first") + 1)
-        .drop("_global", "_first")
+    placed = _placed(df, [*group, *order])
+    keys = [*group, "_part"]
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = placed.groupBy(*keys).agg(F.min("_place").alias("_first"), F.count("*").alias("_n"))
+    shifts = runs.select(
+        *(F.col(k).alias(f"_of_{k}") for k in keys),
+        (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift"),
     )
+    same = reduce(lambda a, b: a & b, (placed[k].eqNullSafe(shifts[f"_of_{k}"]) for k in keys))
+    return placed.join(shifts, same).withColumn(name, F.col("_place") + F.col("_shift")).select(*df.columns, name)

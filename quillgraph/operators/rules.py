@@ -100,7 +100,9 @@ PHASE_ORDER = {"Frost Guardian": ["Frost Guardian (Frost Wizard)", "Frost Guardi
 # Stats that never count as keywords.
 STATS_NOT_KEYWORDS = ["Reaction", "Resist Snow"]
 
-RULE_COLUMNS = "src_label string, src_key string, rel string, dst_label string, targets array<string>"
+RULE_COLUMNS = (
+    "src_label string, src_key string, rel string, dst_label string, targets array<string>, props map<string,string>"
+)
 
 
 def curated_rules(spark: SparkSession) -> DataFrame:
@@ -110,7 +112,12 @@ def curated_rules(spark: SparkSession) -> DataFrame:
         for rel, label, effects in BELL_RULES
         for bell, targets in effects.items()
     ]
-    return spark.createDataFrame(rows + OTHER_RULES, RULE_COLUMNS)
+    return spark.createDataFrame([(*row, rule_props(row[2])) for row in rows + OTHER_RULES], RULE_COLUMNS)
+
+
+def rule_props(rel: str) -> dict[str, str]:
+    """Properties of the edges of a rule: reductions say by how much."""
+    return {"amount": str(CROWN_REDUCTION)} if rel == "REDUCES" else {}
 
 
 def phase_order(spark: SparkSession) -> DataFrame:

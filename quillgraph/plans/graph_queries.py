@@ -10,6 +10,7 @@ from quillgraph.operators import entities as N
 from quillgraph.operators import graph as G
 from quillgraph.operators.ranking import global_top_k
 from quillgraph.plans import inputs
+from quillgraph.operators.rules import CROWN_REDUCTION, rule_props
 from quillgraph.plans.registry import query
 from quillgraph.sources.tables import table
 
@@ -204,21 +205,21 @@ def edge_unless_any(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "edge_set_property",
     """SELECT o_custkey::VARCHAR AS src, l_partkey::VARCHAR AS dst,
-  arg_max(l_quantity, (l_orderkey * 10 + l_linenumber) * 100 + l_quantity::INT) AS amount
+  arg_max(l_quantity, (l_orderkey * 10 + l_linenumber) * 100 + l_quantity::INT) AS amount,
+  max(CASE WHEN l_returnflag = 'R' THEN 'yes' END) AS returned
 FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL""",
 )
 def edge_set_property(spark: SparkSession, d: str) -> DataFrame:
+    """The last amount is set on edges of which some already say that the part was returned."""
     rows = _bought(spark, d).withColumn("seq", _line_order())
-    props = G.present_props(amount=F.col("l_quantity"))
     pairs = rows.withColumn("src", F.col("o_custkey")).withColumn("dst", F.col("l_partkey"))
-    given = G.edge_rows(pairs, "Customer", "BOUGHT", "Part", props, ["seq"])
-    returned = edges_of(
-        rows.where("l_returnflag = 'R'"), "o_custkey", "BOUGHT", "l_partkey", "Customer", "Part"
-    )
+    given = G.edge_rows(pairs, "Customer", "BOUGHT", "Part", G.present_props(amount=F.col("l_quantity")), ["seq"])
+    returned = G.edge_rows(pairs.where("l_returnflag = 'R'"), "Customer", "BOUGHT", "Part", G.present_props(returned=F.lit("yes")))
     return G.link_setting(G.link(returned), given).select(
         F.col("src_key").alias("src"),
         F.col("dst_key").alias("dst"),
         F.col("props")["amount"].cast("double").alias("amount"),
+        F.col("props")["returned"].alias("returned"),
     )
 
 
@@ -416,6 +417,30 @@ def rule_links(spark: SparkSession, d: str) -> DataFrame:
     return G.rule_links(rules, nodes).select(F.col("src_key").alias("src"), F.col("dst_key").alias("dst"))
 
 
+@query(
+    "reduction_rules",
+    f"""SELECT DISTINCT p_brand AS src, p_type AS dst, {CROWN_REDUCTION} AS amount FROM part WHERE p_size < 10""",
+)
+def reduction_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Every brand reduces the types of its small parts, each by the amount of the crown rules."""
+    parts = table(spark, d, "part")
+    nodes = nodes_of(parts.select("p_brand").distinct(), "Crown", "p_brand").unionByName(
+        nodes_of(parts.select("p_type").distinct(), "Stat", "p_type")
+    )
+    props = F.create_map(*(F.lit(x) for pair in rule_props("REDUCES").items() for x in pair))
+    rules = parts.where("p_size < 10").select(
+        F.lit("Crown").alias("src_label"),
+        F.col("p_brand").alias("src_key"),
+        F.lit("REDUCES").alias("rel"),
+        F.lit("Stat").alias("dst_label"),
+        F.array("p_type").alias("targets"),
+        props.alias("props"),
+    )
+    return G.rule_links(rules, nodes).select(
+        F.col("src_key").alias("src"), F.col("dst_key").alias("dst"), F.col("props")["amount"].cast("int").alias("amount")
+    )
+
+
 @query(
     "flag_links",
     """SELECT r_name AS src, p_partkey AS dst FROM region JOIN part ON
@@ -680,8 +705,11 @@ def _all_nodes(spark: SparkSession, d: str) -> DataFrame:
         .unionByName(nodes_of(table(spark, d, "nation"), "Nation", "n_nationkey", name="n_name"))
         .unionByName(
             nodes_of(
-                table(spark, d, "customer").withColumn("vip", F.expr("if(c_acctbal > 9000, 1, null)")),
+                table(spark, d, "customer")
+                .withColumn("vip", F.expr("if(c_acctbal > 9000, 1, null)"))
+                .withColumn("rich", F.col("c_acctbal") > 5000),
                 "Customer", "c_custkey", name="c_name", segment="c_mktsegment", vip="vip",
+                balance="c_acctbal", rich="rich",
             )
         )
     )
@@ -689,10 +717,17 @@ def _all_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "graph_schema",
-    """SELECT 'Region' AS label, 'name' AS property, count(*) AS n FROM region UNION ALL
-SELECT 'Nation', 'name', count(*) FROM nation UNION ALL SELECT 'Customer', 'name', count(*) FROM customer
-UNION ALL SELECT 'Customer', 'segment', count(c_mktsegment) FROM customer
-UNION ALL SELECT 'Customer', 'vip', count(*) FROM customer WHERE c_acctbal > 9000 HAVING count(*) > 0""",
+    """WITH p AS (SELECT 'Region' AS label, r_regionkey AS key, 'name' AS property, 'String' AS kind FROM region
+UNION ALL SELECT 'Nation', n_nationkey, 'name', 'String' FROM nation
+UNION ALL SELECT 'Customer', c_custkey, 'name', 'String' FROM customer
+UNION ALL SELECT 'Customer', c_custkey, 'segment', 'String' FROM customer WHERE c_mktsegment IS NOT NULL
+UNION ALL SELECT 'Customer', c_custkey, 'vip', 'Long' FROM customer WHERE c_acctbal > 9000
+UNION ALL SELECT 'Customer', c_custkey, 'balance', 'Double' FROM customer WHERE c_acctbal IS NOT NULL
+UNION ALL SELECT 'Customer', c_custkey, 'rich', 'Boolean' FROM customer WHERE c_acctbal IS NOT NULL),
+total AS (SELECT 'Region' AS label, count(*) AS n FROM region UNION ALL SELECT 'Nation', count(*) FROM nation
+UNION ALL SELECT 'Customer', count(*) FROM customer)
+SELECT label, property, count(*) AS n, kind AS type, count(*) = any_value(total.n) AS mandatory
+FROM p JOIN total USING (label) GROUP BY label, property, kind""",
 )
 def graph_schema(spark: SparkSession, d: str) -> DataFrame:
     return G.schema_properties(_all_nodes(spark, d))
@@ -700,8 +735,9 @@ def graph_schema(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "graph_schema_text",
-    """SELECT 1 AS part, 'Customer {name, segment' || CASE WHEN max(c_acctbal) > 9000 THEN ', vip' ELSE '' END || '}'
-  AS line FROM customer UNION ALL SELECT 1, 'Nation {name}' UNION ALL SELECT 1, 'Region {name}'
+    """SELECT 1 AS part, 'Customer {balance: Double, name: String, rich: Boolean, segment: String' ||
+  CASE WHEN max(c_acctbal) > 9000 THEN ', vip: Long' ELSE '' END || '}'
+  AS line FROM customer UNION ALL SELECT 1, 'Nation {name: String}' UNION ALL SELECT 1, 'Region {name: String}'
 UNION ALL SELECT 2, '(:Customer)-[:LIVES_IN]->(:Nation)' UNION ALL SELECT 2, '(:Nation)-[:PART_OF]->(:Region)'""",
 )
 def graph_schema_text(spark: SparkSession, d: str) -> DataFrame:

@@ -210,3 +210,44 @@ def test_flag_links_of_several_flags(spark):
     targets = spark.createDataFrame([(1, True, False), (2, True, True), (3, None, True)], "dst int, red boolean, big boolean")
     got = G.flag_links(sources, targets, ["red", "big"])
     assert sorted(map(tuple, got.collect())) == [("a", 1), ("a", 2), ("b", 2), ("b", 3)]
+
+
+def test_property_types_join(spark):
+    rows = [("A", {"a": "1", "b": "true", "c": "1", "d": "1", "e": "12345678901234567890"}), ("A", {"a": "2", "b": "false", "c": "2.5", "d": "true"}), ("A", {"a": "-3"}), ("B", {})]
+    nodes = spark.createDataFrame(rows, "label string, props map<string,string>")
+    got = {(r["label"], r["property"]): (r["n"], r["type"], r["mandatory"]) for r in G.schema_properties(nodes).collect()}
+    assert got == {
+        ("A", "a"): (3, "Long", True), ("A", "b"): (2, "Boolean", False), ("A", "c"): (2, "Double", False),
+        ("A", "d"): (2, "String", False), ("A", "e"): (1, "Double", False),
+    }
+
+
+def test_setting_a_property_keeps_the_others(spark):
+    shape = "src_label string, src_key string, rel string, dst_label string, dst_key string, props map<string,string>"
+    ends = ("A", "x", "R", "B", "y")
+    stored = spark.createDataFrame([(*ends, {"kept": "1", "n": "0"}), ("A", "z", "R", "B", "y", {})], shape)
+    given = spark.createDataFrame([(*ends, {"n": "5"}, 1), (*ends, {"n": "7"}, 2), (*ends, {"n": "8"}, 2)], shape + ", seq int")
+    got = {r["src_key"]: r["props"] for r in G.link_setting(stored, given).collect()}
+    assert got == {"x": {"kept": "1", "n": "8"}, "z": {}}
+
+
+def test_crown_rules_carry_the_amount(spark):
+    from quillgraph.operators.rules import curated_rules
+
+    reduced = curated_rules(spark).where("rel = 'REDUCES'").collect()
+    assert reduced and all(r["props"] == {"amount": "1"} for r in reduced)
+    nodes = spark.createDataFrame([("Crown", "Cursed Crown"), ("Stat", "Health")], "label string, key string")
+    edges = G.rule_links(curated_rules(spark), nodes).where("rel = 'REDUCES'").collect()
+    assert [(e["dst_key"], e["props"]) for e in edges] == [("Health", {"amount": "1"})]
+
+
+def test_numbers_within_groups_of_any_size(spark):
+    rows = [(None if k % 5 == 0 else "hot" if k % 2 else f"g{k}", k) for k in range(400)]
+    df = spark.createDataFrame(rows, "g string, k int").repartition(7)
+    got = {(r["g"], r["k"]): r["no"] for r in numbered_within(df, ["g"], ["k"], "no").collect()}
+    want, seen = {}, {}
+    for g, k in sorted(rows, key=lambda r: r[1]):
+        seen[g] = seen.get(g, 0) + 1
+        want[g, k] = seen[g]
+    assert got == want
+    assert sorted(r["no"] for r in numbered(df, ["k"], "no").collect()) == list(range(1, 401))
