@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.operators.skew import hot_join
+
 
 @dataclass(frozen=True)
 class Relation:
@@ -65,8 +67,8 @@ def enrich_hits(
 ) -> DataFrame:
     """Hits with their owners and neighbour columns.
 
-    Every relation is aggregated per document before it meets the hits, so columns never
-    multiply each other; only edges of owners that were hit are read past the first join.
+    Every relation is aggregated once per distinct owner, however many hits it owns, so columns
+    never multiply each other; only edges of owners that were hit are read past the first join.
     """
     owned = owners(hits, edges, kinds)
     by_kind = owned.groupBy("doc_id").agg(
@@ -78,29 +80,30 @@ def enrich_hits(
     out = hits.withColumn("_doc", F.col("doc_id").cast("string")).join(
         by_kind.withColumnRenamed("doc_id", "_doc"), "_doc", "left"
     )
-    if relations:
-        out = out.join(_neighbours(owned, edges, relations), "_doc", "left")
-        for r in relations:
-            if not r.single:
-                kind = out.schema[r.column].dataType
-                out = out.withColumn(r.column, F.coalesce(r.column, F.array().cast(kind)))
-    return out.drop("_doc")
-
-
-def _neighbours(owned: DataFrame, edges: DataFrame, relations: Sequence[Relation]) -> DataFrame:
-    near = owned.join(
-        edges.select(
-            F.col("src_label").alias("owner_label"),
-            F.col("src_key").alias("owner_key"),
-            "rel",
-            "dst_key",
-            "props",
-        ).where(F.col("rel").isin([r.rel for r in relations])),
-        ["owner_label", "owner_key"],
+    asked_kinds = sorted({r.owner for r in relations} & set(kinds))
+    for owner in asked_kinds:
+        own = [r for r in relations if r.owner == owner]
+        near = _neighbours(owned.where(F.col("owner_label") == owner), edges, owner, own)
+        # Many hits may share an owner: they are dealt by document too.
+        out = hot_join(out, near, [owner.lower()], "_doc", "left")
+    for r in relations:
+        if r.owner not in asked_kinds:
+            out = out.withColumn(r.column, F.lit(None).cast("string" if r.single else "array<string>"))
+        if not r.single:
+            out = out.withColumn(r.column, F.coalesce(r.column, F.array().cast(out.schema[r.column].dataType)))
+    return out.drop("_doc").select(*hits.columns, *(k.lower() for k in kinds), *(r.column for r in relations))
+
+
+def _neighbours(owned: DataFrame, edges: DataFrame, owner: str, relations: Sequence[Relation]) -> DataFrame:
+    """``<owner kind>`` and a column per relation, one row for each distinct owner."""
+    wanted = owned.select("owner_key").distinct()
+    near = edges.where((F.col("src_label") == owner) & F.col("rel").isin([r.rel for r in relations])).select(
+        F.col("src_key").alias("owner_key"), "rel", "dst_key", "props"
     )
+    near = near.join(wanted, "owner_key", "left_semi")
     columns = []
     for r in relations:
-        this = (F.col("owner_label") == r.owner) & (F.col("rel") == r.rel)
+        this = F.col("rel") == r.rel
         if r.single:
             column = F.min(F.when(this, F.col("dst_key")))
         elif r.value:
@@ -109,4 +112,4 @@ def _neighbours(owned: DataFrame, edges: DataFrame, relations: Sequence[Relation
         else:
             column = F.array_sort(F.collect_list(F.when(this, F.col("dst_key"))))
         columns.append(column.alias(r.column))
-    return near.groupBy(F.col("doc_id").alias("_doc")).agg(*columns)
+    return near.groupBy(F.col("owner_key").alias(owner.lower())).agg(*columns)

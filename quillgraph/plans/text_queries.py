@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import text as X
 from quillgraph.operators import generation, rows
+from quillgraph.operators.vector_store import VectorStore
 from quillgraph.plans import inputs
 from quillgraph.plans import sql_parts as S
 from quillgraph.plans.registry import query
@@ -455,6 +456,27 @@ def letter_vector(texts) -> list[list[float]]:
     return [[float(len(t)), float(t.count(" ")), float(t.count("\n"))] for t in texts]
 
 
+@query(
+    "query_embedding",
+    """WITH t AS (SELECT 'document' AS kind, doc_id AS id, text FROM documents
+  UNION ALL SELECT 'query', item_id, text FROM benchmark)
+SELECT kind, id, length(text)::FLOAT AS chars, (length(text) - length(replace(text, ' ', '')))::FLOAT AS spaces,
+  (length(text) - length(replace(text, chr(10), '')))::FLOAT AS lines,
+  (SELECT count(DISTINCT text) FROM t) AS n_encoded FROM t WHERE text IS NOT NULL""",
+)
+def query_embedding(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and queries through one store; equal texts are encoded once, also across both."""
+    store = VectorStore.new(spark, "letters")
+    docs, asked = inputs.documents(spark, d), inputs.queries(spark, d)
+    store.fill(docs, letter_vector)
+    store.fill(asked, letter_vector, "query_id", "query")
+    store.fill(docs, letter_vector)
+    rows = store.vectors(docs).select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "vector")
+    queries = store.vectors(asked, "query_id", "query").select(F.lit("query").alias("kind"), F.col("query_id").alias("id"), "vector")
+    parts = (F.get("vector", F.lit(k)).alias(name) for k, name in enumerate(("chars", "spaces", "lines")))
+    return rows.unionByName(queries).select("kind", "id", *parts, F.lit(store.rows().count()).alias("n_encoded"))
+
+
 @query(
     "embed_documents",
     """SELECT doc_id, length(text)::FLOAT AS chars, (length(text) - length(replace(text, ' ', '')))::FLOAT AS spaces,

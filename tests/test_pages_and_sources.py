@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.operators import generation as B
 from quillgraph.operators import pages as P
+from quillgraph.operators.vector_store import VectorStore
 from quillgraph.operators.rows import drop_vectors, to_result_rows, with_context
 from quillgraph.sources import io
 
@@ -167,6 +168,26 @@ def test_embedding_is_resumable(spark):
     assert B.missing_vectors(stored, "vector").isEmpty()
 
 
+def test_every_text_is_encoded_once(spark, scratch):
+    calls = spark.sparkContext.accumulator(0)
+
+    def encode(texts):
+        calls.add(len(texts))
+        return [[float(len(t)), 1.0] for t in texts]
+
+    store = VectorStore(spark, scratch, "m")
+    docs = spark.createDataFrame([(1, "aa"), (2, "b"), (3, "aa"), (4, None), (None, "lost"), (5, "")], "doc_id int, text string")
+    store.fill(docs.repartition(4), encode, batch=2)
+    assert calls.value == 3
+    asked = spark.createDataFrame([(7, "b"), (8, "new"), (9, "new")], "query_id int, query string")
+    store.fill(asked, encode, "query_id", "query")
+    store.fill(docs, encode)
+    assert calls.value == 4
+    assert {r["query_id"]: r["vector"] for r in store.vectors(asked, "query_id", "query").collect()} == {7: [1.0, 1.0], 8: [3.0, 1.0], 9: [3.0, 1.0]}
+    assert {r["doc_id"] for r in store.vectors(docs).collect()} == {1, 2, 3, 5}
+    assert VectorStore(spark, scratch, "other").vectors(docs).count() == 0
+
+
 def test_generation_keeps_errors(spark):
     q = spark.createDataFrame([(1, "q1"), (2, "q2"), (3, "boom")], "query_id int, query string")
     ctx = spark.createDataFrame([(1, "c1"), (3, "c3")], "query_id int, context string")
