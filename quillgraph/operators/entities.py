@@ -125,12 +125,12 @@ def with_defaults(rows: DataFrame, defaults: DataFrame, key: str = "name") -> Da
 
 
 def card_list(schema: DataFrame, base: Column, excluded: Sequence[str] = ("leaders",)) -> DataFrame:
-    """(type, name, url) for every member of a type schema, excluded types left out."""
-    return (
-        schema.where(~F.col("type").isin(list(excluded)))
-        .select("type", F.explode("members").alias("name"))
-        .withColumn("url", base)
-    )
+    """(type, name, url) for every member of a type schema, excluded types left out.
+
+    ``schema(type, members array)`` or, one row per member, ``schema(type, name)``.
+    """
+    name = F.explode("members").alias("name") if "members" in schema.columns else F.col("name")
+    return schema.where(~F.col("type").isin(list(excluded))).select("type", name).withColumn("url", base)
 
 
 def merge_maps(first: DataFrame, second: DataFrame, key: str, value: str) -> DataFrame:
@@ -154,9 +154,9 @@ def number_leaders(rows: DataFrame, min_cells: int = 5) -> DataFrame:
 
 
 def sample_queries(items: DataFrame, k: int, seed: int = 42) -> DataFrame:
-    """k rows without replacement, repeatable by seed, numbered from 1."""
+    """k rows without replacement, repeatable by seed (digests of ``seed:item``), numbered from 1."""
     drawn = (
-        items.withColumn("_draw", F.xxhash64(F.lit(seed), "item"))
+        items.withColumn("_draw", F.md5(F.concat(F.lit(f"{seed}:"), "item")))
         .orderBy("_draw", "item")
         .limit(k)
     )

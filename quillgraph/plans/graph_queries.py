@@ -842,9 +842,7 @@ FROM part WHERE p_type <> 'PROMO'""",
 def card_list(spark: SparkSession, d: str) -> DataFrame:
     from quillgraph.functions.text import page_url
 
-    schema = table(spark, d, "part").groupBy(F.col("p_type").alias("type")).agg(
-        F.collect_set("p_name").alias("members")
-    )
+    schema = table(spark, d, "part").select(F.col("p_type").alias("type"), F.col("p_name").alias("name")).distinct()
     return N.card_list(schema, page_url(F.col("name"), "https://wiki.example.org/"), ["PROMO"])
 
 
@@ -880,9 +878,13 @@ def leader_naming(spark: SparkSession, d: str) -> DataFrame:
     return N.number_leaders(rows).select("card_name", "c_custkey")
 
 
-@query("query_sample")
+@query(
+    "query_sample",
+    """SELECT p_name AS item, row_number() OVER (ORDER BY md5('42:' || p_name), p_name)::INT AS query_id
+FROM (SELECT DISTINCT p_name FROM part) QUALIFY query_id <= 20""",
+)
 def query_sample(spark: SparkSession, d: str) -> DataFrame:
-    """Twenty drawn parts; the draw is Spark's hash, so there is no SQL twin."""
+    """Twenty drawn part names."""
     return N.sample_queries(table(spark, d, "part").select(F.col("p_name").alias("item")).distinct(), 20)
 
 

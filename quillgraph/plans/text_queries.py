@@ -11,6 +11,7 @@ from quillgraph.operators.vector_store import VectorStore
 from quillgraph.plans import inputs
 from quillgraph.plans import sql_parts as S
 from quillgraph.plans.registry import query
+from quillgraph.session import shared_path
 from quillgraph.sources import io
 from quillgraph.sources.tables import table
 
@@ -402,6 +403,27 @@ def split_references(spark: SparkSession, d: str) -> DataFrame:
     return out.select("c_custkey", F.size("r").cast("long").alias("n"), F.array_join("r", "|").alias("refs"))
 
 
+@query(
+    "query_set_round_trip",
+    """SELECT item_id AS query_id, 'say, "' || text || '"' || chr(10) || item_id AS query, '' AS ground_truth,
+  'https://a/' || item_id || '|b' AS refs FROM benchmark""",
+)
+def query_set_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """A query CSV with quotes, commas and line breaks in its fields, read, kept as JSON and read again."""
+    path = shared_path(spark, "query-set")
+    ident = F.col("query_id").cast("string")
+    rows = inputs.queries(spark, d).select(
+        F.concat(F.lit(" "), ident).alias("query_id"),
+        F.concat(F.lit('  say, "'), "query", F.lit('"\n'), ident, F.lit(" ")).alias("query"),
+        F.lit(None).cast("string").alias("ground_truth"),
+        F.concat(F.lit("https://a/"), ident, F.lit(" ,, b,")).alias("doc_reference"),
+    )
+    rows.write.option("header", True).option("escape", '"').csv(f"{path}/csv")
+    io.write_queries_json(io.read_queries(spark, f"{path}/csv"), f"{path}/json", "benchmark")
+    out = io.read_queries_json(spark, f"{path}/json")
+    return out.select(F.col("query_id").cast("long"), "query", "ground_truth", F.array_join("doc_references", "|").alias("refs"))
+
+
 @query("query_set_metadata", "SELECT 'benchmark' AS source, count(*) AS total_queries, '1.0' AS version FROM benchmark")
 def query_set_metadata(spark: SparkSession, d: str) -> DataFrame:
     return io.query_set_metadata(inputs.queries(spark, d), "benchmark")
