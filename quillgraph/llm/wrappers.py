@@ -34,9 +34,12 @@ from pyspark.sql import functions as F
 
 from quillgraph.llm.storage import stored
 
+#: Elements whose content is no text. One that ends in itself has none; without an end tag only
+#: scripts and styles run to the end of the page, of all others just the opening tag goes.
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?"
-    r"|<(?P<raw>script|style|noscript|template|textarea|title|iframe|svg|select|object)\b[^>]*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<code>script|style)\b[^>]*+(?:(?<=/)>|>.*?(?:</(?P=code)\s*>|\Z))"
+    r"|<(?P<raw>noscript|template|textarea|title|iframe|svg|select|object)\b[^>]*+(?:(?<=/)>|>(?:.*?</(?P=raw)\s*>)?)"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>",
     re.S | re.I,
 )
@@ -67,18 +70,25 @@ MARKED = set(
     "alert popup modal newsletter subscribe signup login share sharing social related recommended "
     "search pagination pager toolbar hidden complementary contentinfo navigation".split()
 )
+#: Words that may stand beside them in one name ("ad-slot", "site-footer"); any other word makes the
+#: name speak of something else ("has-sidebar", "search-results", "related-work").
+BESIDE = set(
+    "area article bar block bottom box button buttons container form group header icons inner item items left link "
+    "links list main module outer page panel post posts primary right secondary section site slot text top unit "
+    "wrap wrapper".split()
+)
 CORE = {"article", "main"}
 
 
 def _label(name: str, rest: str) -> str:
     if name in ("html", "body", "main"):
         return name
-    words = {
-        w.lower()
-        for found in NAMED.findall(rest)
-        for w in re.split(r"[^a-zA-Z]+", " ".join(found))
-        if w.lower() in MARKED
-    }
+    words: set[str] = set()
+    for found in NAMED.findall(rest):
+        for named in " ".join(found).lower().split():
+            parts = {w for w in re.split(r"[^a-z]+", named) if w}
+            if parts <= MARKED | BESIDE:
+                words |= parts & MARKED
     return ".".join([name, *sorted(words)])
 
 
@@ -107,7 +117,7 @@ class PageReader:
             at = token.end()
             name = (token["name"] or "").lower()
             if not name or name in EMPTY:
-                if token["raw"] or name == "hr":
+                if token["raw"] or token["code"] or name == "hr":
                     self._end_block()
                 continue
             if name in BREAKS:

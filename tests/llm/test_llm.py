@@ -419,6 +419,21 @@ def test_main_text_of_pages(spark):
     assert wrappers.extract_main_text(frame.limit(0)).count() == 0
 
 
+def test_names_and_raw_tags_do_not_swallow_text():
+    def text(markup):
+        items, slots, blocks = wrappers.PageReader().read(markup).result()
+        good = wrappers.verdicts(items)
+        return [t for s, t in zip(slots, blocks, strict=True) if good[s]]
+
+    assert text("<div class='layout has-sidebar'><article><p>Body text</article></div>") == ["Body text"]
+    assert text("<article class='post comments-open'><p>kept</article>") == ["kept"]
+    assert text("<article><section class='related-work'><p>a</section><p class='search-results'>b</article>") == ["a", "b"]
+    for tag in ("<svg viewBox='0'/>", "<object data=x />", "<iframe src='y'/>", "<script src='z'/>", "<title>", "<svg>", "<select>"):
+        assert text(f"<p>a{tag}<p>b") == ["a", "b"], tag
+    assert text("<p>a<svg><text>no</text></svg><script>x='<p>'</script>b<title>t</title><style>p{}</style><p>c") == ["a", "b", "c"]
+    assert text("<div class='ad-slot'>buy</div><div id='site-footer'>f</div><div class='x sidebar'>s</div><p>t") == ["t"]
+
+
 def test_wrapper_has_optional_and_repeated_groups():
     shapes = [wrappers.PageReader().read(h).result()[0] for h in ("<div><p>a<p>b</div>", "<div><h2>t</h2><p>a</div>")]
     wrapper = wrappers.merge(wrappers.merge([], shapes[0]), shapes[1])
