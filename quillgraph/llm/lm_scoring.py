@@ -2,13 +2,17 @@
 
 Word counts cover all training documents. The frequent words, a list of fixed length
 (``frequent``), travel to the tasks; every other occurrence meets its count in a join, so the
-counts may be of any size. Subword frequencies follow from the word counts. The attention model
-starts from one set of parameters and is trained where the texts are: each task takes gradient
-steps on its share of the training spans, the parameters are averaged over all tasks, and this
-is repeated ``rounds`` times. Every training document is cut into runs of ``SPAN`` words; each run
-is used in one of the rounds, so all words of all training documents shape the model. All texts
-are scored whole; the model's probability of the inside of a word is joined with the counts of all
-words, those of the frequent ones in the tasks and those of the others in the join.
+counts may be of any size. Subword frequencies follow from the word counts.
+
+The model is one attention over the first ids of the words of a text and one over the ids inside
+a word. Both start from one set of parameters and are trained where their rows are: each task
+takes gradient steps on its share, the parameters are averaged over all tasks, and this is
+repeated ``rounds`` times; how rows lie in tasks shapes the model. For the first, every training
+document is cut into runs of ``SPAN`` words, each used in one of the rounds. The second is trained
+on the table of distinct training words, each in one of the rounds: counts tell how often a known
+word occurs, so what the model has to know is how words are made. The inside of every distinct word
+of all texts is scored once, in that table, with the word's count; texts are scored whole and join
+those values, the frequent ones in the tasks and the others in the join.
 
 Defined cases: a null or empty text is the end token alone; a null id is never held out; without
 training documents all counts are zero and the model has even classes; repeated rows are scored
@@ -25,10 +29,10 @@ from itertools import chain, islice
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.attention_lm import BLOCK, END, VOCABULARY, Adam, Attention, Classes, make_classes, split_words
+from quillgraph.llm.attention_lm import END, VOCABULARY, Adam, Attention, Classes, make_classes, split_words
 from quillgraph.llm.packing import tokenizer
 from quillgraph.llm.storage import stored
 
@@ -63,7 +67,10 @@ def spans_of(doc: int | None, text: str | None, turn: int, rounds: int) -> Itera
 
 
 def count_words(docs: DataFrame) -> DataFrame:
-    """word and n per task; the empty word is the end token."""
+    """word and n, its training occurrences, per task; the empty word is the end token.
+
+    Words of held-out documents alone have n zero.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -76,14 +83,18 @@ def count_words(docs: DataFrame) -> DataFrame:
             return batch
 
         for batch in batches:
-            for text in batch.column(0):
-                seen.update(words_of(text.as_py()))
-                seen[b""] += 1
+            for held, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                words = words_of(text.as_py())
+                if held:
+                    seen.update(dict.fromkeys(words, 0))
+                else:
+                    seen.update(words)
+                    seen[b""] += 1
                 if len(seen) > 300_000:
                     yield flush()
         yield flush()
 
-    return docs.where("not held_out").select("text").mapInArrow(count, "word binary, n long")
+    return docs.select("held_out", "text").mapInArrow(count, "word binary, n long")
 
 
 def subword_counts(counts: DataFrame, vocabulary: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -137,27 +148,19 @@ class WordMemory:
 
     def sharpened(self, words: list[bytes], heads: np.ndarray, inside: np.ndarray) -> np.ndarray:
         counts = np.fromiter((self.known.get(w, 0) for w in words), float, len(words))
+        return self.valued(counts, heads, inside)
+
+    def valued(self, counts: np.ndarray, heads: np.ndarray, inside: np.ndarray) -> np.ndarray:
+        """:meth:`sharpened` with the counts given."""
         with np.errstate(divide="ignore"):
             return np.logaddexp(np.log(counts), self.free[heads] + inside) - self.whole[heads]
 
-    @staticmethod
-    def gain(count: Column, wide: Column) -> Column:
-        """What a count that was not at hand adds to :meth:`sharpened`; ``wide`` is free + inside."""
-        return F.log(count + F.exp(wide)) - wide
-
 
 class Scorer:
-    """Both models with their classes; remembers first ids and inner scores of words."""
-
-    def __init__(
-        self,
-        classes: tuple[Classes, Classes],
-        width: int,
-        params: np.ndarray | None,
-        vocabulary: str,
-        memory: WordMemory | None = None,
-    ):
-        self.classes, self._memory = classes, memory
+    """Both models with their classes; remembers first ids of words."""
+
+    def __init__(self, classes: tuple[Classes, Classes], width: int, params: np.ndarray | None, vocabulary: str):
+        self.classes = classes
         parts = (None, None) if params is None else np.split(params, 2)
         self.outer, self.inner = (
             Attention(c.count, width, part, c.prior) for c, part in zip(classes, parts, strict=True)
@@ -167,7 +170,7 @@ class Scorer:
 
     def clear(self) -> None:
         self._number: dict[bytes, int] = {b"": 0}
-        self._heads, self._scores, self._wide = np.array([END]), np.zeros(1), np.zeros(1)
+        self._heads = np.array([END])
 
     @property
     def params(self) -> np.ndarray:
@@ -180,62 +183,97 @@ class Scorer:
         blocks = self.inner.blocks(self.classes[1].of[inner], sizes, starts)
         return heads, inner, (*blocks, sizes)
 
-    def words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """First id and inner log probability of every word; the empty word is the end of a text."""
-        if len(self._number) > REMEMBERED:
-            self.clear()
+    def insides(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """First ids and log probabilities of the insides of words."""
+        if not words:
+            return np.zeros(0, np.int64), np.zeros(0)
+        heads, inner, (keys, targets, mask, sizes) = self.inner_blocks(words)
+        each = self.inner.scored(keys, targets, mask) + self.classes[1].within[inner]
+        return heads, np.add.reduceat(each, np.cumsum(sizes) - sizes)
+
+    def heads(self, words: list[bytes]) -> np.ndarray:
+        """First ids of words; the empty word is the end of a text."""
         number = self._number
+        if len(number) > REMEMBERED:
+            self.clear()
+            number = self._number
         fresh = [w for w in dict.fromkeys(words) if w not in number]
         if fresh:
             number.update(zip(fresh, range(len(number), len(number) + len(fresh)), strict=True))
-            heads, inner, (keys, targets, mask, sizes) = self.inner_blocks(fresh)
-            each = self.inner.scored(keys, targets, mask) + self.classes[1].within[inner]
-            self._heads = np.concatenate([self._heads, heads])
-            inside = np.add.reduceat(each, np.cumsum(sizes) - sizes)
-            if self._memory:
-                self._wide = np.concatenate([self._wide, self._memory.free[heads] + inside])
-                inside = self._memory.sharpened(fresh, heads, inside)
-            self._scores = np.concatenate([self._scores, inside])
-        places = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-        return self._heads[places], self._scores[places]
-
-    def wide(self, words: list[bytes]) -> list[float | None]:
-        """``free + inside`` of the memory for words of the last texts; the end has no inside."""
-        return [float(self._wide[self._number[w]]) if w else None for w in words]
+            self._heads = np.concatenate([self._heads, split_words(self._tokens, fresh)[0]])
+        return self._heads[np.fromiter(map(number.__getitem__, words), np.int64, len(words))]
+
+    def outer_blocks(self, words: list[bytes], sizes: np.ndarray) -> tuple[np.ndarray, tuple]:
+        heads = self.heads(words)
+        return heads, self.outer.blocks(self.classes[0].of[heads], sizes)
 
     def texts(self, words: list[bytes], sizes: list[int]) -> np.ndarray:
-        """log10 probability of texts, each closed by an empty word."""
-        heads, inside = self.words(words)
-        keys, targets, mask = self.outer.blocks(self.classes[0].of[heads], np.asarray(sizes))
-        each = self.outer.scored(keys, targets, mask) + self.classes[0].within[heads] + inside
-        return np.add.reduceat(each, np.cumsum(sizes) - sizes) / np.log(10)
+        """Natural log probability of the first ids of texts, each closed by an empty word."""
+        heads, blocks = self.outer_blocks(words, np.asarray(sizes))
+        each = self.outer.scored(*blocks) + self.classes[0].within[heads]
+        return np.add.reduceat(each, np.cumsum(sizes) - sizes)
+
+
+def _steps(model: Attention, adam: Adam, keys: np.ndarray, targets: np.ndarray, mask: np.ndarray) -> None:
+    order = np.random.default_rng(len(keys)).permutation(len(keys))
+    for k in range(0, len(order), STEP):
+        pick = order[k : k + STEP]
+        adam.step(model.params, model.gradient(keys[pick], targets[pick], mask[pick])[1])
+
+
+def _averaged(rows: DataFrame, learn, size: int) -> np.ndarray | None:
+    """Mean of the parameters that ``learn`` reaches in each task, weighted by positions.
+
+    A task sends one array; arrays are added in groups of tasks before the last sum.
+    """
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, weight = np.zeros(size), 0.0
+        for batch in batches:
+            for raw, n in zip(batch.column("value").to_pylist(), batch.column("weight").to_pylist(), strict=True):
+                total += np.frombuffer(raw)
+                weight += n
+        if weight:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()]), pa.array([weight])], names=["value", "weight"])
+
+    shape = "value binary, weight double"
+    parts = rows.mapInArrow(learn, shape)
+    tasks = rows.rdd.getNumPartitions()
+    while tasks > 1:
+        tasks = -(-tasks // 16)
+        parts = parts.repartition(tasks).mapInArrow(added, shape)
+    found = parts.collect()
+    return np.frombuffer(found[0]["value"]) / found[0]["weight"] if found else None
+
+
+def _learnt(model: Attention, positions: int) -> Iterator[pa.RecordBatch]:
+    if positions:
+        value = (model.params.astype(float) * positions).tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([value]), pa.array([float(positions)])], names=["value", "weight"])
 
 
 def train(
     docs: DataFrame,
+    counts: DataFrame,
     classes: tuple[Classes, Classes],
     vocabulary: str,
     rounds: int,
     rate: float,
     width: int,
 ) -> np.ndarray:
-    """Parameters after ``rounds`` of local gradient steps and averaging, weighted by positions.
+    """Parameters of both models after ``rounds`` of local gradient steps and averaging.
 
-    The rounds share all spans of the training documents between them.
+    The rounds share all spans of the training documents, and all training words of ``counts``
+    (word, c), between them.
     """
     taught = docs.where("not held_out").select("doc_id", "text")
+    spelled = counts.where("c > 0 and octet_length(word) > 0").select("word")
     params = Scorer(classes, width, None, vocabulary).params
+    half = len(params) // 2
 
-    def steps(model: Attention, adam: Adam, keys: np.ndarray, targets: np.ndarray, weight: np.ndarray) -> None:
-        order = np.random.default_rng(len(keys)).permutation(len(keys))
-        for k in range(0, len(order), STEP):
-            pick = order[k : k + STEP]
-            adam.step(model.params, model.gradient(keys[pick], targets[pick], weight[pick])[1])
-
-    def learn(batches: Iterator[pa.RecordBatch], turn: int) -> Iterator[pa.RecordBatch]:
+    def learn_texts(batches: Iterator[pa.RecordBatch], turn: int) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(classes, width, params, vocabulary)
-        outer, inner = (Adam(len(m.params), rate) for m in (scorer.outer, scorer.inner))
-        positions = 0
+        adam, positions = Adam(half, rate), 0
         spans = (
             span
             for batch in batches
@@ -243,59 +281,70 @@ def train(
             for span in spans_of(doc, text.as_py(), turn, rounds)
         )
         while group := list(islice(spans, TOGETHER)):
-            words, sizes = list(chain.from_iterable(group)), list(map(len, group))
-            distinct = Counter(words)
-            distinct.pop(b"", None)
-            heads, _, (keys, targets, mask, per_word) = scorer.inner_blocks(list(distinct))
-            first = dict(zip(distinct, heads.tolist(), strict=True)) | {b"": END}
-            copies = np.repeat(np.fromiter(distinct.values(), float, len(distinct)), -(-per_word // BLOCK))
-            steps(scorer.inner, inner, keys, targets, mask * copies[:, None])
-            stream = scorer.classes[0].of[np.array([first[w] for w in words], np.int64)]
-            keys, targets, mask = scorer.outer.blocks(stream, np.asarray(sizes))
-            steps(scorer.outer, outer, keys, targets, mask)
+            words = list(chain.from_iterable(group))
+            _steps(scorer.outer, adam, *scorer.outer_blocks(words, np.array([*map(len, group)]))[1])
             positions += len(words)
-        if positions:
-            learnt = scorer.params
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.arange(len(learnt))),
-                    pa.array(learnt.astype(float) * positions),
-                    pa.array(np.full(len(learnt), float(positions))),
-                ],
-                names=["place", "value", "weight"],
-            )
+        yield from _learnt(scorer.outer, positions)
+
+    def learn_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(classes, width, params, vocabulary)
+        adam, positions = Adam(half, rate), 0
+        for batch in batches:
+            if batch.num_rows:
+                _, inner, (keys, targets, mask, _) = scorer.inner_blocks(batch.column(0).to_pylist())
+                _steps(scorer.inner, adam, keys, targets, mask)
+                positions += len(inner)
+        yield from _learnt(scorer.inner, positions)
 
     for turn in range(rounds):
-        learnt = (
-            taught.mapInArrow(partial(learn, turn=turn), "place long, value double, weight double")
-            .groupBy("place")
-            .agg((F.sum("value") / F.sum("weight")).alias("value"))
-            .toArrow()
+        mine = spelled.where(F.pmod(F.xxhash64("word"), F.lit(rounds)) == turn)
+        following = (
+            _averaged(taught, partial(learn_texts, turn=turn), half),
+            _averaged(mine, learn_words, half),
         )
-        params = params.copy()
-        params[learnt.column("place").to_numpy()] = learnt.column("value").to_numpy()
+        parts = np.split(params, 2)
+        params = np.concatenate([old if new is None else new for new, old in zip(following, parts, strict=True)]).astype(np.float32)
     return params
 
 
+def value_words(
+    counts: DataFrame, memory: WordMemory, classes: tuple[Classes, Classes], params: np.ndarray, vocabulary: str, width: int
+) -> DataFrame:
+    """``word, c, value``: the natural log probability of the inside of each word, its count known."""
+
+    def value(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(classes, width, params, vocabulary)
+        for batch in batches:
+            if batch.num_rows:
+                heads, inside = scorer.insides(batch.column(0).to_pylist())
+                values = memory.valued(batch.column(1).to_numpy().astype(float), heads, inside)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values)], names=["word", "c", "value"])
+
+    return counts.where("octet_length(word) > 0").select("word", "c").mapInArrow(value, "word binary, c long, value double")
+
+
 SCORED = (
     "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, "
-    "rare array<binary>, times array<int>, wide array<double>"
+    "rare array<binary>, times array<int>"
 )
 
 
 def score_rows(
     docs: DataFrame,
-    memory: WordMemory,
+    known: dict[bytes, tuple[int, float]],
     classes: tuple[Classes, Classes],
     params: np.ndarray,
     vocabulary: str,
     width: int,
 ) -> DataFrame:
-    """Per row both sums with the counts of the frequent words, and the other words for the join."""
-    logs = {w: float(np.log10(c + 1)) for w, c in memory.known.items()}
+    """Per row both sums over the frequent words, and the other words for the join.
+
+    ``known``: count and value of the inside of each frequent word.
+    """
+    logs = {w: (float(np.log10(c + 1)), value) for w, (c, value) in known.items()}
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(classes, width, params, vocabulary, memory)
+        scorer = Scorer(classes, width, params, vocabulary)
         row = TaskContext.get().partitionId() << 33
 
         def measured(group: list[tuple]) -> pa.RecordBatch:
@@ -304,20 +353,21 @@ def score_rows(
             for doc, held, text in group:
                 own = words_of(text)
                 own.append(b"")
-                base, found, rare = 0.0, 0, {}
+                base, inside, found, rare = 0.0, 0.0, 0, {}
                 for w in own:
                     value = logs.get(w)
                     if value is None:
                         rare[w] = rare.get(w, 0) + 1
                     else:
-                        base += value
+                        base += value[0]
+                        inside += value[1]
                         found += 1
-                rows.append((row, doc, held, len(own), found, base, list(rare), list(rare.values())))
+                rows.append((row, doc, held, len(own), found, base, inside, list(rare), list(rare.values())))
                 row += 1
                 words += own
                 sizes.append(len(own))
-            scores = scorer.texts(words, sizes)
-            r, d, h, n, f, b, rare, times = zip(*rows, strict=True)
+            r, d, h, n, f, b, inside, rare, times = zip(*rows, strict=True)
+            scores = (scorer.texts(words, sizes) + np.array(inside)) / np.log(10)
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array(r, pa.int64()),
@@ -329,7 +379,6 @@ def score_rows(
                     pa.array(scores),
                     pa.array(rare, pa.list_(pa.binary())),
                     pa.array(times, pa.list_(pa.int32())),
-                    pa.array([scorer.wide(own) for own in rare], pa.list_(pa.float64())),
                 ],
                 names=[part.split()[0] for part in SCORED.split(", ")],
             )
@@ -366,27 +415,33 @@ def score_texts(
     """Base and model log10 probability of every text."""
     rows = _selected(docs, hold, held, id_col, text_col)
     counts = stored(count_words(rows).groupBy("word").agg(F.sum("n").alias("c")), "word-counts")
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("c"), "word").limit(frequent).toArrow()
-    known = dict(zip(top.column("word").to_pylist(), top.column("c").to_pylist(), strict=True))
-    subwords = subword_counts(counts, vocabulary)
-    memory = WordMemory(known, subwords[0], vocabulary, subwords[2])
+    taught = counts.where("c > 0")
+    total, distinct = taught.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    subwords = subword_counts(taught, vocabulary)
+    memory = WordMemory({}, subwords[0], vocabulary, subwords[2])
     classes = tuple(make_classes(c) for c in subwords[:2])
-    params = train(rows, classes, vocabulary, rounds, rate, width)
-    scored = stored(score_rows(rows, memory, classes, params, vocabulary, width), "scored")
-    rare = scored.select("row", F.explode(F.arrays_zip("rare", "times", "wide")).alias("w")).select(
-        "row", F.col("w.rare").alias("word"), F.col("w.times").alias("times"), F.col("w.wide").alias("wide")
+    params = train(rows, counts, classes, vocabulary, rounds, rate, width)
+    values = stored(value_words(counts, memory, classes, params, vocabulary, width), "word-values")
+    top = values.where("c > 0").orderBy(F.desc("c"), "word").limit(frequent).toArrow()
+    known = dict(zip(top["word"].to_pylist(), zip(top["c"].to_pylist(), top["value"].to_pylist(), strict=True), strict=True))
+    ends = taught.where("octet_length(word) = 0").first()
+    if ends:
+        known[b""] = (ends["c"], 0.0)
+    scored = stored(score_rows(rows, known, classes, params, vocabulary, width), "scored")
+    rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select(
+        "row", F.col("w.rare").alias("word"), F.col("w.times").alias("times")
     )
+    counted = F.col("c") > 0
     met = (
-        rare.join(counts, "word")
+        rare.join(values, "word")
         .groupBy("row")
         .agg(
             F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("rare_base"),
-            F.sum("times").alias("rare_known"),
-            F.sum(F.col("times") * memory.gain(F.col("c"), F.col("wide")) / float(np.log(10))).alias("rare_gain"),
+            F.sum(F.when(counted, F.col("times"))).alias("rare_known"),
+            F.sum(F.col("times") * F.col("value") / float(np.log(10))).alias("rare_inside"),
         )
     )
-    joined = scored.drop("rare", "times", "wide").join(met, "row", "left")
+    joined = scored.drop("rare", "times").join(met, "row", "left")
     return joined.select(
         "doc_id",
         "held_out",
@@ -398,5 +453,5 @@ def score_texts(
             + F.coalesce("rare_base", F.lit(0.0))
             - F.col("n_tokens") * F.log10(F.lit(float(total + distinct + 1)))
         ).alias("base_score"),
-        (F.col("score") + F.coalesce("rare_gain", F.lit(0.0))).alias("score"),
+        (F.col("score") + F.coalesce("rare_inside", F.lit(0.0))).alias("score"),
     )

@@ -366,7 +366,8 @@ def test_every_training_word_shapes_the_model(spark):
     classes = tuple(attention_lm.make_classes(np.zeros(attention_lm.VOCABULARY)) for _ in range(2))
     start = lm_scoring.Scorer(classes, 16, None, "byte_bpe_50k").params
     half = len(start) // 2
-    learnt = lm_scoring.train(rows, classes, "byte_bpe_50k", 2, 0.02, 16)
+    counts = spark.createDataFrame([(w, n) for w, n in ((b"a", 1), (b"few", 1), (b"words", 1), (b"", 1), (b"unseen", 0))], "word binary, c long")
+    learnt = lm_scoring.train(rows, counts, classes, "byte_bpe_50k", 2, 0.02, 16)
     assert (learnt[:half] != start[:half]).any() and (learnt[half:] != start[half:]).any()
 
 
@@ -388,6 +389,39 @@ def test_scores_match_brute_force_base(spark, awkward, empty):
     assert score_texts(empty).count() == 0
 
 
+def test_scores_match_a_text_by_text_computation(spark, awkward):
+    """The model's parameters are taken as they are; counts, insides, joins and batches are redone plainly."""
+    docs = read_table(spark, SMALL, "documents").select("doc_id", "text").unionByName(awkward.select("doc_id", "text")).coalesce(1)
+    seen = {}
+
+    def kept(*args, **more):
+        seen["params"], seen["classes"] = plain(*args, **more), args[2]
+        return seen["params"]
+
+    plain, lm_scoring.train = lm_scoring.train, kept
+    try:
+        got = {(r["doc_id"], r["n_tokens"]): r["score"] for r in score_texts(docs, frequent=50).collect()}
+    finally:
+        lm_scoring.train = plain
+    rows = [(r[0], lm_scoring.words_of(r[1])) for r in docs.collect()]
+    held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2
+    counts = Counter(w for d, words in rows if not held(d) for w in words)
+    scorer = lm_scoring.Scorer(seen["classes"], 16, seen["params"], "byte_bpe_50k")
+    vocabulary = sorted({w for _, words in rows for w in words})
+    heads, inside = scorer.insides(vocabulary)
+    firsts, kinds = np.zeros(attention_lm.VOCABULARY), np.zeros(attention_lm.VOCABULARY)
+    for w, head in zip(vocabulary, heads, strict=True):
+        firsts[head] += counts[w]
+        kinds[head] += counts[w] > 0
+    value = {
+        w: math.log((counts[w] + kinds[h] * math.exp(p)) / (firsts[h] + kinds[h])) if kinds[h] else p
+        for w, h, p in zip(vocabulary, heads.tolist(), inside.tolist(), strict=True)
+    }
+    for d, words in rows:
+        want = scorer.texts([*words, b""], [len(words) + 1])[0] + sum(value[w] for w in words)
+        assert abs(got[d, len(words) + 1] - want / math.log(10)) < 1e-3 * (1 + abs(want) / 1000), (d, len(words))
+
+
 def test_scores_do_not_depend_on_the_length_of_the_word_list(spark, awkward):
     docs = read_table(spark, SMALL, "documents").select("doc_id", "text").unionByName(awkward.select("doc_id", "text"))
     short, long = (
