@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.functions.text import WHOLE_WORD, keyword_forms
+from quillgraph.functions.text import WHOLE_WORD, keyword_forms, other_stats
 from quillgraph.operators.skew import hot_join
 from quillgraph.operators.substring import contains_pairs, matched_pairs
 
@@ -291,6 +291,23 @@ def stat_edges(cards: DataFrame, columns: dict[str, str]) -> DataFrame:
     return rows.where(F.col("value").isNotNull())
 
 
+def card_stat_edges(cards: DataFrame, stats: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """All stats of cards as (src, dst, value), the value null where a text only mentions the stat.
+
+    ``cards(src, other_stats, ability, <columns>)``, ``stats(dst)``: the stats that exist. Numeric
+    columns and parsed free text give values; a mention adds an edge only between pairs without one.
+    """
+    written_out = cards.select("src", F.explode(other_stats(F.col("other_stats"))).alias("s")).select(
+        "src", F.col("s.name").alias("dst"), F.col("s.value").cast("double").alias("value")
+    )
+    numbers = stat_edges(cards, columns).select("src", "dst", F.col("value").cast("double").alias("value"))
+    valued = numbers.unionByName(written_out).join(stats.select("dst").distinct(), "dst", "left_semi")
+    valued = valued.select("src", "dst", "value").distinct()
+    mentioned = mention_links(cards.select("src", F.col("ability").alias("text")), stats)
+    bare = mentioned.join(valued, ["src", "dst"], "left_anti").withColumn("value", F.lit(None).cast("double"))
+    return valued.unionByName(bare)
+
+
 def prefix_links(wanted: DataFrame, cards: DataFrame) -> DataFrame:
     """Wanted names matched to equal, `` Phase...`` or `` (...`` card names: (src, dst).
 

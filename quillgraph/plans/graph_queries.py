@@ -510,6 +510,36 @@ def unpivot_edges(spark: SparkSession, d: str) -> DataFrame:
     return G.stat_edges(cards, {"size": "Size", "price": "Price"})
 
 
+@query(
+    "card_stat_edges",
+    """WITH stats AS (SELECT 'Size' AS dst UNION SELECT 'Price' UNION SELECT p_type FROM part WHERE p_type <> 'PROMO'
+  UNION SELECT split_part(p_name, ' ', 1) FROM part),
+valued AS (SELECT DISTINCT src, dst, value FROM
+  (SELECT p_partkey AS src, 'Size' AS dst, p_size::DOUBLE AS value FROM part WHERE p_size > 3
+   UNION ALL SELECT p_partkey, 'Price', p_retailprice FROM part
+   UNION ALL SELECT p_partkey, unnest([p_type, 'Resist Snow']), unnest([p_size, 1]) FROM part)
+  WHERE dst IN (SELECT dst FROM stats)),
+said AS (SELECT DISTINCT p_partkey AS src, dst FROM part JOIN stats ON contains(lower(p_name), lower(dst)))
+SELECT src, dst, value FROM valued UNION ALL
+SELECT said.src, said.dst, NULL FROM said ANTI JOIN valued USING (src, dst)""",
+)
+def card_stat_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Stats of parts from columns, free text and mentions in their names."""
+    parts = table(spark, d, "part")
+    cards = parts.select(
+        F.col("p_partkey").alias("src"),
+        F.when(F.col("p_size") > 3, F.col("p_size").cast("double")).alias("size"),
+        F.col("p_retailprice").cast("double").alias("price"),
+        F.concat(F.lit("x"), F.col("p_size").cast("string"), F.lit(" "), "p_type", F.lit(" , Resist Snow")).alias("other_stats"),
+        F.col("p_name").alias("ability"),
+    )
+    named = parts.where("p_type <> 'PROMO'").select(F.col("p_type").alias("dst"))
+    first = parts.select(F.element_at(F.split("p_name", " "), 1).alias("dst"))
+    listed = parts.select(F.explode(F.array(F.lit("Size"), F.lit("Price"))).alias("dst"))
+    stats = named.unionByName(first).unionByName(listed).distinct()
+    return G.card_stat_edges(cards, stats, {"size": "Size", "price": "Price"})
+
+
 @query(
     "prefix_link",
     """WITH cards AS (SELECT DISTINCT p_name || CASE WHEN p_size < 10 THEN '' WHEN p_size < 20 THEN ' Phase ' || p_size

@@ -251,3 +251,13 @@ def test_numbers_within_groups_of_any_size(spark):
         want[g, k] = seen[g]
     assert got == want
     assert sorted(r["no"] for r in numbered(df, ["k"], "no").collect()) == list(range(1, 401))
+
+
+def test_stats_from_columns_text_and_mentions(spark):
+    cards = spark.createDataFrame(
+        [("a", 5, "2 Teeth, Ghost", "Gain TEETH and Snow"), ("b", None, None, "health and snow")],
+        "src string, health int, other_stats string, ability string",
+    )
+    stats = spark.createDataFrame([("Health",), ("Teeth",), ("Snow",)], "dst string")
+    got = G.card_stat_edges(cards, stats, {"health": "Health"})
+    assert pairs(got) == {("a", "Health", 5.0), ("a", "Teeth", 2.0), ("a", "Snow", None), ("b", "Health", None), ("b", "Snow", None)}
