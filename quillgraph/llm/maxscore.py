@@ -206,9 +206,10 @@ def top_documents(
     rows = stored(weights(vectors, id_col, vector_col, scale), "weights")
     n, n_asked = rows.count(), rows.where(asked).count()
     cores = spark.sparkContext.defaultParallelism
-    # As many blocks as the limit asks for; up to two for each core where they hold a few hundred rows.
-    blocks = max(-(-n_asked // query_rows), min(2 * cores, n_asked // 256), 1)
     groups = max(-(-n // document_rows), 1)
+    # As many blocks as the limit asks for, since documents are repeated for each; more of a few hundred
+    # rows only while blocks and groups together make fewer than two tasks for each core.
+    blocks = max(-(-n_asked // query_rows), min(-(-2 * cores // groups), n_asked // 256), 1)
     documents = rows.withColumn("group", _dealt(F.col("row"), groups))
     queries = rows.where(asked).withColumn("block", _dealt(F.col("row"), blocks)).select("block", "row", "terms")
 
