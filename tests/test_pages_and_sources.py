@@ -5,6 +5,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from quillgraph.functions import html as H
 from quillgraph.operators import generation as B
 from quillgraph.operators import pages as P
 from quillgraph.operators.vector_store import VectorStore
@@ -52,6 +53,15 @@ def test_chunks_follow_headings_and_bad_pages_are_listed(spark):
     assert [tuple(r) for r in P.page_errors(two, picky).collect()] == [(1, "ValueError: broken")]
 
 
+def test_only_closed_character_references_are_decoded(spark):
+    html = "<h1>a &amp;&amp</h1><p title='?a=1&copy=2'>x &lt; &#233;&#xe9; &nosuch; &notit; &amp;lt; AT&T</p>"
+    assert text_of(spark, html) == "# a &&amp\n\nx < éé &nosuch; &notit; &lt; AT&T"
+    chunk = P.chunk_by_header(page(spark, html)).first()
+    assert (chunk["h1"], chunk["text"]) == ("a &&amp", "x < éé &nosuch; &notit; &lt; AT&T")
+    hrefs = P.parse_pages(page(spark, html), lambda m: [{"t": H.parse(m).find("p")[0].attrs["title"]}], "t string")
+    assert hrefs.first()["t"] == "?a=1&copy=2"
+
+
 def test_deep_pages_are_kept(spark):
     deep = spark.createDataFrame(
         [(1, "<p>a" * 5000), (2, "<div><b>" * 3000 + "x")], "page_id int, html string"
