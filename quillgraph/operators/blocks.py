@@ -1,6 +1,7 @@
 """Posting blocks and ranked search over them inside Arrow tasks.
 
-A block holds the postings of up to :data:`BLOCK_DOCS` documents of one input split, by term, with
+A block holds the postings of up to :data:`BLOCK_DOCS` documents and :data:`BLOCK_TOKENS` tokens (a longer
+document has a block of its own) of one input split, by term, with
 the largest count and the smallest document length of each term: together they bound what the term
 can add to any score in the block, whatever the constants of the ranking. Its first entry, under
 :data:`HEADER`, holds the documents' ids and lengths; all others name documents by their place. A search adds up these
@@ -18,8 +19,10 @@ from pyspark.sql import types as T
 
 from quillgraph.operators.ranking import SCORE_DIGITS
 
-#: Documents of a block, and queries scored against it at once.
-BLOCK_DOCS, TILE_QUERIES = 512, 4096
+#: Documents and tokens of a block, and queries scored against it at once.
+BLOCK_DOCS, BLOCK_TOKENS, TILE_QUERIES = 512, 1 << 19, 4096
+#: Blocks of a row group. Spark decodes up to 4,096 rows of a row group at once, blocks by default.
+FILE_OPTIONS = {"parquet.block.row.count.limit": "4"}
 #: Stands in place of a term in the first entry of a block; no analyzer gives an empty token.
 HEADER = ""
 
@@ -52,8 +55,14 @@ def _lists(offsets: np.ndarray, values: pa.Array) -> pa.ListArray:
 def make_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks of rows ``doc_id, tokens``."""
     for batch in batches:
-        for start in range(0, batch.num_rows, BLOCK_DOCS):
-            yield _block(batch.slice(start, BLOCK_DOCS))
+        ends = np.cumsum(batch.column("tokens").value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)
+        start = 0
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0
+            fitting = int(np.searchsorted(ends, before + BLOCK_TOKENS, side="right"))
+            stop = min(max(fitting, start + 1), start + BLOCK_DOCS, batch.num_rows)
+            yield _block(batch.slice(start, stop - start))
+            start = stop
 
 
 def _block(rows: pa.RecordBatch) -> pa.RecordBatch:

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from quillgraph.functions.text import STOP_WORDS, index_tokens, tokenize
-from quillgraph.operators.blocks import HEADER, Asked, BlockSearch, block_schema, make_blocks, whole_blocks
+from quillgraph.operators.blocks import FILE_OPTIONS, HEADER, Asked, BlockSearch, block_schema, make_blocks, whole_blocks
 from quillgraph.operators.ranking import top_k
 from quillgraph.session import shared_path
 
@@ -63,7 +63,8 @@ class LexicalIndex:
 
     def save(self, path: str) -> None:
         for name in ("blocks", "terms", "corpus"):
-            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+            options = FILE_OPTIONS if name == "blocks" else {}
+            getattr(self, name).write.mode("overwrite").options(**options).parquet(f"{path}/{name}")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> LexicalIndex:
@@ -103,7 +104,8 @@ def build_index(
     spark = docs.sparkSession
     path = path or shared_path(spark, "index")
     tokens = docs.where("text is not null and doc_id is not null").select("doc_id", analyzer(F.col("text")).alias("tokens"))
-    tokens.mapInArrow(make_blocks, block_schema(docs.schema["doc_id"].dataType)).write.parquet(f"{path}/blocks")
+    made = tokens.mapInArrow(make_blocks, block_schema(docs.schema["doc_id"].dataType))
+    made.write.options(**FILE_OPTIONS).parquet(f"{path}/blocks")
     blocks = spark.read.parquet(f"{path}/blocks")
     entries = blocks.select(F.inline("postings")).where(F.col("term") != HEADER)
     entries.groupBy("term").agg(F.sum(F.size("places")).alias("df")).write.parquet(f"{path}/terms")

@@ -1,11 +1,13 @@
 from __future__ import annotations
 
+import glob
 import math
 import random
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -382,3 +384,18 @@ def test_enrichment_does_not_multiply_rows(spark):
     stats = enrichment.enrich_hits(hits, edges, enrichment.PRESETS["with_stats"]).where("doc_id = 1").first()
     assert [tuple(s) for s in stats["stats"]] == [("s", "3")]
     assert enrichment.enrich_hits(hits, edges, enrichment.PRESETS["card_only"]).count() == 2
+
+
+def test_index_files_and_blocks_are_bounded(spark, scratch):
+    docs = spark.range(0, 20 * blocks.BLOCK_DOCS, 1, 1).selectExpr("id as doc_id", "concat('word ', id % 7) as text")
+    lexical.build_index(docs, path=f"{scratch}/index")
+    (file,) = glob.glob(f"{scratch}/index/blocks/*.parquet")
+    held = pq.ParquetFile(file).metadata
+    assert held.num_rows >= 20
+    assert max(held.row_group(i).num_rows for i in range(held.num_row_groups)) <= 4
+
+    sizes = [blocks.BLOCK_TOKENS // 2, blocks.BLOCK_TOKENS // 2, 1, blocks.BLOCK_TOKENS + 5, 0, 3]
+    tokens = pa.ListArray.from_arrays(pa.array([0, *np.cumsum(sizes)], pa.int32()), pa.array(["w"] * sum(sizes)))
+    rows = pa.RecordBatch.from_arrays([pa.array(range(len(sizes))), tokens], names=["doc_id", "tokens"])
+    made = [(b["n_docs"][0].as_py(), b["total_len"][0].as_py()) for b in blocks.make_blocks(iter([rows]))]
+    assert made == [(2, blocks.BLOCK_TOKENS), (1, 1), (1, blocks.BLOCK_TOKENS + 5), (2, 3)]
