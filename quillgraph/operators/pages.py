@@ -160,17 +160,24 @@ def extract_rows(
     css_class: str | None = None,
     key: str = "page_id",
     cell_fields: Sequence[str] = ("is_header", "text", "tight"),
+    fields: Sequence[str] = _ROW,
 ) -> DataFrame:
     """One record per table row, its cells side by side in ``cells``, as the page function meets them.
 
-    Row operators select from the record, so nothing is shuffled after the pages are read.
+    ``fields`` and ``cell_fields`` limit what leaves the Python task. Row operators select from the record, so nothing is shuffled after the pages are read.
     """
     columns = {f.name: f.dataType.simpleString() for f in T.StructType.fromDDL(_CELLS).fields}
     cell = ",".join(f"{name}:{columns[name]}" for name in cell_fields)
-    kept = ", ".join(f"{name} {columns[name]}" for name in _ROW)
+    kept = ", ".join(f"{name} {columns[name]}" for name in _ROW if name in fields)
     return parse_pages(pages, lambda m: H.table_rows(H.parse(m), css_class), f"{kept}, cells array<struct<{cell}>>", key)
 
 
+def extract_links(pages: DataFrame, css_class: str | None = None, key: str = "page_id") -> DataFrame:
+    """One row per link of a cell, as :func:`cell_links` of the cells gives."""
+    columns = f"table_no int, row_no int, col_no int, data_no int, link_no int, link {_LINKS[6:-1]}"
+    return parse_pages(pages, lambda m: H.link_rows(H.parse(m), css_class), columns, key)
+
+
 def data_cells() -> Column:
     """The data cells of a row record, in order."""
     return F.filter("cells", lambda c: ~c["is_header"])
@@ -323,6 +330,27 @@ def name_slugs(cells: DataFrame, key: str = "page_id") -> DataFrame:
     )
 
 
+def page_slugs(pages: DataFrame, css_class: str | None = None, key: str = "page_id") -> DataFrame:
+    """:func:`name_slugs` of a page's tables, chosen where the page is read."""
+    return parse_pages(pages, lambda m: H.slug_pairs(H.parse(m), css_class), "name string, slug string", key)
+
+
+def page_linked_names(
+    pages: DataFrame, css_class: str | None = None, data_no: int = 1, key: str = "page_id"
+) -> DataFrame:
+    """:func:`distinct_linked_names` of a page's tables, chosen where the page is read."""
+    return parse_pages(pages, lambda m: H.linked_names(H.parse(m), css_class, data_no), "name string, place int", key)
+
+
+def page_sections(pages: DataFrame, level: str, names: DataFrame | None = None, key: str = "page_id") -> DataFrame:
+    """:func:`sections` of a page's blocks, made where the page is read."""
+    found = parse_pages(pages, lambda m: H.section_rows(H.parse(m), level), "place int, text string, description string", key)
+    name = F.col("text")
+    if names is not None:
+        found, name = hot_join(found, names, ["text"], key, "left"), F.coalesce("name", "text")
+    return found.select(key, "place", name.alias("name"), F.coalesce("description", F.lit("")).alias("description"))
+
+
 def sections(
     blocks: DataFrame, level: str, names: DataFrame | None = None, key: str = "page_id"
 ) -> DataFrame:

@@ -224,3 +224,34 @@ def test_result_row_shapes(spark):
     row = to_result_rows(with_context(raw, "hybrid_rrf", "text")).first()
     assert row["source_url"] == "https://w/B" and row["retrieved_text"] == "t"
     assert row["fields"] == {"text": "t", "extra": "x"} and row["search_type"] == "hybrid_rrf"
+
+
+def test_choices_made_where_the_page_is_read_equal_those_over_cells(spark):
+    html = (
+        "<h3 id='h'>One</h3><div>x</div><p>a</p><p>b</p><h2>Two</h2><h3>Three</h3><h4>sub</h4><p>c</p>"
+        "<table class='t'><tr><th><a href='/h'>Head</a></th><td><a href='/x'>x</a></td></tr>"
+        "<tr><td>1</td><td><a href='//p' title='T'>P</a><a href='/q' class='new'>Q</a></td></tr>"
+        "<tr><td><a href='/zero'>Z</a></td><td><a href='/q'>Q</a><a href='/p2'>P</a><a>no</a></td></tr>"
+        "<tr><td><img src='i'></td><td><a href='/i'>I</a></td></tr></table>"
+        "<table class='t'><tr><td>k</td><td><a href='/p3'>P</a></td></tr><tr><th>k</th><td>1</td><td><a href='/r'>R</a></td></tr></table>"
+    )
+    pages = spark.createDataFrame([(1, html), (2, "<p>none</p>"), (3, html)], "page_id int, html string")
+    cells = P.extract_cells(pages, "t")
+
+    def same(mine, theirs):
+        columns = theirs.columns
+        assert theirs.count() > 0 and mine.columns == columns
+        assert sorted(map(tuple, mine.collect()), key=repr) == sorted(map(tuple, theirs.collect()), key=repr)
+
+    same(P.page_slugs(pages, "t"), P.name_slugs(cells))
+    same(P.page_linked_names(pages, "t"), P.distinct_linked_names(cells))
+    links = P.extract_links(pages, "t")
+    same(links, P.cell_links(cells).select(*links.columns))
+    names = spark.createDataFrame([("One", "First")], "text string, name string")
+    for given in (None, names):
+        same(P.page_sections(pages, "h3", given), P.sections(P.page_blocks(pages), "h3", given))
+
+
+def test_row_records_carry_the_named_fields_only(spark):
+    records = P.extract_rows(page(spark, "<table><tr><td>a</td></tr></table>"), cell_fields=["tight"], fields=["row_no"])
+    assert [tuple(r) for r in records.collect()] == [(1, 0, [("a",)])]
