@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,16 +47,15 @@ class Matcher:
 
 
 def _portions(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
-    """Runs of texts of bounded size, with the row they begin at."""
-    texts = column.cast(pa.binary()).to_pylist()
-    start = size = 0
-    for at, text in enumerate(texts):
-        if at > start and size + len(text) > TEXT_BYTES:
-            yield start, texts[start:at]
-            start, size = at, 0
-        size += len(text)
-    if texts:
-        yield start, texts[start:]
+    """Runs of texts of bounded size, with the row they begin at; only one run is held as texts."""
+    raw = column.cast(pa.binary())
+    ends = np.cumsum(pc.binary_length(raw).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < len(raw):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + TEXT_BYTES, side="right")))
+        yield start, raw.slice(start, stop - start).to_pylist()
+        start = stop
 
 
 def matched_pairs(texts: DataFrame, needles: DataFrame) -> DataFrame:

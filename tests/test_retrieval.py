@@ -399,3 +399,22 @@ def test_index_files_and_blocks_are_bounded(spark, scratch):
     rows = pa.RecordBatch.from_arrays([pa.array(range(len(sizes))), tokens], names=["doc_id", "tokens"])
     made = [(b["n_docs"][0].as_py(), b["total_len"][0].as_py()) for b in blocks.make_blocks(iter([rows]))]
     assert made == [(2, blocks.BLOCK_TOKENS), (1, 1), (1, blocks.BLOCK_TOKENS + 5), (2, 3)]
+
+
+def test_matching_holds_little_more_than_its_texts():
+    import tracemalloc
+
+    needles = [b"needle one", "läng".encode(), b"abc"]
+    texts = [b"x" * (1 << 20) + b"needle one", "ein längs".encode() + b"y" * (1 << 20), b"", b"ab" * (1 << 20)]
+    matcher = substring.Matcher(needles, [False] * 3)
+    tracemalloc.start()
+    found = {tuple(map(int, pair)) for pair in zip(*matcher.pairs(texts))}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == {(0, 0), (1, 1)}
+    assert peak < 6 * sum(map(len, texts))
+
+    column = pa.array(["é" * n for n in (substring.TEXT_BYTES, 1, 0, substring.TEXT_BYTES // 2, 3)])
+    runs = [(start, len(run)) for start, run in substring._portions(column)]
+    assert runs == [(0, 1), (1, 2), (3, 1), (4, 1)]
+    assert not list(substring._portions(column.slice(0, 0)))
