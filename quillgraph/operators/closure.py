@@ -77,47 +77,54 @@ def terminals(edges: DataFrame) -> DataFrame:
     takes log2(n) rounds. Pairs that reached a terminal are written once and stay; only open
     pairs go on.
     """
-    return _ends(written(edges.select("src", "dst").distinct(), "chain")).distinct()
+    ends, _ = _ends(written(edges.select("src", "dst").distinct(), "chain"))
+    return ends.distinct()
 
 
-def _ends(edges: DataFrame) -> DataFrame:
-    """(node, terminal) of a written chain; a pair reached by ways of different length repeats."""
-    inner = edges.select(F.col("src").alias("dst"), F.lit(True).alias("inner")).distinct()
+def _ends(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, terminal) of a written chain, and the nodes left that only go round.
+
+    A pair reached by ways of different length repeats. Every node with an edge out of it is in
+    one of the two tables at least.
+    """
+    inner = edges.select(F.col("src").alias("dst")).distinct().withColumn("inner", F.lit(True))
     marked = written(
         edges.join(inner, "dst", "left").select("src", "dst", F.coalesce("inner", F.lit(False)).alias("open")), "chain"
     )
-    closed = Rounds(marked.where("not open").select("src", "dst"), "terminals")
+    # Each round's pairs are written once; the closed ones are read from there.
+    closed = marked.where("not open").select("src", "dst")
     open_ = marked.where("open").select("src", "dst")
-    left, covered = open_.select("src").distinct().count(), 1
-    # A walk without a terminal after as many steps as there are open nodes goes round for ever.
+    left, covered = open_.count(), 1
+    # A walk without a terminal after as many steps as there are open pairs goes round for ever.
     while left and covered <= left:
-        ended = closed.all().withColumn("open", F.lit(False))
+        ended = closed.withColumn("open", F.lit(False))
         onward = ended.unionByName(open_.withColumn("open", F.lit(True))).select(
             F.col("src").alias("dst"), F.col("dst").alias("end"), "open"
         )
         moved = written(open_.join(onward, "dst").select("src", F.col("end").alias("dst"), "open").distinct(), "moved")
-        closed.append(moved.where("not open").select("src", "dst"))
+        closed = closed.unionByName(moved.where("not open").select("src", "dst"))
         open_ = moved.where("open").select("src", "dst")
         covered *= 2
         if open_.isEmpty():
             break
-    return closed.all().select(F.col("src").alias("node"), F.col("dst").alias("terminal"))
+    return closed.select(F.col("src").alias("node"), F.col("dst").alias("terminal")), open_.select(F.col("src").alias("node"))
 
 
 def propagate_to_terminals(values: DataFrame, chain: DataFrame) -> DataFrame:
     """Move a value from non-terminal nodes to every terminal they reach.
 
-    ``values(node, value)``; a terminal that has its own value is overwritten by a moved one
-    (the largest when several arrive), non-terminals lose theirs.
+    ``values(node, value)``, one row a node; a terminal that has its own value is overwritten by a
+    moved one (the largest when several arrive), non-terminals lose theirs.
     """
-    chain = written(chain.select("src", "dst").distinct(), "chain")
-    ends = _ends(chain)
-    moved = (
-        values.join(ends, "node")
-        .groupBy(F.col("terminal").alias("node"))
-        .agg(F.max("value").alias("value"))
+    ends, round_ = _ends(written(chain.select("src", "dst").distinct(), "chain"))
+    # A node that only goes round has no terminal: its value goes nowhere.
+    to = ends.unionByName(round_.select("node", F.lit(None).cast(ends.schema["terminal"].dataType).alias("terminal")))
+    to = to.withColumn("inner", F.lit(True))
+    sent = values.join(to, "node", "left").select(
+        F.when(F.col("inner"), F.col("terminal")).otherwise(F.col("node")).alias("node"),
+        F.coalesce("inner", F.lit(False)).alias("moved"),
+        "value",
     )
-    # Every node that is not terminal has an edge out of it.
-    inner = chain.select(F.col("src").alias("node")).distinct()
-    kept = values.join(inner, "node", "left_anti").join(moved, "node", "left_anti")
-    return kept.select("node", "value").unionByName(moved)
+    # A moved value goes before an own one, whatever they are.
+    best = F.when(F.max("moved"), F.max(F.when(F.col("moved"), F.col("value")))).otherwise(F.max("value"))
+    return sent.where("node is not null").groupBy("node").agg(best.alias("value"))
