@@ -200,7 +200,9 @@ def link_setting(existing: DataFrame, edges: DataFrame) -> DataFrame:
     stored = existing.select(*END_POINTS, "props", F.lit(-1).cast("long").alias("seq"))
     given = edges.select(*END_POINTS, "props", F.col("seq").cast("long").alias("seq"))
     entries = stored.unionByName(given).select(*END_POINTS, "seq", F.explode_outer("props").alias("name", "value"))
-    latest = entries.groupBy(*END_POINTS, "name").agg(F.max_by("value", F.struct("seq", "value")).alias("value"))
+    # The struct holds the value once; a task sorts rows of this width.
+    last = F.max(F.struct("seq", "value"))["value"]
+    latest = entries.groupBy(*END_POINTS, "name").agg(last.alias("value"))
     # One entry per property name; an edge without any has a null name alone.
     pairs = F.filter(F.collect_list(F.struct("name", "value")), lambda e: e["name"].isNotNull())
     return latest.groupBy(*END_POINTS).agg(F.map_from_entries(pairs).alias("props"))

@@ -42,6 +42,18 @@ def test_propagation_moves_values(spark):
     assert pairs(closure.propagate_to_terminals(values, chain)) == {("c", 5), ("z", 1)}
 
 
+def test_propagation_over_cycles_branches_and_empty_values_moves_each_value_once(spark, scratch):
+    rows = [("a", "b"), ("b", "c"), ("a", "d"), ("p", "q"), ("q", "p"), ("x", "y")]
+    chain = spark.createDataFrame(rows, "src string, dst string")
+    values = [("a", 5), ("b", 7), ("c", 9), ("p", 4), ("x", None), ("y", 3), ("z", 1)]
+    got = closure.propagate_to_terminals(spark.createDataFrame(values, "node string, value int"), chain)
+    assert pairs(got) == {("c", 7), ("d", 5), ("y", None), ("z", 1)}
+    # One exchange each of the values, their ends and what is sent; the chain is not read again.
+    got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange hashpartitioning") <= 3
+
+
 def test_property_merge_and_idempotence(spark):
     kind = "card_name string, phase int, seq long, props map<string,string>"
     old = spark.createDataFrame([("a", None, 0, {"x": "1", "y": "1"})], kind)
@@ -261,3 +273,14 @@ def test_stats_from_columns_text_and_mentions(spark):
     stats = spark.createDataFrame([("Health",), ("Teeth",), ("Snow",)], "dst string")
     got = G.card_stat_edges(cards, stats, {"health": "Health"})
     assert pairs(got) == {("a", "Health", 5.0), ("a", "Teeth", 2.0), ("a", "Snow", None), ("b", "Health", None), ("b", "Snow", None)}
+
+
+def test_bought_lines_are_dealt_before_edges_are_grouped(spark):
+    from quillgraph.plans.graph_queries import edge_set_property
+
+    made = edge_set_property(spark, "/root/testdata/sf0.001")
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    # No grouping sorts a whole file split: every one reads an exchange, of lines or of edges.
+    assert plan.count("REPARTITION_BY_NUM") == 2
+    # A value that sets a property is held once per row.
+    assert "max_by" not in plan
