@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from itertools import accumulate, chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -33,6 +34,21 @@ _ROW = (
 _BLOCKS = "seq int, kind string, heading_id string, text string"
 
 
+#: Pages whose rows a task holds before they leave as a batch.
+PAGES_HELD = 512
+
+
+def _array(values: list, kind: pa.DataType) -> pa.Array:
+    """Arrow values; lists of records field by field, which is several times cheaper than record by record."""
+    if pa.types.is_list(kind) and pa.types.is_struct(kind.value_type) and all(v.__class__ is list for v in values):
+        flat = [*chain.from_iterable(values)]
+        ends = pa.array([0, *accumulate(map(len, values))], pa.int32())
+        return pa.ListArray.from_arrays(ends, _array(flat, kind.value_type), type=kind)
+    if pa.types.is_struct(kind) and all(v.__class__ is dict for v in values):
+        return pa.StructArray.from_arrays([_array([v.get(f.name) for v in values], f.type) for f in kind], fields=list(kind))
+    return pa.array(values, type=kind)
+
+
 def parse_pages(
     pages: DataFrame, fn: Callable[[str], Iterable[dict]], columns: str, key: str = "page_id"
 ) -> DataFrame:
@@ -47,7 +63,8 @@ def parse_pages(
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         log = logging.getLogger(__name__)
-        for batch in batches:
+        # Rows of few pages are held as Python objects at once.
+        for batch in (b.slice(at, PAGES_HELD) for b in batches for at in range(0, b.num_rows, PAGES_HELD)):
             keys: list = []
             found: list[dict] = []
             for page, markup in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -59,7 +76,7 @@ def parse_pages(
                 found += made
                 keys += [page] * len(made)
             columns = [keys, *([row.get(n) for row in found] for n in names)]
-            arrays = [pa.array(c, type=t) for c, t in zip(columns, arrow.types, strict=True)]
+            arrays = [_array(c, t) for c, t in zip(columns, arrow.types, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
     return pages.where(F.col("html").isNotNull()).select(key, "html").mapInArrow(rows, schema)
@@ -169,7 +186,8 @@ def extract_rows(
     columns = {f.name: f.dataType.simpleString() for f in T.StructType.fromDDL(_CELLS).fields}
     cell = ",".join(f"{name}:{columns[name]}" for name in cell_fields)
     kept = ", ".join(f"{name} {columns[name]}" for name in _ROW if name in fields)
-    return parse_pages(pages, lambda m: H.table_rows(H.parse(m), css_class), f"{kept}, cells array<struct<{cell}>>", key)
+    read = H.cell_reader([*cell_fields, *("text" for _ in {"row_head"} & {*fields}), *("image" for _ in {"row_image"} & {*fields})])
+    return parse_pages(pages, lambda m: H.table_rows(H.parse(m), css_class, read), f"{kept}, cells array<struct<{cell}>>", key)
 
 
 def extract_links(pages: DataFrame, css_class: str | None = None, key: str = "page_id") -> DataFrame:

@@ -255,3 +255,35 @@ def test_choices_made_where_the_page_is_read_equal_those_over_cells(spark):
 def test_row_records_carry_the_named_fields_only(spark):
     records = P.extract_rows(page(spark, "<table><tr><td>a</td></tr></table>"), cell_fields=["tight"], fields=["row_no"])
     assert [tuple(r) for r in records.collect()] == [(1, 0, [("a",)])]
+
+
+def test_lean_cell_readers_and_small_batches_give_the_rows_of_the_full_reader(spark):
+    import pyarrow as pa
+
+    from types import SimpleNamespace
+
+    from pyspark.sql import types as T
+
+    markup = (
+        '<table class="w"><tr><th>A <i>b</i></th><th>C</th></tr><tr><td><a href="/x" class="new old">X <b>y</b></a> z<script>s<a>q</a></script></td>'
+        '<td> one  two </td></tr><tr><td><img src="i"></td><td><p><a title="t">T</a></p>rest</td></tr></table>'
+    )
+    root = H.parse(markup)
+    for fields in (["is_header"], ["is_header", "tight"], ["text", "header"], ["is_header", "tight", "links"], ["image", "links"]):
+        lean = [*H.table_rows(root, "w", H.cell_reader(fields))]
+        full = [*H.table_rows(root, "w")]
+        for a, b in zip(lean, full, strict=True):
+            assert a["row_no"] == b["row_no"] and a["n_data"] == b["n_data"]
+            assert [[c[f] for f in fields] for c in a["cells"]] == [[c[f] for f in fields] for c in b["cells"]]
+    assert H.cell_reader(["is_header", "tight"]) is not H.cell_reader(["image"])
+
+    seen = []
+    frame = SimpleNamespace(schema=T.StructType([T.StructField("page_id", T.LongType())]))
+    frame.where = frame.select = lambda *_: frame
+    frame.mapInArrow = lambda rows, schema: seen.append(rows)
+    P.parse_pages(frame, lambda m: H.table_rows(H.parse(m), "w"), "row_no int, cells array<struct<is_header:boolean,tight:string,links:array<struct<href:string,classes:array<string>>>>>")
+    n = P.PAGES_HELD * 2 + 1
+    made = [*seen[0](iter([pa.RecordBatch.from_pydict({"page_id": list(range(n)), "html": [markup] * n})]))]
+    # A batch of many pages leaves in parts, and nothing is lost between them.
+    assert [b.num_rows for b in made] == [P.PAGES_HELD * 3, P.PAGES_HELD * 3, 3]
+    assert made[2].to_pylist()[1]["cells"][0] == {"is_header": False, "tight": "Xyz", "links": [{"href": "/x", "classes": ["new", "old"]}]}
