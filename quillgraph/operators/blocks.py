@@ -21,6 +21,8 @@ from quillgraph.operators.ranking import SCORE_DIGITS
 
 #: Documents and tokens of a block, and queries scored against it at once.
 BLOCK_DOCS, BLOCK_TOKENS, TILE_QUERIES = 512, 1 << 19, 4096
+#: Bytes of ids and tokens that a task sends to Python at once, besides the last of the documents.
+BATCH_BYTES = 8 << 20
 #: Blocks of a row group. Spark decodes up to 4,096 rows of a row group at once, blocks by default.
 FILE_OPTIONS = {"parquet.block.row.count.limit": "4"}
 #: Stands in place of a term in the first entry of a block; no analyzer gives an empty token.

@@ -23,9 +23,11 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from quillgraph.functions.text import STOP_WORDS, index_tokens, tokenize
-from quillgraph.operators.blocks import FILE_OPTIONS, HEADER, Asked, BlockSearch, block_schema, make_blocks, whole_blocks
+from quillgraph.operators.blocks import (
+    BATCH_BYTES, BLOCK_DOCS, FILE_OPTIONS, HEADER, Asked, BlockSearch, block_schema, make_blocks, whole_blocks
+)
 from quillgraph.operators.ranking import top_k
-from quillgraph.session import shared_path
+from quillgraph.session import batches_of, shared_path
 
 # BM25 constants of the two rankings.
 OKAPI_K1, OKAPI_B, OKAPI_FLOOR = 1.5, 0.75, 0.25
@@ -105,7 +107,8 @@ def build_index(
     path = path or shared_path(spark, "index")
     tokens = docs.where("text is not null and doc_id is not null").select("doc_id", analyzer(F.col("text")).alias("tokens"))
     made = tokens.mapInArrow(make_blocks, block_schema(docs.schema["doc_id"].dataType))
-    made.write.options(**FILE_OPTIONS).parquet(f"{path}/blocks")
+    with batches_of(spark, BLOCK_DOCS, BATCH_BYTES):
+        made.write.options(**FILE_OPTIONS).parquet(f"{path}/blocks")
     blocks = spark.read.parquet(f"{path}/blocks")
     entries = blocks.select(F.inline("postings")).where(F.col("term") != HEADER)
     entries.groupBy("term").agg(F.sum(F.size("places")).alias("df")).write.parquet(f"{path}/terms")

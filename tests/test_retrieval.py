@@ -401,6 +401,28 @@ def test_index_files_and_blocks_are_bounded(spark, scratch):
     assert made == [(2, blocks.BLOCK_TOKENS), (1, 1), (1, blocks.BLOCK_TOKENS + 5), (2, 3)]
 
 
+def test_a_task_sends_few_documents_to_the_index_at_once(spark, scratch, monkeypatch):
+    limit, bound = blocks.BLOCK_DOCS, 2 * blocks.BATCH_BYTES
+
+    def watched(batches):
+        def small():
+            for batch in batches:
+                assert batch.num_rows <= limit and batch.nbytes <= bound, (batch.num_rows, batch.nbytes)
+                yield batch
+
+        yield from blocks.make_blocks(small())
+
+    monkeypatch.setattr(lexical, "make_blocks", watched)
+    names = [f"spark.sql.execution.arrow.{limit}PerBatch" for limit in ("maxRecords", "maxBytes")]
+    before = [spark.conf.get(name, None) for name in names]
+    short = spark.range(0, 5 * limit, 1, 1).selectExpr("id as doc_id", "'one word' as text")
+    long = spark.range(0, 200, 1, 1).selectExpr("id as doc_id", "repeat('some words ', 10000) as text")
+    for name, docs in (("short", short), ("long", long)):
+        index = lexical.build_index(docs, path=f"{scratch}/{name}")
+        assert index.corpus.first()["n_docs"] == docs.count()
+    assert [spark.conf.get(name, None) for name in names] == before
+
+
 def test_matching_holds_little_more_than_its_texts():
     import tracemalloc
 
