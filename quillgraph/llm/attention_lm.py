@@ -19,6 +19,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
+#: Words encoded at once.
+RUN = 1024
 BLOCK = 8
 END = 50256
 VOCABULARY = END + 1
@@ -32,31 +34,27 @@ def split_words(tokens, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.
     """
     parts, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
 
-    def encode(texts: list[str]) -> None:
-        ids = tokens.ids("".join(texts)).astype(np.int64)
-        first = np.flatnonzero(tokens.spaced[ids]) if len(texts) > 1 else np.zeros(1, np.int64)
-        if len(first) == len(texts):
+    def encode(text: str, count: int) -> bool:
+        """Take the ids of ``count`` words, unless they can't be told apart."""
+        ids = tokens.ids(text).astype(np.int64)
+        first = np.flatnonzero(tokens.spaced[ids]) if count > 1 else np.zeros(1, np.int64)
+        if len(first) == count:
             parts.append(ids)
             sizes.append(np.diff(first, append=len(ids)))
-        else:
-            for text in texts:
-                encode([text])
-
-    run: list[str] = []
-    for word in words:
-        text = word.decode("utf-8", "replace")
-        if text.isprintable() and "<|" not in text and len(text) < 256:
-            run.append(" " + text)
-            if len(run) < 4096:
-                continue
-            text = None
-        if run:
-            encode(run)
-            run = []
-        if text is not None:
-            encode([" " + text])
-    if run:
-        encode(run)
+        return len(first) == count
+
+    def together(words: list[bytes]) -> None:
+        """Halves of words until each is encoded, with its neighbours or alone."""
+        lengths = [*map(len, words)]
+        text = b" ".join(words).decode("utf-8", "replace")
+        plain = min(lengths) > 0 and max(lengths) < 256 and text.isprintable() and "<|" not in text
+        if (plain or len(words) == 1) and encode(" " + text, len(words)):
+            return
+        together(words[: len(words) // 2])
+        together(words[len(words) // 2 :])
+
+    for k in range(0, len(words), RUN):
+        together(words[k : k + RUN])
     ids, size = np.concatenate(parts), np.concatenate(sizes)
     ends = np.cumsum(size)
     inner = np.append(ids[1:], END)
@@ -129,6 +127,21 @@ class Attention:
         later = np.arange(2 * BLOCK)[None, :] > np.arange(BLOCK)[:, None] + BLOCK
         self.distance = np.clip(np.arange(BLOCK)[:, None] + BLOCK - np.arange(2 * BLOCK)[None, :], 0, None)
         self.later = np.where(later, np.float32(-1e9), np.float32(0))
+        self._rooms: dict[str, np.ndarray] = {}
+
+    def _room(self, name: str, kind: np.dtype, *shape: int) -> np.ndarray:
+        """An array to write to, in memory used again by the next call of the same name: fresh pages cost more than the sums."""
+        size, held = int(np.prod(shape)), self._rooms.get(name)
+        if held is None or held.size < size or held.dtype != kind:
+            held = self._rooms[name] = np.empty(size, kind)
+        return held[:size].reshape(shape)
+
+    def _taken(self, name: str, table: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Rows of a table; ``at`` lies within it."""
+        return table.take(at, 0, out=self._room(name, table.dtype, *at.shape, table.shape[1]), mode="clip")
+
+    def _product(self, name: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.matmul(a, b, out=self._room(name, a.dtype, *a.shape[:-1], b.shape[-1]))
 
     def _views(self, flat: np.ndarray) -> dict[str, np.ndarray]:
         out, at = {}, 0
@@ -164,16 +177,17 @@ class Attention:
         return np.hstack([before, inputs]), targets.reshape(-1, BLOCK), mask.reshape(-1, BLOCK)
 
     def forward(self, keys: np.ndarray) -> tuple:
+        """Queries, keys, values, attention and outputs, to be used before the next call."""
         p, inputs = self.p, keys[:, BLOCK:]
-        q, k, v = p["query"].take(inputs, 0), p["key"].take(keys, 0), p["value"].take(keys, 0)
-        s = np.matmul(q, k.transpose(0, 2, 1))
+        q, k, v = self._taken("q", p["query"], inputs), self._taken("k", p["key"], keys), self._taken("v", p["value"], keys)
+        s = self._product("s", q, k.transpose(0, 2, 1))
         s *= s.dtype.type(self.width**-0.5)
         s += p["near"][self.distance] + self.later
         s += self.padding.take(keys)[:, None, :]
         np.exp(np.minimum(s, 60, out=s), out=s)
         s /= s.sum(axis=2, keepdims=True) + np.float32(1e-30)
-        h = np.matmul(s, v)
-        h += p["direct"].take(inputs, 0)
+        h = self._product("h", s, v)
+        h += self._taken("direct", p["direct"], inputs)
         np.tanh(h, out=h)
         return q, k, v, s, h
 
@@ -184,27 +198,32 @@ class Attention:
         ends = np.cumsum(np.bincount(group, minlength=self.groups))
         return [(g, order[a:b]) for g, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)) if b > a]
 
-    @staticmethod
-    def _log_softmax(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Log probability of one column per row; ``z`` becomes the probabilities."""
-        rows = np.arange(len(z))
-        z -= z.max(axis=1, keepdims=True)
-        chosen = z[rows, at]
-        np.exp(z, out=z)
-        total = z.sum(axis=1)
-        z /= total[:, None]
-        return chosen - np.log(total)
+    def _exp(self, h: np.ndarray, weights: np.ndarray, bias: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Exponentials of the sums of a layer, the sum at one column per row, and what a row adds up to.
 
-    @staticmethod
-    def _log_chosen(h: np.ndarray, weights: np.ndarray, bias: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Log probability of one column per row. ``h`` lies between -1 and 1, which bounds the sums."""
-        z = h @ weights
+        ``h`` lies between -1 and 1, which bounds the sums.
+        """
+        z = self._product("z", h, weights)
         z += bias
         if np.abs(weights).sum(axis=0).max() + bias.max() > 80:
             z -= z.max(axis=1, keepdims=True)
         chosen = z[np.arange(len(z)), at]
         np.exp(z, out=z)
-        return chosen - np.log(z @ np.ones(z.shape[1], z.dtype))
+        return z, chosen, z @ np.ones(z.shape[1], z.dtype)
+
+    def _log_chosen(self, h: np.ndarray, weights: np.ndarray, bias: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Log probability of one column per row."""
+        _, chosen, total = self._exp(h, weights, bias, at)
+        return chosen - np.log(total)
+
+    def _slope(
+        self, h: np.ndarray, weights: np.ndarray, bias: np.ndarray, at: np.ndarray, weight: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """Log probability of one column per row, and the slope of the weighted loss by the sums."""
+        z, chosen, total = self._exp(h, weights, bias, at)
+        z *= (weight / total)[:, None]
+        z[np.arange(len(z)), at] -= weight
+        return chosen - np.log(total), z
 
     def log_probability(self, keys: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural log probability of every target class, in blocks."""
@@ -212,10 +231,10 @@ class Attention:
         h = self.forward(keys)[-1].reshape(-1, self.width)
         out = self._log_chosen(h, p["out"], p["bias"], flat // self.GROUP)
         for g, rows in self._by_group(flat):
-            out[rows] += self._log_chosen(h[rows], p["member"][g], p["place"][g], flat[rows] % self.GROUP)
+            out[rows] += self._log_chosen(self._taken("mine", h, rows), p["member"][g], p["place"][g], flat[rows] % self.GROUP)
         return out.reshape(targets.shape)
 
-    def scored(self, keys: np.ndarray, targets: np.ndarray, mask: np.ndarray, step: int = 1024) -> np.ndarray:
+    def scored(self, keys: np.ndarray, targets: np.ndarray, mask: np.ndarray, step: int = 2048) -> np.ndarray:
         """Log probabilities of the real targets, in order."""
         parts = [self.log_probability(keys[k : k + step], targets[k : k + step]) for k in range(0, len(keys), step)]
         return np.concatenate(parts)[mask].astype(float) if parts else np.zeros(0)
@@ -226,37 +245,38 @@ class Attention:
         p, inputs, rows = self.p, keys[:, BLOCK:], self.classes + 2
         h, flat, real = heads.reshape(-1, self.width), targets.ravel(), weight.ravel()
         n, scale = max(float(real.sum()), 1.0), heads.dtype.type(self.width**-0.5)
-        weight = (real / n).astype(heads.dtype)[:, None]
+        weight = (real / n).astype(heads.dtype)
         grad = np.zeros_like(self.params)
         g = self._views(grad)
-        z = h @ p["out"] + p["bias"]
-        logs = self._log_softmax(z, flat // self.GROUP)
-        z[np.arange(len(z)), flat // self.GROUP] -= 1
-        z *= weight
+        logs, z = self._slope(h, p["out"], p["bias"], flat // self.GROUP, weight)
         g["out"][:], g["bias"][:] = h.T @ z, z.sum(axis=0)
         d = z @ p["out"].T
         for group, at in self._by_group(flat):
-            z = h[at] @ p["member"][group] + p["place"][group]
-            logs[at] += self._log_softmax(z, flat[at] % self.GROUP)
-            z[np.arange(len(z)), flat[at] % self.GROUP] -= 1
-            z *= weight[at]
-            g["member"][group], g["place"][group] = h[at].T @ z, z.sum(axis=0)
+            mine = self._taken("mine", h, at)
+            more, z = self._slope(mine, p["member"][group], p["place"][group], flat[at] % self.GROUP, weight[at])
+            logs[at] += more
+            g["member"][group], g["place"][group] = mine.T @ z, z.sum(axis=0)
             d[at] += z @ p["member"][group].T
-        d = d.reshape(heads.shape) * (1 - heads * heads)
-        da = np.matmul(d, v.transpose(0, 2, 1))
-        ds = a * (da - (da * a).sum(axis=2, keepdims=True))
+        d = d.reshape(heads.shape)
+        d *= 1 - heads * heads
+        da = self._product("da", d, v.transpose(0, 2, 1))
+        da -= np.einsum("bij,bij->bi", da, a)[:, :, None]
+        ds = np.multiply(da, a, out=da)
         g["near"][:] = np.bincount(self.distance.ravel(), ds.sum(axis=0).ravel(), 2 * BLOCK)
         for names, at, values in (
-            (("query", "direct"), inputs, (np.matmul(ds, k) * scale, d)),
-            (("key", "value"), keys, (np.matmul(ds.transpose(0, 2, 1), q) * scale, np.matmul(a.transpose(0, 2, 1), d))),
+            (("query", "direct"), inputs, ((ds, k, scale), (None, d, 1))),
+            (("key", "value"), keys, ((ds.transpose(0, 2, 1), q, scale), (a.transpose(0, 2, 1), d, 1))),
         ):
+            both = self._room("both", heads.dtype, *at.shape, 2, self.width)
+            for side, (left, right, times) in enumerate(values):
+                np.multiply(right if left is None else self._product("part", left, right), times, out=both[:, :, side])
             flat_at = at.ravel().astype(np.int16 if rows < 1 << 15 else np.int64)
             order = np.argsort(flat_at, kind="stable")
             sorted_at = flat_at[order]
             first = np.flatnonzero(np.r_[True, sorted_at[1:] != sorted_at[:-1]])
-            for name, value in zip(names, values, strict=True):
-                sums = np.add.reduceat(value.reshape(-1, self.width).take(order, 0), first, axis=0)
-                g[name][sorted_at[first]] = sums
+            sums = np.add.reduceat(self._taken("ordered", both.reshape(-1, 2 * self.width), order), first, axis=0)
+            for name, part in zip(names, np.split(sums, 2, axis=1), strict=True):
+                g[name][sorted_at[first]] = part
         return -float((logs * real).sum()), grad
 
 

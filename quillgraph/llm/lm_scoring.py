@@ -8,7 +8,7 @@ The model is one attention over the first ids of the words of a text and one ove
 a word. Both start from one set of parameters and are trained where their rows are: each task
 takes gradient steps on its share, the parameters are averaged over all tasks, and this is
 repeated ``rounds`` times; how rows lie in tasks shapes the model. For the first, every training
-document is cut into runs of ``SPAN`` words, each used in one of the rounds. The second is trained
+document is cut into runs of ``SPAN`` words and used in one of the rounds. The second is trained
 on the table of distinct training words, each in one of the rounds: counts tell how often a known
 word occurs, so what the model has to know is how words are made. The inside of every distinct word
 of all texts is scored once, in that table, with the word's count; texts are scored whole and join
@@ -21,13 +21,11 @@ as often as they occur; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from functools import partial
-from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,9 +35,8 @@ from quillgraph.llm.packing import tokenizer
 from quillgraph.llm.storage import stored
 
 SPAN = 32
-#: Words of text handled at once, distinct words remembered, blocks of positions per gradient step,
-#: spans whose distinct words are learnt from together.
-CHUNK, REMEMBERED, STEP, TOGETHER = 200_000, 400_000, 1024, 8192
+#: Words of text scored, counted and learnt from at once, and blocks of positions per gradient step.
+CHUNK, COUNTED, TOGETHER, STEP = 400_000, 1_600_000, 800_000, 1024
 
 
 def _selected(docs: DataFrame, hold: int, held: int, id_col: str, text_col: str) -> DataFrame:
@@ -59,40 +56,66 @@ def words_of(text: str | None) -> list[bytes]:
 def spans_of(doc: int | None, text: str | None, turn: int, rounds: int) -> Iterator[list[bytes]]:
     """The runs of ``SPAN`` words of a text that round ``turn`` of ``rounds`` uses, the last with the end token.
 
-    Together the rounds use every run once; short texts are dealt to the rounds by their ids.
+    Texts are dealt to the rounds by their ids, and each round uses all runs of its texts; :func:`train`
+    does this with many texts at a time.
     """
-    words = [*words_of(text), b""]
-    for k in range((turn - (doc or 0)) % rounds * SPAN, len(words), rounds * SPAN):
-        yield words[k : k + SPAN]
+    if (doc or 0) % rounds == turn:
+        words = [*words_of(text), b""]
+        for k in range(0, len(words), SPAN):
+            yield words[k : k + SPAN]
+
+
+def coded_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct words, the numbers of :func:`words_of` all texts side by side, and how many each text has.
+
+    The first word is the empty one, and stands after each text.
+    """
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+    coded = lists.flatten().dictionary_encode()
+    codes, real = coded.indices.to_numpy(zero_copy_only=False), pc.binary_length(coded.dictionary).to_numpy(zero_copy_only=False) > 0
+    if not real.all():
+        kept = real[codes]
+        sizes, codes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[kept], minlength=len(sizes)), codes[kept]
+    sizes = sizes.astype(np.int64) + 1
+    out = np.zeros(sizes.sum(), np.int32)
+    inside = np.ones(len(out), bool)
+    inside[np.cumsum(sizes) - 1] = False
+    out[inside] = np.cumsum(real, dtype=np.int32)[codes]
+    kinds = coded.dictionary.filter(pa.array(real)).cast(pa.binary())
+    return pa.concat_arrays([pa.array([b""], pa.binary()), kinds]), out, sizes
+
+
+def portions(batch: pa.RecordBatch, text: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch with about ``size`` words in column ``text`` at a time."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False) // 6 + 1)
+    cuts = np.flatnonzero(np.diff(ends // size)) + 1
+    for start, end in zip([0, *cuts], [*cuts, len(ends)], strict=True):
+        if end > start:
+            yield batch.slice(start, end - start)
+
+
+def span_sizes(sizes: np.ndarray) -> np.ndarray:
+    """Words per span of texts that lie side by side."""
+    spans = -(-sizes // SPAN)
+    out = np.full(spans.sum(), SPAN)
+    out[np.cumsum(spans) - 1] = (sizes - 1) % SPAN + 1
+    return out
 
 
 def count_words(docs: DataFrame) -> DataFrame:
-    """word and n, its training occurrences, per task; the empty word is the end token.
+    """word and n, its training occurrences, per portion of a task; the empty word is the end token.
 
     Words of held-out documents alone have n zero.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-
-        def flush() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays(
-                [pa.array([*seen], pa.binary()), pa.array([*seen.values()], pa.int64())], names=["word", "n"]
-            )
-            seen.clear()
-            return batch
-
         for batch in batches:
-            for held, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words = words_of(text.as_py())
-                if held:
-                    seen.update(dict.fromkeys(words, 0))
-                else:
-                    seen.update(words)
-                    seen[b""] += 1
-                if len(seen) > 300_000:
-                    yield flush()
-        yield flush()
+            for rows in portions(batch, 1, COUNTED):
+                kinds, codes, sizes = coded_words(rows.column(1))
+                taught = np.repeat(~rows.column(0).to_numpy(zero_copy_only=False), sizes)
+                n = np.bincount(codes[taught], minlength=len(kinds))
+                yield pa.RecordBatch.from_arrays([kinds, pa.array(n)], names=["word", "n"])
 
     return docs.select("held_out", "text").mapInArrow(count, "word binary, n long")
 
@@ -157,7 +180,7 @@ class WordMemory:
 
 
 class Scorer:
-    """Both models with their classes; remembers first ids of words."""
+    """Both models with their classes."""
 
     def __init__(self, classes: tuple[Classes, Classes], width: int, params: np.ndarray | None, vocabulary: str):
         self.classes = classes
@@ -166,11 +189,6 @@ class Scorer:
             Attention(c.count, width, part, c.prior) for c, part in zip(classes, parts, strict=True)
         )
         self._tokens = tokenizer(vocabulary)
-        self.clear()
-
-    def clear(self) -> None:
-        self._number: dict[bytes, int] = {b"": 0}
-        self._heads = np.array([END])
 
     @property
     def params(self) -> np.ndarray:
@@ -191,26 +209,24 @@ class Scorer:
         each = self.inner.scored(keys, targets, mask) + self.classes[1].within[inner]
         return heads, np.add.reduceat(each, np.cumsum(sizes) - sizes)
 
-    def heads(self, words: list[bytes]) -> np.ndarray:
+    def heads(self, words: list[bytes] | pa.Array) -> np.ndarray:
         """First ids of words; the empty word is the end of a text."""
-        number = self._number
-        if len(number) > REMEMBERED:
-            self.clear()
-            number = self._number
-        fresh = [w for w in dict.fromkeys(words) if w not in number]
-        if fresh:
-            number.update(zip(fresh, range(len(number), len(number) + len(fresh)), strict=True))
-            self._heads = np.concatenate([self._heads, split_words(self._tokens, fresh)[0]])
-        return self._heads[np.fromiter(map(number.__getitem__, words), np.int64, len(words))]
-
-    def outer_blocks(self, words: list[bytes], sizes: np.ndarray) -> tuple[np.ndarray, tuple]:
-        heads = self.heads(words)
-        return heads, self.outer.blocks(self.classes[0].of[heads], sizes)
+        words = words.to_numpy(zero_copy_only=False).tolist() if isinstance(words, pa.Array) else words
+        real = np.fromiter(map(bool, words), bool, len(words))
+        heads = np.full(len(words), END)
+        heads[real] = split_words(self._tokens, [w for w in words if w])[0]
+        return heads
+
+    def outer_blocks(self, heads: np.ndarray, sizes: np.ndarray) -> tuple:
+        return self.outer.blocks(self.classes[0].of[heads], sizes)
 
     def texts(self, words: list[bytes], sizes: list[int]) -> np.ndarray:
         """Natural log probability of the first ids of texts, each closed by an empty word."""
-        heads, blocks = self.outer_blocks(words, np.asarray(sizes))
-        each = self.outer.scored(*blocks) + self.classes[0].within[heads]
+        return self.streams(self.heads(words), np.asarray(sizes))
+
+    def streams(self, heads: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """:meth:`texts` by first ids."""
+        each = self.outer.scored(*self.outer_blocks(heads, sizes)) + self.classes[0].within[heads]
         return np.add.reduceat(each, np.cumsum(sizes) - sizes)
 
 
@@ -263,7 +279,7 @@ def train(
 ) -> np.ndarray:
     """Parameters of both models after ``rounds`` of local gradient steps and averaging.
 
-    The rounds share all spans of the training documents, and all training words of ``counts``
+    The rounds share all training documents, with all their spans, and all training words of ``counts``
     (word, c), between them.
     """
     taught = docs.where("not held_out").select("doc_id", "text")
@@ -271,19 +287,14 @@ def train(
     params = Scorer(classes, width, None, vocabulary).params
     half = len(params) // 2
 
-    def learn_texts(batches: Iterator[pa.RecordBatch], turn: int) -> Iterator[pa.RecordBatch]:
+    def learn_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(classes, width, params, vocabulary)
         adam, positions = Adam(half, rate), 0
-        spans = (
-            span
-            for batch in batches
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)
-            for span in spans_of(doc, text.as_py(), turn, rounds)
-        )
-        while group := list(islice(spans, TOGETHER)):
-            words = list(chain.from_iterable(group))
-            _steps(scorer.outer, adam, *scorer.outer_blocks(words, np.array([*map(len, group)]))[1])
-            positions += len(words)
+        for batch in batches:
+            for rows in portions(batch, 0, TOGETHER):
+                kinds, codes, sizes = coded_words(rows.column(0))
+                _steps(scorer.outer, adam, *scorer.outer_blocks(scorer.heads(kinds)[codes], span_sizes(sizes)))
+                positions += len(codes)
         yield from _learnt(scorer.outer, positions)
 
     def learn_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,8 +309,9 @@ def train(
 
     for turn in range(rounds):
         mine = spelled.where(F.pmod(F.xxhash64("word"), F.lit(rounds)) == turn)
+        texts = taught.where(F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(rounds)) == turn).select("text")
         following = (
-            _averaged(taught, partial(learn_texts, turn=turn), half),
+            _averaged(texts, learn_texts, half),
             _averaged(mine, learn_words, half),
         )
         parts = np.split(params, 2)
@@ -341,61 +353,44 @@ def score_rows(
 
     ``known``: count and value of the inside of each frequent word.
     """
-    logs = {w: (float(np.log10(c + 1)), value) for w, (c, value) in known.items()}
+    listed = pa.array([*known], pa.binary())
+    # A last row of zeros for all other words.
+    logs = np.array([*((float(np.log10(c + 1)), value, 1.0) for c, value in known.values()), (0.0, 0.0, 0.0)])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(classes, width, params, vocabulary)
         row = TaskContext.get().partitionId() << 33
 
-        def measured(group: list[tuple]) -> pa.RecordBatch:
-            nonlocal row
-            words, sizes, rows = [], [], []
-            for doc, held, text in group:
-                own = words_of(text)
-                own.append(b"")
-                base, inside, found, rare = 0.0, 0.0, 0, {}
-                for w in own:
-                    value = logs.get(w)
-                    if value is None:
-                        rare[w] = rare.get(w, 0) + 1
-                    else:
-                        base += value[0]
-                        inside += value[1]
-                        found += 1
-                rows.append((row, doc, held, len(own), found, base, inside, list(rare), list(rare.values())))
-                row += 1
-                words += own
-                sizes.append(len(own))
-            r, d, h, n, f, b, inside, rare, times = zip(*rows, strict=True)
-            scores = (scorer.texts(words, sizes) + np.array(inside)) / np.log(10)
+        def measured(rows: pa.RecordBatch) -> pa.RecordBatch:
+            kinds, codes, sizes = coded_words(rows.column(2))
+            at = pc.fill_null(pc.index_in(kinds, value_set=listed), len(listed)).to_numpy(zero_copy_only=False)
+            base, inside, found = (
+                np.add.reduceat(column[at][codes], np.cumsum(sizes) - sizes) for column in np.ascontiguousarray(logs.T)
+            )
+            rare = np.flatnonzero((at == len(listed))[codes])
+            text = np.repeat(np.arange(len(sizes)), sizes)[rare]
+            keys, times = np.unique(text * len(kinds) + codes[rare], return_counts=True)
+            ends = pa.array(np.searchsorted(keys, np.arange(len(sizes) + 1) * len(kinds)), pa.int32())
+            scores = (scorer.streams(scorer.heads(kinds)[codes], sizes) + inside) / np.log(10)
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array(r, pa.int64()),
-                    pa.array(d, pa.int64()),
-                    pa.array(h),
-                    pa.array(n, pa.int64()),
-                    pa.array(f, pa.int64()),
-                    pa.array(b, pa.float64()),
+                    pa.array(row + np.arange(len(sizes))),
+                    rows.column(0),
+                    rows.column(1),
+                    pa.array(sizes),
+                    pa.array(found.astype(np.int64)),
+                    pa.array(base),
                     pa.array(scores),
-                    pa.array(rare, pa.list_(pa.binary())),
-                    pa.array(times, pa.list_(pa.int32())),
+                    pa.ListArray.from_arrays(ends, kinds.take(pa.array(keys % len(kinds)))),
+                    pa.ListArray.from_arrays(ends, pa.array(times, pa.int32())),
                 ],
                 names=[part.split()[0] for part in SCORED.split(", ")],
             )
 
         for batch in batches:
-            group, size = [], 0
-            for doc, held, text in zip(
-                batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True
-            ):
-                text = text.as_py()
-                group.append((doc, held, text))
-                size += len(text or "") // 6 + 1
-                if size >= CHUNK:
-                    yield measured(group)
-                    group, size = [], 0
-            if group:
-                yield measured(group)
+            for rows in portions(batch, 2, CHUNK):
+                yield measured(rows)
+                row += rows.num_rows
 
     return docs.mapInArrow(score, SCORED)
 

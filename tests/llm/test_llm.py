@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -371,6 +372,41 @@ def test_every_training_word_shapes_the_model(spark):
     assert (learnt[:half] != start[:half]).any() and (learnt[half:] != start[half:]).any()
 
 
+def test_words_and_spans_of_many_texts_are_those_of_each():
+    texts = ["  Ab\tc\x0b\x0cD ÄÖ ", "", None, " ", "x\xa0y Z\u2003z é\x1cQ\x85w", " ".join(f"W{k % 50}" for k in range(200)), "a " * 32]
+    docs = [5, -3, None, 8, 23, 24, 1]
+    kinds, codes, sizes = lm_scoring.coded_words(pa.array(texts))
+    kinds = kinds.to_pylist()
+    assert len(kinds) == len(set(kinds))
+    flat = [kinds[c] for c in codes]
+    assert flat == [w for t in texts for w in [*lm_scoring.words_of(t), b""]]
+    assert sizes.tolist() == [len(lm_scoring.words_of(t)) + 1 for t in texts]
+    want = [s for d, t in zip(docs, texts, strict=True) for turn in range(3) for s in lm_scoring.spans_of(d, t, turn, 3)]
+    assert lm_scoring.span_sizes(sizes).tolist() == [len(s) for s in want]
+    assert flat == [w for s in want for w in s]
+    assert not len(lm_scoring.span_sizes(np.zeros(0, np.int64)))
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    for size in (1, 20, 1 << 20):
+        parts = list(lm_scoring.portions(batch, 0, size))
+        assert pa.Table.from_batches(parts).column(0).to_pylist() == texts
+    assert not list(lm_scoring.portions(batch.slice(0, 0), 0, 5))
+
+
+def test_steps_write_to_the_same_memory_again():
+    import tracemalloc
+
+    model = attention_lm.Attention(1024, 16)
+    classes = np.random.default_rng(1).integers(0, 1024, 32 * 256)
+    blocks = model.blocks(classes, np.full(256, 32))
+    first = model.gradient(*blocks)[1]
+    tracemalloc.start()
+    again = model.gradient(*blocks)[1]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (first == again).all()
+    assert peak < 3.5e6
+
+
 def test_scores_match_brute_force_base(spark, awkward, empty):
     docs = read_table(spark, SMALL, "documents").select("doc_id", "text").unionByName(awkward.select("doc_id", "text"))
     rows = [(r[0], r[1]) for r in docs.collect()]
