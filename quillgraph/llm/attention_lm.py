@@ -15,6 +15,7 @@ windows of ``2 * BLOCK``.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -131,7 +132,7 @@ class Attention:
 
     def _room(self, name: str, kind: np.dtype, *shape: int) -> np.ndarray:
         """An array to write to, in memory used again by the next call of the same name: fresh pages cost more than the sums."""
-        size, held = int(np.prod(shape)), self._rooms.get(name)
+        size, held = math.prod(shape), self._rooms.get(name)
         if held is None or held.size < size or held.dtype != kind:
             held = self._rooms[name] = np.empty(size, kind)
         return held[:size].reshape(shape)
@@ -177,11 +178,11 @@ class Attention:
         return np.hstack([before, inputs]), targets.reshape(-1, BLOCK), mask.reshape(-1, BLOCK)
 
     def forward(self, keys: np.ndarray) -> tuple:
-        """Queries, keys, values, attention and outputs, to be used before the next call."""
+        """Scaled queries, keys, values, attention and outputs, to be used before the next call."""
         p, inputs = self.p, keys[:, BLOCK:]
         q, k, v = self._taken("q", p["query"], inputs), self._taken("k", p["key"], keys), self._taken("v", p["value"], keys)
+        q *= q.dtype.type(self.width**-0.5)
         s = self._product("s", q, k.transpose(0, 2, 1))
-        s *= s.dtype.type(self.width**-0.5)
         s += p["near"][self.distance] + self.later
         s += self.padding.take(keys)[:, None, :]
         np.exp(np.minimum(s, 60, out=s), out=s)
@@ -191,92 +192,139 @@ class Attention:
         np.tanh(h, out=h)
         return q, k, v, s, h
 
-    def _by_group(self, targets: np.ndarray) -> list[tuple[int, np.ndarray]]:
-        """Positions by the group of their target."""
-        group = (targets // self.GROUP).astype(np.int16)
+    def _by_group(self, targets: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, slice]]]:
+        """Asked positions in the order of their target's group, groups and places in this order, and the part of each group."""
+        at = np.flatnonzero(asked)
+        group = (targets.take(at) // self.GROUP).astype(np.int16)
         order = np.argsort(group, kind="stable")
         ends = np.cumsum(np.bincount(group, minlength=self.groups))
-        return [(g, order[a:b]) for g, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)) if b > a]
-
-    def _exp(self, h: np.ndarray, weights: np.ndarray, bias: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Exponentials of the sums of a layer, the sum at one column per row, and what a row adds up to.
-
-        ``h`` lies between -1 and 1, which bounds the sums.
+        parts = [(g, slice(a, b)) for g, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)) if b > a]
+        group, order = group.take(order), at.take(order)
+        return order, group, targets.take(order) % self.GROUP, parts
+
+    def _layers(self) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of both output layers, their bias as a last row: inputs end with a one."""
+        p = self.p
+        return np.vstack([p["out"], p["bias"]]), np.concatenate([p["member"], p["place"][:, None]], axis=1)
+
+    def _ordered(self, h: np.ndarray, order: np.ndarray) -> np.ndarray:
+        """Outputs in this order, each with a one behind it."""
+        mine = self._room("mine", h.dtype, len(order), self.width + 1)
+        mine[:, :-1] = self._taken("taken", h, order)
+        mine[:, -1] = 1
+        return mine
+
+    def _exp(self, z: np.ndarray, layer: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the column ``at`` of each row lies, its log probability, and what a row of exponentials adds up to.
+
+        Sums are replaced by their exponentials; inputs lie between -1 and 1, which bounds the sums.
         """
-        z = self._product("z", h, weights)
-        z += bias
-        if np.abs(weights).sum(axis=0).max() + bias.max() > 80:
+        if (np.abs(layer[..., :-1, :]).sum(axis=-2) + layer[..., -1, :]).max() > 80:
             z -= z.max(axis=1, keepdims=True)
-        chosen = z[np.arange(len(z)), at]
+        place = np.arange(0, z.size, z.shape[1])
+        place += at
+        chosen = z.reshape(-1).take(place)
         np.exp(z, out=z)
-        return z, chosen, z @ np.ones(z.shape[1], z.dtype)
-
-    def _log_chosen(self, h: np.ndarray, weights: np.ndarray, bias: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Log probability of one column per row."""
-        _, chosen, total = self._exp(h, weights, bias, at)
-        return chosen - np.log(total)
-
-    def _slope(
-        self, h: np.ndarray, weights: np.ndarray, bias: np.ndarray, at: np.ndarray, weight: np.ndarray
-    ) -> tuple[np.ndarray, np.ndarray]:
-        """Log probability of one column per row, and the slope of the weighted loss by the sums."""
-        z, chosen, total = self._exp(h, weights, bias, at)
-        z *= (weight / total)[:, None]
-        z[np.arange(len(z)), at] -= weight
-        return chosen - np.log(total), z
-
-    def log_probability(self, keys: np.ndarray, targets: np.ndarray) -> np.ndarray:
-        """Natural log probability of every target class, in blocks."""
-        p, flat = self.p, targets.ravel()
-        h = self.forward(keys)[-1].reshape(-1, self.width)
-        out = self._log_chosen(h, p["out"], p["bias"], flat // self.GROUP)
-        for g, rows in self._by_group(flat):
-            out[rows] += self._log_chosen(self._taken("mine", h, rows), p["member"][g], p["place"][g], flat[rows] % self.GROUP)
+        total = z @ np.ones(z.shape[1], z.dtype)
+        chosen -= np.log(total)
+        return place, chosen, total
+
+    def _sums(self, h: np.ndarray, layers: tuple[np.ndarray, np.ndarray], parts: list[tuple[int, slice]]) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of the layer of groups and, in its own group, of that of places."""
+        groups, members = layers
+        z = self._room("members", h.dtype, len(h), self.GROUP)
+        for g, rows in parts:
+            np.matmul(h[rows], members[g], out=z[rows])
+        return self._product("groups", h, groups), z
+
+    def log_probability(self, keys: np.ndarray, targets: np.ndarray, mask: np.ndarray | None = None) -> np.ndarray:
+        """Natural log probability of every target class in the mask, in blocks; zero for others."""
+        order, group, place, parts = self._by_group(targets.ravel(), np.ones(targets.size) if mask is None else mask)
+        h = self._ordered(self.forward(keys)[-1].reshape(-1, self.width), order)
+        layers = self._layers()
+        logs = sum(self._exp(z, *each)[1] for z, *each in zip(self._sums(h, layers, parts), layers, (group, place), strict=True))
+        out = np.zeros(targets.size, h.dtype)
+        out[order] = logs
         return out.reshape(targets.shape)
 
     def scored(self, keys: np.ndarray, targets: np.ndarray, mask: np.ndarray, step: int = 2048) -> np.ndarray:
         """Log probabilities of the real targets, in order."""
-        parts = [self.log_probability(keys[k : k + step], targets[k : k + step]) for k in range(0, len(keys), step)]
+        parts = [self.log_probability(*(part[k : k + step] for part in (keys, targets, mask))) for k in range(0, len(keys), step)]
         return np.concatenate(parts)[mask].astype(float) if parts else np.zeros(0)
 
+    def _by_class(self, at: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """Sums of rows by their input class; those that pad have no slope.
+
+        The first classes are the most frequent ones, and their rows are added up by products.
+        """
+        out = np.zeros((self.classes + 2, values.shape[1]), values.dtype)
+        at = at.astype(np.int16 if len(out) < 1 << 15 else np.int64)
+        order = np.argsort(at, kind="stable")
+        ends = np.cumsum(np.bincount(at, minlength=len(out)))
+        rows = self._taken("ordered", values, order[: ends[self.classes]])
+        ones = np.ones(len(rows), values.dtype)
+        often = min(self.GROUP, self.classes)
+        for c, (a, b) in enumerate(zip([0, *ends[: often - 1]], ends[:often], strict=True)):
+            out[c] = ones[a:b] @ rows[a:b]
+        start, held = ends[often - 1], often + np.flatnonzero(np.diff(ends[often - 1 : self.classes + 1]))
+        if len(held):
+            out[held] = np.add.reduceat(rows[start:], ends[held - 1] - start, axis=0)
+        return out
+
     def gradient(self, keys: np.ndarray, targets: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray]:
         """Loss and its slope; ``weight`` counts each position (a mask, or numbers of copies)."""
         q, k, v, a, heads = self.forward(keys)
-        p, inputs, rows = self.p, keys[:, BLOCK:], self.classes + 2
-        h, flat, real = heads.reshape(-1, self.width), targets.ravel(), weight.ravel()
+        p, inputs = self.p, keys[:, BLOCK:]
+        order, group, place, parts = self._by_group(targets.ravel(), weight)
+        real = weight.ravel().take(order)
         n, scale = max(float(real.sum()), 1.0), heads.dtype.type(self.width**-0.5)
         weight = (real / n).astype(heads.dtype)
         grad = np.zeros_like(self.params)
         g = self._views(grad)
-        logs, z = self._slope(h, p["out"], p["bias"], flat // self.GROUP, weight)
-        g["out"][:], g["bias"][:] = h.T @ z, z.sum(axis=0)
-        d = z @ p["out"].T
-        for group, at in self._by_group(flat):
-            mine = self._taken("mine", h, at)
-            more, z = self._slope(mine, p["member"][group], p["place"][group], flat[at] % self.GROUP, weight[at])
-            logs[at] += more
-            g["member"][group], g["place"][group] = mine.T @ z, z.sum(axis=0)
-            d[at] += z @ p["member"][group].T
+        layers = self._layers()
+        h, logs = self._ordered(heads.reshape(-1, self.width), order), 0.0
+        sums = self._sums(h, layers, parts)
+        for z, layer, at in zip(sums, layers, (group, place), strict=True):
+            chosen, more, total = self._exp(z, layer, at)
+            z *= (weight / total)[:, None]
+            z.reshape(-1)[chosen] -= weight
+            logs = logs + more
+        z, inner = sums
+        slope = h.T @ z
+        g["out"][:], g["bias"][:] = slope[:-1], slope[-1]
+        sorted_d = self._product("sorted_d", z, p["out"].T)
+        for number, part in parts:
+            slope = h[part].T @ inner[part]
+            g["member"][number], g["place"][number] = slope[:-1], slope[-1]
+            sorted_d[part] += inner[part] @ p["member"][number].T
+        d = self._room("d", heads.dtype, targets.size, self.width)
+        if len(order) < len(d):
+            d[:] = 0
+            d[order] = sorted_d
+        else:
+            back = np.empty_like(order)
+            back[order] = np.arange(len(order))
+            sorted_d.take(back, 0, out=d, mode="clip")
         d = d.reshape(heads.shape)
         d *= 1 - heads * heads
         da = self._product("da", d, v.transpose(0, 2, 1))
         da -= np.einsum("bij,bij->bi", da, a)[:, :, None]
         ds = np.multiply(da, a, out=da)
         g["near"][:] = np.bincount(self.distance.ravel(), ds.sum(axis=0).ravel(), 2 * BLOCK)
-        for names, at, values in (
-            (("query", "direct"), inputs, ((ds, k, scale), (None, d, 1))),
-            (("key", "value"), keys, ((ds.transpose(0, 2, 1), q, scale), (a.transpose(0, 2, 1), d, 1))),
+        for names, at, left, right in (
+            (("query", "direct"), inputs, (ds, None), (k, d)),
+            (("key", "value"), keys, (ds.transpose(0, 2, 1), a.transpose(0, 2, 1)), (q, d)),
         ):
             both = self._room("both", heads.dtype, *at.shape, 2, self.width)
-            for side, (left, right, times) in enumerate(values):
-                np.multiply(right if left is None else self._product("part", left, right), times, out=both[:, :, side])
-            flat_at = at.ravel().astype(np.int16 if rows < 1 << 15 else np.int64)
-            order = np.argsort(flat_at, kind="stable")
-            sorted_at = flat_at[order]
-            first = np.flatnonzero(np.r_[True, sorted_at[1:] != sorted_at[:-1]])
-            sums = np.add.reduceat(self._taken("ordered", both.reshape(-1, 2 * self.width), order), first, axis=0)
-            for name, part in zip(names, np.split(sums, 2, axis=1), strict=True):
-                g[name][sorted_at[first]] = part
+            for side in range(2):
+                if left[side] is None:
+                    both[:, :, side] = right[side]
+                else:
+                    np.matmul(left[side], right[side], out=both[:, :, side])
+            slopes = self._by_class(at.ravel(), both.reshape(-1, 2 * self.width))
+            for name, part in zip(names, np.split(slopes, 2, axis=1), strict=True):
+                g[name][:] = part
+        g["query"] *= scale
         return -float((logs * real).sum()), grad
 
 

@@ -322,7 +322,7 @@ def train(
 def value_words(
     counts: DataFrame, memory: WordMemory, classes: tuple[Classes, Classes], params: np.ndarray, vocabulary: str, width: int
 ) -> DataFrame:
-    """``word, c, value``: the natural log probability of the inside of each word, its count known."""
+    """``word, c, value, head``: the natural log probability of the inside of each word, its count known, and its first id."""
 
     def value(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(classes, width, params, vocabulary)
@@ -330,9 +330,9 @@ def value_words(
             if batch.num_rows:
                 heads, inside = scorer.insides(batch.column(0).to_pylist())
                 values = memory.valued(batch.column(1).to_numpy().astype(float), heads, inside)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values)], names=["word", "c", "value"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values), pa.array(heads)], names=["word", "c", "value", "head"])
 
-    return counts.where("octet_length(word) > 0").select("word", "c").mapInArrow(value, "word binary, c long, value double")
+    return counts.where("octet_length(word) > 0").select("word", "c").mapInArrow(value, "word binary, c long, value double, head long")
 
 
 SCORED = (
@@ -343,7 +343,7 @@ SCORED = (
 
 def score_rows(
     docs: DataFrame,
-    known: dict[bytes, tuple[int, float]],
+    known: dict[bytes, tuple[int, float, int]],
     classes: tuple[Classes, Classes],
     params: np.ndarray,
     vocabulary: str,
@@ -351,11 +351,12 @@ def score_rows(
 ) -> DataFrame:
     """Per row both sums over the frequent words, and the other words for the join.
 
-    ``known``: count and value of the inside of each frequent word.
+    ``known``: count, value of the inside and first id of each frequent word.
     """
     listed = pa.array([*known], pa.binary())
+    firsts = np.array([*(head for *_, head in known.values()), END])
     # A last row of zeros for all other words.
-    logs = np.array([*((float(np.log10(c + 1)), value, 1.0) for c, value in known.values()), (0.0, 0.0, 0.0)])
+    logs = np.array([*((float(np.log10(c + 1)), value, 1.0) for c, value, _ in known.values()), (0.0, 0.0, 0.0)])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(classes, width, params, vocabulary)
@@ -371,7 +372,9 @@ def score_rows(
             text = np.repeat(np.arange(len(sizes)), sizes)[rare]
             keys, times = np.unique(text * len(kinds) + codes[rare], return_counts=True)
             ends = pa.array(np.searchsorted(keys, np.arange(len(sizes) + 1) * len(kinds)), pa.int32())
-            scores = (scorer.streams(scorer.heads(kinds)[codes], sizes) + inside) / np.log(10)
+            heads, unlisted = firsts[at], np.flatnonzero(at == len(listed))
+            heads[unlisted] = scorer.heads(kinds.take(pa.array(unlisted)))
+            scores = (scorer.streams(heads[codes], sizes) + inside) / np.log(10)
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array(row + np.arange(len(sizes))),
@@ -418,10 +421,10 @@ def score_texts(
     params = train(rows, counts, classes, vocabulary, rounds, rate, width)
     values = stored(value_words(counts, memory, classes, params, vocabulary, width), "word-values")
     top = values.where("c > 0").orderBy(F.desc("c"), "word").limit(frequent).toArrow()
-    known = dict(zip(top["word"].to_pylist(), zip(top["c"].to_pylist(), top["value"].to_pylist(), strict=True), strict=True))
+    known = dict(zip(top["word"].to_pylist(), zip(*(top[name].to_pylist() for name in ("c", "value", "head")), strict=True), strict=True))
     ends = taught.where("octet_length(word) = 0").first()
     if ends:
-        known[b""] = (ends["c"], 0.0)
+        known[b""] = (ends["c"], 0.0, END)
     scored = stored(score_rows(rows, known, classes, params, vocabulary, width), "scored")
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select(
         "row", F.col("w.rare").alias("word"), F.col("w.times").alias("times")

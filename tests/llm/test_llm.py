@@ -407,6 +407,45 @@ def test_steps_write_to_the_same_memory_again():
     assert peak < 3.5e6
 
 
+def test_only_real_positions_are_scored_and_summed(monkeypatch):
+    rng = np.random.default_rng(2)
+    model = attention_lm.Attention(1024, 16)
+    sizes = np.array([5, 0, 9, 1, 16])
+    keys, targets, mask = model.blocks(rng.integers(0, 1024, sizes.sum()), sizes)
+    whole = model.log_probability(keys, targets)
+    ordered, seen = model._ordered, []
+    monkeypatch.setattr(model, "_ordered", lambda h, order: seen.append(len(order)) or ordered(h, order))
+    assert np.allclose(model.scored(keys, targets, mask), whole[mask], atol=1e-5)
+    model.gradient(keys, targets, mask)
+    assert seen == [mask.sum()] * 2
+    at, values = rng.integers(0, 1026, 5000), rng.standard_normal((5000, 6))
+    at[:2000] %= 40
+    want = np.zeros((1026, 6))
+    np.add.at(want, at, values)
+    want[1025] = 0
+    assert np.allclose(model._by_class(at, values), want)
+
+
+def test_first_ids_of_listed_words_are_not_encoded_again(spark, monkeypatch):
+    classes = tuple(attention_lm.make_classes(np.zeros(attention_lm.VOCABULARY)) for _ in range(2))
+    scorer = lm_scoring.Scorer(classes, 16, None, "byte_bpe_50k")
+    words = [b"unbelievable", b"few", b"\xff\xfe"]
+    memory = lm_scoring.WordMemory({}, np.ones(attention_lm.VOCABULARY), "byte_bpe_50k", np.ones(attention_lm.VOCABULARY))
+    counts = spark.createDataFrame([(w, 1) for w in [*words, b""]], "word binary, c long")
+    rows = lm_scoring.value_words(counts, memory, classes, scorer.params, "byte_bpe_50k", 16).collect()
+    heads = {bytes(r["word"]): r["head"] for r in rows}
+    assert [heads[w] for w in words] == scorer.heads(words).tolist()
+    docs = spark.createDataFrame([(1, False, "few other unbelievable words"), (2, True, None)], "doc_id long, held_out boolean, text string")
+
+    def scores(listed):
+        known = {w: (1, 0.0, h) for w, h in listed}
+        return [r["score"] for r in lm_scoring.score_rows(docs, known, classes, scorer.params, "byte_bpe_50k", 16).orderBy("doc_id").collect()]
+
+    assert np.allclose(scores(heads.items()), scores([]))
+    other = int(next(h for h in range(50) if classes[0].of[h] != classes[0].of[heads[b"few"]]))
+    assert scores([(b"few", other)])[0] != scores([])[0]
+
+
 def test_scores_match_brute_force_base(spark, awkward, empty):
     docs = read_table(spark, SMALL, "documents").select("doc_id", "text").unionByName(awkward.select("doc_id", "text"))
     rows = [(r[0], r[1]) for r in docs.collect()]
