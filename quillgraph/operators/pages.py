@@ -360,6 +360,18 @@ def page_linked_names(
     return parse_pages(pages, lambda m: H.linked_names(H.parse(m), css_class, data_no), "name string, place int", key)
 
 
+def page_heading_columns(
+    pages: DataFrame, columns: dict[str, tuple[str, str, str | None, int]], key: str = "page_id"
+) -> DataFrame:
+    """Data columns of the tables that :func:`table_after_heading` gives, all chosen where the page is read.
+
+    ``columns`` names (match, by, css_class, data_no); (page, name, row_no, text) without first rows, and tables of
+    a first row alone are passed over.
+    """
+    asked = [(name, *column) for name, column in columns.items()]
+    return parse_pages(pages, lambda m: H.heading_columns(H.parse(m), asked), "name string, row_no int, text string", key)
+
+
 def page_sections(pages: DataFrame, level: str, names: DataFrame | None = None, key: str = "page_id") -> DataFrame:
     """:func:`sections` of a page's blocks, made where the page is read."""
     found = parse_pages(pages, lambda m: H.section_rows(H.parse(m), level), "place int, text string, description string", key)

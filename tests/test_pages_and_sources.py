@@ -287,3 +287,54 @@ def test_lean_cell_readers_and_small_batches_give_the_rows_of_the_full_reader(sp
     # A batch of many pages leaves in parts, and nothing is lost between them.
     assert [b.num_rows for b in made] == [P.PAGES_HELD * 3, P.PAGES_HELD * 3, 3]
     assert made[2].to_pylist()[1]["cells"][0] == {"is_header": False, "tight": "Xyz", "links": [{"href": "/x", "classes": ["new", "old"]}]}
+
+
+def test_heading_tables_reads_a_page_once_and_moves_no_cell(spark):
+    from quillgraph.plans.page_queries import heading_tables
+
+    plan = heading_tables(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Window" not in plan and plan.count("Exchange") == 1
+
+
+def test_heading_columns_equal_the_first_tables_over_cells(spark):
+    row = "<tr><td>{0}1</td><th>h</th><td> <a href='/x'>{0} 2</a><i></i></td></tr>"
+    table = "<table class='{1}'><tr><th>A</th><td>no</td></tr>" + row + "<tbody>" + row.replace("1", "3") + "<tr><td>{0}4</td></tr></tbody></table>"
+    pages = [
+        # The nearest heading counts, by its first id or its text; a nested and a second table are not the first.
+        f"{table.format('p', 'w')}<h2 id='a'>Big <b>Order</b> x</h2><p>y</p>{table.format('q', 'v w')}{table.format('r', 'w')}",
+        f"<h3><span class='n' id='a'>x</span></h3>{table.format('s', 'v')}<div>{table.format('t', 'w')}</div><h4 id='b'>Order</h4>{table.format('u', 'w')}",
+        f"<h2 id='a'>Order</h2><table class='w'><tr><td>1</td><td>{table.format('n', 'w')}</td></tr></table>",
+        # Tables of a first row alone, without cells and without rows.
+        f"<h1 id='a'>Order</h1><table class='w'><tr><td>k</td></tr></table><table class='w'><tr></tr><tr></tr></table><table class='w'></table>{table.format('m', 'w')}",
+        # A heading inside a cell, one without id after one with it, text in script, unclosed tags, capital names, references.
+        f"<h2 id='a'>N</h2><TABLE CLASS='w'><tr><th>A<tr><td>z<h3>Order</h3>{table.format('o', 'w')}<script>'<td>s'</script>",
+        "<h2 ID='a'>An &amp; Order</h2><table class=w><tr><th>A</th></tr><tr><td>x<script>no</script></td><td><style>no</style></td><td>&lt;<br>5 </td></tr>",
+        "<h2 id=''><i id='a'>Order</i></h2><p>no table</p>", "", table.format("l", "w"),
+    ]
+    given = spark.createDataFrame([*enumerate(pages), (99, None)], "page_id int, html string")
+    asked = {"id": ("a", "id", "w", 1), "any": ("a", "id", None, 0), "text": ("Order", "text", None, 1), "both": ("Order", "text", "w", 0), "none": ("x", "id", None, 0)}
+    mine = P.page_heading_columns(given, asked)
+    assert mine.columns == ["page_id", "name", "row_no", "text"]
+    cells = P.extract_cells(given).where("row_no > 0")
+    theirs = [
+        (r["page_id"], name, r["row_no"], r["text"])
+        for name, (match, by, css_class, data_no) in asked.items()
+        for r in P.table_after_heading(cells, match, by, css_class).where(f"data_no = {data_no}").collect()
+    ]
+    assert {r[0] for r in theirs} == {0, 1, 2, 3, 4, 5} and {r[1] for r in theirs} == {*asked} - {"none"}
+    assert sorted(map(tuple, mine.collect())) == sorted(theirs)
+
+
+def test_elements_in_document_order_and_attributes_read_on_demand():
+    markup = "<div a=1><p id='x'>one<b>two</p>three<br/><ul><li>4<li class='k l' id=y>5</ul></b></div><script a='<i>'><u></script><p/><i>6</i></q>"
+    tree = H.parse(markup)
+
+    def below(node):
+        return [e for c in node.children if not isinstance(c, str) for e in (c, *below(c))]
+
+    assert [*tree.walk()] == below(tree) and [e.tag for e in tree.walk()] == "div p b br ul li li script p i".split()
+    assert [e.attrs for e in tree.walk()][:2] == [{"a": "1"}, {"id": "x"}] and tree.find("li")[1].classes() == ["k", "l"]
+    assert tree.find("br")[0].attrs is tree.find("br")[0].attrs and tree.attrs == {}
+    less = H.parse(markup, ["ul", "x"])
+    assert [*less.walk()] == below(less) and [e.tag for e in less.walk()] == "div br script p i".split()
+    assert H.parse("<td><a><b> x  y </b></a></td>").text() == "x y" and H.parse("<td><style>x</style></td>").text() == ""
