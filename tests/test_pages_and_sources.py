@@ -338,3 +338,19 @@ def test_elements_in_document_order_and_attributes_read_on_demand():
     less = H.parse(markup, ["ul", "x"])
     assert [*less.walk()] == below(less) and [e.tag for e in less.walk()] == "div br script p i".split()
     assert H.parse("<td><a><b> x  y </b></a></td>").text() == "x y" and H.parse("<td><style>x</style></td>").text() == ""
+
+
+def test_elements_of_text_alone_read_as_any_other():
+    def shape(node):
+        return [c if isinstance(c, str) else (c.tag, c.attrs, shape(c)) for c in node.children]
+
+    assert shape(H.parse("a<b>x</b>c<td></td><p id='i'>1 &lt; 2</p>&amp;")) == ["a", ("b", {}, ["x"]), "c", ("td", {}, []), ("p", {"id": "i"}, ["1 < 2"]), "&"]
+    # Void and self-closed elements hold nothing; what follows lies beside them, and an end tag closes what is open.
+    assert shape(H.parse("<br>x</br><p>y<p/>z</p>w")) == [("br", {}, []), "x", ("p", {}, ["y", ("p", {}, []), "z"]), "w"]
+    assert shape(H.parse("<TD>x</td>y<b>1</B>2<i>3</i >4<a/b>5</a/b>6")) == [
+        ("td", {}, ["x"]), "y", ("b", {}, ["1"]), "2", ("i", {}, ["3"]), "4", ("a", {"b": ""}, ["5"]), "6",
+    ]
+    assert shape(H.parse("<b>x</b><script>1 &lt;<i>2</i></script><style/>q</style><u>3</u>")) == [
+        ("b", {}, ["x"]), ("script", {}, ["1 &lt;<i>2</i>"]), ("style", {}, ["q"]), ("u", {}, ["3"]),
+    ]
+    assert shape(H.parse("<p>1<b>x</b>2</p><b class='d'>gone</b>3", ["d"])) == [("p", {}, ["1", ("b", {}, ["x"]), "2"]), "3"]
